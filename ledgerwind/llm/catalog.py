@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwind.llm import simhash_golay
-from ledgerwind.llm.shared import table
+from ledgerwind.llm import packing, records, simhash_golay
+from ledgerwind.llm.shared import shared_path, table
+from ledgerwind.llm.word_tokens import default_path
+
+
+def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), folder, default_path(), end=1)
+    return records.digests(spark, folder)
+
+
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), default_path(), end=2).select(*packing.NAMES)
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_simhash_golay": op10_simhash_golay}
+QUERIES = {
+    "op2_binary_records": op2_binary_records,
+    "op4_mixture_packing": op4_mixture_packing,
+    "op10_simhash_golay": op10_simhash_golay,
+}
 ORACLES: dict[str, str] = {}
