@@ -5,11 +5,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwind.llm import bpe_transducer, chat_events, packing, records, simhash_golay
+from ledgerwind.llm import bpe_transducer, chat_events, packing, records, simhash_golay, va_file
 from ledgerwind.llm.shared import shared_path, table
 from ledgerwind.llm.word_tokens import default_path
 
 
+def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return va_file.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+OP1_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), folder, default_path(), end=1)
@@ -36,10 +57,11 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_va_file": op1_va_file,
     "op2_binary_records": op2_binary_records,
     "op4_mixture_packing": op4_mixture_packing,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_chat_events": op8_chat_events,
     "op10_simhash_golay": op10_simhash_golay,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL}
