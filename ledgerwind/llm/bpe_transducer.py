@@ -144,7 +144,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         pieces = self.split(text)
-        if fresh := set(pieces) - self.known.keys():
+        if fresh := set(pieces).difference(self.known):
             if self.size > CACHE_BYTES:
                 self.known.clear()
                 self.size, fresh = 0, set(pieces)

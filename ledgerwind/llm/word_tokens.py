@@ -30,7 +30,7 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian numbers of self.dtype."""
         chunks = text.split()
-        if fresh := list(set(chunks) - self.known.keys()):
+        if fresh := list(set(chunks).difference(self.known)):
             if self.size > CACHE_BYTES:
                 self.known.clear()
                 self.size, fresh = 0, list(set(chunks))
