@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwind.llm import bpe_transducer, chat_events, packing, records, simhash_golay, va_file
+from ledgerwind.llm import bpe_transducer, chat_events, host_rules, packing, records, simhash_golay, va_file
 from ledgerwind.llm.shared import shared_path, table
 from ledgerwind.llm.word_tokens import default_path
 
@@ -41,6 +41,49 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path(), end=2).select(*packing.NAMES)
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+#: Counts, base rules and soft rules of each document as CTE `r`; then hosts, their prior and verdicts.
+OP5_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), g AS (
+    SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), often AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1
+), repeated AS (
+    SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM often) GROUP BY doc_id
+), c AS (
+    SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
+    FROM d LEFT JOIN repeated USING (doc_id)
+), r AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CAST(10 * n_symbols > n_words AS INT) + CAST(10 * n_dup_lines > 3 * n_lines AS INT)
+            + CAST(word_chars NOT BETWEEN 2 * n_words AND 15 * n_words AS INT) AS n_soft
+    FROM c
+), hosts AS (
+    SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed OR n_soft > 0 AS INT)) AS DOUBLE) AS bad FROM r GROUP BY source
+), moments AS (
+    SELECT sum(bad) / sum(n) AS mean, sum(n * (bad / n) * (bad / n)) / sum(n) AS squares, count(*) / sum(n) AS share FROM hosts
+), prior AS (
+    SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e4) ELSE 1e4 END AS strength
+    FROM (SELECT mean, squares - mean * mean - mean * (1 - mean) * share AS v FROM moments)
+), verdicts AS (
+    SELECT source, CASE WHEN rate <= 0 THEN 99 WHEN rate >= 1 THEN -1
+        ELSE greatest(-1, least(99, floor(ln((1 - rate) / rate) / ln(20)))) END AS allowed
+    FROM (SELECT source, (bad + mean * strength) / (n + strength) AS rate FROM hosts, prior)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_soft <= allowed AS kept
+FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,8 +103,9 @@ QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_binary_records": op2_binary_records,
     "op4_mixture_packing": op4_mixture_packing,
+    "op5_host_rules": op5_host_rules,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_chat_events": op8_chat_events,
     "op10_simhash_golay": op10_simhash_golay,
 }
-ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL}
