@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwind.llm import bpe_transducer, chat_events, host_rules, packing, records, simhash_golay, va_file
+from ledgerwind.llm import bpe_transducer, chat_events, host_rules, packing, pu_quality, records, simhash_golay, va_file
 from ledgerwind.llm.shared import shared_path, table
 from ledgerwind.llm.word_tokens import default_path
 
@@ -88,6 +88,10 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -105,6 +109,7 @@ QUERIES = {
     "op4_mixture_packing": op4_mixture_packing,
     "op5_host_rules": op5_host_rules,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_pu_quality": op7_pu_quality,
     "op8_chat_events": op8_chat_events,
     "op10_simhash_golay": op10_simhash_golay,
 }
