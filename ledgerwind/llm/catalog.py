@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwind.llm import bpe_transducer, chat_events, host_rules, packing, pu_quality, records, simhash_golay, va_file
+from ledgerwind.llm import bpe_transducer, chat_events, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file
 from ledgerwind.llm.shared import shared_path, table
 from ledgerwind.llm.word_tokens import default_path
 
@@ -37,6 +37,10 @@ def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(spark, folder)
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.find(table(spark, sf_dir, "documents"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path(), end=2).select(*packing.NAMES)
 
@@ -106,6 +110,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_binary_records": op2_binary_records,
+    "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_host_rules": op5_host_rules,
     "op6_bpe_transducer": op6_bpe_transducer,
