@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwind.llm.shared import text_bytes, written
-from ledgerwind.llm.word_tokens import encoder
+from ledgerwind.llm.word_tokens import encoder, slices
 
 SIZE = 4096
 #: Rows of the table of queue offsets up to which it is broadcast (about 60 bytes each); beyond, it is joined by shuffle.
@@ -98,7 +98,7 @@ def _tokens(path: str, end: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, given = encoder(path), TaskContext.get().partitionId(), {}
         last = np.array([end], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [enc.encode(x.as_py()) + last for x in batch.column("text")]
             counts, before = [len(x) // enc.dtype.itemsize for x in ids], []
             for source, n in zip(batch.column("source").to_pylist(), counts, strict=True):

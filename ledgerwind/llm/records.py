@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerwind.llm.shared import text_bytes
-from ledgerwind.llm.word_tokens import encoder
+from ledgerwind.llm.shared import text_bytes, written
+from ledgerwind.llm.word_tokens import encoder, slices
 
 MASK = 0xA282EAD8
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<Bq")
@@ -66,7 +66,7 @@ def _framed(path: str, end: int):
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         last, wide = np.array([end], enc.dtype).tobytes(), enc.dtype.itemsize == 4
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
             out = [frame(doc, enc.encode(text.as_py()) + last, wide)[:-1] for doc, text in rows]  # the writer adds the end byte
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
@@ -84,8 +84,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int, shards
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), text_bytes()).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(_framed(tokenizer, end), "record binary").select(F.col("record").cast("string")).write.text(f"{folder}/data")
-    index = _with_starts(_shards(spark, folder).mapInArrow(_scan, "shard long, record long, offset long, length long, doc_id long, n_tokens long"))
-    index.write.parquet(f"{folder}/index")
+    found = written(_shards(spark, folder).mapInArrow(_scan, "shard long, record long, offset long, length long, doc_id long, n_tokens long"), "record-offsets")
+    _with_starts(found).write.parquet(f"{folder}/index")
 
 
 def _shards(spark: SparkSession, folder: str) -> DataFrame:
