@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from ledgerwind.llm.shared import text_bytes
 
 #: States, neighbour checks and bytes of encoded pieces that a worker keeps at most.
-STATES, PAIRS, CACHE_BYTES = 200_000, 500_000, 80_000_000
+STATES, PAIRS, CACHE_BYTES = 150_000, 250_000, 24_000_000
 #: Bytes read between two searches for certain boundaries in a long piece, and ids decoded at a time.
 CHECK_EVERY, DECODE_IDS = 1024, 8192
+#: Rows of a result batch.
+ROWS = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,20 +59,19 @@ class Transducer:
                     self.inner.append(False)
                     self.depth.append(depth)
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both tokens
         self._forget()
 
     def _forget(self) -> None:
-        self.tuples: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        self.steps: list[dict[int, tuple[int, int]]] = []
-        self.start = self._number(((-1, 0),))
+        self.tuples: list[tuple[int, ...]] = []  # of each state: last token + 1 << 20 | trie node
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.steps: dict[int, int] = {}  # state << 8 | byte -> token << 32 | state
+        self.start = self._number((0,))
 
-    def _number(self, state: tuple) -> int:
+    def _number(self, state: tuple[int, ...]) -> int:
         if (n := self.numbers.get(state)) is None:
             n = self.numbers[state] = len(self.tuples)
             self.tuples.append(state)
-            self.steps.append({})
         return n
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -83,27 +86,29 @@ class Transducer:
         return parts
 
     def follows(self, before: int, token: int) -> bool:
-        if (known := self.pairs.get((before, token))) is None:
+        if (known := self.pairs.get(key := before + 1 << 20 | token)) is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             whole = [self.bytes[t] for t in (before, token) if t >= 0]
-            known = self.pairs[before, token] = self.merged(b"".join(whole)) == whole
+            known = self.pairs[key] = self.merged(b"".join(whole)) == whole
         return known
 
-    def _step(self, number: int, byte: int) -> tuple[int, int]:
-        """The state after a byte, and the token that ends there."""
+    def _step(self, number: int, byte: int) -> int:
+        """The state after a byte, below the token that ends there."""
         state, last = [], -1
-        for before, node in self.tuples[number]:
+        for pair in self.tuples[number]:
+            before, node = (pair >> 20) - 1, pair & 0xFFFFF
             if (to := self.arcs.get(node << 8 | byte)) is not None:
                 if last < 0 and self.token[to] >= 0 and self.follows(before, self.token[to]):
                     last = self.token[to]
                 if self.inner[to]:
-                    state.append((before, to))
-        state = (*state, (last, 0))
-        if len(self.tuples) >= STATES:  # the caller's state number is void then, but it goes on with the new one
+                    state.append(pair - node + to)
+        state.append(last + 1 << 20)
+        if full := len(self.tuples) >= STATES:  # the caller's state number is void then, but it goes on with the new one
             self._forget()
-            return self._number(state), last
-        found = self.steps[number][byte] = (self._number(state), last)
+        found = last << 32 | self._number(tuple(state))
+        if not full:
+            self.steps[number << 8 | byte] = found
         return found
 
     def encode(self, piece: bytes) -> Iterator[int]:
@@ -111,13 +116,16 @@ class Transducer:
         if (whole := self.ranks.get(piece)) is not None:
             yield whole
             return
-        state, ends, sure = self.start, [], 0  # ends: the last token at each place after the first `sure` bytes
+        state, steps, ends, sure = self.start, self.steps, [], 0  # ends: the last token at each place after the first `sure` bytes
         for at, byte in enumerate(piece, 1):
-            state, last = self.steps[state].get(byte) or self._step(state, byte)
-            ends.append(last)
+            if (step := steps.get(state << 8 | byte)) is None:
+                step = self._step(state, byte)
+                steps = self.steps
+            state = step & 0xFFFFFFFF
+            ends.append(step >> 32)
             if at % CHECK_EVERY == 0:
                 # all open boundaries lie within the longest token; follow their paths back until they are one
-                open_at = {at - self.depth[node] for _, node in self.tuples[state]}
+                open_at = {at - self.depth[pair & 0xFFFFF] for pair in self.tuples[state]}
                 while len(open_at) > 1:
                     far = max(open_at)
                     open_at = (open_at - {far}) | {far - self.lengths[ends[far - sure - 1]]}
@@ -134,24 +142,28 @@ class Transducer:
 
 
 class Encoder:
-    """Whole texts: each match of the pattern by the transducer, with a bounded cache of encoded matches."""
+    """Whole texts: each match of the pattern by the transducer, with two bounded generations of encoded matches."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.transducer, self.split = Transducer(read_ranks(path)), regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.size = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         pieces = self.split(text)
-        if fresh := set(pieces).difference(self.known):
+        if fresh := set(pieces).difference(self.new):
             if self.size > CACHE_BYTES:
-                self.known.clear()
-                self.size, fresh = 0, set(pieces)
+                self.old, self.new, self.size = self.new, {}, 0
+                fresh = set(pieces)
             for piece in fresh:
-                self.known[piece] = ids = np.array(list(self.transducer.encode(piece.encode())), "<u4").tobytes()
+                if (ids := self.old.get(piece)) is None:
+                    tokens = list(self.transducer.encode(piece.encode()))
+                    ids = struct.pack(f"<{len(tokens)}I", *tokens)
+                self.new[piece] = ids
                 self.size += len(piece) + len(ids) + 180
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.new.__getitem__, pieces))
 
 
 def decode_stream(vocabulary: list[bytes], ids: Iterable[np.ndarray]) -> Iterator[str]:
@@ -179,6 +191,20 @@ def vocabulary(path: str) -> list[bytes]:
     return out
 
 
+def _encoded(path: str, pattern: str, batch: pa.RecordBatch) -> Iterator[bytes]:
+    enc = encoder(path, pattern)
+    return (enc.encode(x.as_py().decode("utf-8", "replace")) for x in batch.column("text"))
+
+
+def _decoded(path: str, data: bytes | None) -> str:
+    words, ids = vocabulary(path), np.frombuffer(data or b"", "<u4")
+    return "".join(decode_stream(words, (ids[at : at + DECODE_IDS] for at in range(0, len(ids), DECODE_IDS))))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of docs (doc_id, text): little-endian unsigned 32-bit ids of each whole text.
 
@@ -187,29 +213,30 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        for batch in batches:
-            ids = pa.array([enc.encode(x.as_py().decode("utf-8", "replace")) for x in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(_encoded(path, pattern, batch)), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text) of (doc_id, ids); null ids count as none."""
+    """(doc_id, text) of (doc_id, ids); null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        for batch in batches:
-            texts = []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py() or b"", "<u4")
-                texts.append("".join(decode_stream(words, (ids[at : at + DECODE_IDS] for at in range(0, len(ids), DECODE_IDS)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        for batch in _slices(batches):
+            texts = [_decoded(path, x.as_py()) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    done = decode(encode(docs, path, pattern), path)
-    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, and decoded again from the ids, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(_decoded(path, ids).encode()).hexdigest()) for ids in _encoded(path, pattern, batch)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
