@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwind.llm import bpe_transducer, chat_events, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file
+from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file
 from ledgerwind.llm.shared import shared_path, table
 from ledgerwind.llm.word_tokens import default_path
 
@@ -103,6 +103,11 @@ def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events.read_back(chat_events.format_log(chat_events.from_turns(rows)))
 
 
+def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good, default_path())
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -116,6 +121,7 @@ QUERIES = {
     "op6_bpe_transducer": op6_bpe_transducer,
     "op7_pu_quality": op7_pu_quality,
     "op8_chat_events": op8_chat_events,
+    "op9_cross_entropy": op9_cross_entropy,
     "op10_simhash_golay": op10_simhash_golay,
 }
 ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL}
