@@ -1,4 +1,168 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries and their DuckDB SQL, under the same names and with the same columns."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerwind.functions import calendars
+from ledgerwind.functions.stored import stored
+from ledgerwind.operators import duplicates, features, temporal
+from ledgerwind.plans import adapter
+from ledgerwind.plans.sql import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF = "2001-10-01"
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return register
+
+
+class Domain:
+    """The domain tables of one folder, each made once, when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self.days = calendars.calendar(spark)
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return stored(adapter.trades(self.spark, self.sf_dir), "trades")
+
+    @cached_property
+    def dups(self) -> DataFrame:
+        return stored(duplicates.duplicates(self.trades), "duplicates")
+
+    @cached_property
+    def dated(self) -> DataFrame:
+        return stored(duplicates.effective_dates(self.trades, self.dups), "dated")
+
+    @cached_property
+    def lagged(self) -> DataFrame:
+        return stored(features.lags(self.dated, self.days, AS_OF), "lagged")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return stored(adapter.bars(self.spark, self.sf_dir), "bars")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return stored(features.features(self.lagged, self.bars), "features")
+
+
+def r6(column: str) -> F.Column:
+    """Rounded to six places, without a negative zero."""
+    return (F.round(F.col(column).cast("double"), 6) + F.lit(0.0)).alias(column)
+
+
+def r(column: str, name: str | None = None) -> str:
+    """The same in SQL."""
+    return f"round(CAST({column} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name or column}"
+
+
+def long(column) -> F.Column:
+    return (F.col(column) if isinstance(column, str) else column).cast("long")
+
+
+# calendars
+
+
+@query("SELECT d, is_sec, is_nyse, cum_sec, cum_nyse FROM c_calendar")
+def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendars.calendar(spark)
+
+
+@query("SELECT l_orderkey, a.d AS ordered, b.d AS shipped, CAST(b.cum_sec - a.cum_sec AS INT) AS sec_days, CAST(b.cum_nyse - a.cum_nyse AS INT) AS nyse_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c_calendar a ON a.d = CAST(o_orderdate AS DATE) JOIN c_calendar b ON b.d = CAST(l_shipdate AS DATE)")
+def business_days_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapter.table(spark, sf_dir, "lineitem").join(adapter.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows, days = rows.select("l_orderkey", F.col("o_orderdate").cast("date").alias("ordered"), F.col("l_shipdate").cast("date").alias("shipped")), calendars.calendar(spark)
+    return calendars.business_days_between(calendars.business_days_between(rows, days, "ordered", "shipped", "sec", "sec_days"), days, "ordered", "shipped", "nyse", "nyse_days")
+
+
+@query("SELECT o_orderkey, c.d AS ordered, n.d AS third, p.d AS last_session FROM orders JOIN c_calendar c ON c.d = CAST(o_orderdate AS DATE) JOIN c_sessions n ON n.s = c.cum_nyse + 3 JOIN c_sessions p ON p.s = c.cum_nyse")
+def add_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = calendars.calendar(spark)
+    rows = adapter.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
+    return calendars.on_or_before(calendars.add_business_days(rows, days, "ordered", 3, "nyse", "third"), days, "ordered", "nyse", "last_session")
+
+
+# duplicates and dates
+
+
+@query("SELECT trade_id, original_id, kind FROM c_amended")
+def duplicate_lines_amendment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.amendment_matches(adapter.trades(spark, sf_dir))
+
+
+@query("SELECT trade_id, original_id, kind FROM c_repeated")
+def duplicate_lines_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.repeat_matches(adapter.trades(spark, sf_dir))
+
+
+@query("SELECT trade_id, filing_date, kind FROM c_dated")
+def effective_filing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Domain(spark, sf_dir).dated.select("trade_id", "filing_date", "kind")
+
+
+# features
+
+
+@query("SELECT trade_id, lag_days, round(lag_ratio, 6) AS lag_ratio, CAST(days_since_filing AS INT) AS days_since_filing, CAST(role_weight AS DOUBLE) AS role_weight, round(trade_value, 6) AS trade_value FROM c_lagged")
+def trade_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Domain(spark, sf_dir).lagged.select("trade_id", "lag_days", r6("lag_ratio"), "days_since_filing", "role_weight", r6("trade_value"))
+
+
+@query(f"SELECT trade_id, {r('filer_lag_zscore')} FROM c_zscore")
+def filer_lag_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.filer_lag_zscore(Domain(spark, sf_dir).lagged).select("trade_id", r6("filer_lag_zscore"))
+
+
+@query("SELECT trade_id, CAST(n AS BIGINT) AS n, CAST(round(score, 6) AS DOUBLE) AS score FROM c_own_size")
+def filer_size_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.own_size(Domain(spark, sf_dir).lagged).select("trade_id", long("n").alias("n"), r6("score"))
+
+
+@query("SELECT trade_id, CAST(n AS BIGINT) AS n, CAST(round(score, 6) AS DOUBLE) AS score FROM c_market_size")
+def market_size_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.market_size(Domain(spark, sf_dir).lagged).select("trade_id", long("n").alias("n"), r6("score"))
+
+
+@query("SELECT trade_id, cluster_count FROM c_clusters")
+def cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = Domain(spark, sf_dir).dated
+    return features.inherited(dated, features.cluster_counts(dated))
+
+
+@query(f"SELECT trade_id, d1 AS trade_close_date, d2 AS filing_close_date, {r('drift_pct')} FROM c_drift")
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return features.drift(d.lagged, d.bars).select("trade_id", F.col("at_trade_date").alias("trade_close_date"), F.col("at_filing_date").alias("filing_close_date"), r6("drift_pct"))
+
+
+@query(f"""SELECT trade_id, filing_date, lag_days, {r("drift_pct")}, {r("filer_lag_zscore")}, cluster_count, CAST(round(size_score, 6) AS DOUBLE) AS size_score,
+    CASE WHEN size_score IS NOT NULL THEN size_basis END AS size_basis, original_id AS duplicate_of_trade_id, array_to_string(flags, ',') AS flags FROM c_features""")
+def trade_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Domain(spark, sf_dir).features.select("trade_id", "filing_date", "lag_days", r6("drift_pct"), r6("filer_lag_zscore"), "cluster_count", r6("size_score"), "size_basis", "duplicate_of_trade_id", F.array_join("flags", ",").alias("flags"))
+
+
+LAG_BUCKET = "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_days <= 4 THEN 2 ELSE 3 END"
+
+
+@query(f"""SELECT side, CAST({LAG_BUCKET} AS INT) AS lag_bucket, count(*) AS trades, CAST(median(cluster_count) AS DOUBLE) AS median_cluster, round(CAST(median(size_score) AS DOUBLE), 6) AS median_size
+    FROM c_features WHERE lag_days IS NOT NULL GROUP BY ALL""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Domain(spark, sf_dir).features.filter("lag_days is not null").withColumn("lag_bucket", F.expr(LAG_BUCKET).cast("int"))
+    return rows.groupBy("side", "lag_bucket").agg(F.count("*").alias("trades"), F.expr("percentile(cluster_count, 0.5)").alias("median_cluster"), F.round(F.expr("percentile(size_score, 0.5)"), 6).alias("median_size"))
