@@ -145,7 +145,14 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
     return read_records(spark, folder).join(order, ["shard", "offset"]).orderBy("order", "shard", "offset").drop("order")
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, found in _records(batches):
+        docs = [ids_of(p) for _, p in found]
+        columns = [[shard] * len(found), [at for at, _ in found], [d for d, _ in docs], [len(i) for _, i in docs], [crc32(i.astype("<u4").tobytes()) for _, i in docs]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "offset", "doc_id", "n_tokens", "ids_crc32"])
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all records, read back from the shards; start is the index's."""
-    read = read_records(spark, folder).select("shard", "offset", "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    read = _shards(spark, folder).mapInArrow(_digested, "shard long, offset long, doc_id long, n_tokens long, ids_crc32 long")
     return read.join(read_index(spark, folder).select("shard", "offset", "start"), ["shard", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -11,8 +11,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that each of a worker's two generations of cached words may hold.
-CACHE_BYTES = 24_000_000
+#: Chunks that each of a worker's two generations may hold (about 200 bytes each), and bytes of long ones besides.
+CHUNKS_KEPT, LONG, LONG_BYTES = 150_000, 64, 8_000_000
 #: Pieces of plain chunks, in lower case, that a worker keeps besides.
 PIECES_KEPT = 200_000
 #: Chunks of these characters need no NFC, have one plain lower case and hold no special token.
@@ -50,35 +50,34 @@ class WordEncoder:
         self.letters = byte_letters()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.size = 0
+        self.long = 0
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian numbers of self.dtype."""
         chunks = text.split()
         if fresh := set(chunks).difference(self.new):
-            if self.size > CACHE_BYTES:
-                self.old, self.new, self.size = self.new, {}, 0
+            if len(self.new) > CHUNKS_KEPT or self.long > LONG_BYTES:
+                self.old, self.new, self.long = self.new, {}, 0
                 fresh = set(chunks)
-            rest = []
+            new, old, piece, rest = self.new, self.old.get, self._piece, []
             for chunk in fresh:
-                if (ids := self.old.get(chunk)) is None:
+                if (ids := old(chunk)) is None:
                     if chunk.isalpha():  # of bytes: ASCII letters only
-                        ids = self._piece(chunk.lower().decode())
+                        ids = piece(chunk.lower().decode())
                     elif PLAIN(word := chunk.decode("utf-8", "replace")):
-                        ids = b"".join(map(self._piece, PIECES(word.lower())))
+                        ids = b"".join(map(piece, PIECES(word.lower())))
                     else:
                         rest.append((chunk, word))
                         continue
-                self._keep(chunk, ids)
+                new[chunk] = ids
+                if len(ids) > LONG:
+                    self.long += len(ids) + len(chunk)
             if rest:
                 for (chunk, _), x in zip(rest, self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False), strict=True):
-                    self._keep(chunk, np.array(x.ids, self.dtype).tobytes())
+                    new[chunk] = np.array(x.ids, self.dtype).tobytes()
+                    self.long += len(chunk)
         return b"".join(map(self.new.__getitem__, chunks))
 
-    def _keep(self, chunk: bytes, ids: bytes) -> None:
-        self.new[chunk] = ids
-        self.size += len(chunk) + len(ids) + 160
-
     def _piece(self, piece: str) -> bytes:
         if (known := self.pieces.get(piece)) is not None:
             return known
