@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerwind.llm.shared import text_bytes
 
 #: States, neighbour checks and bytes of encoded pieces that a worker keeps at most.
-STATES, PAIRS, CACHE_BYTES = 150_000, 250_000, 24_000_000
+STATES, PAIRS, CACHE_BYTES = 250_000, 400_000, 48_000_000
 #: Bytes read between two searches for certain boundaries in a long piece, and ids decoded at a time.
 CHECK_EVERY, DECODE_IDS = 1024, 8192
 #: Rows of a result batch.
