@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
 from ledgerwind.functions.stored import stored
-from ledgerwind.operators import duplicates, features, temporal
+from ledgerwind.operators import duplicates, evaluate, features
+from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
 from ledgerwind.plans.sql import sql
 
@@ -62,6 +63,16 @@ class Domain:
     def features(self) -> DataFrame:
         return stored(features.features(self.lagged, self.bars), "features")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        """From the features that events need; drift and sizes play no part in them."""
+        rows = self.lagged.join(features.inherited(self.lagged, features.cluster_counts(self.lagged)), "trade_id", "left")
+        return stored(event_ops.events(rows.withColumnRenamed("original_id", "duplicate_of_trade_id")), "events")
+
+    @cached_property
+    def study(self) -> evaluate.Study:
+        return evaluate.Study(self.events, self.bars, stored(adapter.sectors(self.spark, self.sf_dir), "sectors"), self.days)
+
 
 def r6(column: str) -> F.Column:
     """Rounded to six places, without a negative zero."""
@@ -166,3 +177,35 @@ LAG_BUCKET = "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_d
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Domain(spark, sf_dir).features.filter("lag_days is not null").withColumn("lag_bucket", F.expr(LAG_BUCKET).cast("int"))
     return rows.groupBy("side", "lag_bucket").agg(F.count("*").alias("trades"), F.expr("percentile(cluster_count, 0.5)").alias("median_cluster"), F.round(F.expr("percentile(size_score, 0.5)"), 6).alias("median_size"))
+
+
+# events and what became of them
+
+KEYS = "filer_id, ticker, side, filing_date"
+
+
+@query(f"""SELECT {KEYS}, first_trade_date, last_trade_date, lag_days, {r("lag_ratio")}, {r("value")}, {r("shares")}, {r("role_weight")}, role, CAST(cluster_count AS INT) AS cluster_count, is_10b5_1, n_lines, n_filings, {r("held_before")}, {r("avg_price")} FROM c_events""")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Domain(spark, sf_dir).events.select(*event_ops.KEYS, "first_trade_date", "last_trade_date", "lag_days", r6("lag_ratio"), r6("value"), r6("shares"), r6("role_weight"), "role", "cluster_count", "is_10b5_1", "n_lines", "n_filings", r6("held_before"), r6("avg_price"))
+
+
+@query("SELECT reason, count(*) AS n FROM c_lines WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'lines', count(*) FROM c_lines UNION ALL SELECT 'events', count(*) FROM c_events")
+def event_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return event_ops.exclusions(d.lagged.withColumnRenamed("original_id", "duplicate_of_trade_id"), d.events)
+
+
+@query(f"SELECT {KEYS}, {r('held_before')} FROM c_held")
+def event_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = Domain(spark, sf_dir).lagged.withColumnRenamed("original_id", "duplicate_of_trade_id")
+    return event_ops.holdings(lines.withColumn("reason", event_ops.line_reason()).filter("reason is null")).select(*event_ops.KEYS, r6("held_before"))
+
+
+@query(f"SELECT {KEYS}, status, entry, {r('entry_open')}, {r('drift_pct')}, {r('price_ratio')}, {r('dollar_volume')}, {r('cost')}, benchmark, liquid FROM c_results")
+def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Domain(spark, sf_dir).study.results.select(*event_ops.KEYS, "status", "entry", r6("entry_open"), r6("drift_pct"), r6("price_ratio"), r6("dollar_volume"), r6("cost"), "benchmark", "liquid")
+
+
+@query(f"SELECT {KEYS}, CAST(l.h AS INT) AS h, l.exit, l.ended_early, {r('l.stock', 'stock')}, {r('l.spy', 'spy')}, {r('l.sector_leg', 'sector_leg')}, {r('l.iwm', 'iwm')} FROM c_legs l JOIN c_outcomes USING (id)")
+def event_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Domain(spark, sf_dir).study.legs.select(*event_ops.KEYS, "h", "exit", "ended_early", *(r6(c) for c in ("stock", "spy", "sector_leg", "iwm")))

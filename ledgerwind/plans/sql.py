@@ -135,3 +135,56 @@ cte("c_features", """
         CASE WHEN lag >= 0 AND p.ticker IS NOT NULL AND d1 IS NULL THEN 'no_trade_price' END, CASE WHEN lag >= 0 AND p.ticker IS NOT NULL AND d2 IS NULL THEN 'no_filing_price' END], lambda x: x IS NOT NULL) AS flags
     FROM c_drift t LEFT JOIN c_zscore z USING (trade_id) LEFT JOIN c_sizes s USING (trade_id) LEFT JOIN c_clusters c USING (trade_id)
     LEFT JOIN (SELECT DISTINCT ticker FROM c_closes) p ON t.ticker = p.ticker""")
+cte("c_lines", "SELECT *, CASE WHEN filing_date IS NULL THEN 'no_features' WHEN original_id IS NOT NULL THEN 'duplicate' WHEN document_type LIKE '%/A' THEN 'amendment' WHEN lag_days IS NULL THEN 'trade_after_filing' WHEN coalesce(ticker, '') = '' THEN 'no_ticker' END AS reason FROM c_lagged LEFT JOIN c_clusters USING (trade_id)")
+cte("c_kept", "SELECT * FROM c_lines WHERE reason IS NULL")
+cte("c_held", """
+    SELECT filer_id, ticker, side, filing_date, CASE WHEN NOT bool_or(missing) THEN CAST(sum(held) AS DOUBLE) END AS held_before FROM (
+        SELECT filer_id, ticker, side, filing_date, coalesce(nullif(owner, ''), 'self') AS account, min(owned_after - shares) AS held, bool_or(owned_after IS NULL OR shares IS NULL) AS missing FROM c_kept GROUP BY ALL) GROUP BY ALL""")
+cte("c_events", """
+    SELECT *, CASE WHEN shares > 0 AND value > 0 THEN value / shares END AS avg_price FROM (
+        SELECT filer_id, ticker, side, filing_date, arg_min(issuer, trade_id) AS issuer, min(trade_date) AS first_trade_date, max(trade_date) AS last_trade_date, max(lag_days) AS lag_days, max(lag_ratio) AS lag_ratio,
+            CAST(coalesce(sum(CASE WHEN trade_value IS NOT NULL AND shares > 0 THEN shares * price END), 0) AS DOUBLE) AS value, CAST(coalesce(sum(CASE WHEN trade_value IS NOT NULL AND shares > 0 THEN shares END), 0) AS DOUBLE) AS shares,
+            max(role_weight) AS role_weight, arg_max(role, {'w': role_weight, 't': -trade_id}) FILTER (role_weight IS NOT NULL) AS role, max(coalesce(cluster_count, 0)) AS cluster_count, bool_or(is_10b5_1) AS is_10b5_1, count(*) AS n_lines, count(DISTINCT filing_id) AS n_filings
+        FROM c_kept GROUP BY ALL) LEFT JOIN c_held USING (filer_id, ticker, side, filing_date)""")
+cte("c_usable", """
+    SELECT *, row_number() OVER t AS bar_no, max(date) OVER (PARTITION BY ticker) AS last_date, lag(adj_close) OVER t AS previous_close, lag(date) OVER t AS previous_date,
+        median(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS volume_before,
+        median(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS volume_upto,
+        CASE WHEN row_number() OVER t >= 60 THEN adj_close / max(adj_close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) - 1 END AS drawdown
+    FROM c_bars WHERE adj_close > 0 WINDOW t AS (PARTITION BY ticker ORDER BY date)""")
+cte("c_last_day", "SELECT max(date) AS d FROM c_usable WHERE ticker = 'SPY'")
+cte("c_sectors", "SELECT s_suppkey AS issuer, 'R' || n_regionkey AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+cte("c_planned", "SELECT e.*, p.d AS planned, l.d AS latest, row_number() OVER (ORDER BY filing_date, ticker, side, filer_id) AS id FROM c_events e JOIN c_calendar c ON c.d = filing_date JOIN c_sessions p ON p.s = c.cum_nyse + 1 JOIN c_sessions l ON l.s = c.cum_nyse + 6")
+cte("c_entry", "SELECT e.id, b.date AS entry_date, b.open, b.adj_open, b.volume_before, b.previous_close, b.previous_date, b.bar_no FROM c_planned e ASOF JOIN c_usable b ON e.ticker = b.ticker AND e.planned <= b.date")
+cte("c_t0", "SELECT e.id, b.date AS t0_date, b.adj_close AS t0_close FROM c_planned e ASOF JOIN c_usable b ON e.ticker = b.ticker AND e.first_trade_date >= b.date WHERE e.first_trade_date - b.date <= 5")
+cte("c_t1", "SELECT e.id, b.close AS t1_close FROM c_planned e ASOF JOIN c_usable b ON e.ticker = b.ticker AND e.last_trade_date >= b.date WHERE e.last_trade_date - b.date <= 5")
+cte("c_checked", """
+    SELECT p.*, n.entry_date, n.open AS open_, n.adj_open, n.volume_before, n.previous_close, n.previous_date, n.bar_no, t0_date, t0_close, l.last_date, s.sector,
+        CASE WHEN l.last_date IS NULL THEN 'no_prices' WHEN planned > (SELECT d FROM c_last_day) THEN 'not_matured' WHEN l.last_date < planned THEN 'ended_before_entry' WHEN NOT coalesce(n.entry_date <= latest AND n.open <> 0 AND n.adj_open <> 0, false) THEN 'no_entry_bar' END AS early,
+        CASE WHEN avg_price > 0 AND t1_close <> 0 THEN avg_price / t1_close END AS ratio
+    FROM c_planned p LEFT JOIN c_entry n USING (id) LEFT JOIN c_t0 USING (id) LEFT JOIN c_t1 USING (id) LEFT JOIN (SELECT ticker, max(date) AS last_date FROM c_usable GROUP BY ticker) l ON p.ticker = l.ticker LEFT JOIN c_sectors s ON p.issuer = s.issuer""")
+cte("c_outcomes", """
+    SELECT *, CASE WHEN early IS NULL THEN ratio END AS price_ratio, early IS NULL AND coalesce(ratio NOT BETWEEN 0.5 AND 2.0, false) AS mismatch,
+        CASE WHEN early IS NULL THEN entry_date END AS entry, CASE WHEN early IS NULL THEN open_ END AS entry_open,
+        CASE WHEN early IS NULL AND t0_date IS NOT NULL AND previous_date >= t0_date THEN 100 * CASE side WHEN 'sell' THEN 0 - (previous_close / t0_close - 1) ELSE previous_close / t0_close - 1 END END AS drift_pct,
+        CASE WHEN early IS NULL AND NOT coalesce(ratio NOT BETWEEN 0.5 AND 2.0, false) THEN volume_before END AS dollar_volume,
+        CASE WHEN early IS NULL AND NOT coalesce(ratio NOT BETWEEN 0.5 AND 2.0, false) THEN 2 * (10.0 + CASE WHEN volume_before >= 50e6 THEN 2 WHEN volume_before >= 5e6 THEN 10 WHEN volume_before >= 5e5 THEN 30 WHEN volume_before >= 5e4 THEN 75 ELSE 150 END) / 10000 END AS cost,
+        CASE WHEN early IS NULL AND NOT coalesce(ratio NOT BETWEEN 0.5 AND 2.0, false) THEN CASE WHEN sector_bar IS NOT NULL THEN sector ELSE 'SPY' END END AS benchmark
+    FROM c_checked LEFT JOIN (SELECT ticker AS st, date AS sd, 1 AS sector_bar FROM c_usable) x ON st = sector AND sd = entry_date""")
+cte("c_targets", "SELECT o.id, o.ticker, o.entry, o.adj_open, o.benchmark, o.last_date, h, t.d AS target FROM (SELECT *, unnest([5, 20, 60]) AS h FROM c_outcomes) o JOIN c_calendar c ON c.d = o.entry JOIN c_sessions t ON t.s = c.cum_nyse + h - 1 WHERE early IS NULL AND NOT mismatch AND t.d <= (SELECT d FROM c_last_day)")
+cte("c_exit_days", "SELECT t.id, t.h, max(b.date) AS near FROM c_targets t JOIN c_usable b ON t.ticker = b.ticker AND b.date BETWEEN t.target - 10 AND t.target GROUP BY ALL")
+cte("c_exits", """
+    SELECT t.id, t.h, t.entry, t.adj_open, t.benchmark, b.date AS exit, b.adj_close AS exit_close, n.near IS NULL AS ended_early FROM c_targets t LEFT JOIN c_exit_days n USING (id, h)
+    JOIN c_usable b ON b.ticker = t.ticker AND b.date = coalesce(n.near, CASE WHEN t.last_date < t.target THEN t.last_date END)""")
+for _name, _bench in (("spy", "'SPY'"), ("sec", "benchmark"), ("iwm", "'IWM'")):
+    cte(f"c_leg_{_name}", f"""
+        SELECT x.id, x.h, arg_max(e.adj_close, e.date) / any_value(s.adj_open) - 1 AS leg FROM (SELECT *, {_bench} AS bench FROM c_exits) x
+        JOIN c_usable s ON s.ticker = x.bench AND s.date = x.entry AND s.adj_open <> 0 JOIN c_usable e ON e.ticker = x.bench AND e.date BETWEEN x.exit - 10 AND x.exit GROUP BY ALL""")
+cte("c_legs", "SELECT x.id, x.h, x.exit, x.ended_early, exit_close / adj_open - 1 AS stock, a.leg AS spy, b.leg AS sector_leg, c.leg AS iwm FROM c_exits x LEFT JOIN c_leg_spy a USING (id, h) LEFT JOIN c_leg_sec b USING (id, h) LEFT JOIN c_leg_iwm c USING (id, h)")
+cte("c_results", """
+    SELECT *, coalesce(early, CASE WHEN mismatch THEN 'ticker_mismatch' WHEN id IN (SELECT id FROM c_legs) THEN 'ok' ELSE 'not_matured' END) AS status, coalesce(entry_open >= 2 AND dollar_volume >= 100000, false) AS liquid FROM c_outcomes""")
+cte("c_returns", """
+    SELECT l.*, o.filer_id, o.ticker, o.side, o.filing_date, o.entry, o.lag_days, o.role, o.cluster_count, o.is_10b5_1, o.liquid, o.drift_pct, o.cost, o.value,
+        CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - spy) AS r, CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - sector_leg) AS r_sector, CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - iwm) AS r_iwm,
+        CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - spy) - coalesce(cost, 0) AS net, CASE WHEN h <= 20 THEN year(entry) * 100 + month(entry) ELSE year(entry) * 100 + quarter(entry) END AS cluster
+    FROM c_legs l JOIN c_results o USING (id) WHERE status = 'ok'""")
