@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
 from ledgerwind.functions.stored import stored
-from ledgerwind.operators import duplicates, evaluate, features
+from ledgerwind.operators import duplicates, evaluate, features, study
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
-from ledgerwind.plans.sql import sql
+from ledgerwind.plans.sql import sql, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,3 +209,88 @@ def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {KEYS}, CAST(l.h AS INT) AS h, l.exit, l.ended_early, {r('l.stock', 'stock')}, {r('l.spy', 'spy')}, {r('l.sector_leg', 'sector_leg')}, {r('l.iwm', 'iwm')} FROM c_legs l JOIN c_outcomes USING (id)")
 def event_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Domain(spark, sf_dir).study.legs.select(*event_ops.KEYS, "h", "exit", "ended_early", *(r6(c) for c in ("stock", "spy", "sector_leg", "iwm")))
+
+
+# statistics of returns
+
+STATS = f"CAST(n AS BIGINT) AS n, {r('mean')}, {r('t')}, {r('hit')}, clusters, {r('t_cluster')}"
+
+
+def stats(df: DataFrame, *keys) -> DataFrame:
+    return df.select(*keys, "n", r6("mean"), r6("t"), r6("hit"), "clusters", r6("t_cluster"))
+
+
+@query(f"SELECT CAST(h AS INT) AS h, CAST(lag_bucket AS INT) AS lag_bucket, {STATS} FROM ({summary('h, lag_bucket', 'c_lag_pool')}) UNION ALL SELECT CAST(h AS INT), -1, {STATS} FROM ({summary('h', 'c_lag_pool')})")
+def bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By horizon and lag bucket; bucket -1 is all."""
+    pool = Domain(spark, sf_dir).study.returns.withColumn("lag_bucket", study.lag_bucket(F.col("lag_days")))
+    every = pool.withColumn("lag_bucket", F.explode(F.array("lag_bucket", F.lit(-1))))
+    return stats(study.summarize(every, ["h", "lag_bucket"], "r", "cluster"), "h", "lag_bucket")
+
+
+@query(f"SELECT CAST(h AS INT) AS h, CAST(quintile AS INT) AS quintile, {STATS} FROM ({summary('h, quintile', '(SELECT * FROM c_quintiles WHERE quintile IS NOT NULL)')})")
+def drift_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = study.with_drift_quintile(Domain(spark, sf_dir).study.returns.filter("r is not null"), ["h"]).filter("quintile is not null")
+    return stats(study.summarize(pool, ["h", "quintile"], "r", "cluster"), "h", "quintile")
+
+
+@query(f"SELECT CAST(lag_bucket AS INT) AS lag_bucket, CAST(quintile AS INT) AS quintile, {STATS} FROM ({summary('lag_bucket, quintile', '(SELECT * FROM c_quintiles WHERE h = 20 AND quintile IS NOT NULL)')})")
+def lag_drift_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = study.with_drift_quintile(Domain(spark, sf_dir).study.returns.filter("r is not null and h = 20"), ["h"]).filter("quintile is not null")
+    pool = pool.withColumn("lag_bucket", study.lag_bucket(F.col("lag_days")))
+    return stats(study.summarize(pool, ["lag_bucket", "quintile"], "r", "cluster"), "lag_bucket", "quintile")
+
+
+CONTRAST = """
+    SELECT h, CAST(any_value(na) AS BIGINT) AS n_a, CAST(any_value(nb) AS BIGINT) AS n_b, any_value(ma - mb) AS diff, CASE WHEN count(*) >= 2 AND sum(x * x) > 0 THEN any_value(ma - mb) / sqrt(sum(x * x) * count(*) / (count(*) - 1)) END AS t
+    FROM (SELECT h, cluster, any_value(na) AS na, any_value(nb) AS nb, any_value(ma) AS ma, any_value(mb) AS mb, sum(CASE WHEN a THEN (r - ma) / na ELSE -(r - mb) / nb END) AS x
+        FROM (SELECT *, count(*) FILTER (a) OVER (PARTITION BY h) AS na, count(*) FILTER (NOT a) OVER (PARTITION BY h) AS nb, avg(r) FILTER (a) OVER (PARTITION BY h) AS ma, avg(r) FILTER (NOT a) OVER (PARTITION BY h) AS mb FROM ({rows}))
+        GROUP BY h, cluster) GROUP BY h HAVING any_value(na) >= 2 AND any_value(nb) >= 2"""
+PAIRS = {"late": "SELECT h, cluster, r, lag_days > 2 AS a FROM c_quintiles", "drift": "SELECT h, cluster, r, quintile = 4 AS a FROM c_quintiles WHERE quintile IN (0, 4)"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS contrast, CAST(h AS INT) AS h, n_a, n_b, {r('diff')}, {r('t')} FROM ({CONTRAST.format(rows=v)})" for k, v in PAIRS.items()))
+def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = stored(study.with_drift_quintile(Domain(spark, sf_dir).study.returns.filter("r is not null"), ["h"]), "quintiles")
+    late = study.contrast(pool, ["h"], F.col("lag_days") > study.LATE, "r", "cluster").withColumn("contrast", F.lit("late"))
+    drifted = study.contrast(pool.filter("quintile in (0, 4)"), ["h"], F.col("quintile") == 4, "r", "cluster").withColumn("contrast", F.lit("drift"))
+    return late.unionByName(drifted).select("contrast", "h", "n_a", "n_b", r6("diff"), r6("t"))
+
+
+@query("SELECT CAST(year(filing_date) AS INT) AS year, status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year(filing_date)), 3)::DOUBLE AS share FROM c_results GROUP BY year(filing_date), status")
+def status_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Domain(spark, sf_dir).study.results.groupBy(F.year("filing_date").alias("year"), "status").agg(F.count("*").alias("n"))
+    years = rows.groupBy("year").agg(F.sum("n").alias("all"))
+    return rows.join(F.broadcast(years), "year").select("year", "status", "n", F.round(100.0 * F.col("n").cast("double") / F.col("all"), 3).alias("share"))
+
+
+@query("SELECT filer_id, ticker, side, entry, CAST(h AS INT) AS h, filing_date FROM c_returns WHERE h = 20 QUALIFY row_number() OVER (PARTITION BY ticker, side, entry ORDER BY filing_date, filer_id) = 1")
+def first_per_ticker_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study.first_of_day(Domain(spark, sf_dir).study.returns.filter("h = 20")).select("filer_id", "ticker", "side", "entry", "h", "filing_date")
+
+
+WALK = f"""
+WITH_PREFIX walk AS (SELECT * FROM c_pool WHERE h = 20 AND drift_pct IS NOT NULL),
+years AS (SELECT year FROM (SELECT DISTINCT CAST(year(entry) AS INT) AS year FROM walk) QUALIFY row_number() OVER (ORDER BY year) > 2),
+train AS (SELECT y.year, w.* FROM walk w JOIN years y ON w.exit < make_date(y.year, 1, 1)),
+test AS (SELECT y.year, w.* FROM walk w JOIN years y ON year(w.entry) = y.year),
+sizes AS (SELECT a.year, n_train, n_test FROM (SELECT year, count(*) AS n_train FROM train GROUP BY year) a JOIN (SELECT year, count(*) AS n_test FROM test GROUP BY year) b ON a.year = b.year WHERE n_train >= 100 AND n_test >= 20),
+cuts AS (SELECT s.year, s.n_train, s.n_test, list_sort(list(drift_pct)) AS d, list_sort(list(r)) AS v, count(*) AS n FROM train t JOIN sizes s ON t.year = s.year GROUP BY ALL),
+train_b AS (SELECT t.year, lag_days, least(greatest(r, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1]), v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1]) AS x, BUCKETS AS db, LAGS AS lb FROM train t JOIN cuts c ON t.year = c.year),
+test_b AS (SELECT t.year, t.entry, t.filing_date, t.ticker, t.side, t.filer_id, n_test, lag_days, least(greatest(r, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1]), v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1]) AS x, BUCKETS AS db, LAGS AS lb FROM test t JOIN cuts c ON t.year = c.year),
+overall AS (SELECT year, avg(x) AS o FROM train_b GROUP BY year),
+scored AS (SELECT t.*, round(coalesce(l.m, o) + coalesce(d.m, o) - o, 9) AS pred FROM test_b t JOIN overall ov ON t.year = ov.year LEFT JOIN (SELECT year, lb, avg(x) AS m FROM train_b GROUP BY ALL) l ON t.year = l.year AND t.lb = l.lb LEFT JOIN (SELECT year, db, avg(x) AS m FROM train_b GROUP BY ALL) d ON t.year = d.year AND t.db = d.db),
+ranked AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY pred) + (count(*) OVER (PARTITION BY year, pred) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY year ORDER BY x) + (count(*) OVER (PARTITION BY year, x) - 1) / 2.0 AS rv FROM scored),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY pred, entry, filing_date, ticker, side, filer_id) AS k FROM scored)
+SELECT s.year, n_train, n_test, {r("lag_is")}, {r("lag_oos")}, {r("drift_is")}, {r("drift_oos")}, {r("ic")}, {r("tmb", "top_minus_bottom")} FROM sizes s
+LEFT JOIN (SELECT year, avg(x) FILTER (lag_days > 2) - avg(x) FILTER (lag_days <= 2) AS lag_is, avg(x) FILTER (db = 4) - avg(x) FILTER (db = 0) AS drift_is FROM train_b GROUP BY year) a ON s.year = a.year
+LEFT JOIN (SELECT year, avg(x) FILTER (lag_days > 2) - avg(x) FILTER (lag_days <= 2) AS lag_oos, avg(x) FILTER (db = 4) - avg(x) FILTER (db = 0) AS drift_oos FROM test_b GROUP BY year) b ON s.year = b.year
+LEFT JOIN (SELECT year, corr(rp, rv) AS ic FROM ranked GROUP BY year) i ON s.year = i.year
+LEFT JOIN (SELECT year, avg(x) FILTER (k > n_test - n_test // 5) - avg(x) FILTER (k <= n_test // 5) AS tmb FROM ordered GROUP BY year) e ON s.year = e.year
+""".replace("BUCKETS", "(" + " + ".join(f"CASE WHEN drift_pct >= d[least(n - 1, CAST(floor(n * {k} / 5) AS BIGINT)) + 1] THEN 1 ELSE 0 END" for k in range(1, 5)) + ")").replace("LAGS", "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_days <= 4 THEN 2 ELSE 3 END")
+
+
+@query(WALK)
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = study.walk_forward(Domain(spark, sf_dir).study.returns.filter("h = 20"))
+    return folds.select("year", "n_train", "n_test", *(r6(c) for c in ("lag_is", "lag_oos", "drift_is", "drift_oos", "ic", "top_minus_bottom")))

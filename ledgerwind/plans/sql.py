@@ -25,6 +25,8 @@ def sql(body: str) -> str:
 
     visit(body)
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+    if "WITH_PREFIX" in body:  # the body has tables of its own
+        return body.replace("WITH_PREFIX", f"WITH {', '.join(parts)},")
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
@@ -188,3 +190,19 @@ cte("c_returns", """
         CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - spy) AS r, CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - sector_leg) AS r_sector, CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - iwm) AS r_iwm,
         CASE side WHEN 'sell' THEN -1 ELSE 1 END * (stock - spy) - coalesce(cost, 0) AS net, CASE WHEN h <= 20 THEN year(entry) * 100 + month(entry) ELSE year(entry) * 100 + quarter(entry) END AS cluster
     FROM c_legs l JOIN c_results o USING (id) WHERE status = 'ok'""")
+cte("c_pool", "SELECT * FROM c_returns WHERE r IS NOT NULL")
+cte("c_lag_pool", "SELECT *, CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_days <= 4 THEN 2 ELSE 3 END AS lag_bucket FROM c_pool")
+
+
+def summary(groups: str, source: str, value: str = "r", cluster: str = "cluster") -> str:
+    """summarize() in SQL: groups, n, mean, t, hit, clusters, t_cluster."""
+    return f"""
+        SELECT {groups}, CAST(n AS BIGINT) AS n, mean, CASE WHEN n > 1 AND sd > 0 THEN mean / (sd / sqrt(n)) END AS t, hit, clusters, CASE WHEN clusters > 1 AND x > 0 THEN mean / (sqrt(x * clusters / (clusters - 1)) / n) END AS t_cluster
+        FROM (SELECT {groups}, any_value(n) AS n, any_value(mean) AS mean, any_value(sd) AS sd, any_value(hit) AS hit, count(*) AS clusters, sum(dev * dev) AS x
+            FROM (SELECT {groups}, {cluster}, any_value(n) AS n, any_value(mean) AS mean, any_value(sd) AS sd, any_value(hit) AS hit, sum({value} - mean) AS dev
+                FROM (SELECT *, count(*) OVER w AS n, avg({value}) OVER w AS mean, stddev_samp({value}) OVER w AS sd, avg(CASE WHEN {value} > 0 THEN 1.0 ELSE 0.0 END) OVER w AS hit FROM {source} WHERE {value} IS NOT NULL WINDOW w AS (PARTITION BY {groups}))
+                GROUP BY {groups}, {cluster}) GROUP BY {groups})"""
+
+
+cte("c_cuts", "SELECT h, list_sort(list(drift_pct)) AS v, len(list(drift_pct)) AS n FROM c_pool WHERE drift_pct IS NOT NULL GROUP BY h")
+cte("c_quintiles", "SELECT p.*, CASE WHEN drift_pct IS NOT NULL THEN " + " + ".join(f"CASE WHEN drift_pct >= v[least(c.n - 1, CAST(floor(c.n * {k} / 5) AS BIGINT)) + 1] THEN 1 ELSE 0 END" for k in range(1, 5)) + " END AS quintile FROM c_lag_pool p LEFT JOIN c_cuts c ON p.h = c.h")
