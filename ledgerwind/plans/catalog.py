@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
 from ledgerwind.functions.stored import stored
-from ledgerwind.operators import duplicates, evaluate, features, study
+from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, signals, study
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
-from ledgerwind.plans.sql import sql, summary
+from ledgerwind.plans import sql as sqls
+from ledgerwind.plans.sql import scored, sql, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -294,3 +295,126 @@ LEFT JOIN (SELECT year, avg(x) FILTER (k > n_test - n_test // 5) - avg(x) FILTER
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = study.walk_forward(Domain(spark, sf_dir).study.returns.filter("h = 20"))
     return folds.select("year", "n_train", "n_test", *(r6(c) for c in ("lag_is", "lag_oos", "drift_is", "drift_oos", "ic", "top_minus_bottom")))
+
+
+# signals, score and list
+
+#: A fixed model, so that scores can be told in SQL as well.
+FIXED = model.Model(
+    tables={
+        "role": {"CEO": 0.02, "CFO": 0.03, "officer": 0.01, "director": 0.0, "10% owner": -0.01}, "value": {"<$10k": -0.01, "$10k-50k": 0.01, "$50k-250k": 0.02},
+        "stake": {"20-100%": 0.01, "unknown": -0.005}, "cluster": {"1": -0.01, "2": 0.0, "3+": 0.02}, "repeat": {"0": 0.0, "1": 0.01}, "drawdown": {"within 10%": -0.01, "-25 to -10%": 0.01, "unknown": 0.0},
+        "track": {"none yet": 0.0, ">= 5%": 0.02, "0 to 5%": 0.01, "-5 to 0%": -0.01}, "liquidity": {"<$1M/day": 0.01, "$1-5M/day": 0.005, "$5-50M/day": 0.0, ">=$50M/day": -0.01},
+    },
+    weights={"role": 0.9, "value": 0.5, "stake": 0.25, "cluster": 1.0, "repeat": 0.125, "drawdown": 0.75, "track": 0.5, "liquidity": 0.25}, beta=2.0,
+)
+RANK_DAY = "2000-06-30"
+
+
+def fixed(source: str, days: str = "0") -> str:
+    return scored(FIXED.tables, FIXED.weights, FIXED.beta, source, days)
+
+
+@query(f"SELECT {KEYS}, repeat_buys FROM c_repeats")
+def repeat_buys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.repeat_buys(Domain(spark, sf_dir).events)
+
+
+@query(f"SELECT {KEYS}, track_n, {r('track_record')} FROM c_track")
+def track_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Domain(spark, sf_dir).study
+    return signals.track_record(s.results, s.returns).select(*event_ops.KEYS, "track_n", r6("track_record"))
+
+
+@query(f"SELECT {KEYS}, {r('drawdown')}, {r('stake_change')}, {r('drift')} FROM c_signals")
+def drawdown_and_stake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.build(Domain(spark, sf_dir).study).select(*event_ops.KEYS, r6("drawdown"), r6("stake_change"), r6("drift"))
+
+
+@query(f"SELECT {KEYS}, {', '.join(f'b_{c}' for c in model.NAMES)} FROM c_bucketed")
+def component_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.bucketed(signals.build(Domain(spark, sf_dir).study)).select(*event_ops.KEYS, *(f"b_{c}" for c in model.NAMES))
+
+
+def listed(d: Domain) -> DataFrame:
+    return model.pool(signals.build(d.study), d.study.returns)
+
+
+@query(f"SELECT component, bucket, n, {r('value')} FROM c_tables")
+def bucket_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = signals.bucketed(model.winsorized(listed(Domain(spark, sf_dir)).filter("y is not null")))
+    return model.bucket_tables(pool).select("component", "bucket", "n", r6("value"))
+
+
+@query(f"SELECT {KEYS}, entry, {r('quality')}, {r('score')} FROM ({fixed('SELECT * FROM c_listed')})")
+def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signals.bucketed(listed(Domain(spark, sf_dir))).withColumn("quality", FIXED.quality()).withColumn("score", FIXED.score())
+    return rows.select(*event_ops.KEYS, "entry", r6("quality"), r6("score"))
+
+
+@query(f"""SELECT {KEYS}, entry, {r('score')} FROM (SELECT *, count(*) OVER (PARTITION BY year(entry)) AS n, row_number() OVER (PARTITION BY year(entry) ORDER BY round(score, 9) DESC, filing_date, ticker, side, filer_id) AS k FROM (
+    SELECT * FROM ({fixed('SELECT * FROM c_listed')}) QUALIFY row_number() OVER (PARTITION BY ticker, entry ORDER BY round(score, 9) DESC, filing_date, side, filer_id) = 1)) WHERE k <= greatest(1, n // 10)""")
+def top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By entry year, the tenth with the highest scores of the best event a ticker and day."""
+    rows = signals.bucketed(listed(Domain(spark, sf_dir))).withColumn("score", F.round(FIXED.score(), 9)).withColumn("year", F.year("entry"))
+    rows = ranking.numbered(model.best_per_day(stored(rows, "scored")), ["year"], [-F.col("score"), *map(F.col, model.SEQUENCE)])
+    sizes = rows.groupBy("year").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("k"))
+    return rows.join(F.broadcast(sizes), "year").filter("rank <= k").select(*event_ops.KEYS, "entry", r6("score"))
+
+
+@query(f"""SELECT o.filing_date, o.ticker, o.side, o.filer_id, delay, {r('b.adj_close / a.adj_open - e.adj_close / s.adj_open - coalesce(cost, 0)', 'excess')}
+    FROM (SELECT *, unnest([0, 1, 2, 3, 5, 10]) AS delay FROM c_listed) o JOIN c_usable a ON a.ticker = o.ticker AND a.bar_no = o.bar_no + delay JOIN c_usable b ON b.ticker = o.ticker AND b.bar_no = o.bar_no + delay + 19
+    JOIN c_usable s ON s.ticker = 'SPY' AND s.date = a.date JOIN c_usable e ON e.ticker = 'SPY' AND e.date = b.date WHERE a.adj_open <> 0""")
+def delayed_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return portfolio.delayed_excess(listed(d), d.study.numbered).select(*model.SEQUENCE, "delay", r6("excess"))
+
+
+_LIVE = f"""SELECT x.* EXCLUDE (drift, drawdown, dollar_volume, bar_no), n.adj_close / t0.adj_close - 1 AS drift, n.drawdown AS drawdown, n.volume_upto AS dollar_volume, n.close AS last_close, n.date AS now_date, t0.date AS t0d, t1.close AS raw, k.cum_nyse - c.cum_nyse AS days_since
+    FROM c_signals x JOIN c_calendar c ON c.d = x.filing_date JOIN c_calendar k ON k.d = DATE '{RANK_DAY}'
+    LEFT JOIN (SELECT ticker, arg_max(adj_close, date) AS adj_close, max(date) AS date FROM c_usable WHERE date <= DATE '{RANK_DAY}' GROUP BY ticker) m ON m.ticker = x.ticker
+    LEFT JOIN c_usable n ON n.ticker = m.ticker AND n.date = m.date
+    LEFT JOIN (SELECT y.id, max(u.date) AS date FROM c_results y JOIN c_usable u ON u.ticker = y.ticker AND u.date <= y.first_trade_date WHERE y.filing_date BETWEEN DATE '{RANK_DAY}' - 60 AND DATE '{RANK_DAY}' GROUP BY y.id) f0 ON f0.id = x.id LEFT JOIN c_usable t0 ON t0.ticker = x.ticker AND t0.date = f0.date
+    LEFT JOIN (SELECT y.id, max(u.date) AS date FROM c_results y JOIN c_usable u ON u.ticker = y.ticker AND u.date <= y.last_trade_date WHERE y.filing_date BETWEEN DATE '{RANK_DAY}' - 60 AND DATE '{RANK_DAY}' GROUP BY y.id) f1 ON f1.id = x.id LEFT JOIN c_usable t1 ON t1.ticker = x.ticker AND t1.date = f1.date
+    WHERE x.side = 'buy' AND x.filing_date <= DATE '{RANK_DAY}' AND k.cum_nyse - c.cum_nyse <= 30"""
+LIVE = f"""SELECT *, CASE WHEN is_10b5_1 THEN '10b5-1' WHEN now_date IS NULL OR t0d IS NULL THEN 'no_prices' WHEN avg_price > 0 AND raw <> 0 AND NOT avg_price / raw BETWEEN 0.5 AND 2 THEN 'ticker_mismatch' WHEN drift > 0.2 THEN 'drift'
+    WHEN NOT coalesce(last_close >= 2 AND dollar_volume >= 100000, false) THEN 'illiquid' END AS hidden FROM ({_LIVE})"""
+LIVE_BUCKETS = sqls.CTES["c_bucketed"].replace("FROM c_signals", f"FROM ({LIVE})")
+
+
+@query(f"SELECT {KEYS}, CAST(days_since AS INT) AS days_since, {r('drift')}, {r('drawdown')}, {r('dollar_volume')}, {r('last_close')}, hidden FROM ({LIVE})")
+def rank_live_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    live = rank.live_inputs(signals.build(d.study), d.study.numbered, d.days, RANK_DAY)
+    return live.select(*event_ops.KEYS, "days_since", r6("drift"), r6("drawdown"), r6("dollar_volume"), r6("last_close"), "hidden")
+
+
+@query(f"SELECT hidden, count(*) AS n FROM ({LIVE}) WHERE hidden IS NOT NULL GROUP BY hidden")
+def rank_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return rank.live_inputs(signals.build(d.study), d.study.numbered, d.days, RANK_DAY).filter("hidden is not null").groupBy("hidden").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT ticker, {r('score')}, {r('quality')}, CAST(days_since AS INT) AS days_since, filer_id, filing_date FROM (SELECT * FROM ({fixed(f'SELECT * FROM ({LIVE_BUCKETS}) WHERE hidden IS NULL', 'days_since')})
+    QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, filing_date, side, filer_id) = 1 ORDER BY score DESC, ticker LIMIT 20)""")
+def rank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    live = rank.live_inputs(signals.build(d.study), d.study.numbered, d.days, RANK_DAY)
+    return rank.ranked(live, FIXED).select("ticker", r6("score"), r6("quality"), "days_since", "filer_id", "filing_date")
+
+
+@query()
+def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, penalty and threshold fitted on all matured rows; an iterative fit, held against plain Python in the tests."""
+    m = model.fit(listed(Domain(spark, sf_dir)).filter("y is not null"))
+    rows = [(c, w) for c, w in m.weights.items()] + [("beta", m.beta), ("threshold", m.threshold)] if m else []
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@query()
+def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio of the fixed model's upper half by score; admission is sequential, held against plain Python in the tests."""
+    d = Domain(spark, sf_dir)
+    rows = signals.bucketed(listed(d)).withColumn("score", F.round(FIXED.score(), 9)).filter("score >= 0.5 and exit is not null")
+    taken = portfolio.admitted(model.best_per_day(stored(rows, "candidates")))
+    return portfolio.daily(spark.createDataFrame(taken, "ticker string, entry date, exit date, cost double"), d.study.numbered)

@@ -206,3 +206,42 @@ def summary(groups: str, source: str, value: str = "r", cluster: str = "cluster"
 
 cte("c_cuts", "SELECT h, list_sort(list(drift_pct)) AS v, len(list(drift_pct)) AS n FROM c_pool WHERE drift_pct IS NOT NULL GROUP BY h")
 cte("c_quintiles", "SELECT p.*, CASE WHEN drift_pct IS NOT NULL THEN " + " + ".join(f"CASE WHEN drift_pct >= v[least(c.n - 1, CAST(floor(c.n * {k} / 5) AS BIGINT)) + 1] THEN 1 ELSE 0 END" for k in range(1, 5)) + " END AS quintile FROM c_lag_pool p LEFT JOIN c_cuts c ON p.h = c.h")
+cte("c_repeats", """
+    SELECT e.filer_id, e.ticker, e.side, e.filing_date, CAST(CASE WHEN e.side = 'buy' THEN (SELECT count(*) FROM c_events b WHERE b.side = 'buy' AND b.filer_id = e.filer_id AND b.ticker = e.ticker AND b.filing_date < e.filing_date AND b.filing_date >= e.filing_date - 730) ELSE 0 END AS INT) AS repeat_buys FROM c_events e""")
+cte("c_known", "SELECT filer_id, exit, r FROM c_returns WHERE h = 20 AND side = 'buy' AND NOT is_10b5_1 AND r IS NOT NULL")
+cte("c_track", """
+    SELECT o.filer_id, o.ticker, o.side, o.filing_date, CAST(count(k.r) AS INT) AS track_n, CASE WHEN count(k.r) >= 2 THEN avg(k.r) END AS track_record
+    FROM c_results o LEFT JOIN c_known k ON k.filer_id = o.filer_id AND k.exit < coalesce(o.entry, o.planned) GROUP BY ALL""")
+cte("c_signals", """
+    SELECT o.*, repeat_buys, track_n, track_record, drift_pct / 100 AS drift, p.drawdown AS drawdown,
+        CASE WHEN held_before IS NOT NULL AND shares > 0 THEN CASE WHEN held_before <= 0 THEN 10.0 ELSE least(shares / held_before, 10.0) END END AS stake_change
+    FROM c_results o JOIN c_repeats USING (filer_id, ticker, side, filing_date) JOIN c_track USING (filer_id, ticker, side, filing_date)
+    LEFT JOIN (SELECT ticker AS t, bar_no AS n, drawdown FROM c_usable) p ON p.t = o.ticker AND p.n = o.bar_no - 1 AND o.entry IS NOT NULL""")
+cte("c_bucketed", """
+    SELECT *, coalesce(role, 'none') AS b_role,
+        CASE WHEN value < 10000 THEN '<$10k' WHEN value < 50000 THEN '$10k-50k' WHEN value < 250000 THEN '$50k-250k' WHEN value < 1000000 THEN '$250k-1M' ELSE '>=$1M' END AS b_value,
+        CASE WHEN stake_change IS NULL THEN 'unknown' WHEN stake_change >= 10 THEN 'new stake' WHEN stake_change < 0.05 THEN '<5%' WHEN stake_change < 0.2 THEN '5-20%' WHEN stake_change < 1 THEN '20-100%' ELSE '>=100%' END AS b_stake,
+        CASE WHEN cluster_count <= 1 THEN '1' WHEN cluster_count = 2 THEN '2' ELSE '3+' END AS b_cluster,
+        CASE WHEN repeat_buys < 1 THEN '0' WHEN repeat_buys < 2 THEN '1' WHEN repeat_buys < 4 THEN '2-3' ELSE '4+' END AS b_repeat,
+        CASE WHEN drawdown IS NULL THEN 'unknown' WHEN drawdown < -0.45 THEN '<=-45%' WHEN drawdown < -0.25 THEN '-45 to -25%' WHEN drawdown < -0.1 THEN '-25 to -10%' ELSE 'within 10%' END AS b_drawdown,
+        CASE WHEN track_record IS NULL THEN 'none yet' WHEN track_record < -0.05 THEN '< -5%' WHEN track_record < 0 THEN '-5 to 0%' WHEN track_record < 0.05 THEN '0 to 5%' ELSE '>= 5%' END AS b_track,
+        CASE WHEN dollar_volume IS NULL OR dollar_volume < 1000000 THEN '<$1M/day' WHEN dollar_volume < 5000000 THEN '$1-5M/day' WHEN dollar_volume < 50000000 THEN '$5-50M/day' ELSE '>=$50M/day' END AS b_liquidity
+    FROM c_signals""")
+cte("c_listed", """
+    SELECT b.*, l.exit, l.net AS y, l.r AS gross FROM c_bucketed b LEFT JOIN (SELECT filer_id, ticker, side, filing_date, exit, net, r FROM c_returns WHERE h = 20) l USING (filer_id, ticker, side, filing_date)
+    WHERE status = 'ok' AND side = 'buy' AND NOT is_10b5_1 AND liquid AND (drift IS NULL OR drift <= 0.2)""")
+cte("c_training", """
+    SELECT * EXCLUDE (y), least(greatest(y, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1]), v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1]) AS y
+    FROM c_listed, (SELECT list_sort(list(y)) AS v, count(*) AS n FROM c_listed WHERE y IS NOT NULL) WHERE y IS NOT NULL""")
+_COMPONENTS = ("role", "value", "stake", "cluster", "repeat", "drawdown", "track", "liquidity")
+cte("c_long_training", " UNION ALL ".join(f"SELECT '{c}' AS component, b_{c} AS bucket, y FROM c_training" for c in _COMPONENTS))
+cte("c_tables", "SELECT component, bucket, count(*) AS n, count(*) / (count(*) + 500.0) * (avg(y) - (SELECT avg(y) FROM c_training)) AS value FROM c_long_training GROUP BY component, bucket")
+
+
+def scored(tables: dict[str, dict[str, float]], weights: dict[str, float], beta: float, source: str, days: str = "0") -> str:
+    """A fixed model's score and quality in SQL."""
+    low, high = (sum(weights[c] * f(tables[c].values()) for c in sorted(weights)) for f in (min, max))
+    value = lambda c: "CASE b_" + c + " " + " ".join(f"WHEN '{b}' THEN CAST({v!r} AS DOUBLE)" for b, v in tables[c].items()) + " ELSE CAST(0 AS DOUBLE) END"
+    raw = " + ".join(f"CAST({weights[c]!r} AS DOUBLE) * {value(c)}" for c in sorted(weights))
+    return f"""SELECT *, quality * CASE WHEN drift IS NULL THEN 1 ELSE greatest(0, 1 - {beta} * greatest(drift, -0.2)) END * exp(-ln(2) / 10 * ({days})) AS score
+        FROM (SELECT *, (({raw}) - CAST({low!r} AS DOUBLE)) / (CAST({high!r} AS DOUBLE) - CAST({low!r} AS DOUBLE)) AS quality FROM ({source}))"""
