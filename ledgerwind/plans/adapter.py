@@ -88,3 +88,14 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(issuer, sector): the sector series of each issuer."""
     return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("issuer"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("sector"))
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(filing_id, document_type, owners, issuer, period, filed_on, original_filed_on): half of the amendments keep the
+    original's period, the others state its filing date alone."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.min("l_suppkey") % 7).alias("issuer"))
+    base = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    day = F.col("o_orderdate").cast("date")
+    ordinary = base.select(F.col("o_orderkey").alias("filing_id"), F.lit("4").alias("document_type"), F.array("o_custkey", F.col("o_custkey") + 1).alias("owners"), "issuer", F.trunc(day, "month").alias("period"), day.alias("filed_on"), F.lit(None).cast("date").alias("original_filed_on"))
+    amended = base.filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") + AMENDED).alias("filing_id"), F.lit("4/A").alias("document_type"), F.array("o_custkey").alias("owners"), "issuer", F.when(F.col("o_orderkey") % 2 == 0, F.trunc(day, "month")).alias("period"), F.date_add(day, 10).alias("filed_on"), F.when(F.col("o_orderkey") % 3 != 0, day).alias("original_filed_on"))
+    return ordinary.unionByName(amended)

@@ -8,13 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwind.functions import calendars
-from ledgerwind.functions.stored import stored
-from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, signals, study
+from ledgerwind.functions import calendars, sectors
+from ledgerwind.functions.stored import shared_path, stored
+from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, reports, signals, store, study
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
 from ledgerwind.plans import sql as sqls
 from ledgerwind.plans.sql import scored, sql, summary
+from ledgerwind.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -418,3 +419,174 @@ def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signals.bucketed(listed(d)).withColumn("score", F.round(FIXED.score(), 9)).filter("score >= 0.5 and exit is not null")
     taken = portfolio.admitted(model.best_per_day(stored(rows, "candidates")))
     return portfolio.daily(spark.createDataFrame(taken, "ticker string, entry date, exit date, cost double"), d.study.numbered)
+
+
+# reports, store and streams
+
+
+@query("""SELECT source, CAST(year(filed_on) AS INT) AS year, count(*) AS trades, round(100.0 * count(ticker) / count(*), 2)::DOUBLE AS with_ticker, round(100.0 * count(*) FILTER (p) / count(*), 2)::DOUBLE AS priced
+    FROM (SELECT t.*, coalesce(p, false) AS p FROM c_trades t LEFT JOIN (SELECT DISTINCT trade_id, true AS p FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND b.date BETWEEN t.trade_date AND t.trade_date + 7) USING (trade_id)) GROUP BY ALL""")
+def coverage_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return reports.coverage(d.trades, d.bars)
+
+
+@query("""SELECT bucket, coalesce(n, 0) AS n FROM (SELECT unnest(['0', '1', '2', '3-5', '6-10', '11-30', '31-45', '46+']) AS bucket) LEFT JOIN (
+    SELECT CASE WHEN x <= 2 THEN CAST(x AS VARCHAR) WHEN x <= 5 THEN '3-5' WHEN x <= 10 THEN '6-10' WHEN x <= 30 THEN '11-30' WHEN x <= 45 THEN '31-45' ELSE '46+' END AS bucket, count(*) AS n FROM (SELECT greatest(lag, 0) AS x FROM c_lagged) GROUP BY ALL) USING (bucket)""")
+def lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.lag_histogram(Domain(spark, sf_dir).lagged)
+
+
+@query("SELECT side, count(*) AS trades, " + ", ".join(f"round(100.0 * count({c}) / count(*), 2)::DOUBLE AS {c}" for c in ("lag_days", "drift_pct", "filer_lag_zscore", "cluster_count", "size_score", "role_weight")) + " FROM c_features GROUP BY side")
+def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.feature_coverage(Domain(spark, sf_dir).features, ["lag_days", "drift_pct", "filer_lag_zscore", "cluster_count", "size_score", "role_weight"])
+
+
+@query(f"""SELECT bucket, count(*) AS trades, {r("median(drift_pct) FILTER (side = 'buy')", 'buy_drift')}, {r("median(drift_pct) FILTER (side = 'sell')", 'sell_drift')}
+    FROM (SELECT *, CASE WHEN lag_ratio <= 0.5 THEN '<=0.5' WHEN lag_ratio <= 1 THEN '0.5-1' WHEN lag_ratio <= 2 THEN '1-2' ELSE '>2' END AS bucket FROM c_drift WHERE lag_ratio IS NOT NULL) GROUP BY bucket""")
+def lag_ratio_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return reports.ratio_buckets(features.drift(d.lagged, d.bars)).select("bucket", "trades", r6("buy_drift"), r6("sell_drift"))
+
+
+@query("SELECT side, count(drift_pct) AS n, " + ", ".join(r(f"quantile_cont(drift_pct, {p / 100})", f"p{p}") for p in (5, 25, 50, 75, 95)) + " FROM c_drift WHERE drift_pct IS NOT NULL GROUP BY side")
+def drift_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return reports.drift_percentiles(features.drift(d.lagged, d.bars)).select("side", "n", *(r6(f"p{p}") for p in (5, 25, 50, 75, 95)))
+
+
+@query("SELECT coalesce(role, 'none') AS role, count(*) AS n FROM c_trades GROUP BY ALL")
+def role_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mix(adapter.trades(spark, sf_dir), "role", "role")
+
+
+@query("SELECT coalesce(CAST(cluster_count AS VARCHAR), 'none') AS size, count(*) AS n FROM c_trades LEFT JOIN c_clusters USING (trade_id) GROUP BY ALL")
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    counts = features.inherited(d.dated, features.cluster_counts(d.dated))
+    return reports.mix(d.trades.select("trade_id").join(counts, "trade_id", "left"), "cluster_count", "size")
+
+
+@query("SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM c_features) GROUP BY flag")
+def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.flag_counts(Domain(spark, sf_dir).features)
+
+
+UNIVERSE = "SELECT year(filed_on) || 'q' || quarter(filed_on) AS quarter, ticker, count(*) FILTER (side = 'buy') AS buys, count(*) AS trades FROM c_trades WHERE ticker IS NOT NULL GROUP BY ALL"
+
+
+@query(UNIVERSE)
+def price_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.universe(adapter.trades(spark, sf_dir))
+
+
+@query(f"""SELECT quarter, count(*) AS tickers, count(*) FILTER (lo <= e AND hi >= s) AS covered, count(*) FILTER (NOT (lo <= e AND hi >= s)) AS out_of_range, count(*) FILTER (lo IS NULL) AS pending
+    FROM (SELECT quarter, lo, hi, make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3 - 2, 1) AS s, last_day(make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3, 1)) AS e
+        FROM ({UNIVERSE}) u LEFT JOIN (SELECT ticker, min(date) AS lo, max(date) AS hi FROM c_bars WHERE date < DATE '2000-01-01' AND ticker <> 'S3' GROUP BY ticker) b USING (ticker)) GROUP BY quarter""")
+def cache_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    held = d.bars.filter("date < '2000-01-01' and ticker <> 'S3'").groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return reports.cache_coverage(reports.universe(d.trades), held)
+
+
+@query("""SELECT ticker, from_date, CAST(row_number() OVER (ORDER BY loaded, ticker) AS INT) AS place FROM (
+    SELECT w.ticker, last_date IS NOT NULL AS loaded, last_date + 1 AS from_date FROM (SELECT DISTINCT ticker FROM c_trades WHERE ticker IS NOT NULL UNION SELECT unnest(['SPY', 'IWM', 'QQQ', 'S2'])) w
+    LEFT JOIN (SELECT ticker, max(date) AS last_date FROM c_bars WHERE ticker NOT LIKE '%7' GROUP BY ticker) l USING (ticker) WHERE w.ticker <> 'QQQ' ORDER BY loaded, w.ticker LIMIT 25)""")
+def price_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    wanted = d.trades.select("ticker").filter("ticker is not null").union(spark.createDataFrame([(t,) for t in ("SPY", "IWM", "QQQ", "S2")], "ticker string"))
+    last = d.bars.filter("ticker not like '%7'").groupBy("ticker").agg(F.max("date").alias("last_date"))
+    return reports.price_queue(wanted, last, spark.createDataFrame([("QQQ", "not_found")], "ticker string, state string"), 25)
+
+
+@query("""SELECT event_type, count(*) FILTER (ts > TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 1 HOUR) AS last_hour, count(*) FILTER (ts > TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 1 DAY) AS last_day,
+    count(DISTINCT CASE WHEN date_trunc('month', ts) = DATE '2024-01-01' THEN user_id END) AS symbols_this_month FROM events WHERE ts <= TIMESTAMP '2024-01-10 12:00:00' GROUP BY event_type""")
+def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.quota_usage(adapter.table(spark, sf_dir, "events"), "event_type", "ts", "user_id", "2024-01-10 12:00:00")
+
+
+@query(f"""SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_primary, count(*) FILTER (a IS NULL) AS only_other, count(*) FILTER (abs(a - b) <= 0.005) AS close, {r('avg(abs(a - b))', 'mean_difference')}, {r('corr(a, b)', 'correlation')}
+    FROM (SELECT {KEYS}, r AS a FROM c_returns WHERE h = 20 AND filer_id % 5 <> 0 AND r IS NOT NULL) FULL JOIN (SELECT {KEYS}, r_sector AS b FROM c_returns WHERE h = 20 AND filer_id % 3 <> 0 AND r_sector IS NOT NULL) USING ({KEYS})""")
+def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stand-ins for sources: returns against the market and against sectors, each without some filers."""
+    rows = Domain(spark, sf_dir).study.returns.filter("h = 20")
+    out = reports.join_keys(rows.filter("filer_id % 5 <> 0").select(*event_ops.KEYS, "r"), rows.filter("filer_id % 3 <> 0").select(*event_ops.KEYS, F.col("r_sector").alias("r")), event_ops.KEYS, "r")
+    return out.select("both", "only_primary", "only_other", "close", r6("mean_difference"), r6("correlation"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version of each key, with orders as the versions of a customer."""
+    return store.latest(adapter.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT trade_id FROM c_trades WHERE trade_id NOT IN (SELECT trade_id FROM c_dups)")
+def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return store.missing(d.trades.select("trade_id"), d.dups, ["trade_id"])
+
+
+@query("""WITH_PREFIX f AS (SELECT o_orderkey AS filing_id, '4' AS doc, [o_custkey, o_custkey + 1] AS owners, issuer, date_trunc('month', o_orderdate)::DATE AS period, o_orderdate::DATE AS filed_on, NULL::DATE AS stated FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) % 7 AS issuer FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
+    UNION ALL SELECT o_orderkey + 100000000, '4/A', [o_custkey], issuer, CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate)::DATE END, o_orderdate::DATE + 10, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) % 7 AS issuer FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0),
+    pairs AS (SELECT a.filing_id, b.filing_id AS original_id, b.filed_on = a.stated AS same, b.filed_on, a.period IS NOT DISTINCT FROM b.period AND b.filed_on <= a.filed_on AS one FROM (SELECT *, unnest(owners) AS owner FROM f WHERE doc = '4/A') a JOIN (SELECT *, unnest(owners) AS owner FROM f WHERE doc = '4') b ON a.owner = b.owner AND a.issuer IS NOT DISTINCT FROM b.issuer)
+    SELECT filing_id, original_id FROM pairs WHERE one OR same QUALIFY row_number() OVER (PARTITION BY filing_id ORDER BY CASE WHEN one THEN 1 ELSE 2 END, CASE WHEN one THEN CASE WHEN same THEN 0 ELSE 1 END ELSE 0 END, CASE WHEN one THEN filed_on END, original_id) = 1""".replace("WITH_PREFIX f", "WITH f"))
+def link_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.link_amendments(adapter.filings(spark, sf_dir))
+
+
+@query("SELECT issuer, ticker, min(filed_on) AS first_seen, max(filed_on) AS last_seen FROM c_trades WHERE ticker IS NOT NULL GROUP BY ALL")
+def ticker_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of ordinary filings, merged with those of later ones."""
+    rows = adapter.trades(spark, sf_dir).filter("ticker is not null").select("issuer", "ticker", "filing_id", F.col("filed_on").alias("first_seen"), F.col("filed_on").alias("last_seen"))
+    early, late = (rows.filter(c).drop("filing_id") for c in ("filing_id < 100000000", "filing_id >= 100000000"))
+    return store.merge_intervals(early, late, ["issuer", "ticker"], "first_seen", "last_seen")
+
+
+@query(f"SELECT ticker, date, {r('CASE WHEN day(date) % 2 = 0 THEN close * 2 ELSE close END', 'close')}, CASE WHEN day(date) % 3 = 0 THEN 'new' ELSE 'old' END AS source FROM c_bars WHERE day(date) % 3 <> 0 OR day(date) % 2 = 0")
+def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New bars of even days over old ones; a row that was there keeps its source."""
+    bars = Domain(spark, sf_dir).bars.select("ticker", "date", "close")
+    old = bars.filter(F.day("date") % 3 != 0).withColumn("source", F.lit("old"))
+    new = bars.filter(F.day("date") % 2 == 0).withColumn("close", F.col("close") * 2).withColumn("source", F.lit("new"))
+    return store.last_write(old, new, ["ticker", "date"], ("source",)).select("ticker", "date", r6("close"), "source")
+
+
+@query("SELECT trade_id, coalesce(ticker, CASE WHEN issuer % 2 = 0 THEN 'M' || issuer END) AS ticker FROM c_trades")
+def fill_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = adapter.table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("issuer"), F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    return store.fill_nulls(adapter.trades(spark, sf_dir).select("trade_id", "issuer", "ticker"), mapping, ["issuer"], ["ticker"]).select("trade_id", "ticker")
+
+
+@query("""SELECT trade_id, 'trade_after_filing' AS rule FROM c_trades WHERE trade_date > filed_on AND trade_id % 2 = 0 UNION ALL SELECT trade_id, 'unknown_ticker' FROM c_trades WHERE ticker IS NULL
+    UNION ALL SELECT trade_id, 'price_out_of_range' FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND t.trade_date = b.date WHERE price > 0 AND (price < 0.8 * open OR price > 1.2 * close)""")
+def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations that are new where odd trades filed before their date are known already."""
+    d = Domain(spark, sf_dir)
+    known = d.trades.filter("trade_date > filed_on and trade_id % 2 = 1").select("trade_id", F.lit("trade_after_filing").alias("rule"))
+    return store.new_rejects(d.trades, d.bars.withColumns({"low": F.col("open"), "high": F.col("close")}), known)
+
+
+@query("SELECT p_partkey, coalesce((SELECT arg_min(etf, i) FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, '{c}')" for i, (a, b, c) in enumerate(sectors.ranges())) + ") AS v(i, lo, hi, etf) WHERE p_partkey * 37 % 9000 BETWEEN lo AND hi), 'SPY') AS etf FROM part")
+def sector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.table(spark, sf_dir, "part").select("p_partkey", sectors.sector_etf((F.col("p_partkey") * 37 % 9000).cast("string")).alias("etf"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = adapter.table(spark, sf_dir, "events").schema
+    return ingest.file_stream(spark, sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT user_id, event_type, any_value(true) AS seen FROM events GROUP BY ALL")
+def events_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's first row of each (user, type), through the ingest of new keys."""
+    folder = shared_path(spark, "stream")
+    ingest.ingest(_events(spark, sf_dir).select("user_id", "event_type", F.lit(True).alias("seen")), f"{folder}/table", ["user_id", "event_type"], f"{folder}/state")
+    return spark.read.parquet(f"{folder}/table").select("user_id", "event_type", "seen")
+
+
+@query("""SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY ALL""")
+def events_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows an hour, every half hour, as a stream's complete result."""
+    folder = shared_path(spark, "stream")
+    ingest.run_to_table(ingest.rate_windows(_events(spark, sf_dir), "ts", "event_type", "1 hour", "30 minutes", "1 hour"), f"{folder}/table", f"{folder}/state", "complete")
+    return spark.read.parquet(f"{folder}/table").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
