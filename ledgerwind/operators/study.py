@@ -46,8 +46,8 @@ def contrast(df: DataFrame, groups: list[str], side: Column, value: str, cluster
     total = sums.groupBy(*groups).agg(*(F.sum(n).alias(f"t_{n}") for n in ("na", "sa", "nb", "sb"))).filter("t_na >= 2 and t_nb >= 2")
     both = sums.join(total, groups)
     moved = (F.col("sa") - F.col("na") * F.col("t_sa") / F.col("t_na")) / F.col("t_na") - (F.col("sb") - F.col("nb") * F.col("t_sb") / F.col("t_nb")) / F.col("t_nb")
-    out = both.groupBy(*groups).agg(F.first("t_na").alias("n_a"), F.first("t_nb").alias("n_b"), F.first(F.col("t_sa") / F.col("t_na") - F.col("t_sb") / F.col("t_nb")).alias("diff"), F.sum(moved * moved).alias("x"), F.count("*").alias("g"))
-    return out.select(*groups, F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), "diff", F.when((F.col("g") >= 2) & (F.col("x") > 0), F.try_divide(F.col("diff"), F.sqrt(F.col("x") * F.col("g") / (F.col("g") - 1)))).alias("t"))
+    out = both.groupBy(*groups).agg(F.first("t_na").alias("n_a"), F.first("t_nb").alias("n_b"), F.first(F.col("t_sa") / F.col("t_na") - F.col("t_sb") / F.col("t_nb")).alias("diff"), F.sum(moved * moved).alias("_x"), F.count("*").alias("_g"))
+    return out.select(*groups, F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), "diff", F.when((F.col("_g") >= 2) & (F.col("_x") > 0), F.try_divide(F.col("diff"), F.sqrt(F.col("_x") * F.col("_g") / (F.col("_g") - 1)))).alias("t"))
 
 
 def _sided(value: str) -> list:
