@@ -1,13 +1,16 @@
 """Cross-entropy difference: matched target and background bigram models over one vocabulary of token ids.
 
-Both models count the same events in the same tables: tokens of a public tokenizer, a start and an end mark, and pairs
-of neighbours hashed into SLOTS slots, so a model's size has a bound that no corpus can exceed, while every token of every
-document is counted. With the same smoothing,
+Both models count the same events: tokens of a public tokenizer, a start and an end mark, and pairs of neighbours. Every
+token of every document is counted, and every distinct pair has a count of its own, in a Spark table that grows with the
+corpus; only the counts of single tokens, which the vocabulary bounds, are broadcast. With the same smoothing,
 
     p(w | v) = (c(v, w) + WEIGHT * p(w)) / (c(v) + WEIGHT),   p(w) = (c(w) + 1/2) / (n + V/2),
 
 a document's score is the mean over its tokens of -log2 p_target + log2 p_background: the lower, the more it is like the
 target. The background is the whole corpus.
+
+Documents are scored in blocks of about BLOCK tokens. A block sends each of its distinct pairs once, with the block's
+counts, and gets the corpus's counts of these pairs back; so a common pair has one row a block, however often it occurs.
 """
 
 from __future__ import annotations
@@ -17,24 +20,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwind.llm.shared import text_bytes, written
 from ledgerwind.llm.word_tokens import encoder, slices
 
-SLOTS, WEIGHT = 1 << 20, 4.0
+#: BLOCK: tokens at which a block of documents is closed; no document is divided.
+BLOCK, WEIGHT = 1 << 20, 4.0
 #: Target documents' ids up to which they are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 @dataclass
 class Counts:
-    """Of one model: each token, each token as a context, and each hashed pair."""
+    """Of one model: each token, and each token as a context."""
 
     tokens: np.ndarray
     contexts: np.ndarray
-    pairs: np.ndarray
 
 
 def vocabulary(tokenizer: str) -> int:
@@ -43,10 +47,8 @@ def vocabulary(tokenizer: str) -> int:
 
 
 def slots(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """The slot of each pair of tokens: the high bits of a multiplicative hash."""
-    key = before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
-    key ^= key >> np.uint64(29)
-    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    """The number of each pair of tokens, which no other pair has."""
+    return before.astype(np.int64) << 32 | after.astype(np.int64)
 
 
 def transitions(ids: list[bytes], kind: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,53 +64,73 @@ def transitions(ids: list[bytes], kind: str, size: int) -> tuple[np.ndarray, np.
     return before, after, starts[:-1]
 
 
-def _tokens(tokenizer: str):
+def _tokens(tokenizer: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, block, held = encoder(tokenizer), TaskContext.get().partitionId() << 32, 0
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array([enc.encode(x.as_py()) for x in batch.column("text")], pa.binary())], ["doc_id", "target", "ids"])
+            ids, blocks = [enc.encode(x.as_py()) for x in batch.column("text")], []
+            for x in ids:
+                if held >= most:
+                    block, held = block + 1, 0
+                held += len(x) // enc.dtype.itemsize + 1
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("doc_id"), batch.column("target"), pa.array(ids, pa.binary())], ["block", "doc_id", "target", "ids"])
 
     return run
 
 
 def _counted(kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(slot, model, n): pairs from 0, tokens from SLOTS, contexts from SLOTS + size; model 0 is all, 1 the target."""
-        sums = np.zeros((2, SLOTS + 2 * size), np.int64)
+        """(block, pair, target, whole): how often each pair occurs in target documents and in all of a block, or of a part of it."""
+
+        def done(block: int, ids: list[bytes], own: list[bytes]) -> Iterator[pa.RecordBatch]:
+            pairs, whole = np.unique(slots(*transitions(ids, kind, size)[:2]), return_counts=True)
+            target = np.zeros(len(pairs), np.int64)
+            if own:
+                some, n = np.unique(slots(*transitions(own, kind, size)[:2]), return_counts=True)
+                target[np.searchsorted(pairs, some)] = n
+            for at in range(0, len(pairs), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs[part]), block)), pa.array(pairs[part]), pa.array(target[part]), pa.array(whole[part])], ["block", "pair", "target", "whole"])
+
+        now, ids, own = None, [], []
         for batch in slices(batches):
-            ids, target = batch.column("ids").to_pylist(), batch.column("target").to_pylist()
-            for model, texts in ((0, ids), (1, [x for x, t in zip(ids, target, strict=True) if t])):
-                if texts:
-                    before, after, _ = transitions(texts, kind, size)
-                    np.add.at(sums[model], slots(before, after), 1)
-                    sums[model, SLOTS : SLOTS + size] += np.bincount(after, minlength=size)
-                    sums[model, SLOTS + size :] += np.bincount(before, minlength=size)
-        for model in (0, 1):
-            some = np.flatnonzero(sums[model])
-            for at in range(0, len(some), 100_000):
-                part = some[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), model, np.int8)), pa.array(sums[model][part])], ["slot", "model", "n"])
+            for block, target, x in zip(batch.column("block").to_pylist(), batch.column("target").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if block != now and ids:
+                    yield from done(now, ids, own)
+                    ids, own = [], []
+                now = block
+                ids.append(x)
+                if target:
+                    own.append(x)
+        if ids:
+            yield from done(now, ids, own)
 
     return run
 
 
-def models(tokens: DataFrame, kind: str, size: int) -> tuple[Counts, Counts]:
-    """Target and background counts of tokens (ids, target); at most 2 * (SLOTS + 2 * size) numbers come to the driver."""
-    found = tokens.select("ids", "target").mapInArrow(_counted(kind, size), "slot long, model byte, n long").groupBy("slot", "model").agg(F.sum("n").alias("n")).toPandas()
-    out = []
-    for model in (1, 0):
-        sums, part = np.zeros(SLOTS + 2 * size, np.float64), found[found["model"] == model]
-        sums[part["slot"].to_numpy(np.int64)] = part["n"].to_numpy(np.float64)
-        out.append(Counts(sums[SLOTS : SLOTS + size], sums[SLOTS + size :], sums[:SLOTS].astype(np.float32)))
+def single_counts(pairs: DataFrame, size: int) -> tuple[Counts, Counts]:
+    """Target and background counts of single tokens, from those of pairs; at most 4 * size numbers come to the driver."""
+    sides = {"contexts": F.shiftright("pair", 32), "tokens": F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))}
+    sums = [pairs.groupBy(F.lit(name).alias("side"), of.alias("token")).agg(F.sum("target").alias("target"), F.sum("whole").alias("whole")) for name, of in sides.items()]
+    found, out = sums[0].unionByName(sums[1]).toPandas(), []
+    for model in ("target", "whole"):
+        counts = Counts(np.zeros(size), np.zeros(size))
+        for name in sides:
+            part = found[found["side"] == name]
+            getattr(counts, name)[part["token"].to_numpy(np.int64)] = part[model].to_numpy(np.float64)
+        out.append(counts)
     return out[0], out[1]
 
 
-def losses(model: Counts, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+def losses(model: Counts, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits of each pair's second token after its first, where counts are the pairs' own."""
+    before, after = pairs >> 32, pairs & ((1 << 32) - 1)
     single = (model.tokens[after] + 0.5) / (model.tokens.sum() + 0.5 * len(model.tokens))
-    return -np.log2((model.pairs[slots(before, after)] + WEIGHT * single) / (model.contexts[before] + WEIGHT))
+    return -np.log2((counts + WEIGHT * single) / (model.contexts[before] + WEIGHT))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of docs (doc_id, text).
 
     target_ids (doc_id) names the documents of the target; repeated or unknown ids and nulls change nothing. Losses are
@@ -122,18 +144,24 @@ def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str) -> DataFrame:
         wanted = F.broadcast(wanted)
     mine: Column = F.col("_id").isNotNull().alias("target")
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes()).join(wanted, F.col("doc_id") == F.col("_id"), "left").select("doc_id", mine, "text")
-    tokens = written(rows.mapInArrow(_tokens(tokenizer), "doc_id long, target boolean, ids binary"), "lm-tokens")
-    shared = spark.sparkContext.broadcast(models(tokens, kind, size))  # two models of a bounded size
+    tokens = written(rows.mapInArrow(_tokens(tokenizer, block), "block long, doc_id long, target boolean, ids binary"), "lm-tokens")
+    parts = written(tokens.mapInArrow(_counted(kind, size), "block long, pair long, target long, whole long"), "lm-pairs")
+    counts = written(parts.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("whole").alias("whole")), "lm-counts")
+    shared = spark.sparkContext.broadcast(single_counts(counts, size))  # of single tokens only
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
         target, background = shared.value
-        for batch in slices(batches):
-            before, after, starts = transitions(batch.column("ids").to_pylist(), kind, size)
-            counts = np.diff([*starts, len(after)])
-            one, two = (np.add.reduceat(losses(m, before, after), starts) / counts for m in (target, background))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(one), pa.array(two), pa.array(one - two)], NAMES)
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+        before, after, starts = transitions(own.column("ids").to_pylist(), kind, size)
+        pairs = known.column("pair").to_numpy()
+        order = np.argsort(pairs)
+        pairs, lengths = pairs[order], np.diff([*starts, len(after)])
+        at = np.searchsorted(pairs, slots(before, after))
+        one, two = (np.add.reduceat(losses(m, pairs, known.column(c).to_numpy()[order])[at], starts) / lengths for m, c in ((target, "target"), (background, "whole")))
+        return pa.Table.from_arrays([own.column("doc_id"), pa.array(lengths), pa.array(one), pa.array(two), pa.array(one - two)], NAMES)
+
+    known = parts.select("block", "pair").join(counts, "pair")
+    texts = tokens.select("block", "doc_id", "ids").groupBy("block")
+    return texts.cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 NAMES = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]

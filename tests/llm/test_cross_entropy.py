@@ -63,3 +63,35 @@ def test_no_target_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "", "")], DOCS)
     assert ce.score(docs, docs.limit(0), default_path()).first().target_loss > 10
     assert ce.score(docs.limit(0), docs, default_path()).count() == 0
+
+
+def test_every_pair_has_a_count_of_its_own(spark, library):
+    """Counts of true pairs over blocks of a few documents."""
+    rng, size = np.random.default_rng(4), ce.vocabulary(default_path())
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("ar", "en", "ist", "o", "ul", "ym")]
+    rows = [(i, " ".join(rng.choice(words, 900)), "", "") for i in range(90)] + [(7, "common pair " * 300, "", ""), (None, None, "", "")]
+    target = {1, 7, 30, 55}
+    encoded = [[size - 2, *library.encode(t or "", add_special_tokens=False).ids, size - 1] for _, t, *_ in rows]
+
+    def model(chosen):
+        pairs = Counter(p for x in chosen for p in zip(x, x[1:], strict=False))
+        tokens, contexts = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            contexts[a] += n
+            tokens[b] += n
+        n = sum(tokens.values())
+        return lambda x: sum(-log2((pairs[a, b] + 4 * (tokens[b] + 0.5) / (n + size / 2)) / (contexts[a] + 4)) for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
+
+    own, back = model([x for x, r in zip(encoded, rows, strict=True) if r[0] in target]), model(encoded)
+    want = sorted((str(r[0]), len(x) - 1, own(x), back(x)) for x, r in zip(encoded, rows, strict=True))
+    docs, ids = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame([(x,) for x in target], "doc_id long")
+    for block in (1, 5000, ce.BLOCK):
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in ce.score(docs, ids, default_path(), block).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in want], rtol=1e-9, atol=1e-9)
+
+
+def test_pairs_of_the_whole_vocabulary_are_told_apart():
+    size = ce.vocabulary(default_path())
+    before, after = np.random.default_rng(5).integers(0, size, (2, 300_000))
+    assert len(np.unique(ce.slots(before, after))) == len(np.unique(before * size + after))
