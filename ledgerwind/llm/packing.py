@@ -12,8 +12,10 @@ documents with the deficits of all earlier windows and partitions carried in, an
 
 Shares are the sources' own by default (all queues end together), or given targets; then a queue that runs out
 leaves its share to the rest, in their proportions. A source with a share of under two tokens a window joins a common
-queue of small sources, which holds on to the rule that every window serves every queue; so there are at most
-size / 2 + 1 queues, a proven bound for what the driver and the tasks hold.
+queue of small sources; so there are at most size / 2 + 1 queues, a proven bound for what the driver and the tasks hold.
+In the common queue documents stand by their place as a fraction of their source's tokens, so that at each point of it every
+small source has given its share to within about a document. Every window serves every queue, but a common queue with
+under one token a window is served in some windows only.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ from ledgerwind.llm.word_tokens import encoder, slices
 SIZE = 4096
 #: Rows of the table of queue offsets up to which it is broadcast (about 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Parts into which the small sources' offsets are summed.
-SMALL_PARTS = 1024
 
 
 @dataclass
@@ -137,6 +137,32 @@ def _prefix(amount: str, window) -> F.Column:
     return F.coalesce(F.sum(amount).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, given = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        ends = given + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id"), batch.column("n"), pa.array(ends - n), batch.column("ids")], ["part", "doc_id", "n", "before", "ids"])
+        given = int(ends[-1]) if len(n) else given
+
+
+PLACED = ["doc_id", "queue", "start", "n", "ids"]
+
+
+def _interleaved(few: DataFrame, queue: int) -> DataFrame:
+    """The small sources' documents placed in their common queue, all sources advancing together.
+
+    A document's place lies in its own span of its source's tokens, at a point that the source's hash tells, so that
+    sources of a single document are spread over the whole queue.
+    """
+    point = F.pmod(F.xxhash64("s"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    order = ["place", "s", "part", "before"]
+    ordered = few.withColumn("place", (F.col("start") + point * F.col("n")) / F.col("source_n")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(ordered.select("doc_id", "n", "ids").mapInArrow(_running, "part int, doc_id long, n long, before long, ids binary"), "small-sources")
+    bases = rows.groupBy("part").agg(F.sum("n").alias("n")).select("part", _prefix("n", Window.partitionBy(F.lit(0)).orderBy("part")).alias("base"))  # a row a task
+    return rows.join(F.broadcast(bases), "part").select("doc_id", F.lit(queue).alias("queue"), (F.col("base") + F.col("before")).alias("start"), "n", "ids")
+
+
 def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text, source) in sequences of `size` tokens; only the last sequence may be shorter.
 
@@ -152,24 +178,20 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, targets: d
     large = sums.filter(F.col("n") * size >= 2 * total).orderBy("source").collect() if total else []  # at most size / 2 rows
     queues, counts = [r["source"] for r in large], [r["n"] for r in large]
     if small := total - sum(counts):
-        if small * size >= 2 * total or not counts:
-            counts.append(small)
-        else:
-            counts[-1] += small  # too few for a queue of their own: they follow the last one
+        counts.append(small)
     shares = [Fraction(n, max(total, 1)) for n in counts]
     if targets:
         shares = [max(Fraction(targets.get(q, 0)).limit_denominator(10**6), Fraction(2, size)) for q in [*queues, *["small"] * (len(counts) - len(queues))]]
     mix = mixture(counts, shares, size)
     known = spark.createDataFrame([(q, i) for i, q in enumerate(queues)], "source string, queue int")
-    small_queue, small_base = (len(counts) - 1, 0 if len(counts) > len(queues) else (large[-1]["n"] if large else 0))
-    of = sums.join(F.broadcast(known), sums["source"].eqNullSafe(known["source"]), "left").select(sums["source"].alias("s"), "n", "queue")
-    few = of.filter("queue is null").withColumn("deal", F.pmod(F.xxhash64("s"), F.lit(SMALL_PARTS)))
-    deals = few.groupBy("deal").agg(F.sum("n").alias("n")).withColumn("deal_base", _prefix("n", Window.partitionBy(F.lit(0)).orderBy("deal"))).select("deal", "deal_base")
-    few = few.withColumn("in_deal", _prefix("n", Window.partitionBy("deal").orderBy("s"))).join(deals, "deal").select("s", F.lit(small_queue).alias("queue"), (F.col("in_deal") + F.col("deal_base") + small_base).alias("base"))
-    places = of.filter("queue is not null").select("s", "queue", F.lit(0).cast("long").alias("base")).unionByName(few)
+    of = sums.join(F.broadcast(known), sums["source"].eqNullSafe(known["source"]), "left").select(sums["source"].alias("s"), F.col("n").alias("source_n"), "queue")
     starts = parts.withColumn("in_source", _prefix("n", Window.partitionBy("source").orderBy("part")))
-    starts = starts.join(places, starts["source"].eqNullSafe(places["s"])).select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", (F.col("base") + F.col("in_source")).alias("part_start"))
+    starts = starts.join(of, starts["source"].eqNullSafe(of["s"])).select("s", F.col("part").alias("p"), "queue", "source_n", "in_source")
     if parts.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    placed = tokens.join(starts, tokens["source"].eqNullSafe(starts["s"]) & (tokens["part"] == starts["p"])).select("doc_id", "queue", (F.col("part_start") + F.col("before")).alias("start"), "n", "ids")
+    placed = tokens.join(starts, tokens["source"].eqNullSafe(starts["s"]) & (tokens["part"] == starts["p"])).withColumn("start", F.col("in_source") + F.col("before"))
+    if small:
+        placed = placed.filter("queue is not null").select(*PLACED).unionByName(_interleaved(placed.filter("queue is null"), len(queues)))
+    else:
+        placed = placed.select(*PLACED)
     return placed.mapInArrow(_pieces(mix, width), ", ".join(f"{c} long" for c in NAMES) + ", ids array<int>")

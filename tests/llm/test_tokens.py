@@ -130,3 +130,28 @@ def test_deficit_round_robin_loop_gives_the_same_counts():
             assert abs(mix.given(q, w) - Fraction(tokens[q] * 64 * w, sum(tokens))) < 1
             assert mix.given(q, w + 1) >= mix.given(q, w)
     assert [mix.given(q, mix.windows) for q in range(4)] == tokens
+
+
+def test_thousands_of_small_sources_are_mixed(spark):
+    """Of 3000 sources of 8 equal documents and 1000 of a single one, each has given its share by each quarter of the windows."""
+    rows = [(s * 8 + i, f"s{s}", "word") for s in range(3000) for i in range(8)] + [(10**6 + s, f"t{s}", "word") for s in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    pieces = packing.pack(docs, default_path(), 2, 128).select("doc_id", "sequence_id", "start", "length", "doc_tokens").collect()
+    assert sum(p.length for p in pieces) == 2 * len(rows)
+    last, source = max(p.sequence_id for p in pieces), {r[0]: r[1] for r in rows}
+    for quarter in (1, 2, 3):
+        given = dict.fromkeys(source.values(), 0)
+        for p in pieces:
+            if 4 * p.sequence_id < quarter * last and p.start + p.length == p.doc_tokens:
+                given[source[p.doc_id]] += 1
+        assert all(abs(n - 2 * quarter) <= 1 for s, n in given.items() if s[0] == "s")
+        assert abs(sum(n for s, n in given.items() if s[0] == "t") - 250 * quarter) < 80
+
+
+def test_small_sources_beside_large_ones_are_spread(spark):
+    rows = [(i, "large", "word " * 200) for i in range(60)] + [(1000 + i, f"small{i % 4}", "word") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    pieces = packing.pack(docs, default_path(), 2, 128).collect()
+    few, last = [p.sequence_id for p in pieces if p.doc_id >= 1000], max(p.sequence_id for p in pieces)
+    assert min(few) < last / 5 and max(few) > last * 4 / 5
+    assert all(sum(n in range(q * last // 4, (q + 1) * last // 4 + 1) for n in few) >= 5 for q in range(4))
