@@ -3,13 +3,19 @@
 Everything runs as DataFrame expressions. Base spans (email, ip, card, phone) come from regular expressions and their
 checks. Then, over the whole corpus:
 
-* candidates are number groups and at-sign tokens, each with lexical patterns: the two words before it, and the word
-  before it with the word behind it;
-* candidates that overlap a base span are seed instances of its kind;
-* pattern and instance scores are computed in turn, ROUNDS times, on the graph of (pattern, instance, count): a pattern's
-  confidence for a kind is the share of its occurrences' scores, less a constant, if SUPPORT different instances of that
-  kind bear it; an instance that is no seed scores 1 - prod(1 - confidence) over its patterns;
-* candidates that no base span covers, whose form the kind allows, become spans under patterns of CONFIDENCE and more.
+* candidates are whole runs: tokens with an at sign, groups of digits, and tokens of mixed letters and digits;
+* candidates that overlap a base span are seed instances of its kind; long hexadecimal tokens are seeds of a fifth kind,
+  `secret`, which is told apart from personal data in the results;
+* each candidate bears patterns. Lexical ones are the two words before it (L) and the words on both sides (S). Where the same
+  words never meet again, they back off to the instance's form, its digits and marks with letters left out, with the word
+  before it (B) or with the shapes of the neighbours: both (C), the left (P) or the right one (N);
+* pattern and instance scores are computed in turn, ROUNDS times, on the graph of (pattern, instance, count). With w the
+  scores of a pattern's occurrences for a kind, its confidence is w / (all occurrences + 1) for lexical patterns, to which
+  an unknown instance counts as a fault, and w / (occurrences of known instances + 1) for those that hold a form, as unknown
+  instances of a seed's form are what is looked for. These must have w in LEAST_SHARE of all occurrences, and lose a part
+  of their confidence for each neighbour left out. SUPPORT different instances of the kind must bear a pattern. An
+  instance that is no seed scores the confidence of its best pattern among the kinds that its form allows;
+* candidates that no base span covers become spans under patterns of CONFIDENCE and more.
 
 The graph's edges are counted before they are shuffled, so a hot pattern or identifier is one row for each different
 partner.
@@ -33,11 +39,23 @@ BASE = {
 }
 #: What a text must hold for a search to be worth while.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = r"[^\s@]{1,64}(?:@|\(at\)|\[at\])[^\s@]{1,64}|(?<![0-9])\+?\(?[0-9][0-9()\x20.-]{5,28}[0-9](?![0-9])"
-CANDIDATE_HINT = r"@|\(at\)|\[at\]|[0-9][0-9()\x20.-]{5}"
-#: Characters around a candidate in which its context is looked for.
+#: Runs that may be identifiers: at-sign tokens, tokens of letters and digits, digits in groups, other digits. Runs begin where
+#: no run can have begun before, and repetitions are possessive, so that long runs are read once.
+CANDIDATE = "|".join([
+    r"(?<![^\s@()\[\]<>,;:\x22'])[^\s@()\[\]<>,;:\x22']++(?:@|\(at\)|\[at\])[^\s@()\[\]<>,;:\x22']*[^\s@()\[\]<>,;:\x22'.!?]",
+    r"(?<![A-Za-z0-9_-])(?=[0-9_-]*+[A-Za-z])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+",
+    r"(?<![0-9A-Za-z])\+?\(?[0-9]{1,4}(?![0-9])\)?(?:[\x20.-]{1,2}\(?[0-9]{2,4}(?![0-9])\)?){2,}+",
+    r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[().-]{0,2}[0-9])++",
+])
+AT, SECRET = r"@|\(at\)|\[at\]", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
+LEARNT = (*KINDS, "secret")
+#: Least digits of a candidate without letters.
+DIGITS = 7
+#: Characters around a candidate in which its context is looked for; the candidates next to it are one character there.
 CONTEXT = 64
 ROUNDS, SUPPORT, CONFIDENCE, USEFUL = 3, 5, 0.8, 0.5
+#: For patterns with a form: the least share of known occurrences, and what is left of the confidence by the pattern's kind.
+LEAST_SHARE, KEPT = 0.05, {"B": 1.0, "C": 0.98, "P": 0.9, "N": 0.9}
 #: Documents with found spans up to which masking broadcasts them (some 100 bytes each); beyond, they are joined by shuffle.
 BROADCAST_FOUND = 50_000
 #: Hits whose places are summed up at a time.
@@ -50,7 +68,7 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _located(text: Column, pattern: str, hint: str) -> Column:
+def _located(text: Column, pattern: str, hint: Column) -> Column:
     """Array of (hit, start, gap, rest): all matches, their places in code points, and the text before and behind them.
 
     The text between matches gives their places: sums of lengths, taken in blocks of HITS.
@@ -73,7 +91,7 @@ def _located(text: Column, pattern: str, hint: str) -> Column:
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = _let(hits, lambda hits: F.when(F.size(hits) > 0, _let(F.split(text, pattern, -1), lambda gaps: placed(gaps, hits))))
-    return F.coalesce(F.when(text.rlike(hint), found), F.array().cast("array<struct<hit:string,start:bigint,gap:string,rest:string>>"))
+    return F.coalesce(F.when(hint, found), F.array().cast("array<struct<hit:string,start:bigint,gap:string,rest:string>>"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -96,60 +114,104 @@ def base_spans(text: Column) -> Column:
     """Array of the base spans, by kind and start; text must not be null."""
 
     def of(kind: str) -> Column:
-        kept = F.filter(_located(text, BASE[kind], HINT[kind]), lambda r: _valid(kind, r["hit"]))
+        kept = F.filter(_located(text, BASE[kind], text.rlike(HINT[kind])), lambda r: _valid(kind, r["hit"]))
         return F.transform(kept, lambda r: F.struct(F.lit(kind).alias("kind"), r["start"].alias("start"), (r["start"] + F.length(r["hit"])).alias("end")))
 
     return F.concat(*map(of, KINDS)).cast(f"array<{SPAN}>")
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Array of candidates: instance, start, end, the kinds that overlap it (seeds), and its patterns."""
+def _form(hit: Column) -> Column:
+    """An instance's digits and marks without its letters; for tokens of letters and digits, hexadecimal or not, and the length."""
+    token = F.concat(F.when(hit.rlike("^[0-9A-Fa-f]+$"), "H").otherwise("T"), F.length(hit).cast("string"))
+    at, digits = F.regexp_replace(hit, r"[\p{L}\p{N}._%+-]+", "x"), F.left(F.translate(hit, "0123456789", "D" * 10), F.lit(CONTEXT))
+    return F.when(hit.rlike(AT), F.left(at, F.lit(CONTEXT))).when(hit.rlike("[A-Za-z]"), token).otherwise(digits)
+
+
+def _shape(word: Column, none: str) -> Column:
+    """A neighbour's letter cases, digits and marks, runs as one, eight characters at most."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), "[0-9]+", "9")
+    return F.coalesce(F.when(word != "", F.left(kinds, F.lit(8))), F.lit(none))
 
-    def one(r: Column, base: Column) -> Column:
-        end = r["start"] + F.length(r["hit"])
-        near = F.lower(F.right(r["gap"], F.lit(CONTEXT)))
-        before = F.filter(F.split(near, r"\s+"), lambda w: w != "")
-        behind = F.lower(F.regexp_extract(F.left(r["rest"], F.lit(CONTEXT)), r"^[^\s]*\s+([^\s]+)", 1))
-        kind = F.transform(F.filter(base, lambda s: (s["start"] < end) & (s["end"] > r["start"])), lambda s: s["kind"])
-        patterns = _let(before, lambda b: F.array(
-            F.when(F.size(b) > 1, F.concat(F.lit("L "), F.array_join(F.slice(b, F.size(b) - 1, 2), " "))),
-            F.when((F.size(b) > 0) & (behind != ""), F.concat(F.lit("S "), F.element_at(b, -1), F.lit(" _ "), behind)),
-        ))
-        return F.struct(r["hit"].alias("instance"), r["start"].alias("start"), end.alias("end"), F.array_distinct(kind).alias("seeds"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
 
-    return _let(base, lambda base: F.transform(_located(text, CANDIDATE, CANDIDATE_HINT), lambda r: one(r, base)))
+def _fits(hit: Column) -> Column:
+    """Array of the kinds that an instance's form allows."""
+    digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
+    numbers = {"ip": hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "card": digits.between(13, 19), "phone": digits.between(7, 15)}
+    of = F.filter(F.array(*(F.when(ok, kind) for kind, ok in numbers.items())), lambda k: k.isNotNull())
+    return F.when(hit.rlike(AT), F.array(F.lit("email"))).when(hit.rlike("[A-Za-z]"), F.array(F.lit("secret"))).otherwise(of)
 
 
-def _allows(kind: Column, instance: Column) -> Column:
-    """Whether an instance has a form that a kind may have."""
-    digits = F.length(F.regexp_replace(instance, "[^0-9]", ""))
-    at = instance.rlike(r"@|\(at\)|\[at\]")
-    return F.when(kind == "email", at).when(at, False).when(kind == "ip", instance.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")).when(kind == "card", digits.between(13, 19)).otherwise(digits.between(7, 15))
+def candidates(text: Column, base: Column) -> Column:
+    """Array of candidates: instance, start, end, the kinds that overlap it (seeds), those its form allows, and its patterns."""
+    none = F.lit("")
+
+    def one(r: Column, before: Column, behind: Column, base: Column) -> Column:
+        end = r["start"] + F.length(r["hit"])
+        found = F.array_distinct(F.transform(F.filter(base, lambda s: (s["start"] < end) & (s["end"] > r["start"])), lambda s: s["kind"]))
+        seeds = F.when((F.size(found) == 0) & r["hit"].rlike(SECRET), F.array(F.lit("secret"))).otherwise(found)
+
+        def patterns(b: Column, a: Column, form: Column) -> Column:
+            last = F.element_at(b, -1)
+            left, right = _shape(F.when(F.size(b) > 0, last), "^"), _shape(a, "$")
+            return F.array(
+                F.when(F.size(b) > 1, F.concat(F.lit("L "), F.lower(F.array_join(F.slice(b, F.size(b) - 1, 2), " ")))),
+                F.when((F.size(b) > 0) & (a != ""), F.concat(F.lit("S "), F.lower(last), F.lit(" _ "), F.lower(a))),
+                F.when(F.size(b) > 0, F.concat(F.lit("B "), F.lower(last), F.lit(" "), form)),
+                F.concat(F.lit("C "), left, F.lit(" "), form, F.lit(" "), right),
+                F.concat(F.lit("P "), left, F.lit(" "), form),
+                F.concat(F.lit("N "), form, F.lit(" "), right),
+            )
+
+        words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
+        next_ = F.regexp_extract(behind, r"^[^\s]*\s+([^\s]+)", 1)
+        made = _let(F.struct(words.alias("b"), next_.alias("a"), _form(r["hit"]).alias("f")), lambda x: patterns(x["b"], x["a"], x["f"]))
+        instance = F.when(F.length(r["hit"]) <= CONTEXT, r["hit"]).otherwise(F.md5(r["hit"].cast("binary")))
+        return F.struct(instance.alias("instance"), r["start"].alias("start"), end.alias("end"), seeds.alias("seeds"), _fits(r["hit"]).alias("fits"), F.filter(made, lambda p: p.isNotNull()).alias("patterns"))
+
+    def every(rows: Column, base: Column) -> Column:
+        def at(r: Column, i: Column) -> Column:
+            ahead = F.when(i > 0, F.concat(F.right(F.get(rows, i - 1)["gap"], F.lit(CONTEXT)), F.lit("#"))).otherwise(none)
+            then = F.when(i + 1 < F.size(rows), F.concat(F.lit("#"), F.left(F.get(rows, i + 1)["rest"], F.lit(CONTEXT)))).otherwise(none)
+            before = F.right(F.concat(ahead, F.right(r["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            behind = F.left(F.concat(F.left(r["rest"], F.lit(CONTEXT)), then), F.lit(CONTEXT))
+            enough = r["hit"].rlike(f"[A-Za-z]|{AT}") | (F.length(F.regexp_replace(r["hit"], "[^0-9]", "")) >= DIGITS)
+            return F.when(enough, F.struct(r["hit"].alias("hit"), r["start"].alias("start"), before.alias("before"), behind.alias("behind")))
+
+        return F.transform(F.filter(F.transform(rows, at), lambda r: r.isNotNull()), lambda r: one(r, r["before"], r["behind"], base))
+
+    some = text.rlike("[0-9]") | text.contains("@") | text.contains("(at)") | text.contains("[at]")
+    return _let(base, lambda base: _let(_located(text, CANDIDATE, some), lambda rows: every(rows, base)))
 
 
 def patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of confident patterns, one kind each, from rows of (c: candidates array)."""
-    rows = found.select(F.explode("c").alias("c")).select("c.instance", "c.seeds", F.explode("c.patterns").alias("pattern"))
-    edges = written(rows.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.min(F.get("seeds", F.lit(0))).alias("seed")), "pii-edges")
+    """(pattern, kind, confidence) of confident patterns, a row for each kind, from rows of (c: candidates array)."""
+    rows = found.select(F.explode("c").alias("c")).select("c.instance", "c.seeds", "c.fits", F.explode("c.patterns").alias("pattern"))
+    edges = written(rows.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.min(F.get("seeds", F.lit(0))).alias("seed"), F.first("fits").alias("fits")), "pii-edges")
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
     seeds = edges.filter("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
     scores, confident = seeds, None
+    left = F.element_at(F.create_map(*(F.lit(x) for kv in KEPT.items() for x in kv)), F.left("pattern", F.lit(1)))
     for _ in range(ROUNDS):
         borne = edges.select("pattern", "instance", "n").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("w"), F.count_if(F.col("score") >= USEFUL).alias("support"))
-        confident = borne.filter(F.col("support") >= SUPPORT).join(totals, "pattern").withColumn("confidence", F.col("w") / (F.col("total") + 1)).filter(F.col("confidence") >= USEFUL)
+        known = borne.groupBy("pattern").agg(F.sum("w").alias("known"))
+        with_form = F.when(F.col("w") >= LEAST_SHARE * F.col("total"), F.col("w") / (F.col("known") + 1) * left)
+        confidence = F.when(left.isNull(), F.col("w") / (F.col("total") + 1)).otherwise(with_form)
+        confident = borne.filter(F.col("support") >= SUPPORT).join(known, "pattern").join(totals, "pattern").withColumn("confidence", confidence).filter(F.col("confidence") >= USEFUL)
         confident = written(confident.select("pattern", "kind", "confidence"), "pii-patterns")
-        new = edges.filter("seed is null").select("pattern", "instance").join(confident, "pattern").filter(_allows(F.col("kind"), F.col("instance")))
-        new = new.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
+        new = edges.filter("seed is null").select("pattern", "instance", "fits").join(confident, "pattern").filter("array_contains(fits, kind)")
+        new = new.groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
         scores = seeds.unionByName(new.join(seeds.select("instance"), "instance", "left_anti"))
     return confident.filter(F.col("confidence") >= CONFIDENCE)
 
 
 def _found(rows: DataFrame, confident: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, found: array of spans) of rows (keys, c) that confident patterns add; at most one kind a candidate."""
-    open_ = rows.select(*keys, F.explode("c").alias("c")).filter(F.size("c.seeds") == 0).select(*keys, "c.instance", "c.start", "c.end", F.explode("c.patterns").alias("pattern"))
-    spans = open_.join(confident, "pattern").filter(_allows(F.col("kind"), F.col("instance")))
+    """(keys, found: array of spans) of rows (keys, c): what confident patterns add, at most one kind a candidate, and secrets."""
+    every = rows.select(*keys, F.explode("c").alias("c"))
+    open_ = every.filter(F.size("c.seeds") == 0).select(*keys, "c.start", "c.end", "c.fits", F.explode("c.patterns").alias("pattern"))
+    spans = open_.join(confident, "pattern").filter("array_contains(fits, kind)")
     best = spans.groupBy(*keys, "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    return best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
+    own = every.filter(F.get("c.seeds", F.lit(0)) == "secret").select(*keys, "c.start", "c.end", F.lit("secret").alias("kind"))
+    return best.unionByName(own).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
 
 
 def _joined(spans: Column) -> Column:
@@ -158,7 +220,7 @@ def _joined(spans: Column) -> Column:
 
 def _by_kind(spans: Column) -> Column:
     """Spans by kind, in the order of KINDS, then start."""
-    order = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
+    order = F.create_map(*(F.lit(x) for i, k in enumerate(LEARNT) for x in (k, i)))
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
@@ -168,9 +230,10 @@ def _count(kind: str) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, secrets) for each row of docs (doc_id, text).
 
-    The counts and base_sha256 are of the base spans, spans has all. Null counts as empty: no spans, empty strings.
+    The counts and base_sha256 are of the base spans; spans has these and all that were added; secrets has the spans of
+    kind `secret`, which is no personal data. Null counts as empty: no spans, empty strings.
     Repeated rows and null doc_ids each return a row; other columns are ignored; an empty table gives none.
     """
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -180,7 +243,8 @@ def find(docs: DataFrame) -> DataFrame:
     added = _found(some, patterns(some), ["row"])
     whole = rows.select("row", "doc_id", "base").join(added, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(f"array<{SPAN}>")))
     counts = [_count(k).alias(f"n_{k}") for k in KINDS]
-    return whole.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(_by_kind(F.concat("base", "found"))).alias("spans"))
+    of = lambda personal: F.filter("found", lambda s: (s["kind"] != "secret") if personal else (s["kind"] == "secret"))
+    return whole.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(_by_kind(F.concat("base", of(True)))).alias("spans"), _joined(of(False)).alias("secrets"))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -204,7 +268,7 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with all spans in text masked as [EMAIL], [IP], [CARD] or [PHONE]; a null text stays null.
+    """docs with all spans in text masked as [EMAIL], [IP], [CARD], [PHONE] or [SECRET]; a null text stays null.
 
     n_chars, where there is such a column, is counted again. Patterns are learnt from all rows first; the few documents in
     which they find spans meet their rows by doc_id and the text's hash.

@@ -30,56 +30,97 @@ def base(text):
     return out
 
 
-def allows(kind, x):
-    n, at = len(re.sub("[^0-9]", "", x)), bool(re.search(r"@|\(at\)|\[at\]", x))
-    if kind == "email" or at:
-        return at and kind == "email"
-    return {"ip": bool(re.search(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", x)), "card": 13 <= n <= 19, "phone": 7 <= n <= 15}[kind]
+AT = re.compile(r"@|\(at\)|\[at\]")
+
+
+def fits(x):
+    n = len(re.sub("[^0-9]", "", x))
+    if AT.search(x):
+        return {"email"}
+    if re.search("[A-Za-z]", x):
+        return {"secret"}
+    ok = {"ip": bool(re.search(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", x)), "card": 13 <= n <= 19, "phone": 7 <= n <= 15}
+    return {k for k in ok if ok[k]}
+
+
+def form(x):
+    if AT.search(x):
+        return re.sub(r"(?:[^\W_]|[._%+-])+", "x", x)[:64]
+    if re.search("[A-Za-z]", x):
+        return f"{'H' if re.fullmatch('[0-9A-Fa-f]+', x) else 'T'}{len(x)}"
+    return re.sub("[0-9]", "D", x)[:64]
+
+
+def shape(word, none):
+    runs = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c in "0123456789" else c for c in word)
+    return re.sub("(a)a+|(A)A+|(9)9+", lambda m: m[1] or m[2] or m[3], runs)[:8] or none
+
+
+def occurrences(i, text):
+    """(text's number, instance, start, end, seeds, patterns) of the candidates of a text, by other means than the operator's."""
+    spans, out = base(text), []
+    found = [m for m in re.finditer(pii.CANDIDATE, text, re.ASCII)]
+    for j, m in enumerate(found):
+        if not re.search("[A-Za-z]", m[0]) and not AT.search(m[0]) and len(re.sub("[^0-9]", "", m[0])) < pii.DIGITS:
+            continue
+        ends = [x.end() for x in found[max(j - 2, 0) : j]]
+        before = text[ends[-1] if ends else 0 : m.start()]
+        if ends:
+            before = text[ends[-2] if len(ends) > 1 else 0 : found[j - 1].start()][-64:] + "#" + before[-64:]
+        behind = text[m.end() : found[j + 1].start() if j + 1 < len(found) else len(text)][:64]
+        if j + 1 < len(found):
+            behind += "#" + text[found[j + 1].end() : found[j + 2].start() if j + 2 < len(found) else len(text)][:64]
+        words = [w for w in re.split(r"\s+", before[-64:], flags=re.ASCII) if w]
+        next_ = re.search(r"^[^\s]*\s+([^\s]+)", behind[:64], re.ASCII)
+        last, then, f = words[-1] if words else "", next_[1] if next_ else "", form(m[0])
+        ps = [f"L {words[-2]} {last}".lower().replace("l ", "L ", 1)] if len(words) > 1 else []
+        ps += [f"S {last.lower()} _ {then.lower()}"] if words and then else []
+        ps += [f"B {last.lower()} {f}"] if words else []
+        left, right = shape(last, "^"), shape(then, "$")
+        ps += [f"C {left} {f} {right}", f"P {left} {f}", f"N {f} {right}"]
+        seeds = [k for k, s, e in spans if s < m.end() and e > m.start()] or (["secret"] if re.search(pii.SECRET, m[0]) else [])
+        out.append((i, m[0], m.start(), m.end(), seeds, ps))
+    return out
 
 
 def brute(texts):
-    occurrences = []
-    for i, text in enumerate(texts):
-        spans, at = base(text), 0
-        found = list(re.finditer(pii.CANDIDATE, text, re.ASCII))
-        for j, m in enumerate(found):
-            rest = text[m.end() : found[j + 1].start() if j + 1 < len(found) else len(text)]
-            before = [w for w in re.split(r"\s+", text[at : m.start()][-64:].lower(), flags=re.ASCII) if w]
-            behind = re.search(r"^[^\s]*\s+([^\s]+)", rest[:64], re.ASCII)
-            ps = ([f"L {before[-2]} {before[-1]}"] if len(before) > 1 else []) + ([f"S {before[-1]} _ {behind[1].lower()}"] if before and behind else [])
-            occurrences.append((i, m[0], m.start(), m.end(), [k for k, s, e in spans if s < m.end() and e > m.start()], ps))
-            at = m.end()
+    found = [o for i, text in enumerate(texts) for o in occurrences(i, text)]
     edges, seed = Counter(), {}
-    for _, x, _, _, kinds, ps in occurrences:
+    for _, x, _, _, kinds, ps in found:
         for p in ps:
             edges[p, x] += 1
             if kinds:
                 seed[p, x] = min(seed.get((p, x), "z"), kinds[0])
-    scores = {}
+    seeds, total = {}, Counter()
     for (_, x), k in seed.items():
-        scores[x] = {min(k, *scores.get(x, {k: 0})): 1.0}
-    seeds, total = dict(scores), Counter()
+        seeds[x] = {min(k, *seeds.get(x, {k: 0})): 1.0}
     for (p, _), n in edges.items():
         total[p] += n
+    scores = dict(seeds)
     for _ in range(pii.ROUNDS):
-        w, support, conf = Counter(), Counter(), {}
+        w, support, known, conf = Counter(), Counter(), Counter(), {}
         for (p, x), n in edges.items():
             for k, s in scores.get(x, {}).items():
                 w[p, k] += n * s
+                known[p] += n * s
                 support[p, k] += s >= pii.USEFUL
-        conf = {pk: v / (total[pk[0]] + 1) for pk, v in w.items() if support[pk] >= pii.SUPPORT and v / (total[pk[0]] + 1) >= pii.USEFUL}
-        new = defaultdict(lambda: defaultdict(list))
+        for (p, k), v in w.items():
+            strict = p[0] in "LS"
+            c = v / (total[p] + 1) if strict else v / (known[p] + 1) * pii.KEPT[p[0]] if v >= pii.LEAST_SHARE * total[p] else 0
+            if support[p, k] >= pii.SUPPORT and c >= pii.USEFUL:
+                conf[p, k] = c
+        new = defaultdict(lambda: defaultdict(float))
         for p, x in edges:
-            if (p, x) not in seed:
-                for k in pii.KINDS:
-                    if (p, k) in conf and allows(k, x) and x not in seeds:
-                        new[x][k].append(conf[p, k])
-        scores = dict(seeds) | {x: {k: 1 - prod(1 - c for c in cs) for k, cs in by.items()} for x, by in new.items()}
+            if (p, x) not in seed and x not in seeds:
+                for k in fits(x):
+                    if (p, k) in conf:
+                        new[x][k] = max(new[x][k], conf[p, k])
+        scores = dict(seeds) | {x: dict(by) for x, by in new.items()}
     added = defaultdict(list)
-    for i, x, s, e, kinds, ps in occurrences:
-        best = max(((c, k) for p in ps for (q, k), c in conf.items() if q == p and c >= pii.CONFIDENCE and allows(k, x)), default=None)
-        if not kinds and best:
-            added[i].append((best[1], s, e))
+    for i, x, s, e, kinds, ps in found:
+        best = max(((c, k) for p in ps for (q, k), c in conf.items() if q == p and c >= pii.CONFIDENCE and k in fits(x)), default=None)
+        if "secret" in kinds or not kinds and best:
+            added[i].append((kinds[0] if kinds else best[1], s, e))
     return [(base(t), added[i]) for i, t in enumerate(texts)]
 
 
@@ -93,12 +134,14 @@ def make():
         seen = i % 4
         texts.append(f"words then please call me at {'+1 988 ' if seen else ''}555 {number(4)} for news number {i}")
         texts.append(f"text of order number {number(8)} was sent {number(9)} times")
+        texts.append(f"Paid by {'4539 1488 0343 6467' if i % 5 == 0 else ' '.join(number(4) for _ in range(4))} on {number(4)}")
+        texts.append(f"set token = {'x' * (i % 3) + '%040x' % rng.getrandbits(160)} and {'y' * 20}")
         texts.append(f"write to the desk via {'bob' + number(3)}@{'mail.org' if seen else 'localhost'} or not")
     return texts
 
 
 def joined(spans):
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), x[1])))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (pii.LEARNT.index(x[0]), x[1])))
 
 
 def test_matches_brute_force(spark):
@@ -109,9 +152,28 @@ def test_matches_brute_force(spark):
     for i, (own, added) in enumerate(brute(texts)):
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in own) for k in pii.KINDS], texts[i][:80]
         assert got[i].base_sha256 == hashlib.sha256(joined(own).encode()).hexdigest()
-        assert got[i].spans == joined(own + added)
-        extra += len(added)
-    assert extra == 20  # ten numbers and ten addresses that no base pattern finds
+        assert got[i].spans == joined(own + [x for x in added if x[0] != "secret"])
+        assert got[i].secrets == joined([x for x in added if x[0] == "secret"])
+        extra += sum(x[0] != "secret" for x in added)
+    assert extra >= 20  # ten numbers and ten addresses that no base pattern finds, and more
+
+
+def test_planted_identifiers_are_found_and_figures_left_alone(spark):
+    """Card-like numbers that fail the checksum, in contexts that never repeat, are found by their form; counts and years aren't."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abdeilnorstu") for _ in range(rng.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts, planted, figures = [], [], []
+    for _ in range(400):
+        number = "".join(rng.choice("0123456789") for _ in range(16))
+        head = some(9)
+        planted.append((len(head) + 1, len(head) + 17))
+        texts.append(f"{head} {number} {some(6)}")
+        figures.append(f"{some(5)} {rng.randrange(1900, 2100)} {some(5)} {rng.randrange(10**6)} {some(4)} {rng.randrange(10**9, 10**10)} {some(3)}")
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(i, t, 0, "", "", "") for i, t in enumerate(texts + figures)], SCHEMA)).collect()}
+    caught = sum(got[i].spans == f"card:{s}:{e}" for i, (s, e) in enumerate(planted))
+    assert caught == len(planted) and sum(got[i].n_card for i in range(400)) < 80
+    assert not any(got[i].spans for i in range(400, 800))
 
 
 def test_nulls_repeats_and_empty_tables(spark):
