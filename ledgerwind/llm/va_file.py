@@ -1,14 +1,18 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Components are scaled to integers and each dimension's range is cut into at most CELLS cells of equal width; a vector's
-approximation is the cell of each component, one byte each. Cells bound the score of a query q with an unread vector by
+Components are scaled to whole numbers and each dimension's range is cut into at most CELLS cells of equal width w; a vector's
+approximation is the cell c of each component, one byte each. A query q scores an unread vector between
 
-    sum_j q_j * (upper end of the cell if q_j > 0, else lower end),
+    s + sum_j min(q_j, 0) * (w_j - 1)   and   s + sum_j max(q_j, 0) * (w_j - 1),   s = sum_j q_j * (low_j + c_j * w_j).
 
-and from below the other way round. Vectors are dealt into shards by a hash. In each shard a block of queries scans the
-approximations; candidates whose upper bound is below the k-th highest lower bound go, and exact vectors of the rest are
-read in order of their bound until the next bound is below the k-th exact score, so the shard's result is certain. A
-query's k best over all shards are then its result. Of equal vectors in a shard only the k + 1 smallest ids can matter.
+Approximations are dealt into shards and queries into blocks; a block scans a shard's cells alone, and of these only vectors
+whose upper bound reaches the k-th highest lower bound go on, as (query, row, bound). The bounds of a query's shards meet, and
+exact vectors are read in order of the bound: FIRST * k of them first, then those whose bound still reaches the k-th exact
+score. After that no unread vector can belong to the result. Exact vectors are moved for these rows only.
+
+Of equal vectors only the k + 1 smallest ids can matter, so the rest are set aside before any query is asked. Scaled
+components are held as 64-bit floats, in which each is exact, and scores are summed in the cheapest exact way: floats
+below 2^52, 64-bit integers below 2^62, Python's integers beyond.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ from pyspark.sql import functions as F
 
 from ledgerwind.llm.shared import written
 
-SCALE, CELLS = 64, 64
-#: Vectors of a shard and queries of a block at most, on average; smaller shards only as far as there are tasks for them.
-SHARD, LEAST_SHARD, BLOCK = 4096, 256, 2048
-#: Queries whose bounds are held at once.
-STEP = 256
-#: Scaled components of a larger size take no part, as their products' sums would not fit a long.
-LARGEST = 1 << 26
+SCALE, CELLS, FIRST = 64, 64, 2
+#: Vectors of a shard and queries of a block at most, on average, and components; shards are smaller only as far as there are tasks for them.
+SHARD, LEAST_SHARD, BLOCK, SHARD_COMPONENTS, BLOCK_COMPONENTS = 1 << 17, 256, 1 << 14, 1 << 23, 1 << 21
+#: Bounds that a task holds at once.
+HELD = 1 << 22
+#: Scaled components of this size are an error: sums of their products can overflow a float, and no long can hold them.
+LARGEST = 2.0**500
 
 
 def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,17 +43,20 @@ def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if vec is None or not values.is_valid or not len(values.values) or values.values.null_count:
                 continue
             x = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if np.isfinite(x).all() and np.abs(x).max() < LARGEST / SCALE:
-                ids.append(vec)
-                dims.append(len(x))
-                rows.append(np.floor(SCALE * x).astype("<i4").tobytes())
+            if not np.isfinite(x).all():
+                continue
+            if np.abs(x).max() >= LARGEST / SCALE:
+                raise OverflowError(f"vector {vec} has a component of 2**494 or more")
+            ids.append(vec)
+            dims.append(len(x))
+            rows.append((np.floor(SCALE * x) + 0.0).astype("<f8").tobytes())  # + 0.0: no negative zeros
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(rows, pa.binary())], ["vec_id", "dim", "v"])
 
 
-def scaled(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, v) of the vectors that take part; of rows that repeat a vec_id, the one with the least bytes."""
+def scaled(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec_id, dim, v, m) of the vectors that take part; m is how often a row stands there, k at most."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_scaled, "vec_id long, dim int, v binary")
-    return rows.groupBy("vec_id").agg(F.min_by(F.struct("dim", "v"), F.struct("dim", "v")).alias("s")).select("vec_id", "s.dim", "s.v")
+    return rows.groupBy("vec_id", "dim", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,20 +64,20 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     most: dict[int, np.ndarray] = {}
     for batch in batches:
         for dim, v in zip(batch.column("dim").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            x = np.frombuffer(v, "<i4")
+            x = np.frombuffer(v, "<f8")
             least[dim] = np.minimum(least[dim], x) if dim in least else x
             most[dim] = np.maximum(most[dim], x) if dim in most else x
     for dim in least:
-        yield pa.RecordBatch.from_arrays([pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array(least[dim], pa.int32()), pa.array(most[dim], pa.int32())], ["dim", "j", "least", "most"])
+        yield pa.RecordBatch.from_arrays([pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array(least[dim]), pa.array(most[dim])], ["dim", "j", "least", "most"])
 
 
 def grids(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length of vectors: lower end, cell width and upper end of each component."""
-    found = rows.mapInArrow(_ranges, "dim int, j int, least int, most int").groupBy("dim", "j").agg(F.min("least").alias("least"), F.max("most").alias("most")).orderBy("dim", "j").collect()
+    """For each length of vectors: lower end, cell width and upper end of each component (a row a component comes to the driver)."""
+    found = rows.select("dim", "v").mapInArrow(_ranges, "dim int, j int, least double, most double").groupBy("dim", "j").agg(F.min("least").alias("least"), F.max("most").alias("most")).orderBy("dim", "j").collect()
     out = {}
     for dim in {r["dim"] for r in found}:
-        low, high = (np.array([r[c] for r in found if r["dim"] == dim], np.int64) for c in ("least", "most"))
-        out[dim] = low, (high - low) // CELLS + 1, high
+        low, high = (np.array([r[c] for r in found if r["dim"] == dim]) for c in ("least", "most"))
+        out[dim] = low, np.floor((high - low) / CELLS) + 1, high
     return out
 
 
@@ -80,79 +87,114 @@ def _approximated(grid: dict):
             cells = []
             for dim, v in zip(batch.column("dim").to_pylist(), batch.column("v").to_pylist(), strict=True):
                 low, width, _ = grid[dim]
-                cells.append(((np.frombuffer(v, "<i4") - low) // width).astype(np.uint8).tobytes())
+                cells.append(np.clip((np.frombuffer(v, "<f8") - low) // width, 0, CELLS - 1).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], [*batch.schema.names, "cells"])
 
     return run
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
+def scan(queries: pd.DataFrame, shard: pd.DataFrame, grid: tuple, k: int) -> pd.DataFrame:
+    """(q, row, upper, floor): the rows of a shard that may be among a query's k best by their cells, with their upper bounds.
 
-def search(queries: pd.DataFrame, shard: pd.DataFrame, grid: tuple, k: int) -> pd.DataFrame:
-    """(query_id, vec_id, score): each query's k best of a shard, its own row excepted."""
+    floor is the k-th highest lower bound of the shard; rows of the query's own vec_id take no part.
+    """
     low, width, high = grid
-    shard = shard.sort_values("vec_id")
-    shard = shard[shard.groupby("v").cumcount() <= k]
-    ids, dim = shard["vec_id"].to_numpy(), len(low)
-    cells = np.frombuffer(b"".join(shard["cells"]), np.uint8).reshape(-1, dim).astype(np.int64)
-    bottom = (low + cells * width).astype(np.float64)
-    top = np.minimum(bottom + width - 1, high)
-    vectors = np.frombuffer(b"".join(shard["v"]), "<i4").reshape(-1, dim)
-    asked, asked_ids = np.frombuffer(b"".join(queries["v"]), "<i4").reshape(-1, dim), queries["vec_id"].to_numpy()
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(asked), STEP):
-        q = asked[at : at + STEP].astype(np.float64)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        upper, lower = plus @ top.T + minus @ bottom.T, plus @ bottom.T + minus @ top.T
-        slack = 1e-12 * (np.abs(q) @ np.maximum(np.abs(top), np.abs(bottom)).T) if max(np.abs(q).max(initial=0), 1) * max(np.abs(top).max(initial=0), np.abs(bottom).max(initial=0), 1) * dim > 2**52 else 0.0
-        upper, lower = upper + slack, lower - slack
-        own = asked_ids[at : at + STEP, None] == ids
-        upper[own], lower[own] = -np.inf, -np.inf
-        floor = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(q), -np.inf)
-        for row in range(len(q)):
-            order = np.flatnonzero((upper[row] >= floor[row]) & (upper[row] > -np.inf))
-            order = order[np.argsort(-upper[row, order], kind="stable")]
-            scores, read, n = np.empty(0, np.int64), 0, 4 * k
-            one = asked[at + row].astype(np.int64)
-            while read < len(order):
-                if read >= k and upper[row, order[read]] < np.partition(scores, -k)[-k]:
-                    break  # no unread vector can score as high as the k-th
-                scores = np.concatenate([scores, vectors[order[read : read + n]].astype(np.int64) @ one])
-                read, n = min(read + n, len(order)), 2 * n
-            best = _best(scores, ids[order[:read]], k)
-            found.append((np.full(len(best), asked_ids[at + row]), ids[order[best]], scores[best]))
-    names = ["query_id", "vec_id", "score"]
-    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*found, strict=True), strict=True)} if found else {n: np.empty(0, np.int64) for n in names})
+    rows, ids, dim = shard["row"].to_numpy(), shard["vec_id"].to_numpy(), len(low)
+    cells = np.frombuffer(b"".join(shard["cells"]), np.uint8).reshape(-1, dim).astype(np.float64)
+    asked, asked_ids, numbers = np.frombuffer(b"".join(queries["v"]), "<f8").reshape(-1, dim), queries["vec_id"].to_numpy(), queries["q"].to_numpy()
+    reach = np.abs(low) + np.abs(high) + width * CELLS
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]
+    step = max(1, HELD // max(len(rows), 1))
+    for at in range(0, len(asked), step):
+        q = asked[at : at + step]
+        bounds = (q * width) @ cells.T
+        size = np.abs(q) @ reach
+        slack = np.where(size < 2**52, 0.0, size * max(2.0**-40, (dim + 16) * 2.0**-52))  # whole numbers below 2**52 are exact
+        up = q @ low + np.maximum(q, 0) @ (width - 1) + slack
+        down = q @ low + np.minimum(q, 0) @ (width - 1) - slack
+        bounds[asked_ids[at : at + step, None] == ids] = -np.inf
+        least = np.partition(bounds, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(q), -np.inf)
+        i, j = np.nonzero((bounds + up[:, None] >= (least + down)[:, None]) & (bounds > -np.inf))
+        found.append((numbers[at + i], rows[j], bounds[i, j] + up[i], (least + down)[i]))
+    return pd.DataFrame(dict(zip(("q", "row", "upper", "floor"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+
+def inner(q: np.ndarray, x: np.ndarray) -> list[int]:
+    """Exact inner products, row by row, of whole numbers held as floats."""
+    size, out = np.einsum("ij,ij->i", np.abs(q), np.abs(x)), np.einsum("ij,ij->i", q, x)
+    small = size < 2**52
+    sums = np.where(small, out, 0).astype(np.int64)
+    if len(some := np.flatnonzero(~small & (size < 2**62))):
+        with np.errstate(invalid="ignore"):  # a component beyond 64 bits can only meet zeros here
+            sums[some] = (q[some].astype(np.int64) * x[some].astype(np.int64)).sum(axis=1)
+    exact = sums.tolist()
+    for i in np.flatnonzero(size >= 2**62):
+        exact[i] = sum(int(a) * int(b) for a, b in zip(q[i], x[i], strict=True))
+    return exact
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Null stands for a score below all longs; one above them is an error, as it surely belongs to the result."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            dims, scores = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, object)
+            q, v = batch.column("qv").to_pylist(), batch.column("v").to_pylist()
+            for dim in np.unique(dims):
+                some = np.flatnonzero(dims == dim)
+                one, two = (np.frombuffer(b"".join([x[i] for i in some]), "<f8").reshape(-1, dim) for x in (q, v))
+                scores[some] = inner(one, two)
+            if max(scores, default=0) >= 1 << 63:
+                raise OverflowError("a score does not fit a long")
+            fitting = pa.array([s if s >= -1 << 63 else None for s in scores], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "query_id", "vec_id", "times")), fitting], ["q", "query_id", "vec_id", "times", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of each row of queries (vec_id) in vectors (vec_id, embedding).
 
     Scores are inner products of floor(64 * x), ties go to the smaller vec_id. Vectors that are null or empty, hold null or
-    non-finite components or components of 2**20 and more, or have no vec_id take no part, neither as queries nor as
-    candidates; nor do vectors of another length than the query's. Rows that repeat a vec_id count once (the least
-    bytes). Queries with fewer than k candidates get all of them; other columns are ignored; empty tables give none.
+    non-finite components, or have no vec_id take no part, neither as queries nor as candidates; nor do vectors of another
+    length than the query's. Rows that repeat a vec_id are candidates of their own, none of them for a query of that id; the
+    results of queries that repeat one are ranked together. Queries with fewer than k candidates get all of them. Vectors may
+    have any length and components of any size below 2**494, larger ones are an error, as is a score of the result that no
+    long can hold. Other columns are ignored; empty tables give none.
     """
     spark = vectors.sparkSession
-    rows = written(scaled(vectors), "vectors")
-    grid = grids(rows)
-    approximations = written(rows.mapInArrow(_approximated(grid), "vec_id long, dim int, v binary, cells binary"), "approximations")
-    asked = written(rows.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi"), "queries")
-    n, n_asked = approximations.count(), asked.count()
+    every = written(scaled(vectors, k), "vectors")
+    grid = grids(every)
+    distinct = every.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1).drop("n")
+    rows = written(distinct.mapInArrow(_approximated(grid), "vec_id long, dim int, v binary, m int, cells binary").withColumn("row", F.monotonically_increasing_id()), "approximations")
+    asked = every.join(queries.select(F.col("vec_id").cast("long")).distinct(), "vec_id", "left_semi")
+    asked = written(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
+    n, n_asked, widest = rows.count(), asked.count(), max(grid, default=1)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, blocks = max(-(-n // SHARD), min(-(-n // LEAST_SHARD), tasks), 1), max(-(-n_asked // BLOCK), 1)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = approximations.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    asking = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    per_shard, per_block = max(min(SHARD, SHARD_COMPONENTS // widest), 16), max(min(BLOCK, BLOCK_COMPONENTS // widest), 16)
+    shards, blocks = max(-(-n // per_shard), min(-(-n // LEAST_SHARD), tasks), 1), max(-(-n_asked // per_block), 1)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = rows.select("row", "vec_id", "dim", "cells", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), all_of(blocks).alias("block"))
+    asking = asked.select("q", "vec_id", "dim", "v", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), all_of(shards).alias("shard"))
     keys = ["dim", "shard", "block"]
 
     def both(asking: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if asking.empty or shard.empty:
-            return pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "vec_id", "score")})
-        return search(asking, shard, grid[int(shard["dim"].iloc[0])], k)
-
-    found = asking.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(both, "query_id long, vec_id long, score long")
+        return scan(asking, shard, grid[int((asking if shard.empty else shard)["dim"].iloc[0])], k)
+
+    bounds = asking.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(both, "q long, row long, upper double, floor double")
+    of = Window.partitionBy("q")
+    open_ = bounds.withColumn("least", F.max("floor").over(of)).filter("upper >= least")
+    open_ = written(open_.withColumn("at", F.row_number().over(of.orderBy(F.desc("upper")))).select("q", "row", "upper", "at"), "bounds")
+    exact = rows.select("row", "vec_id", "dim", "v", "m")
+    question = asked.select("q", F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("m").alias("qm"))
+
+    def read(some: DataFrame) -> DataFrame:
+        pairs = some.select("q", "row").join(exact, "row").join(question, "q").withColumn("times", F.least(F.col("m") * F.col("qm"), F.lit(k)))
+        return pairs.select("q", "query_id", "vec_id", "times", "dim", "qv", "v").mapInArrow(_scores, "q long, query_id long, vec_id long, times int, score long")
+
+    first = written(read(open_.filter(F.col("at") <= FIRST * k)), "exact")
+    kth = first.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter((F.col("at") == k) & F.col("score").isNotNull()).select("q", F.col("score").alias("kth"))
+    later = open_.filter(F.col("at") > FIRST * k).join(kth, "q", "left").filter("kth is null or upper >= kth")
+    scored = first.unionByName(read(later)).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("times"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    best = scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+    score = F.coalesce("score", F.raise_error(F.lit("a score of the result does not fit a long")).cast("long"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
