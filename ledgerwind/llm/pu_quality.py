@@ -1,31 +1,51 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives P are labelled rows of quality 1; unlabelled texts U are documents whose labels stay hidden. With the
-class prior pi and the logistic loss l, a linear model f on text features minimises
+Trusted positives P are labelled rows of quality 1; unlabelled texts U are all documents that may teach, their labels hidden.
+With the class prior pi and the logistic loss l, a linear model f on text features minimises
 
     pi * mean_P l(f) + max(0, mean_U l(-f) - pi * mean_P l(-f)),
 
-the second part being the risk of the negatives hidden in U; where it falls below zero, steps raise it again instead of
-over-fitting. The prior is the share of quality 1 among the labelled rows that may be learnt from. P and U are bounded
-hash samples of SAMPLE rows each at most, on which the driver fits; every document is scored on its whole text.
+the second part being the risk of the negatives hidden in U. As l(f) - l(-f) = -f, the sum without the maximum is convex, and
+damped Newton steps lower it. For the true prior the second part is the mean loss of negatives, so it can't be below zero,
+whatever f is; where a step would take it there, the prior is too high for that f and is lowered until the part is zero.
+
+The prior is estimated from P and U alone, by their scores under a first model fitted with pi = 1/2: of all thresholds, the
+share of U above it over the share of P above it is an upper bound of pi, and the least one (with a margin for chance) is taken.
+Labels of quality 0 teach nothing.
+
+U is all of the corpus: its means, risk, gradient and curvature are sums that Spark makes over a written table of features in
+one pass a step, in a fixed order of parts, so that runs agree to the bit. P is a hash sample of about SAMPLE labelled rows at
+most, which the driver holds. Every document is scored on its whole text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-#: Rows of positives and of unlabelled texts to fit on, at most about; the threshold of `predicted`.
+from ledgerwind.llm.shared import written
+
+#: Rows of positives to fit on, at most about; the threshold of `predicted`.
 SAMPLE, THRESHOLD = 20_000, 0.7
-STEPS, RATE, DECAY = 600, 0.05, 1e-4
+#: Newton steps of the first model and of the last one, at most; the fit ends where a step promises less than ENOUGH.
+STEPS, LAST_STEPS, ENOUGH = 10, 8, 1e-4
+#: Decay of weights, at any number of positives and shared by all of them.
+DECAY, SHRINK = 1e-2, 10.0
+#: Bins of scores and the chance of a wrong bound from which the prior is estimated; the prior's own bounds.
+BINS, CHANCE, LEAST_PRIOR, MOST_PRIOR = 1000, 0.1, 0.02, 0.98
+#: Parts whose sums one task adds up, and the tasks that do so at most.
+PARTS, ADDING = 64, 64
 SHAPES = 64
 #: Classes of bytes: A for capitals, a for other letters, 9 for digits; the rest stand for themselves.
 CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
@@ -67,27 +87,105 @@ class Model:
     bias: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(((x - self.mean) * self.scale) @ self.weights + self.bias, -40, 40)))
+        return _sigmoid(_standard(self.mean, self.scale, x) @ np.append(self.weights, self.bias))
+
+
+Sums = Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]
+
+
+def _standard(mean: np.ndarray, scale: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - mean) * scale, -20, 20), np.ones((len(x), 1))])
+
+
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """The model of least non-negative risk, by full-batch Adam."""
-    mean, deviation = unlabelled.mean(axis=0), unlabelled.std(axis=0)
+def minimise(p: np.ndarray, sums: Sums, mean: np.ndarray, scale: np.ndarray, prior: float, w: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """Weights of least risk from w on, and the prior; p holds standardised positives, sums adds a function of raw features over all of U."""
+    size, of_p, last = len(w), p.mean(axis=0), w
+    decay = (DECAY + SHRINK / len(p)) * np.append(np.ones(size - 1), 1e-3)
+
+    def of_u(w: np.ndarray):
+        def run(x: np.ndarray) -> np.ndarray:
+            u = _standard(mean, scale, x)
+            s = _sigmoid(u @ w)
+            return np.concatenate([[len(u), np.logaddexp(0, u @ w).sum()], u.T @ s, ((u * (s * (1 - s))[:, None]).T @ u).ravel()])
+
+        return run
+
+    for _ in range(steps + 1):
+        n, loss, *rest = sums(of_u(w))
+        prior = max(min(prior, loss / n / np.logaddexp(0, p @ w).mean()), LEAST_PRIOR)
+        slope, curve = np.array(rest[:size]) / n - prior * of_p + decay * w, np.array(rest[size:]).reshape(size, size) / n + np.diag(decay)
+        last, step = w, np.linalg.solve(curve, slope)
+        gain = float(np.sqrt(max(slope @ step, 0.0)))
+        if gain**2 < ENOUGH:
+            break
+        w = w - step / (1 + gain)
+    return last, prior
+
+
+def best_bin(p: np.ndarray, u: np.ndarray) -> float:
+    """The class prior, from the numbers of positives and of unlabelled texts in ascending bins of scores."""
+    above_p, above_u = (np.cumsum(x[::-1]) / x.sum() for x in (p, u))
+    margin = sum(np.sqrt(np.log(4 / CHANCE) / (2 * x.sum())) for x in (p, u))
+    at = int(np.argmin(np.where(above_p > 0, (above_u + margin) / np.maximum(above_p, 1e-12), np.inf)))
+    return float(np.clip(above_u[at] / above_p[at], LEAST_PRIOR, MOST_PRIOR))
+
+
+def fit_sums(positive: np.ndarray, sums: Sums, prior: float | None = None) -> Model:
+    """The model from raw features of positives and sums over U; without a prior, it is estimated."""
+    n, *moments = sums(lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    mean = np.array(moments[: len(moments) // 2]) / n
+    deviation = np.sqrt(np.maximum(np.array(moments[len(mean) :]) / n - mean * mean, 0))
     scale = np.where(deviation > 1e-6, 1 / np.maximum(deviation, 1e-6), 0.0)
-    with_one = lambda x: np.hstack([np.clip((x - mean) * scale, -20, 20), np.ones((len(x), 1))])
-    p, u = with_one(positive), with_one(unlabelled)
-    w, first, second = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-    for step in range(1, STEPS + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -40, 40))), 1 / (1 + np.exp(-np.clip(u @ w, -40, 40)))
-        hidden = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-        of_hidden = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        slope = prior * (p.T @ (sp - 1)) / len(p) + of_hidden if hidden >= 0 else -of_hidden
-        slope = slope + DECAY * np.append(w[:-1], 0)
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        w = w - RATE * (1 - step / (STEPS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    p = _standard(mean, scale, positive)
+    w = np.zeros(p.shape[1])
+    if prior is None:
+        w, _ = minimise(p, sums, mean, scale, 0.5, w, STEPS)
+        bins = lambda f: np.histogram(_sigmoid(f), BINS, (0, 1))[0].astype(np.float64)
+        prior = best_bin(bins(p @ w), sums(lambda x: bins(_standard(mean, scale, x) @ w)))
+    w, prior = minimise(p, sums, mean, scale, prior, w, LAST_STEPS + (0 if w.any() else STEPS))
     return Model(prior, mean, scale, w[:-1], float(w[-1]))
 
 
+def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The model from features in memory."""
+    return fit_sums(positive, lambda of: of(unlabelled), prior)
+
+
+def _summed(rows: DataFrame) -> Sums:
+    """Sums of a function over rows (x: array<float>), added in two levels: within a part, and over parts in their order."""
+
+    adding = min(-(-rows.rdd.getNumPartitions() // PARTS), ADDING)
+
+    def add(of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    found = of(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64))
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()])], ["part", "s"])
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, part = None, 0
+            for batch in batches:
+                for part, s in zip(batch.column("part").to_pylist(), batch.column("s"), strict=True):  # noqa: B007
+                    found = s.values.to_numpy()
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([total.tolist()])], ["part", "s"])
+
+        kind = "part long, s array<double>"
+        parts = rows.select("x").mapInArrow(within, kind).repartition(max(adding, 1), "part").sortWithinPartitions("part").mapInArrow(over, kind)
+        return np.sum([r["s"] for r in sorted(parts.collect(), key=lambda r: r["part"])], axis=0)  # ADDING rows at most
+
+    return add
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -109,24 +207,25 @@ def _sampled(rows: DataFrame, limit: int) -> DataFrame:
     return rows if n <= limit else rows.filter(part < limit / n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on docs (doc_id, text) and labels (doc_id, quality); held-out rows teach nothing. Without positives, scores are the prior."""
-    known = labels.select(F.col("doc_id").cast("long"), "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = known.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
-    prior = min(max((counts["good"] or 0) / max(counts["n"], 1), 0.02), 0.98)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull() & ~held_out())
-    of = _of_texts(_features_of, ArrayType(FloatType()))
-    chosen = _sampled(known.filter("quality = 1").select("doc_id"), sample)
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of docs (doc_id, text), written."""
+    return written(docs.select("doc_id", _of_texts(_features_of, ArrayType(FloatType()))("text").alias("x")), "features")
+
 
-    def rows(frame: DataFrame) -> np.ndarray:
-        got = sorted((r["doc_id"], r["x"]) for r in frame.select("doc_id", of("text").alias("x")).collect())  # about `sample` rows
-        return np.array([x for _, x in got], np.float64).reshape(-1, FEATURES)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rows: DataFrame | None = None) -> Model:
+    """Fits on docs (doc_id, text), or their features if these are given, and labels (doc_id, quality).
 
-    positive = rows(texts.join(F.broadcast(chosen), "doc_id", "left_semi"))  # the broadcast side has about `sample` ids
-    unlabelled = rows(_sampled(texts, sample))
-    if not len(positive) or not len(unlabelled):
-        return Model(prior, np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES), float(np.log(prior / (1 - prior))))
-    return fit_arrays(positive, unlabelled, prior)
+    Held-out rows teach nothing, neither with their labels nor as unlabelled texts. Without positives, all scores are LEAST_PRIOR.
+    """
+    known = labels.select(F.col("doc_id").cast("long"), "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = (featured(docs) if rows is None else rows).filter(~held_out())
+    chosen = _sampled(known.filter("quality = 1").select("doc_id"), sample).withColumnRenamed("doc_id", "_id")
+    # about `sample` ids are broadcast, and so many rows collected; repeated rows of an id count once
+    found = rows.filter("doc_id is not null").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    positive = np.array([x for _, x in sorted((r["doc_id"], r["x"]) for r in found)], np.float64).reshape(-1, FEATURES)
+    if not len(positive):
+        return Model(LEAST_PRIOR, np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES), float(np.log(LEAST_PRIOR / (1 - LEAST_PRIOR))))
+    return fit_sums(positive, _summed(rows))
 
 
 def scorer(model: Model):
@@ -136,6 +235,13 @@ def scorer(model: Model):
     return _of_texts(scores, DoubleType())
 
 
+def _of_features(model: Model):
+    def scores(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(x.tolist(), np.float64).reshape(-1, FEATURES)))
+
+    return F.pandas_udf(scores, DoubleType())
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
@@ -143,8 +249,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     repeated rows are scored each; of labels that disagree on a doc_id the lower one holds, others than 0 and 1 are
     ignored. Other columns are ignored; an empty table gives none.
     """
-    of = scorer(fit(docs, labels, sample))
-    scored = docs.select("doc_id", held_out().alias("held_out"), of("text").alias("score"))
+    rows = featured(docs)
+    of = _of_features(fit(docs, labels, sample, rows))
+    scored = rows.select("doc_id", held_out().alias("held_out"), of("x").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 

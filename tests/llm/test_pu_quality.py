@@ -56,6 +56,26 @@ def test_risk_never_goes_below_zero_and_prior_matters():
     assert pu.fit_arrays(p, u, 0.9).scores(u).mean() > scores.mean()
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled_alone():
+    rng = np.random.default_rng(2)
+    for share in (0.3, 0.6, 0.85):
+        n = int(4000 * share)
+        p, u = rng.normal(1.5, 1, (2000, 4)), np.vstack([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (4000 - n, 4))])
+        model = pu.fit_arrays(p, u)
+        assert abs(model.prior - share) < 0.06
+        assert (model.scores(u)[:n] > 0.5).mean() > 0.95 and (model.scores(u)[n:] < 0.5).mean() > 0.9
+
+
+def test_sums_over_parts_are_those_in_memory(spark):
+    rows, labels = make(400)
+    docs, known = spark.createDataFrame(rows, DOCS).repartition(7), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    good = {d for d, q, _ in labels if q == 1}
+    matrix = lambda some: np.array([pu.features(r[1].encode()) for r in some], np.float64)
+    want, got = pu.fit_arrays(matrix([r for r in taught if r[0] in good]), matrix(taught)), pu.fit(docs, known)
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and np.isclose(got.prior, want.prior)
+
+
 def test_no_labels_and_no_rows(spark):
     docs, none = spark.createDataFrame([(1, "a b", "", "")], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert pu.score(docs, none).first().score < 0.7
