@@ -7,7 +7,10 @@ corpus; only the counts of single tokens, which the vocabulary bounds, are broad
     p(w | v) = (c(v, w) + WEIGHT * p(w)) / (c(v) + WEIGHT),   p(w) = (c(w) + 1/2) / (n + V/2),
 
 a document's score is the mean over its tokens of -log2 p_target + log2 p_background: the lower, the more it is like the
-target. The background is the whole corpus.
+target. The background is the whole corpus, the target included. The models are matched in all but their texts: in vocabulary,
+events and smoothing, and no model scores a document that it was made of. A document's own counts are taken out of the
+background and, if it is of the target, out of the target model before it is scored; so a target document is judged by the
+other target documents, and one that occurs twice still meets its copy.
 
 Documents are scored in blocks of about BLOCK tokens. A block sends each of its distinct pairs once, with the block's
 counts, and gets the corpus's counts of these pairs back; so a common pair has one row a block, however often it occurs.
@@ -123,19 +126,42 @@ def single_counts(pairs: DataFrame, size: int) -> tuple[Counts, Counts]:
     return out[0], out[1]
 
 
-def losses(model: Counts, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of each pair's second token after its first, where counts are the pairs' own."""
-    before, after = pairs >> 32, pairs & ((1 << 32) - 1)
-    single = (model.tokens[after] + 0.5) / (model.tokens.sum() + 0.5 * len(model.tokens))
-    return -np.log2((counts + WEIGHT * single) / (model.contexts[before] + WEIGHT))
+def _own(document: np.ndarray, event: np.ndarray) -> np.ndarray:
+    """How often each step's event occurs in its document."""
+    order = np.lexsort((event, document))
+    d, e = document[order], event[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])]))
+    counts, out = np.diff([*first, len(d)]), np.empty(len(d))
+    out[order] = np.repeat(counts, counts)
+    return out
+
+
+@dataclass
+class Steps:
+    """The steps of a block of documents: tokens before and after, and how often their document has the pair and either one."""
+
+    before: np.ndarray
+    after: np.ndarray
+    document: np.ndarray
+    lengths: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.own_pair, self.own_before, self.own_after = (_own(self.document, x) for x in (slots(self.before, self.after), self.before, self.after))
+
+
+def losses(model: Counts, steps: Steps, counts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Bits of each step's second token after its first, where counts are the steps' pairs' own; inside: documents that the model holds."""
+    held = inside[steps.document]
+    single = (model.tokens[steps.after] - held * steps.own_after + 0.5) / (model.tokens.sum() - held * steps.lengths[steps.document] + 0.5 * len(model.tokens))
+    return -np.log2((counts - held * steps.own_pair + WEIGHT * single) / (model.contexts[steps.before] - held * steps.own_before + WEIGHT))
 
 
 def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of docs (doc_id, text).
 
     target_ids (doc_id) names the documents of the target; repeated or unknown ids and nulls change nothing. Losses are
-    mean bits a token, the end mark included (n_tokens counts it), so null and empty texts have one token. Without
-    target rows the target model is its smoothing alone. Repeated rows count and return each; a null doc_id is never of
+    mean bits a token, the end mark included (n_tokens counts it), so null and empty texts have one token; each row is left
+    out of the models that score it. Without (other) target rows the target model is its smoothing alone. Repeated rows count and return each; a null doc_id is never of
     the target; other columns are ignored; an empty table gives none.
     """
     spark, kind, size = docs.sparkSession, encoder(tokenizer).dtype.str, vocabulary(tokenizer)
@@ -153,14 +179,16 @@ def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, block: int = B
         target, background = shared.value
         before, after, starts = transitions(own.column("ids").to_pylist(), kind, size)
         pairs = known.column("pair").to_numpy()
-        order = np.argsort(pairs)
-        pairs, lengths = pairs[order], np.diff([*starts, len(after)])
-        at = np.searchsorted(pairs, slots(before, after))
-        one, two = (np.add.reduceat(losses(m, pairs, known.column(c).to_numpy()[order])[at], starts) / lengths for m, c in ((target, "target"), (background, "whole")))
+        order, lengths = np.argsort(pairs), np.diff([*starts, len(after)])
+        steps = Steps(before, after, np.repeat(np.arange(len(starts)), lengths), lengths)
+        at = order[np.searchsorted(pairs, slots(before, after), sorter=order)]
+        mine = own.column("target").to_numpy().astype(bool)
+        parts = ((target, "target", mine), (background, "whole", np.ones(len(mine), bool)))
+        one, two = (np.add.reduceat(losses(m, steps, known.column(c).to_numpy()[at], inside), starts) / lengths for m, c, inside in parts)
         return pa.Table.from_arrays([own.column("doc_id"), pa.array(lengths), pa.array(one), pa.array(two), pa.array(one - two)], NAMES)
 
     known = parts.select("block", "pair").join(counts, "pair")
-    texts = tokens.select("block", "doc_id", "ids").groupBy("block")
+    texts = tokens.select("block", "doc_id", "target", "ids").groupBy("block")
     return texts.cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 

@@ -10,27 +10,38 @@ from ledgerwind.llm.word_tokens import default_path
 DOCS = "doc_id long, text string, score string, target string"
 
 
-def brute(library, rows, target):
-    size = ce.vocabulary(default_path())
-    texts = [[size - 2, *library.encode(t or "", add_special_tokens=False).ids, size - 1] for _, t, *_ in rows]
+def steps(x):
+    return list(zip(x, x[1:], strict=False))
+
+
+def model(size, texts):
+    """The loss of a text, itself left out if it is one of the texts; all from counts of true pairs."""
+    pairs, tokens, contexts = Counter(), Counter(), Counter()
+    for x in texts:
+        for a, b in steps(x):
+            pairs[a, b] += 1
+            tokens[b] += 1
+            contexts[a] += 1
+    n = sum(tokens.values())
 
-    def model(chosen):
-        pairs, tokens, contexts = Counter(), Counter(), Counter()
-        for x in chosen:
-            for a, b in zip(x, x[1:], strict=False):
-                pairs[int(ce.slots(np.array([a]), np.array([b]))[0])] += 1
-                tokens[b] += 1
-                contexts[a] += 1
-        n = sum(tokens.values())
+    def loss(x, held):
+        own = Counter(steps(x)) if held else Counter()
+        own_tokens, own_contexts = Counter(), Counter()
+        for (a, b), m in own.items():
+            own_tokens[b] += m
+            own_contexts[a] += m
+        rest = n - sum(own.values())
+        single = lambda b: (tokens[b] - own_tokens[b] + 0.5) / (rest + size / 2)
+        return sum(-log2((pairs[a, b] - own[a, b] + 4 * single(b)) / (contexts[a] - own_contexts[a] + 4)) for a, b in steps(x)) / len(steps(x))
 
-        def loss(x):
-            steps = list(zip(x, x[1:], strict=False))
-            return sum(-log2((pairs[int(ce.slots(np.array([a]), np.array([b]))[0])] + 4 * (tokens[b] + 0.5) / (n + size / 2)) / (contexts[a] + 4)) for a, b in steps) / len(steps)
+    return loss
 
-        return loss
 
-    own, back = model([x for x, r in zip(texts, rows, strict=True) if r[0] in target]), model(texts)
-    return [(r[0], len(x) - 1, own(x), back(x)) for x, r in zip(texts, rows, strict=True)]
+def brute(library, rows, target):
+    size = ce.vocabulary(default_path())
+    texts = [[size - 2, *library.encode(t or "", add_special_tokens=False).ids, size - 1] for _, t, *_ in rows]
+    own, back = model(size, [x for x, r in zip(texts, rows, strict=True) if r[0] in target]), model(size, texts)
+    return [(r[0], len(x) - 1, own(x, r[0] in target), back(x, True)) for x, r in zip(texts, rows, strict=True)]
 
 
 @pytest.fixture(scope="module")
@@ -67,23 +78,11 @@ def test_no_target_and_no_rows(spark):
 
 def test_every_pair_has_a_count_of_its_own(spark, library):
     """Counts of true pairs over blocks of a few documents."""
-    rng, size = np.random.default_rng(4), ce.vocabulary(default_path())
+    rng = np.random.default_rng(4)
     words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("ar", "en", "ist", "o", "ul", "ym")]
     rows = [(i, " ".join(rng.choice(words, 900)), "", "") for i in range(90)] + [(7, "common pair " * 300, "", ""), (None, None, "", "")]
     target = {1, 7, 30, 55}
-    encoded = [[size - 2, *library.encode(t or "", add_special_tokens=False).ids, size - 1] for _, t, *_ in rows]
-
-    def model(chosen):
-        pairs = Counter(p for x in chosen for p in zip(x, x[1:], strict=False))
-        tokens, contexts = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            contexts[a] += n
-            tokens[b] += n
-        n = sum(tokens.values())
-        return lambda x: sum(-log2((pairs[a, b] + 4 * (tokens[b] + 0.5) / (n + size / 2)) / (contexts[a] + 4)) for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
-
-    own, back = model([x for x, r in zip(encoded, rows, strict=True) if r[0] in target]), model(encoded)
-    want = sorted((str(r[0]), len(x) - 1, own(x), back(x)) for x, r in zip(encoded, rows, strict=True))
+    want = sorted((str(d), *rest) for d, *rest in brute(library, rows, target))
     docs, ids = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame([(x,) for x in target], "doc_id long")
     for block in (1, 5000, ce.BLOCK):
         got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in ce.score(docs, ids, default_path(), block).collect())
@@ -95,3 +94,13 @@ def test_pairs_of_the_whole_vocabulary_are_told_apart():
     size = ce.vocabulary(default_path())
     before, after = np.random.default_rng(5).integers(0, size, (2, 300_000))
     assert len(np.unique(ce.slots(before, after))) == len(np.unique(before * size + after))
+
+
+def test_documents_are_left_out_of_the_models_that_score_them(spark):
+    """Of two equal documents each meets the other; alone, a document of new pairs has none of them."""
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words, 200)), "", "") for i in range(60)]
+    rows.append((100, rows[5][1], "", ""))
+    got = {r.doc_id: r.background_loss for r in ce.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1,), (5,)], "doc_id long"), default_path()).collect()}
+    assert got[5] == got[100] and got[5] < min(v for d, v in got.items() if d not in (5, 100)) - 1

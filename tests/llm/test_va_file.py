@@ -46,6 +46,7 @@ def test_large_components_and_long_vectors(spark, largest):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=3000).tolist(), "x") for i in range(40)]
     rows += [(100 + i, (rng.normal(size=3000) * (largest if largest < 2**30 else 1)).tolist(), "x") for i in range(10)]
+    rows = [(i, [abs(x) for x in e[:6]] + e[6:], x) for i, e, x in rows]
     rows += [(200, [-largest] * 6 + [0.0] * 2994, "x"), (201, [1.0] * 6 + [0.0] * 2994, "x")]
     df = spark.createDataFrame(rows, SCHEMA)
     asked = [3, 100, 201, 7]
