@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerwind.llm.shared import written
 
-SCALE, CELLS, FIRST = 64, 64, 2
+SCALE, CELLS, FIRST = 64, 256, 2
 #: Vectors of a shard and queries of a block at most, on average, and components; shards are smaller only as far as there are tasks for them.
 SHARD, LEAST_SHARD, BLOCK, SHARD_COMPONENTS, BLOCK_COMPONENTS = 1 << 17, 256, 1 << 14, 1 << 23, 1 << 21
 #: Bounds that a task holds at once.
