@@ -30,6 +30,8 @@ from ledgerwind.llm.word_tokens import encoder, slices
 
 MASK = 0xA282EAD8
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<Bq")
+#: Bytes of text of a shard, on average. A task reads a shard whole, and no row of Spark can hold 2 GB.
+SHARD_BYTES = 256 << 20
 #: Shards whose token counts one task adds up.
 SHARDS_A_BLOCK = 4096
 
@@ -78,16 +80,27 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int, shards
     """Writes docs (doc_id, text), encoded with an end id each, as shards in ascending doc_id order, and their index.
 
     Null texts count as empty, null doc_ids come first, repeated rows are all written (in any order among one
-    doc_id's rows); other columns are ignored. An empty table gives an empty index.
+    doc_id's rows, which may fill several shards); other columns are ignored. An empty table gives an empty index. There are
+    `shards` shards, or as many as Spark shuffles to, or more if these would hold over SHARD_BYTES of text on average; the
+    table's own estimate of its size tells, or, where it has none, a sum over the texts. A single text must stay well
+    below 2 GB, as in Spark itself.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), text_bytes()).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes())
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_size(rows) // SHARD_BYTES))
+    tie = [F.xxhash64("text"), F.spark_partition_id()]  # rows of one doc_id are dealt by these
+    ordered = rows.repartitionByRange(shards, "doc_id", *tie).sortWithinPartitions("doc_id")
     ordered.mapInArrow(_framed(tokenizer, end), "record binary").select(F.col("record").cast("string")).write.text(f"{folder}/data")
     found = written(_shards(spark, folder).mapInArrow(_scan, "shard long, record long, offset long, length long, doc_id long, n_tokens long"), "record-offsets")
     _with_starts(found).write.parquet(f"{folder}/index")
 
 
+def _size(rows: DataFrame) -> int:
+    """Bytes of the texts, about: compressed files are taken to hold three times their size."""
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 3 * estimate if estimate < 1 << 60 else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def _shards(spark: SparkSession, folder: str) -> DataFrame:
     shard = F.regexp_extract("path", r"part-([0-9]+)[^/]*$", 1).cast("long")
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/data").select(shard.alias("shard"), "content")
@@ -139,10 +152,32 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return _shards(spark, folder).mapInArrow(_sequences, "shard long, offset long, doc_id long, ids binary")
 
 
+def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, content, wanted in zip(batch.column("shard").to_pylist(), batch.column("content"), batch.column("wanted").to_pylist(), strict=True):
+            data = memoryview(content.as_buffer())
+            for at in range(0, len(wanted), 4096):
+                part = wanted[at : at + 4096]
+                docs = [ids_of(unframe(data, w["offset"])[0]) for w in part]
+                columns = [pa.array([shard] * len(part), pa.int64()), pa.array([w["offset"] for w in part], pa.int64()), pa.array([w["order"] for w in part], pa.int64()), pa.array([d for d, _ in docs], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([i.astype("<u4").tobytes() for _, i in docs], pa.binary())], ["shard", "offset", "order", "doc_id", "ids"])
+
+
+def _seek(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """Records at (shard, offset, order), by jumping there; a row a shard is joined, not a row a record."""
+    places = wanted.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("offset", "order"))).alias("wanted"))
+    return _shards(spark, folder).join(places, "shard").mapInArrow(_sought, "shard long, offset long, order long, doc_id long, ids binary")
+
+
+def read_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """(shard, offset, doc_id, ids) of the records at wanted (shard, offset), rows of the index; no other record is read or checked."""
+    return _seek(spark, folder, wanted.select("shard", "offset", F.lit(0).cast("long").alias("order"))).drop("order")
+
+
 def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
-    """All records in a random order that the seed fixes; the index alone is shuffled, then meets its records."""
+    """All records in a random order that the seed fixes: the index is shuffled, and its places are read from the shards."""
     order = read_index(spark, folder).select("shard", "offset", F.xxhash64("shard", "offset", F.lit(seed)).alias("order"))
-    return read_records(spark, folder).join(order, ["shard", "offset"]).orderBy("order", "shard", "offset").drop("order")
+    return _seek(spark, folder, order).orderBy("order", "shard", "offset").drop("order")
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
