@@ -7,12 +7,15 @@ closed form: with the queues' summed shares F_q(x) after x tokens in all, queue
 
     C_q(w) = floor(F_q(w * size)) - floor(F_(q-1)(w * size))
 
-tokens, never a whole token off its share, and the queues together exactly w * size. So every task cuts its own
-documents with the deficits of all earlier windows and partitions carried in, and no task follows another.
-
-Shares are the sources' own by default (all queues end together), or given targets; then a queue that runs out
-leaves its share to the rest, in their proportions. A source with a share of under two tokens a window joins a common
-queue of small sources; so there are at most size / 2 + 1 queues, a proven bound for what the driver and the tasks hold.
+tokens, never a whole token off its share, and the queues together exactly w * size. Queues whose quantum is below a token
+give floor(share * w * size) instead, their credit below one carrying on, and the others share what these leave. So every
+task cuts its own documents with the deficits of all earlier windows and partitions carried in, and no task follows another.
+
+Shares are the sources' own by default (all queues end together), or given targets; sources without one share what the
+targets leave, in proportion to their tokens. The window in which a queue runs out is filled by the others, which from then on
+have its share, in their proportions. A source without a target and with under two tokens a window joins a common queue of
+small sources; so there are at most size / 2 + 1 queues besides the targets', a proven bound for what the driver and the
+tasks hold.
 In the common queue documents stand by their place as a fraction of their source's tokens, so that at each point of it every
 small source has given its share to within about a document. Every window serves every queue, but a common queue with
 under one token a window is served in some windows only.
@@ -24,6 +27,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import accumulate
 from math import lcm
 from zlib import crc32
 
@@ -37,17 +41,37 @@ from ledgerwind.llm.shared import text_bytes, written
 from ledgerwind.llm.word_tokens import encoder, slices
 
 SIZE = 4096
+#: Sum of a phase's rates up to which weights are exact; beyond, they are rounded to this sum.
+EXACT = 1 << 64
 #: Rows of the table of queue offsets up to which it is broadcast (about 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
+@dataclass
+class Phase:
+    """Windows from `start` on in which the same queues have tokens, and what queues have given before: sums over queues."""
+
+    start: int
+    base: list[int]
+    rates: list[int]
+    tiny: list[tuple[int, int]]
+    d: int
+
+    def upto(self, queue: int, tokens: int) -> int:
+        """What the queues up to this one have given when all have given so many tokens in this phase."""
+        if not self.d:
+            return self.base[queue]
+        rest = tokens - sum(rate * tokens // self.d for _, rate in self.tiny)
+        return self.base[queue] + self.rates[queue] * rest // self.rates[-1] + sum(rate * tokens // self.d for q, rate in self.tiny if q <= queue)
+
+
 @dataclass
 class Mixture:
-    """The queues' cumulative allotments: from token `at` on, F_q(x) = (a[q] * x + b[q]) / d."""
+    """The queues' cumulative allotments by window, phase by phase."""
 
     size: int
     total: int
-    phases: list[tuple[Fraction, list[int], list[int], int]]
+    phases: list[Phase]
 
     @property
     def windows(self) -> int:
@@ -55,10 +79,9 @@ class Mixture:
 
     def bounds(self, queue: int, window: int) -> tuple[int, int]:
         """Tokens that the queues before this one, and with it, have given by the start of a window."""
-        x = min(window * self.size, self.total)
-        phase = self.phases[0] if len(self.phases) == 1 else self.phases[bisect_right(self.phases, x, key=lambda p: p[0]) - 1]
-        _, a, b, d = phase
-        return (a[queue - 1] * x + b[queue - 1]) // d if queue else 0, (a[queue] * x + b[queue]) // d
+        phase = self.phases[bisect_right(self.phases, window, key=lambda p: p.start) - 1]
+        tokens = (window - phase.start) * self.size
+        return phase.upto(queue - 1, tokens) if queue else 0, phase.upto(queue, tokens)
 
     def given(self, queue: int, window: int) -> int:
         low, high = self.bounds(queue, window)
@@ -79,18 +102,55 @@ class Mixture:
             window, low, high = window + 1, next_low, next_high
 
 
-def mixture(tokens: list[int], targets: list[Fraction], size: int) -> Mixture:
-    """Allotments of queues with so many tokens, served in proportion to the targets until each has run out."""
-    left, x, phases = [Fraction(t) for t in tokens], Fraction(0), []
-    while any(left):
-        rates = [t if n else Fraction(0) for n, t in zip(left, targets, strict=True)]
-        rates = [r / sum(rates) for r in rates]
-        step = min(n / r for n, r in zip(left, rates, strict=True) if r)
-        given = [t - n for t, n in zip(tokens, left, strict=True)]
-        cum_rate, cum_base = np.cumsum(rates), np.cumsum([g - r * x for g, r in zip(given, rates, strict=True)])
-        d = lcm(*(f.denominator for f in [*cum_rate, *cum_base]))
-        phases.append((x, [int(f * d) for f in cum_rate], [int(f * d) for f in cum_base], d))
-        left, x = [n - r * step for n, r in zip(left, rates, strict=True)], x + step
+def _rates(weights: list[Fraction], left: list[int]) -> list[int]:
+    """Whole rates of the queues that have tokens left; weights of zero count only among themselves."""
+    some = [w if n else 0 for w, n in zip(weights, left, strict=True)]
+    some = some if any(some) else left
+    scale = lcm(*(Fraction(w).denominator for w in some))
+    if scale * sum(some) > EXACT:
+        scale = Fraction(EXACT, 1) / sum(some)
+    return [max(int(w * scale), 1) if w else 0 for w in some]
+
+
+def _phase(start: int, given: list[int], rates: list[int], size: int) -> Phase:
+    """The next phase; if a quantum is below a token, quanta below two are tiny, which keeps the others' gifts from shrinking."""
+    d, tiny = sum(rates), []
+    if any(r and r * size < d for r in rates):
+        tiny = [(q, r) for q, r in enumerate(rates) if r and r * size < 2 * d]
+        if 2 * len(tiny) > size - sum(r * size / d for _, r in tiny):
+            raise ValueError("too many targets of under two tokens a window")
+    small = {q for q, _ in tiny}
+    return Phase(start, list(accumulate(given)), list(accumulate(0 if q in small else r for q, r in enumerate(rates))), tiny, d)
+
+
+def mixture(tokens: list[int], weights: list[Fraction], size: int) -> Mixture:
+    """Allotments of queues with so many tokens, served in proportion to the weights until each has run out."""
+    given, start, phases, queues = [0] * len(tokens), 0, [], range(len(tokens))
+    while given != tokens:
+        left = [n - g for n, g in zip(tokens, given, strict=True)]
+        rates = _rates(weights, left)
+        phase = _phase(start, given, rates, size)
+        phases.append(phase)
+        own = lambda q, w: phase.upto(q, w * size) - (phase.upto(q - 1, w * size) if q else 0)  # noqa: B023, E731
+        # a queue surely lasts for the first and has surely ended after the last of these windows
+        last = min((2 * n + 4 * size) * phase.d // (r * size) + 2 for n, r in zip(left, rates, strict=True) if r)
+        whole = bisect_right(range(min(last, sum(left) // size) + 1), False, key=lambda w: any(own(q, w) > tokens[q] for q in queues if rates[q])) - 1  # noqa: B023
+        now = [own(q, whole) for q in queues]
+        wanted = [own(q, whole + 1) - g if r else 0 for q, (g, r) in enumerate(zip(now, rates, strict=True))]
+        room = min(size, sum(tokens) - sum(now))
+        for q in queues:  # the window in which a queue runs out, or the last one
+            gift = min(wanted[q], tokens[q] - now[q], room)
+            now[q], room = now[q] + gift, room - gift
+        while room:
+            open_ = [q for q in queues if now[q] < tokens[q]]
+            part = _rates([weights[q] for q in open_], [tokens[q] - now[q] for q in open_])
+            gifts = {q: min(room * r // sum(part), tokens[q] - now[q]) for q, r in zip(open_, part, strict=True)}
+            if not any(gifts.values()):
+                gifts = {next(q for q, r in zip(open_, part, strict=True) if r): 1}
+            for q, gift in gifts.items():
+                now[q], room = now[q] + gift, room - gift
+        given, start = now, start + whole + 1
+    phases.append(Phase(start, list(accumulate(tokens)), [], [], 0))
     return Mixture(size, sum(tokens), phases)
 
 
@@ -146,6 +206,15 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = int(ends[-1]) if len(n) else given
 
 
+def _weights(queues: list[str | None], counts: list[int], targets: dict[str, float]) -> list[Fraction]:
+    """Targets of the queues that have one; the others share the rest by their tokens."""
+    given = {q: Fraction(str(t)) for q, t in targets.items()}
+    if any(t < 0 for t in given.values()):
+        raise ValueError("a target must not be negative")
+    rest, others = max(Fraction(1) - sum(given.values()), Fraction(0)), sum(n for q, n in zip(queues, counts, strict=True) if q not in given)
+    return [given[q] if q in given else rest * n / others for q, n in zip(queues, counts, strict=True)]
+
+
 PLACED = ["doc_id", "queue", "start", "n", "ids"]
 
 
@@ -168,21 +237,19 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, targets: d
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (array<int>). Each document is
     its text's ids (null: none) and the end id; all ids lie in exactly one piece. A null source is a queue as any
-    other. Repeated rows and ids are packed each for itself; other columns are ignored; an empty table gives none.
+    other. targets holds shares of tokens by source, small sources included; a source with target 0 comes last. Repeated rows and ids are packed each for itself; other columns are ignored; an empty table gives none.
     """
     spark, width = docs.sparkSession, encoder(tokenizer).dtype.itemsize
     tokens = written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_bytes()).mapInArrow(_tokens(tokenizer, end), "part int, doc_id long, source string, n long, before long, ids binary"), "tokens")
     parts = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-parts")
     sums = parts.groupBy("source").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
-    large = sums.filter(F.col("n") * size >= 2 * total).orderBy("source").collect() if total else []  # at most size / 2 rows
+    named = F.coalesce(F.col("source").isin(list(targets or {})), F.lit(False))
+    large = sums.filter((F.col("n") * size >= 2 * total) | named).orderBy("source").collect() if total else []  # at most size / 2 rows and the targets'
     queues, counts = [r["source"] for r in large], [r["n"] for r in large]
     if small := total - sum(counts):
         counts.append(small)
-    shares = [Fraction(n, max(total, 1)) for n in counts]
-    if targets:
-        shares = [max(Fraction(targets.get(q, 0)).limit_denominator(10**6), Fraction(2, size)) for q in [*queues, *["small"] * (len(counts) - len(queues))]]
-    mix = mixture(counts, shares, size)
+    mix = mixture(counts, _weights([*queues, *[None] * (len(counts) - len(queues))], counts, targets or {}), size)
     known = spark.createDataFrame([(q, i) for i, q in enumerate(queues)], "source string, queue int")
     of = sums.join(F.broadcast(known), sums["source"].eqNullSafe(known["source"]), "left").select(sums["source"].alias("s"), F.col("n").alias("source_n"), "queue")
     starts = parts.withColumn("in_source", _prefix("n", Window.partitionBy("source").orderBy("part")))

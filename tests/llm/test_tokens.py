@@ -155,3 +155,57 @@ def test_small_sources_beside_large_ones_are_spread(spark):
     few, last = [p.sequence_id for p in pieces if p.doc_id >= 1000], max(p.sequence_id for p in pieces)
     assert min(few) < last / 5 and max(few) > last * 4 / 5
     assert all(sum(n in range(q * last // 4, (q + 1) * last // 4 + 1) for n in few) >= 5 for q in range(4))
+
+
+def test_targets_hold_for_small_sources_and_rest_is_shared(spark):
+    rows = [(i, "large", "word " * 200) for i in range(60)] + [(1000 + i, "rare", "word") for i in range(12)] + [(2000 + i, "late", "word " * 9) for i in range(9)] + [(3000 + i, "b", "word " * 100) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    pieces = packing.pack(docs, default_path(), 2, 128, {"rare": 0.01, "late": 0.0}).collect()
+    assert sum(p.length for p in pieces) == 60 * 201 + 12 * 2 + 9 * 10 + 30 * 101
+    first = [p.sequence_id for p in pieces if p.doc_id // 1000 == 1]
+    assert max(first) <= 24 / 1.28 + 1  # 24 tokens at 1.28 a window
+    assert min(p.sequence_id for p in pieces if p.doc_id // 1000 == 2) >= max(p.sequence_id for p in pieces if p.doc_id // 1000 != 2)
+    share = sum(p.length for p in pieces if p.doc_id < 1000 and p.sequence_id < 40) / sum(p.length for p in pieces if p.doc_id // 1000 == 3 and p.sequence_id < 40)
+    assert abs(share - 60 * 201 / (30 * 101)) < 0.2
+
+
+def test_allotments_with_many_phases_never_shrink_and_keep_the_shares():
+    rng = random.Random(8)
+    for i in range(300):
+        size = rng.choice([4, 16, 64])
+        tokens = [rng.randrange(1, 900) for _ in range(rng.randrange(1, 7 if size > 4 else 3))]
+        weights = [Fraction(rng.choice([0, 1, 2, 5, 9, rng.randrange(1, 200)]), rng.choice([1, 3, 7, 400])) for _ in tokens]
+        try:
+            mix = packing.mixture(tokens, weights, size)
+        except ValueError:
+            assert size == 4
+            continue
+        queues = range(len(tokens))
+        assert [mix.given(q, mix.windows) for q in queues] == tokens, i
+        for w in range(mix.windows):
+            step = [mix.given(q, w + 1) - mix.given(q, w) for q in queues]
+            assert min(step) >= 0 and sum(step) == min(size, sum(tokens) - size * w), (i, w)
+        shared = [q for q in queues if weights[q]]
+        if shared:  # until the first queue ends, each is near its share
+            end = min(next(x for x in range(mix.windows + 1) if mix.given(q, x) == tokens[q]) for q in shared)
+            assert all(abs(mix.given(q, x) - x * size * weights[q] / sum(weights)) < 1 + len(tokens) for q in queues for x in range(end)), i
+
+
+def test_shards_are_read_by_offset(spark, library):
+    rows, docs = frame_of(spark)
+    folder = shared_path(spark, "records-test")
+    records.write_records(docs, folder, default_path(), end=1, shards=4)
+    index = records.read_index(spark, folder)
+    wanted = index.filter("doc_id in (2, 7)").select("shard", "offset")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in records.read_at(spark, folder, wanted).collect()}
+    assert got == {doc: [*ids(library, text), 1] for doc, text, *_ in rows if doc in (2, 7)}
+
+
+def test_rows_of_one_doc_id_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i} " * 20) for i in range(3000)], "doc_id long, text string").repartition(6)
+    folder = shared_path(spark, "records-test")
+    records.write_records(docs, folder, default_path(), end=1, shards=8)
+    sizes = [r[1] for r in records.read_index(spark, folder).groupBy("shard").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 3 * 3000 / 8
+    got = records.read_index(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda d: -1 if d is None else d)
