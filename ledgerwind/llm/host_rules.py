@@ -116,8 +116,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns. Texts are read twice and never shuffled."""
-    checked = docs.select(F.col("source").cast("string"), rules(F.col("text")).alias("rules"))
-    hosts = verdicts(checked)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("source").cast("string"), rules(F.col("text")).alias("rules"))
-    return _judged(whole, hosts).filter("kept").select("doc.*")
+    """The rows of docs that judge() keeps, with their columns.
+
+    Rules are evaluated once, beside a written copy of the rows that pass the base rules; texts are never shuffled.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    ruled = docs.select(whole.alias("doc"), F.col("source").cast("string"), rules(F.col("text")).alias("rules"))
+    checked = written(ruled.withColumn("doc", F.when(~F.col("rules.base_failed"), F.col("doc"))), "ruled")
+    return _judged(checked, verdicts(checked.select("source", "rules"))).filter("kept").select("doc.*")
