@@ -257,10 +257,11 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component, the rows' smallest doc_id stays, once.
+    """docs without near-duplicates: of each component, the rows of the smallest doc_id stay, each text once.
 
-    Rows without a doc_id all stay, as nothing tells them apart; columns are those of docs.
+    Different texts that share this doc_id all stay, as none of them is known to be the other's copy. Rows without a
+    doc_id all stay, as nothing tells them apart; columns are those of docs. Texts move in one shuffle, by doc_id.
     """
     kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    whole = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    whole = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return whole.unionByName(docs.filter("doc_id is null"))
