@@ -11,6 +11,7 @@ from ledgerwind.llm.word_tokens import default_path
 
 
 def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for each vec_id divisible by 20; ties, nulls and repeats as va_file.top_k says."""
     vectors = table(spark, sf_dir, "embeddings")
     return va_file.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
@@ -32,20 +33,24 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 
 def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as records, read back: doc_id, start, n_tokens, ids_crc32; edge rows as records.write_records says."""
     folder = shared_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), folder, default_path(), end=1)
     return records.digests(spark, folder)
 
 
 def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: base counts and digest, all spans, and secrets; edge rows as pii_bootstrap.find says."""
     return pii_bootstrap.find(table(spark, sf_dir, "documents"))
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into sequences of 4096 ids in the sources' proportions; edge rows as packing.pack says."""
     return packing.pack(table(spark, sf_dir, "documents"), default_path(), end=2).select(*packing.NAMES)
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts for documents; edge rows as host_rules.judge says."""
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
@@ -89,26 +94,51 @@ FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
 
 
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of documents, as digests; edge rows as bpe_transducer.digests says."""
     return bpe_transducer.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents; edge rows as pu_quality.score says."""
     return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations and conversation -1, made a log, folded, formatted and read back; edge rows as chat_events says."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_events.read_back(chat_events.format_log(chat_events.from_turns(rows)))
 
 
+#: Escaping puts one character into each control string and each backslash, so lengths need only their number.
+OP8_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), turns AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/MSG\]')) AS body,
+        CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 4
+            ELSE 21 + length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/MSG\]')) END AS marks
+    FROM rows
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(3 + sum(body + marks) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of documents, those of quality 1 being the target; edge rows as cross_entropy.score says."""
     good = table(spark, sf_dir, "labels").filter("quality = 1")
     return cross_entropy.score(table(spark, sf_dir, "documents"), good, default_path())
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of documents; edge rows as simhash_golay.near_duplicates says."""
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -124,4 +154,4 @@ QUERIES = {
     "op9_cross_entropy": op9_cross_entropy,
     "op10_simhash_golay": op10_simhash_golay,
 }
-ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL, "op8_chat_events": OP8_SQL}

@@ -1,7 +1,7 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log has rows (conv_id, seq, tie, message, part, kind, role, text). Within a conversation, events apply in the order of
-(seq, tie, message, part):
+A log has rows (conv_id, seq, tie, part, message, kind, role, text). Within a conversation, events apply in the order of
+(seq, tie, part, message):
 
     start       opens a message with a role and a first text
     delta       appends text to a message
@@ -24,14 +24,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of one delta when rows by turn become a log, unless the text has more than DELTAS of them.
 DELTA, DELTAS = 256, 64
+#: What happens to a message before its final text: nothing; a draft and an edit to the whole text; a draft and an edit
+#: to nothing; a draft, a message after it, and a regeneration that drops both.
+WAYS = 4
 
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/MSG\]")
-ORDER = ["conv_id", "seq", "tie", "message", "part"]
+ORDER = ["conv_id", "seq", "tie", "part", "message"]
 Turn = tuple[str, str]
 
 
@@ -78,18 +81,35 @@ def parse(formatted: str) -> list[Turn]:
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
-    """The log of a table of rows by turn (conv_id, turn, role, text): a start and streamed deltas for each row.
+    """The log of a table of rows by turn (conv_id, turn, role, text) as a chat service would have left it.
 
-    A null text or role counts as empty. Rows that repeat a turn are messages of their own, ordered by role and text.
+    Each row is a message that is opened and streamed in deltas. By a hash of the row, three of four were first a draft (the
+    text's first code points backwards), which was edited into the final text, or emptied by an edit and streamed again, or
+    answered and then regenerated; all fold back to the rows. A null text or role counts as empty. Rows that repeat a turn
+    are messages of their own, ordered by role and a hash of the text, those that agree in both by their place in the table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    base = rows.select("conv_id", F.col("turn").cast("long").alias("seq"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("message"))
+    base = base.withColumn("tie", F.concat("role", F.lit("\x00"), F.hex(F.xxhash64("text")), F.lpad(F.hex("message"), 16, "0")))
     step = F.greatest(F.lit(DELTA), F.ceil(F.length("text") / DELTAS).cast("int"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), step)
-    base = rows.select("conv_id", F.col("turn").cast("long").alias("seq"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("message"))
-    base = base.withColumn("tie", F.concat("role", F.lit("\x00"), F.hex(F.xxhash64("text"))))
-    deltas = F.transform(starts, lambda s: F.struct(F.lit("delta").alias("kind"), F.col("text").substr(s, step).alias("text")))
-    events = F.concat(F.array(F.struct(F.lit("start").alias("kind"), F.lit("").alias("text"))), deltas)
-    return base.select("conv_id", "seq", "tie", "message", "role", F.posexplode(events).alias("part", "e")).select(*ORDER, "e.kind", "role", "e.text")
+    answer = -1 - F.col("message")  # no row's message
+
+    def event(kind: str, text: Column, role: Column | str = "role", message: Column | str = "message") -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.col(role) if isinstance(role, str) else role).alias("role"), (F.col(message) if isinstance(message, str) else message).alias("message"))
+
+    deltas = F.transform(starts, lambda s: event("delta", F.col("text").substr(s, step)))
+    none, draft = F.lit(""), event("delta", F.reverse(F.left("text", F.lit(DELTA))))
+    opened, answered = event("start", none), event("start", F.lit("draft"), F.lit("user"), answer)
+    ways = [
+        F.concat(F.array(opened), deltas),
+        F.array(opened, draft, event("edit", F.col("text"))),
+        F.concat(F.array(opened, draft, event("edit", none)), deltas),
+        F.concat(F.array(opened, draft, answered, event("regenerate", none)), deltas),
+    ]
+    way = F.pmod(F.xxhash64("seq", "role", "text"), F.lit(WAYS))
+    events = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    return base.select("conv_id", "seq", "tie", F.posexplode(events).alias("part", "e")).select("conv_id", "seq", "tie", "part", "e.message", "e.kind", "e.role", "e.text")
 
 
 class _Fold:

@@ -45,3 +45,15 @@ def test_edits_deltas_and_regenerations_fold(spark):
     df = spark.createDataFrame([(c, s, "", m, 0, k, r, t) for c, s, m, k, r, t in reversed(log)], "conv_id long, seq long, tie string, message long, part int, kind string, role string, text string")
     got = {r.conv_id: ce.parse(r.formatted) for r in ce.format_log(df).collect()}
     assert got == {1: [("user", "hey"), ("assistant", "new")], 2: []}
+
+
+def test_a_log_of_rows_holds_every_kind_of_event(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t} " * (t * 40 + 1)) for c in range(20) for t in range(6)]
+    rows += [(50, 1, "user", "one"), (50, 1, "user", "two"), (50, 1, "user", "two")]  # texts that share a turn
+    log = ce.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(ce.F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"start", "delta", "edit", "regenerate"} and min(kinds.values()) > 20
+    got = {r.conv_id: ce.parse(r.formatted) for r in ce.format_log(log.repartition(5)).collect()}
+    for c in range(20):
+        assert got[c] == [(role, text) for conv, _, role, text in rows if conv == c]
+    assert sorted(got[50]) == [("user", "one"), ("user", "two"), ("user", "two")]
