@@ -126,27 +126,33 @@ def single_counts(pairs: DataFrame, size: int) -> tuple[Counts, Counts]:
     return out[0], out[1]
 
 
-def _own(document: np.ndarray, event: np.ndarray) -> np.ndarray:
-    """How often each step's event occurs in its document."""
-    order = np.lexsort((event, document))
-    d, e = document[order], event[order]
-    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])]))
-    counts, out = np.diff([*first, len(d)]), np.empty(len(d))
-    out[order] = np.repeat(counts, counts)
-    return out
-
-
 @dataclass
 class Steps:
-    """The steps of a block of documents: tokens before and after, and how often their document has the pair and either one."""
+    """The steps of a block of documents: tokens before and after, and how often their document has the pair and either one.
+
+    rank orders the steps' pairs by number, so that sorted by document and rank all steps with an equal pair, and all with an
+    equal token before, are neighbours. A token comes after a step as often as before one, but for the end mark.
+    """
 
     before: np.ndarray
     after: np.ndarray
-    document: np.ndarray
+    rank: np.ndarray
     lengths: np.ndarray
 
     def __post_init__(self) -> None:
-        self.own_pair, self.own_before, self.own_after = (_own(self.document, x) for x in (slots(self.before, self.after), self.before, self.after))
+        self.document = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        key = self.document << 40 | self.rank
+        order = np.argsort(key)
+
+        def counts(of: np.ndarray) -> np.ndarray:
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            n, out = np.diff([*first, len(of)]), np.empty(len(of))
+            out[order] = np.repeat(n, n)
+            return out
+
+        self.own_pair, self.own_before = counts(key[order]), counts(self.document[order] << 32 | self.before[order])
+        self.own_after = np.append(self.own_before[1:], 1.0)
+        self.own_after[np.cumsum(self.lengths) - 1] = 1.0
 
 
 def losses(model: Counts, steps: Steps, counts: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -180,8 +186,8 @@ def score(docs: DataFrame, target_ids: DataFrame, tokenizer: str, block: int = B
         before, after, starts = transitions(own.column("ids").to_pylist(), kind, size)
         pairs = known.column("pair").to_numpy()
         order, lengths = np.argsort(pairs), np.diff([*starts, len(after)])
-        steps = Steps(before, after, np.repeat(np.arange(len(starts)), lengths), lengths)
-        at = order[np.searchsorted(pairs, slots(before, after), sorter=order)]
+        rank = np.searchsorted(pairs, slots(before, after), sorter=order)
+        at, steps = order[rank], Steps(before, after, rank, lengths)
         mine = own.column("target").to_numpy().astype(bool)
         parts = ((target, "target", mine), (background, "whole", np.ones(len(mine), bool)))
         one, two = (np.add.reduceat(losses(m, steps, known.column(c).to_numpy()[at], inside), starts) / lengths for m, c, inside in parts)
