@@ -95,7 +95,7 @@ class Study:
         df = asof(df, stock, "ticker", "planned", values, "entry", 21, forward=True)
         df = asof(df, stock, "ticker", "first_trade_date", ["adj_close"], "t0", CLOSE_DAYS)
         df = asof(df, stock, "ticker", "last_trade_date", ["close"], "t1", CLOSE_DAYS)
-        df = df.join(F.broadcast(self.sectors), "issuer", "left")  # a row an issuer
+        df = df.join(self.sectors, "issuer", "left")
         at = F.broadcast(self.benchmarks.filter("adj_close is not null").select(F.col("bench").alias("_b"), F.col("d").alias("_d")))
         df = df.join(at, (F.col("sector") == F.col("_b")) & (F.col("entry_date") == F.col("_d")), "left")
         last = F.lit(self.last_market_day)

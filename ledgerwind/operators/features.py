@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwind.functions.calendars import business_days_between
+from ledgerwind.operators.ranking import middle
 from ledgerwind.operators.temporal import asof, running
 
 # Business days to file, and weights by role.
@@ -13,8 +14,8 @@ DEADLINES = {"edgar": 2, "house": 31, "senate": 31}
 ROLE_WEIGHTS = {"CEO": 1.0, "CFO": 1.0, "officer": 0.75, "director": 0.5, "10% owner": 0.25}
 CLUSTER_DAYS, LEAST_FILINGS, LEAST_DEVIATION = 14, 3, 0.5
 LEAST_OWN, MARKET_DAYS, LEAST_MARKET, PRICE_DAYS = 5, 365, 100, 5
-#: Value blocks of the market rank; more make fewer values a block to compare.
-BLOCKS = 128
+#: Levels of spans of 2**level days that make up a window of MARKET_DAYS, and of spans of a filer's dates.
+MARKET_LEVELS, OWN_LEVELS = 9, 24
 
 
 def lookup(column: str, values: dict) -> Column:
@@ -56,42 +57,62 @@ def filer_lag_zscore(lagged: DataFrame) -> DataFrame:
     return lagged.filter("lag_days is not null").join(history, ["filer_id", "filing_date"]).select("trade_id", ((F.col("lag_days") - F.col("mean")) / F.col("spread")).alias("filer_lag_zscore"))
 
 
-def own_size(lagged: DataFrame) -> DataFrame:
-    """(trade_id, n, score): the value's mid-rank among the filer's earlier values of the same side."""
-    keys = ["filer_id", "side"]
-    valued = lagged.filter("trade_value is not null")
-    asked = valued.groupBy(*keys, "filing_date", "trade_value").agg(F.count("*").alias("asks")).drop("asks")
-    earlier = valued.filter("kind is null").groupBy(*keys, F.col("filing_date").alias("d"), F.col("trade_value").alias("v")).agg(F.count("*").alias("m"))
-    joined = asked.join(earlier, keys).filter("d < filing_date")
-    worth = F.when(F.col("v") < F.col("trade_value"), F.col("m")).when(F.col("v") == F.col("trade_value"), F.col("m") * 0.5).otherwise(0.0)
-    ranked = joined.groupBy(*keys, "filing_date", "trade_value").agg(F.sum("m").alias("n"), F.sum(worth).alias("below")).filter(F.col("n") >= LEAST_OWN)
-    return valued.join(ranked, [*keys, "filing_date", "trade_value"]).select("trade_id", "n", (F.col("below") / F.col("n")).alias("score"))
+def _spans(low: Column, high: Column, levels: int) -> Column:
+    """The (level, number) of the spans of 2**level days that together are the days from low to high, high left out."""
+    first, last = ([F.shiftright(day + (1 << level) - 1 if up else day, level) for level in range(levels)] for day, up in ((low, True), (high, False)))
+    of = lambda level, at: F.struct(F.lit(level).alias("level"), at.alias("span"))
+    odd = []  # of whole spans, those that are no half of a whole span of the next level
+    for level in range(levels - 1):
+        some = first[level] < last[level]
+        odd += [F.when(some & (first[level] % 2 == 1), of(level, first[level])), F.when(some & (last[level] % 2 == 1), of(level, last[level] - 1))]
+    widest = F.transform(F.sequence(first[-1], last[-1] - 1), lambda at: of(levels - 1, at))
+    return F.explode(F.concat(F.array_compact(F.array(*odd)), F.when(first[-1] < last[-1], widest).otherwise(F.array().cast("array<struct<level:int,span:int>>"))))
+
+
+def _middle_ranks(asked: DataFrame, history: DataFrame, keys: list[str], levels: Column, spans: Column) -> DataFrame:
+    """asked (keys, day, value) with `below`: of history (keys, day, value, m) in the spans, the lesser and half of the equal values.
+
+    A row of history stands in one span of each level, so a question about days is one about a few spans, and within a span
+    only values count: its rows and questions are sorted by value, as slices of any size. In all n log(days) rows are sorted.
+    """
+    points = history.withColumn("level", F.explode(levels)).withColumn("span", F.expr("shiftright(day, level)")).groupBy(*keys, "level", "span", "value").agg(F.sum("m").alias("m"))
+    questions = asked.withColumn("s", spans).select(*keys, "s.level", "s.span", "value", "day", F.lit(0).cast("long").alias("m"))
+    both = points.withColumn("day", F.lit(None).cast("int")).unionByName(questions)
+    ranked = middle(both, [*keys, "level", "span"], "value", "m", "below").filter("day is not null")
+    return ranked.groupBy(*keys, "day", "value").agg(F.sum("below").alias("below"))
 
 
-def market_size(lagged: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(trade_id, n, score): the value's mid-rank among all values of its side filed in the 365 days before.
+def own_size(lagged: DataFrame) -> DataFrame:
+    """(trade_id, n, score): the value's mid-rank among the filer's earlier values of the same side.
 
-    Values are cut into blocks by approximate quantiles of each side (any cut gives exact ranks). Counts by (day, block)
-    summed over the window give the values in lower blocks; only values of the same block are compared, by day and value.
+    Days are numbered by a filer's own dates of filing, so a filer's spans are as many as its dates need.
     """
-    valued = lagged.filter("trade_value is not null")
-    cuts = valued.groupBy("side").agg(F.percentile_approx("trade_value", [i / blocks for i in range(1, blocks)], 1000).alias("cuts"))
-    placed = valued.join(F.broadcast(cuts), "side").withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col("trade_value")))).drop("cuts")  # one row a side
-    history = placed.filter("kind is null").groupBy("side", "block", F.col("filing_date").alias("d"), F.col("trade_value").alias("v")).agg(F.count("*").alias("m"))
-    dates = placed.select("side", "filing_date").distinct()
-    grid = dates.join(history.select("side", "block").distinct(), "side")  # dates * blocks * sides, whatever the rows
-    per_day = history.groupBy("side", "block", F.col("d").alias("filing_date")).agg(F.sum("m").alias("m"))
-    window = running(grid.join(per_day, ["side", "block", "filing_date"], "left").na.fill(0, ["m"]), ["side", "block"], "filing_date", {"w": "m"}, MARKET_DAYS)
-    at = Window.partitionBy("side", "filing_date").orderBy("block")
-    levels = window.withColumn("lower", F.sum("w").over(at.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.sum("w").over(Window.partitionBy("side", "filing_date")))
-    levels = levels.filter(F.col("n") >= LEAST_MARKET).select("side", "block", "filing_date", F.coalesce("lower", F.lit(0)).alias("lower"), "n")
-    asked = placed.select("side", "block", "filing_date", "trade_value").distinct()
-    near = asked.join(history, ["side", "block"]).filter("d < filing_date").filter(F.datediff("filing_date", "d") <= MARKET_DAYS)
-    worth = F.when(F.col("v") < F.col("trade_value"), F.col("m")).when(F.col("v") == F.col("trade_value"), F.col("m") * 0.5).otherwise(0.0)
-    inside = near.groupBy("side", "block", "filing_date", "trade_value").agg(F.sum(worth).alias("inside"))
-    ranked = asked.join(levels, ["side", "block", "filing_date"]).join(inside, ["side", "block", "filing_date", "trade_value"], "left")
-    ranked = ranked.select("side", "filing_date", "trade_value", "n", ((F.col("lower") + F.coalesce("inside", F.lit(0.0))) / F.col("n")).alias("score"))
-    return valued.join(ranked, ["side", "filing_date", "trade_value"]).select("trade_id", "n", "score")
+    keys = ["filer_id", "side"]
+    valued = lagged.filter("trade_value is not null").withColumnRenamed("trade_value", "value")
+    per_day = valued.groupBy(*keys, "filing_date").agg(F.count_if(F.col("kind").isNull()).alias("m"))
+    at = Window.partitionBy(*keys)  # a row a date
+    days = per_day.withColumn("day", (F.row_number().over(at.orderBy("filing_date")) - 1).cast("int")).withColumn("days", F.count("*").over(at))
+    days = days.withColumn("n", F.sum("m").over(at.orderBy("filing_date").rowsBetween(Window.unboundedPreceding, -1))).drop("m")
+    dated = valued.select(*keys, "filing_date", "value", "kind").join(days, [*keys, "filing_date"])
+    history = dated.filter("kind is null").groupBy(*keys, "day", "days", "value").agg(F.count("*").alias("m"))
+    asked = dated.filter(F.col("n") >= LEAST_OWN).select(*keys, "day", "value").distinct()
+    levels = F.sequence(F.lit(0), F.least(F.floor(F.log2("days")).cast("int"), F.lit(OWN_LEVELS - 1)))
+    ranked = _middle_ranks(asked, history, keys, levels, _spans(F.lit(0), F.col("day"), OWN_LEVELS))
+    rows = valued.select("trade_id", *keys, "filing_date", "value").join(days, [*keys, "filing_date"]).join(ranked, [*keys, "day", "value"])
+    return rows.select("trade_id", "n", (F.col("below") / F.col("n")).alias("score"))
+
+
+def market_size(lagged: DataFrame, n_levels: int = MARKET_LEVELS) -> DataFrame:
+    """(trade_id, n, score): the value's mid-rank among all values of its side filed in the 365 days before."""
+    valued = lagged.filter("trade_value is not null").withColumn("day", F.datediff("filing_date", F.lit("1970-01-01").cast("date"))).withColumnRenamed("trade_value", "value")
+    per_day = valued.groupBy("side", "day", "filing_date").agg(F.count_if(F.col("kind").isNull()).alias("m"))
+    sums = running(per_day, ["side"], "filing_date", {"n": "m"}, MARKET_DAYS).filter(F.col("n") >= LEAST_MARKET)  # a row a side and date
+    rows = valued.select("trade_id", "side", "day", "filing_date", "value").join(sums, ["side", "filing_date"])
+    history = valued.filter("kind is null").groupBy("side", "day", "value").agg(F.count("*").alias("m"))
+    asked = rows.select("side", "day", "value").distinct()
+    levels = F.sequence(F.lit(0), F.lit(n_levels - 1))
+    ranked = _middle_ranks(asked, history, ["side"], levels, _spans(F.col("day") - MARKET_DAYS, F.col("day"), n_levels))
+    return rows.join(ranked, ["side", "day", "value"]).select("trade_id", "n", (F.col("below") / F.col("n")).alias("score"))
 
 
 def sizes(lagged: DataFrame) -> DataFrame:

@@ -8,26 +8,37 @@ from pyspark.sql import functions as F
 from ledgerwind.functions.stored import stored
 
 
-def cumulative(df: DataFrame, groups: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:
-    """df with `out`, the sum of `amount` over the rows of the group that come before in the order.
+def _sliced(df: DataFrame, groups: list[str], order: list[Column], amount: Column) -> tuple[DataFrame, list[str]]:
+    """df in range partitions by group and order, as slices, and the names of the order's columns.
 
-    Rows are range-partitioned by group and order, so each task sorts a slice; a slice's base is the sum of the group's
-    earlier slices, found from one row a slice and group.
+    Besides df's rows (_row true) there is one a slice and group, ahead of them, with the sum of the group's earlier
+    slices as its amount; so one running sum within a slice gives the sum over the whole group, without a join.
     """
     names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns(dict(zip(names, order, strict=True))).withColumn("_n", amount)
+    keyed = df.withColumns(dict(zip(names, order, strict=True))).withColumn("_n", amount).withColumn("_row", F.lit(True))
     by = [*groups, *names] if groups else names
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = stored(keyed.repartitionByRange(tasks, *by).withColumn("_slice", F.spark_partition_id()), "slices")
     sums = sliced.groupBy("_slice", *groups).agg(F.sum("_n").alias("_total"))
-    base = F.coalesce(F.sum("_total").over(Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sums.select(F.col("_slice").alias("_s"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), base.alias("_base"))
-    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_slice", *groups).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    on = F.col("_slice") == F.col("_s")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    done = sliced.withColumn("_within", within).join(F.broadcast(bases), on)  # one row a slice and group
-    return done.withColumn(out, F.col("_base") + F.col("_within")).select(*df.columns, out)
+    earlier = F.sum("_total").over(Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select("_slice", *groups, F.coalesce(earlier, F.lit(0)).cast(sliced.schema["_n"].dataType).alias("_n"), F.lit(False).alias("_row"))
+    return sliced.unionByName(bases, allowMissingColumns=True), names
+
+
+def cumulative(df: DataFrame, groups: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:
+    """df with `out`, the sum of `amount` over the rows of the group that come before in the order."""
+    sliced, names = _sliced(df, groups, order, amount)
+    before = F.sum("_n").over(Window.partitionBy("_slice", *groups).orderBy("_row", *names).rowsBetween(Window.unboundedPreceding, -1))
+    return sliced.withColumn(out, before).filter("_row").select(*df.columns, out)
+
+
+def middle(df: DataFrame, groups: list[str], value: str, amount: str, out: str) -> DataFrame:
+    """df with `out`, the amounts of the group's rows with a lesser value and half of those with an equal one, its own included."""
+    sliced, names = _sliced(df, groups, [F.col(value)], F.col(amount).cast("long"))
+    of = Window.partitionBy("_slice", *groups)
+    upto = F.sum("_n").over(of.orderBy("_row", *names).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("_n").over(Window.partitionBy("_slice", *groups, "_row", *names))  # range partitions keep equal values together
+    return sliced.withColumn(out, upto - equal / 2).filter("_row").select(*df.columns, out)
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[Column], out: str = "rank") -> DataFrame:
@@ -46,7 +57,7 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, picks: dict[s
     """(groups, picks): for each name the value at a 0-based place, an expression over the group's size `n`."""
     per = cumulative(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_m")), groups, [F.col(value)], F.col("_m"), "_before")
     sizes = per.groupBy(*groups).agg(F.sum("_m").alias("n"))
-    per = per.join(sizes, groups) if groups else per.join(F.broadcast(sizes.withColumn("_", F.lit(1))), F.col("_") == 1)
+    per = per.join(sizes, groups) if groups else per.join(F.broadcast(sizes.withColumn("_", F.lit(1))), F.col("_") == 1)  # one row
     at = {name: F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_m")), F.col(value)) for name, place in picks.items()}
     return per.groupBy(*groups).agg(*(F.max(v).alias(name) for name, v in at.items()))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwind.operators.temporal import asof
+
 # Edges of the lag histogram.
 LAG_LABELS = ["0", "1", "2", "3-5", "6-10", "11-30", "31-45", "46+"]
 
@@ -16,8 +18,9 @@ def share(condition: Column) -> Column:
 
 def coverage(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """(source, year, trades, with_ticker, priced): priced trades have a bar within a week from the trade date."""
-    priced = trades.select("trade_id", "ticker", "trade_date").join(bars.select(F.col("ticker").alias("t"), "date"), (F.col("ticker") == F.col("t")) & F.col("date").between(F.col("trade_date"), F.date_add("trade_date", 7)), "left_semi").select("trade_id", F.lit(True).alias("p"))
-    return trades.join(priced, "trade_id", "left").groupBy("source", F.year("filed_on").alias("year")).agg(F.count("*").alias("trades"), share(F.col("ticker").isNotNull()).alias("with_ticker"), share(F.col("p").isNotNull()).alias("priced"))
+    near = asof(trades.select("source", "filed_on", "ticker", "trade_date"), bars.select("ticker", "date"), "ticker", "trade_date", [], "bar", 7, forward=True)
+    priced = F.col("bar_date").isNotNull()
+    return near.groupBy("source", F.year("filed_on").alias("year")).agg(F.count("*").alias("trades"), share(F.col("ticker").isNotNull()).alias("with_ticker"), share(priced).alias("priced"))
 
 
 def lag_histogram(lagged: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _sided(value: str) -> list:
 def with_drift_quintile(returns: DataFrame, groups: list[str]) -> DataFrame:
     """returns with `quintile` (0 to 4) of drift_pct, by cut-offs of all rows of a group that have a drift; null without."""
     cuts = ranking.order_statistics(returns.select(*groups, "drift_pct"), groups, "drift_pct", ranking.quantile_places(5))
-    joined = returns.join(F.broadcast(cuts), groups, "left")  # a row a group
+    joined = returns.join(cuts, groups, "left")
     return joined.withColumn("quintile", F.when(F.col("drift_pct").isNotNull(), bucket_of(F.col("drift_pct"), [F.col(f"cut{k}") for k in range(1, 5)]))).drop(*(f"cut{k}" for k in range(1, 5)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Days of one piece of a key's time line in as-of joins, so that a hot key is many groups.
@@ -14,22 +14,41 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_date: str, values: li
 
     Backward takes the last row on or before left_date, forward the first one on or after; strict leaves left_date itself
     out. Both time lines are cut into pieces of PIECE days, and right rows are copied into the next piece as far as
-    max_gap reaches, so groups stay small; one window over both finds the match. Null keys or dates match nothing.
+    max_gap reaches, so groups stay small; one window over both finds the match. Rows with a null key or date match nothing
+    and go round the window.
     """
     number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
     low = number("date") - (max_gap if forward else 0)
     high = number("date") + (0 if forward else max_gap)
     pieces = F.explode(F.sequence(F.floor(low / PIECE), F.floor(high / PIECE)))
     found = F.struct(F.col("date"), *(F.col(v) for v in values))
-    theirs = right.filter("date is not null").select(F.col(key).alias("_k"), pieces.alias("_p"), F.col("date").alias("_d"), found.alias("_r"))
-    mine = left.select(F.col(key).alias("_k"), F.floor(number(left_date) / PIECE).alias("_p"), F.col(left_date).alias("_d"), F.struct("*").alias("_l"))
+    theirs = right.filter(F.col("date").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), pieces.alias("_p"), F.col("date").alias("_d"), found.alias("_r"))
+    apart = F.col(key).isNull() | F.col(left_date).isNull()
+    mine = left.filter(~apart).select(F.col(key).alias("_k"), F.floor(number(left_date) / PIECE).alias("_p"), F.col(left_date).alias("_d"), F.struct("*").alias("_l"))
     # at one date: right rows come first, unless strict
     both = theirs.withColumn("_o", F.lit(1 if strict else 0)).unionByName(mine.withColumn("_o", F.lit(0 if strict else 1)), allowMissingColumns=True)
     order = [F.desc("_d") if forward else F.col("_d"), F.col("_o")]
     near = F.last("_r", ignorenulls=True).over(Window.partitionBy("_k", "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     gap = F.abs(F.datediff("_r.date", "_d"))
     rows = both.withColumn("_r", near).filter("_l is not null").withColumn("_r", F.when(F.col("_k").isNotNull() & (gap <= max_gap), F.col("_r")))
-    return rows.select("_l.*", F.col("_r.date").alias(f"{prefix}_date"), *(F.col(f"_r.{v}").alias(f"{prefix}_{v}") for v in values))
+    rows = rows.select("_l.*", F.col("_r.date").alias(f"{prefix}_date"), *(F.col(f"_r.{v}").alias(f"{prefix}_{v}") for v in values))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (f"{prefix}_date", *(f"{prefix}_{v}" for v in values))]
+    return rows.unionByName(left.filter(apart).select("*", *none))
+
+
+def last_known(left: DataFrame, right: DataFrame, key: str, left_date: Column, values: list[str], prefix: str) -> DataFrame:
+    """left with prefix_date and prefix_<value> of the last row of right (key, date, values) on or before a date, however old.
+
+    One window over right's rows and the distinct dates asked; right has at most a row a key and date, so a group is bounded
+    by the calendar. Null keys match nothing.
+    """
+    asked = left.select(F.col(key).alias("_k"), left_date.alias("_d")).filter("_k is not null and _d is not null").distinct()
+    found = F.struct(F.col("date"), *(F.col(v) for v in values)).alias("_r")
+    theirs = right.select(F.col(key).alias("_k"), F.col("date").alias("_d"), F.lit(0).alias("_o"), found)
+    near = F.last("_r", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_d", "_o").rowsBetween(Window.unboundedPreceding, 0))
+    rows = theirs.unionByName(asked.withColumn("_o", F.lit(1)), allowMissingColumns=True).withColumn("_r", near).filter("_o = 1").drop("_o")
+    joined = left.withColumn("_on", left_date).join(rows, (F.col(key) == F.col("_k")) & (F.col("_on") == F.col("_d")), "left")
+    return joined.select(*left.columns, F.col("_r.date").alias(f"{prefix}_date"), *(F.col(f"_r.{v}").alias(f"{prefix}_{v}") for v in values))
 
 
 def running(df: DataFrame, keys: list[str], date: str, sums: dict[str, str], days: int | None = None) -> DataFrame:

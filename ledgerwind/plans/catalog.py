@@ -35,7 +35,17 @@ def query(oracle: str | None = None):
 
 
 class Domain:
-    """The domain tables of one folder, each made once, when first used."""
+    """The domain tables of one folder, each made once, when first used, and kept as long as the session lasts."""
+
+    made: dict[tuple[str, str], "Domain"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Domain":
+        """The folder's tables in this session: what one query has stored serves the others. Input files must not change."""
+        key = spark.sparkContext.applicationId, sf_dir
+        if key not in cls.made:
+            cls.made[key] = cls(spark, sf_dir)
+        return cls.made[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -75,6 +85,18 @@ class Domain:
     def study(self) -> evaluate.Study:
         return evaluate.Study(self.events, self.bars, stored(adapter.sectors(self.spark, self.sf_dir), "sectors"), self.days)
 
+    @cached_property
+    def signals(self) -> DataFrame:
+        return stored(signals.build(self.study), "signals")
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        return stored(model.pool(self.signals, self.study.returns), "listed")
+
+    @cached_property
+    def drifted(self) -> DataFrame:
+        return stored(features.drift(self.lagged, self.bars), "drift")
+
 
 def r6(column: str) -> F.Column:
     """Rounded to six places, without a negative zero."""
@@ -117,17 +139,17 @@ def add_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT trade_id, original_id, kind FROM c_amended")
 def duplicate_lines_amendment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.amendment_matches(adapter.trades(spark, sf_dir))
+    return duplicates.amendment_matches(Domain.of(spark, sf_dir).trades)
 
 
 @query("SELECT trade_id, original_id, kind FROM c_repeated")
 def duplicate_lines_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.repeat_matches(adapter.trades(spark, sf_dir))
+    return duplicates.repeat_matches(Domain.of(spark, sf_dir).trades)
 
 
 @query("SELECT trade_id, filing_date, kind FROM c_dated")
 def effective_filing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).dated.select("trade_id", "filing_date", "kind")
+    return Domain.of(spark, sf_dir).dated.select("trade_id", "filing_date", "kind")
 
 
 # features
@@ -135,40 +157,40 @@ def effective_filing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT trade_id, lag_days, round(lag_ratio, 6) AS lag_ratio, CAST(days_since_filing AS INT) AS days_since_filing, CAST(role_weight AS DOUBLE) AS role_weight, round(trade_value, 6) AS trade_value FROM c_lagged")
 def trade_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).lagged.select("trade_id", "lag_days", r6("lag_ratio"), "days_since_filing", "role_weight", r6("trade_value"))
+    return Domain.of(spark, sf_dir).lagged.select("trade_id", "lag_days", r6("lag_ratio"), "days_since_filing", "role_weight", r6("trade_value"))
 
 
 @query(f"SELECT trade_id, {r('filer_lag_zscore')} FROM c_zscore")
 def filer_lag_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.filer_lag_zscore(Domain(spark, sf_dir).lagged).select("trade_id", r6("filer_lag_zscore"))
+    return features.filer_lag_zscore(Domain.of(spark, sf_dir).lagged).select("trade_id", r6("filer_lag_zscore"))
 
 
 @query("SELECT trade_id, CAST(n AS BIGINT) AS n, CAST(round(score, 6) AS DOUBLE) AS score FROM c_own_size")
 def filer_size_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.own_size(Domain(spark, sf_dir).lagged).select("trade_id", long("n").alias("n"), r6("score"))
+    return features.own_size(Domain.of(spark, sf_dir).lagged).select("trade_id", long("n").alias("n"), r6("score"))
 
 
 @query("SELECT trade_id, CAST(n AS BIGINT) AS n, CAST(round(score, 6) AS DOUBLE) AS score FROM c_market_size")
 def market_size_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.market_size(Domain(spark, sf_dir).lagged).select("trade_id", long("n").alias("n"), r6("score"))
+    return features.market_size(Domain.of(spark, sf_dir).lagged).select("trade_id", long("n").alias("n"), r6("score"))
 
 
 @query("SELECT trade_id, cluster_count FROM c_clusters")
 def cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dated = Domain(spark, sf_dir).dated
+    dated = Domain.of(spark, sf_dir).dated
     return features.inherited(dated, features.cluster_counts(dated))
 
 
 @query(f"SELECT trade_id, d1 AS trade_close_date, d2 AS filing_close_date, {r('drift_pct')} FROM c_drift")
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return features.drift(d.lagged, d.bars).select("trade_id", F.col("at_trade_date").alias("trade_close_date"), F.col("at_filing_date").alias("filing_close_date"), r6("drift_pct"))
+    d = Domain.of(spark, sf_dir)
+    return d.drifted.select("trade_id", F.col("at_trade_date").alias("trade_close_date"), F.col("at_filing_date").alias("filing_close_date"), r6("drift_pct"))
 
 
 @query(f"""SELECT trade_id, filing_date, lag_days, {r("drift_pct")}, {r("filer_lag_zscore")}, cluster_count, CAST(round(size_score, 6) AS DOUBLE) AS size_score,
     CASE WHEN size_score IS NOT NULL THEN size_basis END AS size_basis, original_id AS duplicate_of_trade_id, array_to_string(flags, ',') AS flags FROM c_features""")
 def trade_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).features.select("trade_id", "filing_date", "lag_days", r6("drift_pct"), r6("filer_lag_zscore"), "cluster_count", r6("size_score"), "size_basis", "duplicate_of_trade_id", F.array_join("flags", ",").alias("flags"))
+    return Domain.of(spark, sf_dir).features.select("trade_id", "filing_date", "lag_days", r6("drift_pct"), r6("filer_lag_zscore"), "cluster_count", r6("size_score"), "size_basis", "duplicate_of_trade_id", F.array_join("flags", ",").alias("flags"))
 
 
 LAG_BUCKET = "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_days <= 4 THEN 2 ELSE 3 END"
@@ -177,7 +199,7 @@ LAG_BUCKET = "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_d
 @query(f"""SELECT side, CAST({LAG_BUCKET} AS INT) AS lag_bucket, count(*) AS trades, CAST(median(cluster_count) AS DOUBLE) AS median_cluster, round(CAST(median(size_score) AS DOUBLE), 6) AS median_size
     FROM c_features WHERE lag_days IS NOT NULL GROUP BY ALL""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Domain(spark, sf_dir).features.filter("lag_days is not null").withColumn("lag_bucket", F.expr(LAG_BUCKET).cast("int"))
+    rows = Domain.of(spark, sf_dir).features.filter("lag_days is not null").withColumn("lag_bucket", F.expr(LAG_BUCKET).cast("int"))
     return rows.groupBy("side", "lag_bucket").agg(F.count("*").alias("trades"), F.expr("percentile(cluster_count, 0.5)").alias("median_cluster"), F.round(F.expr("percentile(size_score, 0.5)"), 6).alias("median_size"))
 
 
@@ -188,29 +210,29 @@ KEYS = "filer_id, ticker, side, filing_date"
 
 @query(f"""SELECT {KEYS}, first_trade_date, last_trade_date, lag_days, {r("lag_ratio")}, {r("value")}, {r("shares")}, {r("role_weight")}, role, CAST(cluster_count AS INT) AS cluster_count, is_10b5_1, n_lines, n_filings, {r("held_before")}, {r("avg_price")} FROM c_events""")
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).events.select(*event_ops.KEYS, "first_trade_date", "last_trade_date", "lag_days", r6("lag_ratio"), r6("value"), r6("shares"), r6("role_weight"), "role", "cluster_count", "is_10b5_1", "n_lines", "n_filings", r6("held_before"), r6("avg_price"))
+    return Domain.of(spark, sf_dir).events.select(*event_ops.KEYS, "first_trade_date", "last_trade_date", "lag_days", r6("lag_ratio"), r6("value"), r6("shares"), r6("role_weight"), "role", "cluster_count", "is_10b5_1", "n_lines", "n_filings", r6("held_before"), r6("avg_price"))
 
 
 @query("SELECT reason, count(*) AS n FROM c_lines WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'lines', count(*) FROM c_lines UNION ALL SELECT 'events', count(*) FROM c_events")
 def event_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     return event_ops.exclusions(d.lagged.withColumnRenamed("original_id", "duplicate_of_trade_id"), d.events)
 
 
 @query(f"SELECT {KEYS}, {r('held_before')} FROM c_held")
 def event_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = Domain(spark, sf_dir).lagged.withColumnRenamed("original_id", "duplicate_of_trade_id")
+    lines = Domain.of(spark, sf_dir).lagged.withColumnRenamed("original_id", "duplicate_of_trade_id")
     return event_ops.holdings(lines.withColumn("reason", event_ops.line_reason()).filter("reason is null")).select(*event_ops.KEYS, r6("held_before"))
 
 
 @query(f"SELECT {KEYS}, status, entry, {r('entry_open')}, {r('drift_pct')}, {r('price_ratio')}, {r('dollar_volume')}, {r('cost')}, benchmark, liquid FROM c_results")
 def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).study.results.select(*event_ops.KEYS, "status", "entry", r6("entry_open"), r6("drift_pct"), r6("price_ratio"), r6("dollar_volume"), r6("cost"), "benchmark", "liquid")
+    return Domain.of(spark, sf_dir).study.results.select(*event_ops.KEYS, "status", "entry", r6("entry_open"), r6("drift_pct"), r6("price_ratio"), r6("dollar_volume"), r6("cost"), "benchmark", "liquid")
 
 
 @query(f"SELECT {KEYS}, CAST(l.h AS INT) AS h, l.exit, l.ended_early, {r('l.stock', 'stock')}, {r('l.spy', 'spy')}, {r('l.sector_leg', 'sector_leg')}, {r('l.iwm', 'iwm')} FROM c_legs l JOIN c_outcomes USING (id)")
 def event_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).study.legs.select(*event_ops.KEYS, "h", "exit", "ended_early", *(r6(c) for c in ("stock", "spy", "sector_leg", "iwm")))
+    return Domain.of(spark, sf_dir).study.legs.select(*event_ops.KEYS, "h", "exit", "ended_early", *(r6(c) for c in ("stock", "spy", "sector_leg", "iwm")))
 
 
 # statistics of returns
@@ -225,20 +247,20 @@ def stats(df: DataFrame, *keys) -> DataFrame:
 @query(f"SELECT CAST(h AS INT) AS h, CAST(lag_bucket AS INT) AS lag_bucket, {STATS} FROM ({summary('h, lag_bucket', 'c_lag_pool')}) UNION ALL SELECT CAST(h AS INT), -1, {STATS} FROM ({summary('h', 'c_lag_pool')})")
 def bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By horizon and lag bucket; bucket -1 is all."""
-    pool = Domain(spark, sf_dir).study.returns.withColumn("lag_bucket", study.lag_bucket(F.col("lag_days")))
+    pool = Domain.of(spark, sf_dir).study.returns.withColumn("lag_bucket", study.lag_bucket(F.col("lag_days")))
     every = pool.withColumn("lag_bucket", F.explode(F.array("lag_bucket", F.lit(-1))))
     return stats(study.summarize(every, ["h", "lag_bucket"], "r", "cluster"), "h", "lag_bucket")
 
 
 @query(f"SELECT CAST(h AS INT) AS h, CAST(quintile AS INT) AS quintile, {STATS} FROM ({summary('h, quintile', '(SELECT * FROM c_quintiles WHERE quintile IS NOT NULL)')})")
 def drift_quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = study.with_drift_quintile(Domain(spark, sf_dir).study.returns.filter("r is not null"), ["h"]).filter("quintile is not null")
+    pool = study.with_drift_quintile(Domain.of(spark, sf_dir).study.returns.filter("r is not null"), ["h"]).filter("quintile is not null")
     return stats(study.summarize(pool, ["h", "quintile"], "r", "cluster"), "h", "quintile")
 
 
 @query(f"SELECT CAST(lag_bucket AS INT) AS lag_bucket, CAST(quintile AS INT) AS quintile, {STATS} FROM ({summary('lag_bucket, quintile', '(SELECT * FROM c_quintiles WHERE h = 20 AND quintile IS NOT NULL)')})")
 def lag_drift_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = study.with_drift_quintile(Domain(spark, sf_dir).study.returns.filter("r is not null and h = 20"), ["h"]).filter("quintile is not null")
+    pool = study.with_drift_quintile(Domain.of(spark, sf_dir).study.returns.filter("r is not null and h = 20"), ["h"]).filter("quintile is not null")
     pool = pool.withColumn("lag_bucket", study.lag_bucket(F.col("lag_days")))
     return stats(study.summarize(pool, ["lag_bucket", "quintile"], "r", "cluster"), "lag_bucket", "quintile")
 
@@ -253,7 +275,7 @@ PAIRS = {"late": "SELECT h, cluster, r, lag_days > 2 AS a FROM c_quintiles", "dr
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS contrast, CAST(h AS INT) AS h, n_a, n_b, {r('diff')}, {r('t')} FROM ({CONTRAST.format(rows=v)})" for k, v in PAIRS.items()))
 def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = stored(study.with_drift_quintile(Domain(spark, sf_dir).study.returns.filter("r is not null"), ["h"]), "quintiles")
+    pool = stored(study.with_drift_quintile(Domain.of(spark, sf_dir).study.returns.filter("r is not null"), ["h"]), "quintiles")
     late = study.contrast(pool, ["h"], F.col("lag_days") > study.LATE, "r", "cluster").withColumn("contrast", F.lit("late"))
     drifted = study.contrast(pool.filter("quintile in (0, 4)"), ["h"], F.col("quintile") == 4, "r", "cluster").withColumn("contrast", F.lit("drift"))
     return late.unionByName(drifted).select("contrast", "h", "n_a", "n_b", r6("diff"), r6("t"))
@@ -261,14 +283,14 @@ def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(year(filing_date) AS INT) AS year, status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY year(filing_date)), 3)::DOUBLE AS share FROM c_results GROUP BY year(filing_date), status")
 def status_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Domain(spark, sf_dir).study.results.groupBy(F.year("filing_date").alias("year"), "status").agg(F.count("*").alias("n"))
+    rows = Domain.of(spark, sf_dir).study.results.groupBy(F.year("filing_date").alias("year"), "status").agg(F.count("*").alias("n"))
     years = rows.groupBy("year").agg(F.sum("n").alias("all"))
     return rows.join(F.broadcast(years), "year").select("year", "status", "n", F.round(100.0 * F.col("n").cast("double") / F.col("all"), 3).alias("share"))
 
 
 @query("SELECT filer_id, ticker, side, entry, CAST(h AS INT) AS h, filing_date FROM c_returns WHERE h = 20 QUALIFY row_number() OVER (PARTITION BY ticker, side, entry ORDER BY filing_date, filer_id) = 1")
 def first_per_ticker_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study.first_of_day(Domain(spark, sf_dir).study.returns.filter("h = 20")).select("filer_id", "ticker", "side", "entry", "h", "filing_date")
+    return study.first_of_day(Domain.of(spark, sf_dir).study.returns.filter("h = 20")).select("filer_id", "ticker", "side", "entry", "h", "filing_date")
 
 
 WALK = f"""
@@ -277,9 +299,9 @@ years AS (SELECT year FROM (SELECT DISTINCT CAST(year(entry) AS INT) AS year FRO
 train AS (SELECT y.year, w.* FROM walk w JOIN years y ON w.exit < make_date(y.year, 1, 1)),
 test AS (SELECT y.year, w.* FROM walk w JOIN years y ON year(w.entry) = y.year),
 sizes AS (SELECT a.year, n_train, n_test FROM (SELECT year, count(*) AS n_train FROM train GROUP BY year) a JOIN (SELECT year, count(*) AS n_test FROM test GROUP BY year) b ON a.year = b.year WHERE n_train >= 100 AND n_test >= 20),
-cuts AS (SELECT s.year, s.n_train, s.n_test, list_sort(list(drift_pct)) AS d, list_sort(list(r)) AS v, count(*) AS n FROM train t JOIN sizes s ON t.year = s.year GROUP BY ALL),
-train_b AS (SELECT t.year, lag_days, least(greatest(r, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1]), v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1]) AS x, BUCKETS AS db, LAGS AS lb FROM train t JOIN cuts c ON t.year = c.year),
-test_b AS (SELECT t.year, t.entry, t.filing_date, t.ticker, t.side, t.filer_id, n_test, lag_days, least(greatest(r, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1]), v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1]) AS x, BUCKETS AS db, LAGS AS lb FROM test t JOIN cuts c ON t.year = c.year),
+cuts AS (SELECT year, n_train, n_test, CUTS, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1] AS lo, v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1] AS hi FROM (SELECT s.year, s.n_train, s.n_test, list_sort(list(drift_pct)) AS d, list_sort(list(r)) AS v, count(*) AS n FROM train t JOIN sizes s ON t.year = s.year GROUP BY ALL)),
+train_b AS (SELECT t.year, lag_days, least(greatest(r, lo), hi) AS x, BUCKETS AS db, LAGS AS lb FROM train t JOIN cuts c ON t.year = c.year),
+test_b AS (SELECT t.year, t.entry, t.filing_date, t.ticker, t.side, t.filer_id, n_test, lag_days, least(greatest(r, lo), hi) AS x, BUCKETS AS db, LAGS AS lb FROM test t JOIN cuts c ON t.year = c.year),
 overall AS (SELECT year, avg(x) AS o FROM train_b GROUP BY year),
 scored AS (SELECT t.*, round(coalesce(l.m, o) + coalesce(d.m, o) - o, 9) AS pred FROM test_b t JOIN overall ov ON t.year = ov.year LEFT JOIN (SELECT year, lb, avg(x) AS m FROM train_b GROUP BY ALL) l ON t.year = l.year AND t.lb = l.lb LEFT JOIN (SELECT year, db, avg(x) AS m FROM train_b GROUP BY ALL) d ON t.year = d.year AND t.db = d.db),
 ranked AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY pred) + (count(*) OVER (PARTITION BY year, pred) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY year ORDER BY x) + (count(*) OVER (PARTITION BY year, x) - 1) / 2.0 AS rv FROM scored),
@@ -289,12 +311,12 @@ LEFT JOIN (SELECT year, avg(x) FILTER (lag_days > 2) - avg(x) FILTER (lag_days <
 LEFT JOIN (SELECT year, avg(x) FILTER (lag_days > 2) - avg(x) FILTER (lag_days <= 2) AS lag_oos, avg(x) FILTER (db = 4) - avg(x) FILTER (db = 0) AS drift_oos FROM test_b GROUP BY year) b ON s.year = b.year
 LEFT JOIN (SELECT year, corr(rp, rv) AS ic FROM ranked GROUP BY year) i ON s.year = i.year
 LEFT JOIN (SELECT year, avg(x) FILTER (k > n_test - n_test // 5) - avg(x) FILTER (k <= n_test // 5) AS tmb FROM ordered GROUP BY year) e ON s.year = e.year
-""".replace("BUCKETS", "(" + " + ".join(f"CASE WHEN drift_pct >= d[least(n - 1, CAST(floor(n * {k} / 5) AS BIGINT)) + 1] THEN 1 ELSE 0 END" for k in range(1, 5)) + ")").replace("LAGS", "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_days <= 4 THEN 2 ELSE 3 END")
+""".replace("BUCKETS", "(" + " + ".join(f"CASE WHEN drift_pct >= cut{k} THEN 1 ELSE 0 END" for k in range(1, 5)) + ")").replace("CUTS", ", ".join(f"d[least(n - 1, CAST(floor(n * {k} / 5) AS BIGINT)) + 1] AS cut{k}" for k in range(1, 5))).replace("LAGS", "CASE WHEN lag_days <= 1 THEN 0 WHEN lag_days = 2 THEN 1 WHEN lag_days <= 4 THEN 2 ELSE 3 END")
 
 
 @query(WALK)
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = study.walk_forward(Domain(spark, sf_dir).study.returns.filter("h = 20"))
+    folds = study.walk_forward(Domain.of(spark, sf_dir).study.returns.filter("h = 20"))
     return folds.select("year", "n_train", "n_test", *(r6(c) for c in ("lag_is", "lag_oos", "drift_is", "drift_oos", "ic", "top_minus_bottom")))
 
 
@@ -318,38 +340,34 @@ def fixed(source: str, days: str = "0") -> str:
 
 @query(f"SELECT {KEYS}, repeat_buys FROM c_repeats")
 def repeat_buys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.repeat_buys(Domain(spark, sf_dir).events)
+    return signals.repeat_buys(Domain.of(spark, sf_dir).events)
 
 
 @query(f"SELECT {KEYS}, track_n, {r('track_record')} FROM c_track")
 def track_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Domain(spark, sf_dir).study
+    s = Domain.of(spark, sf_dir).study
     return signals.track_record(s.results, s.returns).select(*event_ops.KEYS, "track_n", r6("track_record"))
 
 
 @query(f"SELECT {KEYS}, {r('drawdown')}, {r('stake_change')}, {r('drift')} FROM c_signals")
 def drawdown_and_stake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.build(Domain(spark, sf_dir).study).select(*event_ops.KEYS, r6("drawdown"), r6("stake_change"), r6("drift"))
+    return Domain.of(spark, sf_dir).signals.select(*event_ops.KEYS, r6("drawdown"), r6("stake_change"), r6("drift"))
 
 
 @query(f"SELECT {KEYS}, {', '.join(f'b_{c}' for c in model.NAMES)} FROM c_bucketed")
 def component_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.bucketed(signals.build(Domain(spark, sf_dir).study)).select(*event_ops.KEYS, *(f"b_{c}" for c in model.NAMES))
-
-
-def listed(d: Domain) -> DataFrame:
-    return model.pool(signals.build(d.study), d.study.returns)
+    return signals.bucketed(Domain.of(spark, sf_dir).signals).select(*event_ops.KEYS, *(f"b_{c}" for c in model.NAMES))
 
 
 @query(f"SELECT component, bucket, n, {r('value')} FROM c_tables")
 def bucket_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = signals.bucketed(model.winsorized(listed(Domain(spark, sf_dir)).filter("y is not null")))
+    pool = signals.bucketed(model.winsorized(Domain.of(spark, sf_dir).listed.filter("y is not null")))
     return model.bucket_tables(pool).select("component", "bucket", "n", r6("value"))
 
 
 @query(f"SELECT {KEYS}, entry, {r('quality')}, {r('score')} FROM ({fixed('SELECT * FROM c_listed')})")
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals.bucketed(listed(Domain(spark, sf_dir))).withColumn("quality", FIXED.quality()).withColumn("score", FIXED.score())
+    rows = signals.bucketed(Domain.of(spark, sf_dir).listed).withColumn("quality", FIXED.quality()).withColumn("score", FIXED.score())
     return rows.select(*event_ops.KEYS, "entry", r6("quality"), r6("score"))
 
 
@@ -357,7 +375,7 @@ def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM ({fixed('SELECT * FROM c_listed')}) QUALIFY row_number() OVER (PARTITION BY ticker, entry ORDER BY round(score, 9) DESC, filing_date, side, filer_id) = 1)) WHERE k <= greatest(1, n // 10)""")
 def top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By entry year, the tenth with the highest scores of the best event a ticker and day."""
-    rows = signals.bucketed(listed(Domain(spark, sf_dir))).withColumn("score", F.round(FIXED.score(), 9)).withColumn("year", F.year("entry"))
+    rows = signals.bucketed(Domain.of(spark, sf_dir).listed).withColumn("score", F.round(FIXED.score(), 9)).withColumn("year", F.year("entry"))
     rows = ranking.numbered(model.best_per_day(stored(rows, "scored")), ["year"], [-F.col("score"), *map(F.col, model.SEQUENCE)])
     sizes = rows.groupBy("year").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("k"))
     return rows.join(F.broadcast(sizes), "year").filter("rank <= k").select(*event_ops.KEYS, "entry", r6("score"))
@@ -367,8 +385,8 @@ def top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, unnest([0, 1, 2, 3, 5, 10]) AS delay FROM c_listed) o JOIN c_usable a ON a.ticker = o.ticker AND a.bar_no = o.bar_no + delay JOIN c_usable b ON b.ticker = o.ticker AND b.bar_no = o.bar_no + delay + 19
     JOIN c_usable s ON s.ticker = 'SPY' AND s.date = a.date JOIN c_usable e ON e.ticker = 'SPY' AND e.date = b.date WHERE a.adj_open <> 0""")
 def delayed_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return portfolio.delayed_excess(listed(d), d.study.numbered).select(*model.SEQUENCE, "delay", r6("excess"))
+    d = Domain.of(spark, sf_dir)
+    return portfolio.delayed_excess(d.listed, d.study.numbered).select(*model.SEQUENCE, "delay", r6("excess"))
 
 
 _LIVE = f"""SELECT x.* EXCLUDE (drift, drawdown, dollar_volume, bar_no), n.adj_close / t0.adj_close - 1 AS drift, n.drawdown AS drawdown, n.volume_upto AS dollar_volume, n.close AS last_close, n.date AS now_date, t0.date AS t0d, t1.close AS raw, k.cum_nyse - c.cum_nyse AS days_since
@@ -385,29 +403,29 @@ LIVE_BUCKETS = sqls.CTES["c_bucketed"].replace("FROM c_signals", f"FROM ({LIVE})
 
 @query(f"SELECT {KEYS}, CAST(days_since AS INT) AS days_since, {r('drift')}, {r('drawdown')}, {r('dollar_volume')}, {r('last_close')}, hidden FROM ({LIVE})")
 def rank_live_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    live = rank.live_inputs(signals.build(d.study), d.study.numbered, d.days, RANK_DAY)
+    d = Domain.of(spark, sf_dir)
+    live = rank.live_inputs(d.signals, d.study.numbered, d.days, RANK_DAY)
     return live.select(*event_ops.KEYS, "days_since", r6("drift"), r6("drawdown"), r6("dollar_volume"), r6("last_close"), "hidden")
 
 
 @query(f"SELECT hidden, count(*) AS n FROM ({LIVE}) WHERE hidden IS NOT NULL GROUP BY hidden")
 def rank_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return rank.live_inputs(signals.build(d.study), d.study.numbered, d.days, RANK_DAY).filter("hidden is not null").groupBy("hidden").agg(F.count("*").alias("n"))
+    d = Domain.of(spark, sf_dir)
+    return rank.live_inputs(d.signals, d.study.numbered, d.days, RANK_DAY).filter("hidden is not null").groupBy("hidden").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT ticker, {r('score')}, {r('quality')}, CAST(days_since AS INT) AS days_since, filer_id, filing_date FROM (SELECT * FROM ({fixed(f'SELECT * FROM ({LIVE_BUCKETS}) WHERE hidden IS NULL', 'days_since')})
     QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, filing_date, side, filer_id) = 1 ORDER BY score DESC, ticker LIMIT 20)""")
 def rank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    live = rank.live_inputs(signals.build(d.study), d.study.numbered, d.days, RANK_DAY)
+    d = Domain.of(spark, sf_dir)
+    live = rank.live_inputs(d.signals, d.study.numbered, d.days, RANK_DAY)
     return rank.ranked(live, FIXED).select("ticker", r6("score"), r6("quality"), "days_since", "filer_id", "filing_date")
 
 
 @query()
 def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights, penalty and threshold fitted on all matured rows; an iterative fit, held against plain Python in the tests."""
-    m = model.fit(listed(Domain(spark, sf_dir)).filter("y is not null"))
+    m = model.fit(Domain.of(spark, sf_dir).listed.filter("y is not null"))
     rows = [(c, w) for c, w in m.weights.items()] + [("beta", m.beta), ("threshold", m.threshold)] if m else []
     return spark.createDataFrame(rows, "name string, value double")
 
@@ -415,8 +433,8 @@ def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The portfolio of the fixed model's upper half by score; admission is sequential, held against plain Python in the tests."""
-    d = Domain(spark, sf_dir)
-    rows = signals.bucketed(listed(d)).withColumn("score", F.round(FIXED.score(), 9)).filter("score >= 0.5 and exit is not null")
+    d = Domain.of(spark, sf_dir)
+    rows = signals.bucketed(d.listed).withColumn("score", F.round(FIXED.score(), 9)).filter("score >= 0.5 and exit is not null")
     taken = portfolio.admitted(model.best_per_day(stored(rows, "candidates")))
     return portfolio.daily(spark.createDataFrame(taken, "ticker string, entry date, exit date, cost double"), d.study.numbered)
 
@@ -427,49 +445,49 @@ def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT source, CAST(year(filed_on) AS INT) AS year, count(*) AS trades, round(100.0 * count(ticker) / count(*), 2)::DOUBLE AS with_ticker, round(100.0 * count(*) FILTER (p) / count(*), 2)::DOUBLE AS priced
     FROM (SELECT t.*, coalesce(p, false) AS p FROM c_trades t LEFT JOIN (SELECT DISTINCT trade_id, true AS p FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND b.date BETWEEN t.trade_date AND t.trade_date + 7) USING (trade_id)) GROUP BY ALL""")
 def coverage_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     return reports.coverage(d.trades, d.bars)
 
 
 @query("""SELECT bucket, coalesce(n, 0) AS n FROM (SELECT unnest(['0', '1', '2', '3-5', '6-10', '11-30', '31-45', '46+']) AS bucket) LEFT JOIN (
     SELECT CASE WHEN x <= 2 THEN CAST(x AS VARCHAR) WHEN x <= 5 THEN '3-5' WHEN x <= 10 THEN '6-10' WHEN x <= 30 THEN '11-30' WHEN x <= 45 THEN '31-45' ELSE '46+' END AS bucket, count(*) AS n FROM (SELECT greatest(lag, 0) AS x FROM c_lagged) GROUP BY ALL) USING (bucket)""")
 def lag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.lag_histogram(Domain(spark, sf_dir).lagged)
+    return reports.lag_histogram(Domain.of(spark, sf_dir).lagged)
 
 
 @query("SELECT side, count(*) AS trades, " + ", ".join(f"round(100.0 * count({c}) / count(*), 2)::DOUBLE AS {c}" for c in ("lag_days", "drift_pct", "filer_lag_zscore", "cluster_count", "size_score", "role_weight")) + " FROM c_features GROUP BY side")
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.feature_coverage(Domain(spark, sf_dir).features, ["lag_days", "drift_pct", "filer_lag_zscore", "cluster_count", "size_score", "role_weight"])
+    return reports.feature_coverage(Domain.of(spark, sf_dir).features, ["lag_days", "drift_pct", "filer_lag_zscore", "cluster_count", "size_score", "role_weight"])
 
 
 @query(f"""SELECT bucket, count(*) AS trades, {r("median(drift_pct) FILTER (side = 'buy')", 'buy_drift')}, {r("median(drift_pct) FILTER (side = 'sell')", 'sell_drift')}
     FROM (SELECT *, CASE WHEN lag_ratio <= 0.5 THEN '<=0.5' WHEN lag_ratio <= 1 THEN '0.5-1' WHEN lag_ratio <= 2 THEN '1-2' ELSE '>2' END AS bucket FROM c_drift WHERE lag_ratio IS NOT NULL) GROUP BY bucket""")
 def lag_ratio_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return reports.ratio_buckets(features.drift(d.lagged, d.bars)).select("bucket", "trades", r6("buy_drift"), r6("sell_drift"))
+    d = Domain.of(spark, sf_dir)
+    return reports.ratio_buckets(d.drifted).select("bucket", "trades", r6("buy_drift"), r6("sell_drift"))
 
 
 @query("SELECT side, count(drift_pct) AS n, " + ", ".join(r(f"quantile_cont(drift_pct, {p / 100})", f"p{p}") for p in (5, 25, 50, 75, 95)) + " FROM c_drift WHERE drift_pct IS NOT NULL GROUP BY side")
 def drift_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return reports.drift_percentiles(features.drift(d.lagged, d.bars)).select("side", "n", *(r6(f"p{p}") for p in (5, 25, 50, 75, 95)))
+    d = Domain.of(spark, sf_dir)
+    return reports.drift_percentiles(d.drifted).select("side", "n", *(r6(f"p{p}") for p in (5, 25, 50, 75, 95)))
 
 
 @query("SELECT coalesce(role, 'none') AS role, count(*) AS n FROM c_trades GROUP BY ALL")
 def role_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.mix(adapter.trades(spark, sf_dir), "role", "role")
+    return reports.mix(Domain.of(spark, sf_dir).trades, "role", "role")
 
 
 @query("SELECT coalesce(CAST(cluster_count AS VARCHAR), 'none') AS size, count(*) AS n FROM c_trades LEFT JOIN c_clusters USING (trade_id) GROUP BY ALL")
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     counts = features.inherited(d.dated, features.cluster_counts(d.dated))
     return reports.mix(d.trades.select("trade_id").join(counts, "trade_id", "left"), "cluster_count", "size")
 
 
 @query("SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM c_features) GROUP BY flag")
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.flag_counts(Domain(spark, sf_dir).features)
+    return reports.flag_counts(Domain.of(spark, sf_dir).features)
 
 
 UNIVERSE = "SELECT year(filed_on) || 'q' || quarter(filed_on) AS quarter, ticker, count(*) FILTER (side = 'buy') AS buys, count(*) AS trades FROM c_trades WHERE ticker IS NOT NULL GROUP BY ALL"
@@ -477,14 +495,14 @@ UNIVERSE = "SELECT year(filed_on) || 'q' || quarter(filed_on) AS quarter, ticker
 
 @query(UNIVERSE)
 def price_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.universe(adapter.trades(spark, sf_dir))
+    return reports.universe(Domain.of(spark, sf_dir).trades)
 
 
 @query(f"""SELECT quarter, count(*) AS tickers, count(*) FILTER (lo <= e AND hi >= s) AS covered, count(*) FILTER (NOT (lo <= e AND hi >= s)) AS out_of_range, count(*) FILTER (lo IS NULL) AS pending
     FROM (SELECT quarter, lo, hi, make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3 - 2, 1) AS s, last_day(make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3, 1)) AS e
         FROM ({UNIVERSE}) u LEFT JOIN (SELECT ticker, min(date) AS lo, max(date) AS hi FROM c_bars WHERE date < DATE '2000-01-01' AND ticker <> 'S3' GROUP BY ticker) b USING (ticker)) GROUP BY quarter""")
 def cache_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     held = d.bars.filter("date < '2000-01-01' and ticker <> 'S3'").groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     return reports.cache_coverage(reports.universe(d.trades), held)
 
@@ -493,7 +511,7 @@ def cache_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT w.ticker, last_date IS NOT NULL AS loaded, last_date + 1 AS from_date FROM (SELECT DISTINCT ticker FROM c_trades WHERE ticker IS NOT NULL UNION SELECT unnest(['SPY', 'IWM', 'QQQ', 'S2'])) w
     LEFT JOIN (SELECT ticker, max(date) AS last_date FROM c_bars WHERE ticker NOT LIKE '%7' GROUP BY ticker) l USING (ticker) WHERE w.ticker <> 'QQQ' ORDER BY loaded, w.ticker LIMIT 25)""")
 def price_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     wanted = d.trades.select("ticker").filter("ticker is not null").union(spark.createDataFrame([(t,) for t in ("SPY", "IWM", "QQQ", "S2")], "ticker string"))
     last = d.bars.filter("ticker not like '%7'").groupBy("ticker").agg(F.max("date").alias("last_date"))
     return reports.price_queue(wanted, last, spark.createDataFrame([("QQQ", "not_found")], "ticker string, state string"), 25)
@@ -509,7 +527,7 @@ def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT {KEYS}, r AS a FROM c_returns WHERE h = 20 AND filer_id % 5 <> 0 AND r IS NOT NULL) FULL JOIN (SELECT {KEYS}, r_sector AS b FROM c_returns WHERE h = 20 AND filer_id % 3 <> 0 AND r_sector IS NOT NULL) USING ({KEYS})""")
 def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stand-ins for sources: returns against the market and against sectors, each without some filers."""
-    rows = Domain(spark, sf_dir).study.returns.filter("h = 20")
+    rows = Domain.of(spark, sf_dir).study.returns.filter("h = 20")
     out = reports.join_keys(rows.filter("filer_id % 5 <> 0").select(*event_ops.KEYS, "r"), rows.filter("filer_id % 3 <> 0").select(*event_ops.KEYS, F.col("r_sector").alias("r")), event_ops.KEYS, "r")
     return out.select("both", "only_primary", "only_other", "close", r6("mean_difference"), r6("correlation"))
 
@@ -522,7 +540,7 @@ def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT trade_id FROM c_trades WHERE trade_id NOT IN (SELECT trade_id FROM c_dups)")
 def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     return store.missing(d.trades.select("trade_id"), d.dups, ["trade_id"])
 
 
@@ -537,7 +555,7 @@ def link_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT issuer, ticker, min(filed_on) AS first_seen, max(filed_on) AS last_seen FROM c_trades WHERE ticker IS NOT NULL GROUP BY ALL")
 def ticker_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of ordinary filings, merged with those of later ones."""
-    rows = adapter.trades(spark, sf_dir).filter("ticker is not null").select("issuer", "ticker", "filing_id", F.col("filed_on").alias("first_seen"), F.col("filed_on").alias("last_seen"))
+    rows = Domain.of(spark, sf_dir).trades.filter("ticker is not null").select("issuer", "ticker", "filing_id", F.col("filed_on").alias("first_seen"), F.col("filed_on").alias("last_seen"))
     early, late = (rows.filter(c).drop("filing_id") for c in ("filing_id < 100000000", "filing_id >= 100000000"))
     return store.merge_intervals(early, late, ["issuer", "ticker"], "first_seen", "last_seen")
 
@@ -545,7 +563,7 @@ def ticker_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT ticker, date, {r('CASE WHEN day(date) % 2 = 0 THEN close * 2 ELSE close END', 'close')}, CASE WHEN day(date) % 3 = 0 THEN 'new' ELSE 'old' END AS source FROM c_bars WHERE day(date) % 3 <> 0 OR day(date) % 2 = 0")
 def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New bars of even days over old ones; a row that was there keeps its source."""
-    bars = Domain(spark, sf_dir).bars.select("ticker", "date", "close")
+    bars = Domain.of(spark, sf_dir).bars.select("ticker", "date", "close")
     old = bars.filter(F.day("date") % 3 != 0).withColumn("source", F.lit("old"))
     new = bars.filter(F.day("date") % 2 == 0).withColumn("close", F.col("close") * 2).withColumn("source", F.lit("new"))
     return store.last_write(old, new, ["ticker", "date"], ("source",)).select("ticker", "date", r6("close"), "source")
@@ -554,19 +572,19 @@ def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT trade_id, coalesce(ticker, CASE WHEN issuer % 2 = 0 THEN 'M' || issuer END) AS ticker FROM c_trades")
 def fill_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = adapter.table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("issuer"), F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("ticker"))
-    return store.fill_nulls(adapter.trades(spark, sf_dir).select("trade_id", "issuer", "ticker"), mapping, ["issuer"], ["ticker"]).select("trade_id", "ticker")
+    return store.fill_nulls(Domain.of(spark, sf_dir).trades.select("trade_id", "issuer", "ticker"), mapping, ["issuer"], ["ticker"]).select("trade_id", "ticker")
 
 
 @query("""SELECT trade_id, 'trade_after_filing' AS rule FROM c_trades WHERE trade_date > filed_on AND trade_id % 2 = 0 UNION ALL SELECT trade_id, 'unknown_ticker' FROM c_trades WHERE ticker IS NULL
     UNION ALL SELECT trade_id, 'price_out_of_range' FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND t.trade_date = b.date WHERE price > 0 AND (price < 0.8 * open OR price > 1.2 * close)""")
 def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations that are new where odd trades filed before their date are known already."""
-    d = Domain(spark, sf_dir)
+    d = Domain.of(spark, sf_dir)
     known = d.trades.filter("trade_date > filed_on and trade_id % 2 = 1").select("trade_id", F.lit("trade_after_filing").alias("rule"))
     return store.new_rejects(d.trades, d.bars.withColumns({"low": F.col("open"), "high": F.col("close")}), known)
 
 
-@query("SELECT p_partkey, coalesce((SELECT arg_min(etf, i) FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, '{c}')" for i, (a, b, c) in enumerate(sectors.ranges())) + ") AS v(i, lo, hi, etf) WHERE p_partkey * 37 % 9000 BETWEEN lo AND hi), 'SPY') AS etf FROM part")
+@query("SELECT p_partkey, coalesce((SELECT arg_min(etf, i) FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, '{c}')" for i, (a, b, c) in enumerate(sectors.RANGES)) + ") AS v(i, lo, hi, etf) WHERE p_partkey * 37 % 9000 BETWEEN lo AND hi), 'SPY') AS etf FROM part")
 def sector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.table(spark, sf_dir, "part").select("p_partkey", sectors.sector_etf((F.col("p_partkey") * 37 % 9000).cast("string")).alias("etf"))
 

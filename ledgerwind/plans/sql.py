@@ -24,7 +24,7 @@ def sql(body: str) -> str:
                 visit(CTES[name])
 
     visit(body)
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+    parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in CTES if name in needed]
     if "WITH_PREFIX" in body:  # the body has tables of its own
         return body.replace("WITH_PREFIX", f"WITH {', '.join(parts)},")
     return (f"WITH {', '.join(parts)} " if parts else "") + body
@@ -174,14 +174,14 @@ cte("c_outcomes", """
         CASE WHEN early IS NULL AND NOT coalesce(ratio NOT BETWEEN 0.5 AND 2.0, false) THEN CASE WHEN sector_bar IS NOT NULL THEN sector ELSE 'SPY' END END AS benchmark
     FROM c_checked LEFT JOIN (SELECT ticker AS st, date AS sd, 1 AS sector_bar FROM c_usable) x ON st = sector AND sd = entry_date""")
 cte("c_targets", "SELECT o.id, o.ticker, o.entry, o.adj_open, o.benchmark, o.last_date, h, t.d AS target FROM (SELECT *, unnest([5, 20, 60]) AS h FROM c_outcomes) o JOIN c_calendar c ON c.d = o.entry JOIN c_sessions t ON t.s = c.cum_nyse + h - 1 WHERE early IS NULL AND NOT mismatch AND t.d <= (SELECT d FROM c_last_day)")
-cte("c_exit_days", "SELECT t.id, t.h, max(b.date) AS near FROM c_targets t JOIN c_usable b ON t.ticker = b.ticker AND b.date BETWEEN t.target - 10 AND t.target GROUP BY ALL")
+cte("c_exit_days", "SELECT t.id, t.h, b.date AS near FROM c_targets t ASOF JOIN c_closes b ON t.ticker = b.ticker AND t.target >= b.date WHERE t.target - b.date <= 10")
 cte("c_exits", """
     SELECT t.id, t.h, t.entry, t.adj_open, t.benchmark, b.date AS exit, b.adj_close AS exit_close, n.near IS NULL AS ended_early FROM c_targets t LEFT JOIN c_exit_days n USING (id, h)
     JOIN c_usable b ON b.ticker = t.ticker AND b.date = coalesce(n.near, CASE WHEN t.last_date < t.target THEN t.last_date END)""")
 for _name, _bench in (("spy", "'SPY'"), ("sec", "benchmark"), ("iwm", "'IWM'")):
     cte(f"c_leg_{_name}", f"""
-        SELECT x.id, x.h, arg_max(e.adj_close, e.date) / any_value(s.adj_open) - 1 AS leg FROM (SELECT *, {_bench} AS bench FROM c_exits) x
-        JOIN c_usable s ON s.ticker = x.bench AND s.date = x.entry AND s.adj_open <> 0 JOIN c_usable e ON e.ticker = x.bench AND e.date BETWEEN x.exit - 10 AND x.exit GROUP BY ALL""")
+        SELECT x.id, x.h, e.adj_close / x.start - 1 AS leg FROM (SELECT y.id, y.h, y.exit, y.bench, s.adj_open AS start FROM (SELECT *, {_bench} AS bench FROM c_exits) y JOIN c_usable s ON s.ticker = y.bench AND s.date = y.entry AND s.adj_open <> 0) x
+        ASOF JOIN c_closes e ON e.ticker = x.bench AND x.exit >= e.date WHERE x.exit - e.date <= 10""")
 cte("c_legs", "SELECT x.id, x.h, x.exit, x.ended_early, exit_close / adj_open - 1 AS stock, a.leg AS spy, b.leg AS sector_leg, c.leg AS iwm FROM c_exits x LEFT JOIN c_leg_spy a USING (id, h) LEFT JOIN c_leg_sec b USING (id, h) LEFT JOIN c_leg_iwm c USING (id, h)")
 cte("c_results", """
     SELECT *, coalesce(early, CASE WHEN mismatch THEN 'ticker_mismatch' WHEN id IN (SELECT id FROM c_legs) THEN 'ok' ELSE 'not_matured' END) AS status, coalesce(entry_open >= 2 AND dollar_volume >= 100000, false) AS liquid FROM c_outcomes""")
@@ -204,8 +204,8 @@ def summary(groups: str, source: str, value: str = "r", cluster: str = "cluster"
                 GROUP BY {groups}, {cluster}) GROUP BY {groups})"""
 
 
-cte("c_cuts", "SELECT h, list_sort(list(drift_pct)) AS v, len(list(drift_pct)) AS n FROM c_pool WHERE drift_pct IS NOT NULL GROUP BY h")
-cte("c_quintiles", "SELECT p.*, CASE WHEN drift_pct IS NOT NULL THEN " + " + ".join(f"CASE WHEN drift_pct >= v[least(c.n - 1, CAST(floor(c.n * {k} / 5) AS BIGINT)) + 1] THEN 1 ELSE 0 END" for k in range(1, 5)) + " END AS quintile FROM c_lag_pool p LEFT JOIN c_cuts c ON p.h = c.h")
+cte("c_cuts", "SELECT h, " + ", ".join(f"v[least(n - 1, CAST(floor(n * {k} / 5) AS BIGINT)) + 1] AS cut{k}" for k in range(1, 5)) + " FROM (SELECT h, list_sort(list(drift_pct)) AS v, count(*) AS n FROM c_pool WHERE drift_pct IS NOT NULL GROUP BY h)")
+cte("c_quintiles", "SELECT p.*, CASE WHEN drift_pct IS NOT NULL THEN " + " + ".join(f"CASE WHEN drift_pct >= cut{k} THEN 1 ELSE 0 END" for k in range(1, 5)) + " END AS quintile FROM c_lag_pool p LEFT JOIN c_cuts c ON p.h = c.h")
 cte("c_repeats", """
     SELECT e.filer_id, e.ticker, e.side, e.filing_date, CAST(CASE WHEN e.side = 'buy' THEN (SELECT count(*) FROM c_events b WHERE b.side = 'buy' AND b.filer_id = e.filer_id AND b.ticker = e.ticker AND b.filing_date < e.filing_date AND b.filing_date >= e.filing_date - 730) ELSE 0 END AS INT) AS repeat_buys FROM c_events e""")
 cte("c_known", "SELECT filer_id, exit, r FROM c_returns WHERE h = 20 AND side = 'buy' AND NOT is_10b5_1 AND r IS NOT NULL")
@@ -231,8 +231,8 @@ cte("c_listed", """
     SELECT b.*, l.exit, l.net AS y, l.r AS gross FROM c_bucketed b LEFT JOIN (SELECT filer_id, ticker, side, filing_date, exit, net, r FROM c_returns WHERE h = 20) l USING (filer_id, ticker, side, filing_date)
     WHERE status = 'ok' AND side = 'buy' AND NOT is_10b5_1 AND liquid AND (drift IS NULL OR drift <= 0.2)""")
 cte("c_training", """
-    SELECT * EXCLUDE (y), least(greatest(y, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1]), v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1]) AS y
-    FROM c_listed, (SELECT list_sort(list(y)) AS v, count(*) AS n FROM c_listed WHERE y IS NOT NULL) WHERE y IS NOT NULL""")
+    SELECT * EXCLUDE (y, lo, hi), least(greatest(y, lo), hi) AS y
+    FROM c_listed, (SELECT v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1] AS lo, v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1] AS hi FROM (SELECT list_sort(list(y)) AS v, count(*) AS n FROM c_listed WHERE y IS NOT NULL)) WHERE y IS NOT NULL""")
 _COMPONENTS = ("role", "value", "stake", "cluster", "repeat", "drawdown", "track", "liquidity")
 cte("c_long_training", " UNION ALL ".join(f"SELECT '{c}' AS component, b_{c} AS bucket, y FROM c_training" for c in _COMPONENTS))
 cte("c_tables", "SELECT component, bucket, count(*) AS n, count(*) / (count(*) + 500.0) * (avg(y) - (SELECT avg(y) FROM c_training)) AS value FROM c_long_training GROUP BY component, bucket")
