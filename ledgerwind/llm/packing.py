@@ -61,6 +61,8 @@ class Phase:
         """What the queues up to this one have given when all have given so many tokens in this phase."""
         if not self.d:
             return self.base[queue]
+        if not self.tiny:
+            return self.base[queue] + self.rates[queue] * tokens // self.d
         rest = tokens - sum(rate * tokens // self.d for _, rate in self.tiny)
         return self.base[queue] + self.rates[queue] * rest // self.rates[-1] + sum(rate * tokens // self.d for q, rate in self.tiny if q <= queue)
 
