@@ -22,9 +22,13 @@ def lookup(column: str, values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col(column)]
 
 
-def trade_value(shares: str = "shares", price: str = "price") -> Column:
-    """shares * price where both are positive; exact before it becomes a double."""
-    return F.when((F.col(shares) > 0) & (F.col(price) > 0), (F.col(shares) * F.col(price)).cast("double"))
+def trade_value(shares: str = "shares", price: str = "price", amounts: tuple[str, str] | None = None) -> Column:
+    """shares * price where both are positive, exact before it becomes a double; else the middle of an amount range, if one is named."""
+    exact = F.when((F.col(shares) > 0) & (F.col(price) > 0), (F.col(shares) * F.col(price)).cast("double"))
+    if amounts is None:
+        return exact
+    low, high = map(F.col, amounts)
+    return F.coalesce(exact, F.when(low.isNotNull() & (high > 0), (low + high).cast("double") / 2))
 
 
 def lags(dated: DataFrame, days: DataFrame, as_of: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,10 @@ class Model:
         raw = sum((self.weights[c] * self.value(c) for c in sorted(self.weights)), F.lit(0.0))
         return (raw - low) / (high - low) if high > low else F.lit(0.5)
 
+    def contributions(self) -> dict[str, Column]:
+        """Each component's weighted bucket value, on the scale of the raw score."""
+        return {c: self.weights[c] * self.value(c) for c in sorted(self.weights)}
+
     def score(self, days_since_filing: Column | None = None, beta: Column | None = None) -> Column:
         beta = F.lit(self.beta) if beta is None else beta
         factor = F.when(F.col("drift").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - beta * F.greatest(F.col("drift"), F.lit(FLOOR))))
@@ -67,17 +72,16 @@ class Model:
 
 
 def bounded_least_squares(gram: list[list[float]], right: list[float], upper: float, sweeps: int = 10_000) -> list[float]:
-    """Weights in [0, upper] that minimise the squares, by coordinate descent on the normal equations."""
-    w = [0.0] * len(right)
+    """Weights in [0, upper] that minimise the squares: cyclic projected steps, each the least along its own axis."""
+    g, target = np.array(gram, float), np.array(right, float)
+    axes, w = np.flatnonzero(g.diagonal() > 0), np.zeros(len(target))
     for _ in range(sweeps):
-        moved = 0.0
-        for j, row in enumerate(gram):
-            if row[j] > 0:
-                new = min(upper, max(0.0, w[j] + (right[j] - sum(g * x for g, x in zip(row, w, strict=True))) / row[j]))
-                moved, w[j] = max(moved, abs(new - w[j])), new
-        if moved < 1e-12:
+        before = w.copy()
+        for axis in axes:
+            w[axis] = np.clip(w[axis] + (target[axis] - g[axis] @ w) / g[axis, axis], 0.0, upper)
+        if np.abs(w - before).max(initial=0.0) < 1e-12:
             break
-    return w
+    return w.tolist()
 
 
 def winsorized(pool: DataFrame, y: str = "y") -> DataFrame:

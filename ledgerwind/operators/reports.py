@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwind.functions.stored import stored
+from ledgerwind.functions.text import eastern_date
+from ledgerwind.operators import ranking
 from ledgerwind.operators.temporal import asof
 
+#: States of a ticker that need no further load.
+DONE = ("ok", "not_found", "empty", "failed")
+
 # Edges of the lag histogram.
 LAG_LABELS = ["0", "1", "2", "3-5", "6-10", "11-30", "31-45", "46+"]
 
@@ -59,21 +65,72 @@ def flag_counts(features: DataFrame) -> DataFrame:
     return features.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-def universe(trades: DataFrame) -> DataFrame:
-    """(quarter, ticker, buys, trades) by the quarter of filing."""
-    quarter = F.concat(F.year("filed_on").cast("string"), F.lit("q"), F.quarter("filed_on").cast("string"))
-    return trades.filter("ticker is not null").groupBy(quarter.alias("quarter"), "ticker").agg(F.count_if(F.col("side") == "buy").alias("buys"), F.count("*").alias("trades"))
+def zscore_buckets(features: DataFrame) -> DataFrame:
+    """(bucket, trades): how unusual lags are for their filers."""
+    z = F.col("filer_lag_zscore")
+    bucket = F.when(z < -1, "a: faster than usual (<-1)").when(z <= 1, "b: usual (-1..1)").when(z <= 3, "c: later (1..3)").otherwise("d: much later (>3)")
+    return features.filter(z.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("trades"))
+
+
+def size_basis(features: DataFrame) -> DataFrame:
+    """(basis, trades, median): what size scores are relative to."""
+    basis = F.coalesce(F.when(F.col("size_score").isNotNull(), F.col("size_basis")), F.lit("none"))
+    return features.groupBy(basis.alias("basis")).agg(F.count("*").alias("trades"), F.percentile("size_score", 0.5).alias("median"))
+
+
+def amendment_linkage(filings: DataFrame, links: DataFrame) -> DataFrame:
+    """(amendments, linked): amendments, and those whose original is known."""
+    return filings.filter("document_type like '%/A'").select("filing_id").join(links, "filing_id", "left").agg(F.count("*").alias("amendments"), F.count("original_id").alias("linked"))
+
+
+def ended_early(legs: DataFrame) -> DataFrame:
+    """(h, ended_early, legs): legs whose prices stopped before the horizon."""
+    return legs.groupBy("h").agg(F.count_if("ended_early").alias("ended_early"), F.count("*").alias("legs"))
+
+
+def status_pairs(primary: DataFrame, other: DataFrame, keys: list[str], top: int = 8) -> DataFrame:
+    """(primary, other, n): the most frequent pairs of statuses on which two sources disagree, ties by name."""
+    both = primary.select(*keys, F.col("status").alias("primary")).join(other.select(*keys, F.col("status").alias("other")), keys).filter("primary <> other")
+    return both.groupBy("primary", "other").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "primary", "other").limit(top)
+
+
+#: What a price vendor's symbols look like.
+PLAUSIBLE = r"^[A-Z][A-Z0-9]{0,5}([.-][A-Z0-9]{1,2})?$"
+
+
+def universe(trades: DataFrame, filed_at: str | None = None) -> DataFrame:
+    """(quarter, ticker, buys, trades) by the quarter of filing, the Eastern one if a UTC time of filing is named; plausible tickers only."""
+    day = F.col("filed_on") if filed_at is None else eastern_date(F.col(filed_at))
+    quarter = F.concat(F.year(day).cast("string"), F.lit("q"), F.quarter(day).cast("string"))
+    return trades.filter(F.col("ticker").rlike(PLAUSIBLE)).groupBy(quarter.alias("quarter"), "ticker").agg(F.count_if(F.col("side") == "buy").alias("buys"), F.count("*").alias("trades"))
 
 
 def price_queue(wanted: DataFrame, latest: DataFrame, status: DataFrame, budget: int) -> DataFrame:
     """(place, ticker, from_date): tickers to load, never-loaded ones first, then by name; those without data are left out."""
     df = wanted.select("ticker").distinct().join(latest, "ticker", "left").join(status.select("ticker", "state"), "ticker", "left").filter("state is null or state <> 'not_found'")
     first = df.select(F.col("last_date").isNotNull().alias("loaded"), "ticker", F.date_add("last_date", 1).alias("from_date")).orderBy("loaded", "ticker").limit(budget)
-    from pyspark.sql import Window
-
     return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("loaded", "ticker"))).drop("loaded")  # at most `budget` rows
 
 
+def fetch_queue(wanted: DataFrame, status: DataFrame, groups: list[list[str]], first: tuple[str, ...], now: str, retry: str = "6 hours") -> DataFrame:
+    """(place, ticker): tickers still to load, each once, from (quarter, ticker, buys, trades) and (ticker, status, last_attempt).
+
+    Benchmarks come first, then group by group tickers with buys in the group, by the order of quarters, most buys, most
+    trades and name, then the group's others. Those done are left out, and errors until they may be tried again.
+    """
+    where = wanted.sparkSession.createDataFrame([(q, g, i) for g, quarters in enumerate(groups) for i, q in enumerate(quarters)], "quarter string, g int, i int")
+    rows = wanted.join(F.broadcast(where), "quarter")  # as many rows as quarters are named
+    rows = rows.withColumn("no_buys", F.max("buys").over(Window.partitionBy("g", "ticker")) <= 0)
+    order = F.struct("g", "no_buys", "i", (-F.col("buys")).alias("b"), (-F.col("trades")).alias("t"))
+    best = rows.groupBy("ticker").agg(F.min(order).alias("o"))
+    lead = wanted.sparkSession.createDataFrame([(t, i) for i, t in enumerate(first)], "ticker string, lead int")
+    every = best.join(F.broadcast(lead), "ticker", "full_outer")
+    done = F.col("status").isin(*DONE) | ((F.col("status") == "error") & (F.lit(now).cast("timestamp") - F.col("last_attempt") < F.expr(f"interval {retry}")))
+    left = every.join(status, "ticker", "left").filter(~F.coalesce(done, F.lit(False)))
+    numbered = ranking.numbered(left.select("ticker", F.coalesce("lead", F.lit(len(first))).alias("lead"), "o.*"), [], [F.col(c) for c in ("lead", "g", "no_buys", "i", "b", "t", "ticker")], "place")
+    return numbered.select(F.col("place").cast("int").alias("place"), "ticker")
+
+
 def cache_coverage(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """(quarter, tickers, covered, out_of_range, pending) from (quarter, ticker) and (ticker, first, last)."""
     year, q = F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", 6, 1).cast("int")
@@ -91,7 +148,14 @@ def quota_usage(calls: DataFrame, key: str, at: str, symbol: str, now: str) -> D
 
 
 def join_keys(primary: DataFrame, other: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Two sources of the same returns: (both, only_primary, only_other, close, mean_difference, correlation)."""
+    """Two sources of the same returns: (both, only_primary, only_other, close, median_difference, mean_difference, mean_primary, mean_other, correlation).
+
+    The median is the upper one of the absolute differences.
+    """
     a, b = (df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias(n)) for df, n in ((primary, "a"), (other, "b")))
     both, gap = F.col("a").isNotNull() & F.col("b").isNotNull(), F.abs(F.col("a") - F.col("b"))
-    return a.join(b, keys, "full_outer").agg(F.count_if(both).alias("both"), F.count_if(F.col("b").isNull()).alias("only_primary"), F.count_if(F.col("a").isNull()).alias("only_other"), F.count_if(both & (gap <= 0.005)).alias("close"), F.avg(F.when(both, gap)).alias("mean_difference"), F.corr(F.when(both, F.col("a")), F.when(both, F.col("b"))).alias("correlation"))
+    rows = stored(a.join(b, keys, "full_outer").withColumn("gap", F.when(both, gap)), "sources")
+    middle = ranking.order_statistics(rows, [], "gap", {"median_difference": F.floor(F.col("n") / 2)})
+    of = lambda c: F.when(both, F.col(c))
+    out = rows.agg(F.count_if(both).alias("both"), F.count_if(F.col("b").isNull()).alias("only_primary"), F.count_if(F.col("a").isNull()).alias("only_other"), F.count_if(F.col("gap") <= 0.005).alias("close"), F.avg("gap").alias("mean_difference"), F.avg(of("a")).alias("mean_primary"), F.avg(of("b")).alias("mean_other"), F.corr(of("a"), of("b")).alias("correlation"))
+    return out.crossJoin(middle)  # one row each

@@ -82,6 +82,43 @@ def new_rejects(trades: DataFrame, bars: DataFrame, known: DataFrame) -> DataFra
     return reduce(DataFrame.unionByName, rules(trades, bars).values()).join(known, ["trade_id", "rule"], "left_anti")
 
 
+def reject_counts(found: DataFrame) -> DataFrame:
+    """(rule, n) of new violations."""
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def save_filings(filings: DataFrame, children: DataFrame, new_filings: DataFrame, new_children: DataFrame, key: str, filled: list[str], child_keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Filings and their lines with new ones: those that are there get only nulls of `filled` columns, lines only if they lack."""
+    one = new_filings.dropDuplicates([key])
+    return insert_missing(fill_nulls(filings, one, [key], filled), one, [key]), insert_missing(children, new_children, child_keys)
+
+
+def append_version(old: DataFrame, new: DataFrame, keys: list[str], version: Column, name: str = "computed_at") -> DataFrame:
+    """old and new rows under a version; a key that has this version already keeps its row."""
+    return insert_missing(old, new.withColumn(name, version), [*keys, name])
+
+
+def incremental(computed: DataFrame, known: DataFrame, keys: list[str], recompute: bool = False) -> DataFrame:
+    """The computed rows to write: all, or those whose keys have no row yet; history needs all rows computed either way."""
+    return computed if recompute else missing(computed, known, keys)
+
+
+# How states of the cache are named in the store.
+STORED_STATES = {"empty": "not_found", "failed": "error"}
+
+
+def import_states(old: DataFrame, cached: DataFrame) -> DataFrame:
+    """(ticker, status, detail, last_attempt) with finished and failed states of the cache written over."""
+    named = F.coalesce(F.create_map(*(F.lit(x) for kv in STORED_STATES.items() for x in kv))[F.col("status")], F.col("status"))
+    new = cached.filter(F.col("status").isin("ok", "not_found", "empty", "failed", "error")).withColumn("status", named).select(*old.columns)
+    return last_write(old, new, ["ticker"])
+
+
+def log_calls(log: DataFrame, calls: DataFrame) -> DataFrame:
+    """The call log with further calls; a log keeps repeats."""
+    return log.unionByName(calls)
+
+
 def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """children without those of deleted parents."""
     return children.join(deleted.select(key), key, "left_anti")

@@ -39,6 +39,61 @@ def summarize(df: DataFrame, groups: list[str], value: str, cluster: str) -> Dat
     return out.select(*groups, n.cast("long").alias("n"), mean.alias("mean"), F.when((n > 1) & (deviation > 0), F.try_divide(mean, deviation / F.sqrt(n))).alias("t"), (F.col("hits") / n).alias("hit"), g.alias("clusters"), F.when((g > 1) & (spread > 0), F.try_divide(mean, error)).alias("t_cluster"))
 
 
+def described(df: DataFrame, groups: list[str], value: str, within: list[str]) -> DataFrame:
+    """(groups, n, median, wmean): the interpolated median, and the mean of values cut to the 1st and 99th percentile of `within`."""
+    rows = stored(df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*groups, *within]), value), "described")
+    bounds = ranking.order_statistics(rows, within, value, ranking.winsor_places())
+    middles = ranking.order_statistics(rows, groups, value, {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    cut = F.least(F.greatest(value, "lo"), F.col("hi"))
+    means = (rows.join(bounds, within) if within else rows.crossJoin(F.broadcast(bounds))).groupBy(*groups).agg(F.count("*").alias("n"), F.avg(cut).alias("wmean"))  # without `within`, one row
+    return means.join(middles, groups).select(*groups, "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "wmean")
+
+
+def welch(df: DataFrame, groups: list[str], side: Column, value: str) -> DataFrame:
+    """(groups, n_a, n_b, diff, t): mean where side is true less mean where it is false, with unequal variances and no clusters."""
+    a, b = (F.when(side == flag, F.col(value)) for flag in (True, False))
+    out = df.groupBy(*groups).agg(F.count(a).alias("n_a"), F.count(b).alias("n_b"), (F.avg(a) - F.avg(b)).alias("diff"), (F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b)).alias("_v"))
+    return out.filter("n_a >= 2 and n_b >= 2").select(*groups, "n_a", "n_b", "diff", F.when(F.col("_v") > 0, F.col("diff") / F.sqrt("_v")).alias("t"))
+
+
+def cohorts() -> Column:
+    """The overlapping cohorts of an event, by role and by cluster size."""
+    role, size = F.col("role"), F.col("cluster_count")
+    of = {
+        "role: CEO or CFO": role.isin("CEO", "CFO"), "role: other officer": role == "officer", "role: director": role == "director", "role: 10% owner": role == "10% owner", "role: none given": role.isNull(),
+        "cluster: 1 insider": size <= 1, "cluster: 2 insiders": size == 2, "cluster: 3+ insiders": size >= 3,
+    }
+    return F.array_compact(F.array(*(F.when(condition, name) for name, condition in of.items())))
+
+
+def selections() -> Column:
+    """Buys, sells and sells under a plan, of any and of liquid stocks; plan buys are in none."""
+    kind = F.when((F.col("side") == "buy") & ~F.col("is_10b5_1"), "buys").when((F.col("side") == "sell") & ~F.col("is_10b5_1"), "sells").when(F.col("side") == "sell", "plan sells")
+    return F.array_compact(F.array(kind, F.when(F.col("liquid"), F.concat(kind, F.lit(", liquid")))))
+
+
+def periods(spans: dict[str, tuple[int, int]], year: Column) -> Column:
+    """The named spans of years that hold a year, and the year itself."""
+    return F.array_compact(F.array(*(F.when(year.between(*span), name) for name, span in spans.items()), year.cast("string")))
+
+
+def verdict(folds: DataFrame) -> DataFrame:
+    """(effect, held, years, mean, t): in how many test years an effect had the direction of its training years; t is across years."""
+    signed = lambda name: F.when(F.col(f"{name}_is") > 0, F.col(f"{name}_oos")).otherwise(-F.col(f"{name}_oos"))
+    known = lambda name: F.col(f"{name}_is").isNotNull() & F.col(f"{name}_oos").isNotNull()
+    effects = [F.struct(F.lit(name).alias("effect"), F.when(known(name), signed(name)).alias("v")) for name in ("lag", "drift")]
+    effects += [F.struct(F.lit("top less bottom fifth").alias("effect"), F.col("top_minus_bottom").alias("v")), F.struct(F.lit("rank IC").alias("effect"), F.col("ic").alias("v"))]
+    rows = folds.select(F.explode(F.array(*effects)).alias("e")).select("e.*").filter("v is not null")
+    out = rows.groupBy("effect").agg(F.count_if(F.col("v") > 0).alias("held"), F.count("*").alias("years"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("_s"))
+    return out.select("effect", "held", "years", "mean", F.when(F.col("_s") > 0, F.col("mean") / (F.col("_s") / F.sqrt("years"))).alias("t"))
+
+
+def by_benchmark(returns: DataFrame) -> DataFrame:
+    """returns as a row for each benchmark: bench, gross and net in the trade's direction."""
+    rows = F.array(*(F.struct(F.lit(name).alias("bench"), F.col(c).alias("gross")) for name, c in (("SPY", "r"), ("sector", "r_sector"), ("IWM", "r_iwm"))))
+    return returns.withColumn("_b", F.explode(rows)).select("*", "_b.bench", "_b.gross").withColumn("net", F.col("gross") - F.coalesce("cost", F.lit(0.0))).drop("_b")
+
+
 def contrast(df: DataFrame, groups: list[str], side: Column, value: str, cluster: str) -> DataFrame:
     """(groups, n_a, n_b, diff, t): mean where side is true less mean where it is false, with cluster-robust error."""
     df = df.filter(F.col(value).isNotNull()).withColumn("_a", side).filter("_a is not null")

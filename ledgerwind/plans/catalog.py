@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars, sectors
 from ledgerwind.functions.stored import shared_path, stored
-from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, reports, signals, store, study
+from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, reports, scorecard, signals, store, study
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
 from ledgerwind.plans import sql as sqls
@@ -381,9 +381,7 @@ def top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(sizes), "year").filter("rank <= k").select(*event_ops.KEYS, "entry", r6("score"))
 
 
-@query(f"""SELECT o.filing_date, o.ticker, o.side, o.filer_id, delay, {r('b.adj_close / a.adj_open - e.adj_close / s.adj_open - coalesce(cost, 0)', 'excess')}
-    FROM (SELECT *, unnest([0, 1, 2, 3, 5, 10]) AS delay FROM c_listed) o JOIN c_usable a ON a.ticker = o.ticker AND a.bar_no = o.bar_no + delay JOIN c_usable b ON b.ticker = o.ticker AND b.bar_no = o.bar_no + delay + 19
-    JOIN c_usable s ON s.ticker = 'SPY' AND s.date = a.date JOIN c_usable e ON e.ticker = 'SPY' AND e.date = b.date WHERE a.adj_open <> 0""")
+@query(f"SELECT filing_date, ticker, side, filer_id, delay, {r('excess')} FROM ({sqls.DELAYED})")
 def delayed_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain.of(spark, sf_dir)
     return portfolio.delayed_excess(d.listed, d.study.numbered).select(*model.SEQUENCE, "delay", r6("excess"))
@@ -490,7 +488,7 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.flag_counts(Domain.of(spark, sf_dir).features)
 
 
-UNIVERSE = "SELECT year(filed_on) || 'q' || quarter(filed_on) AS quarter, ticker, count(*) FILTER (side = 'buy') AS buys, count(*) AS trades FROM c_trades WHERE ticker IS NOT NULL GROUP BY ALL"
+UNIVERSE = "SELECT year(filed_on) || 'q' || quarter(filed_on) AS quarter, ticker, count(*) FILTER (side = 'buy') AS buys, count(*) AS trades FROM c_trades WHERE regexp_matches(ticker, '^[A-Z][A-Z0-9]{0,5}([.-][A-Z0-9]{1,2})?$') GROUP BY ALL"
 
 
 @query(UNIVERSE)
@@ -523,13 +521,21 @@ def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quota_usage(adapter.table(spark, sf_dir, "events"), "event_type", "ts", "user_id", "2024-01-10 12:00:00")
 
 
-@query(f"""SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_primary, count(*) FILTER (a IS NULL) AS only_other, count(*) FILTER (abs(a - b) <= 0.005) AS close, {r('avg(abs(a - b))', 'mean_difference')}, {r('corr(a, b)', 'correlation')}
-    FROM (SELECT {KEYS}, r AS a FROM c_returns WHERE h = 20 AND filer_id % 5 <> 0 AND r IS NOT NULL) FULL JOIN (SELECT {KEYS}, r_sector AS b FROM c_returns WHERE h = 20 AND filer_id % 3 <> 0 AND r_sector IS NOT NULL) USING ({KEYS})""")
+@query(f"""SELECT count(*) FILTER (g IS NOT NULL) AS both, count(*) FILTER (b IS NULL) AS only_primary, count(*) FILTER (a IS NULL) AS only_other, count(*) FILTER (g <= 0.005) AS close, {r('list_sort(list(g) FILTER (g IS NOT NULL))[count(g) // 2 + 1]', 'median_difference')}, {r('avg(g)', 'mean_difference')},
+    {r('avg(a) FILTER (g IS NOT NULL)', 'mean_primary')}, {r('avg(b) FILTER (g IS NOT NULL)', 'mean_other')}, {r('corr(a, b)', 'correlation')}
+    FROM (SELECT a, b, abs(a - b) AS g FROM (SELECT {KEYS}, r AS a FROM c_returns WHERE h = 20 AND r IS NOT NULL) FULL JOIN (SELECT {KEYS}, r_sector AS b FROM c_returns WHERE h = 20 AND r_sector IS NOT NULL) USING ({KEYS}))""")
 def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stand-ins for sources: returns against the market and against sectors, each without some filers."""
+    """Two sources of the same returns: against the market and against sectors."""
     rows = Domain.of(spark, sf_dir).study.returns.filter("h = 20")
-    out = reports.join_keys(rows.filter("filer_id % 5 <> 0").select(*event_ops.KEYS, "r"), rows.filter("filer_id % 3 <> 0").select(*event_ops.KEYS, F.col("r_sector").alias("r")), event_ops.KEYS, "r")
-    return out.select("both", "only_primary", "only_other", "close", r6("mean_difference"), r6("correlation"))
+    out = reports.join_keys(rows.select(*event_ops.KEYS, "r"), rows.select(*event_ops.KEYS, F.col("r_sector").alias("r")), event_ops.KEYS, "r")
+    return out.select("both", "only_primary", "only_other", "close", *(r6(c) for c in ("median_difference", "mean_difference", "mean_primary", "mean_other", "correlation")))
+
+
+@query("SELECT a.status AS primary, b.status AS other, count(*) AS n FROM c_results a JOIN c_results b USING (filer_id, ticker, filing_date) WHERE a.side = 'buy' AND b.side = 'sell' AND a.status <> b.status GROUP BY ALL ORDER BY n DESC, a.status, b.status LIMIT 8")
+def status_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses on which a filer's buys and sells of one ticker and day disagree, the eight most frequent pairs."""
+    rows = Domain.of(spark, sf_dir).study.results
+    return reports.status_pairs(rows.filter("side = 'buy'"), rows.filter("side = 'sell'"), ["filer_id", "ticker", "filing_date"])
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
@@ -575,8 +581,7 @@ def fill_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.fill_nulls(Domain.of(spark, sf_dir).trades.select("trade_id", "issuer", "ticker"), mapping, ["issuer"], ["ticker"]).select("trade_id", "ticker")
 
 
-@query("""SELECT trade_id, 'trade_after_filing' AS rule FROM c_trades WHERE trade_date > filed_on AND trade_id % 2 = 0 UNION ALL SELECT trade_id, 'unknown_ticker' FROM c_trades WHERE ticker IS NULL
-    UNION ALL SELECT trade_id, 'price_out_of_range' FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND t.trade_date = b.date WHERE price > 0 AND (price < 0.8 * open OR price > 1.2 * close)""")
+@query(sqls.REJECTS)
 def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations that are new where odd trades filed before their date are known already."""
     d = Domain.of(spark, sf_dir)
@@ -608,3 +613,179 @@ def events_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "stream")
     ingest.run_to_table(ingest.rate_windows(_events(spark, sf_dir), "ts", "event_type", "1 hour", "30 minutes", "1 hour"), f"{folder}/table", f"{folder}/state", "complete")
     return spark.read.parquet(f"{folder}/table").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+# the study's other tables
+
+
+@query(f"""SELECT CAST(p.h AS INT) AS h, CAST(lag_bucket AS INT) AS lag_bucket, count(*) AS n, {r('median(r)', 'median')}, {r('avg(least(greatest(r, lo), hi))', 'wmean')} FROM c_lag_pool p
+    JOIN (SELECT h, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1] AS lo, v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1] AS hi FROM (SELECT h, list_sort(list(r)) AS v, count(*) AS n FROM c_pool GROUP BY h)) c ON p.h = c.h GROUP BY p.h, lag_bucket""")
+def bucket_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By horizon and lag bucket; values are cut to the horizon's own percentiles for the second mean."""
+    pool = Domain.of(spark, sf_dir).study.returns.withColumn("lag_bucket", study.lag_bucket(F.col("lag_days")))
+    return study.described(pool, ["h", "lag_bucket"], "r", ["h"]).select("h", "lag_bucket", "n", r6("median"), r6("wmean"))
+
+
+@query(f"""SELECT CAST(h AS INT) AS h, n_a, n_b, {r('diff')}, {r('CASE WHEN v > 0 THEN diff / sqrt(v) END', 't')} FROM (SELECT h, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, avg(r) FILTER (a) - avg(r) FILTER (NOT a) AS diff,
+    var_samp(r) FILTER (a) / count(*) FILTER (a) + var_samp(r) FILTER (NOT a) / count(*) FILTER (NOT a) AS v FROM (SELECT h, r, lag_days > 2 AS a FROM c_pool) GROUP BY h) WHERE n_a >= 2 AND n_b >= 2""")
+def contrasts_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late less prompt disclosures by horizon, without clusters."""
+    out = study.welch(Domain.of(spark, sf_dir).study.returns, ["h"], F.col("lag_days") > study.LATE, "r")
+    return out.select("h", "n_a", "n_b", r6("diff"), r6("t"))
+
+
+COHORTS = {"role: CEO or CFO": "role IN ('CEO', 'CFO')", "role: other officer": "role = 'officer'", "role: director": "role = 'director'", "role: 10% owner": "role = '10% owner'", "role: none given": "role IS NULL", "cluster: 1 insider": "cluster_count <= 1", "cluster: 2 insiders": "cluster_count = 2", "cluster: 3+ insiders": "cluster_count >= 3"}
+_COHORTS = " UNION ALL ".join(f"SELECT '{name}' AS cohort, r, cluster FROM c_pool WHERE h = 20 AND side = 'buy' AND NOT is_10b5_1 AND {where}" for name, where in COHORTS.items())
+
+
+@query(f"SELECT cohort, {STATS} FROM ({summary('cohort', f'({_COHORTS})')})")
+def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinary buys by role and by cluster size, which overlap, at 20 sessions."""
+    pool = Domain.of(spark, sf_dir).study.returns.filter("h = 20 and side = 'buy' and not is_10b5_1").withColumn("cohort", F.explode(study.cohorts()))
+    return stats(study.summarize(pool, ["cohort"], "r", "cluster"), "cohort")
+
+
+_SELECTED = " UNION ALL ".join(f"SELECT '{name}{tail}' AS selection, r, cluster FROM c_pool WHERE h = 20 AND {where}{more}" for name, where in {"buys": "side = 'buy' AND NOT is_10b5_1", "sells": "side = 'sell' AND NOT is_10b5_1", "plan sells": "side = 'sell' AND is_10b5_1"}.items() for tail, more in (("", ""), (", liquid", " AND liquid")))
+
+
+@query(f"SELECT selection, {STATS} FROM ({summary('selection', f'({_SELECTED})')})")
+def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buys, sells and plan sells, all of them and those of liquid stocks, at 20 sessions."""
+    pool = Domain.of(spark, sf_dir).study.returns.filter("h = 20").withColumn("selection", F.explode(study.selections()))
+    return stats(study.summarize(pool, ["selection"], "r", "cluster"), "selection")
+
+
+PERIODS = {"1992-1994": (1992, 1994), "1995-1998": (1995, 1998)}
+_PERIODS = " UNION ALL ".join(f"SELECT '{name}' AS period, r, cluster FROM c_pool WHERE h = 20 AND year(entry) BETWEEN {a} AND {b}" for name, (a, b) in PERIODS.items()) + " UNION ALL SELECT CAST(year(entry) AS VARCHAR), r, cluster FROM c_pool WHERE h = 20"
+
+
+@query(f"SELECT period, {STATS} FROM ({summary('period', f'({_PERIODS})')})")
+def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By periods of years and by single years of entry, which overlap, at 20 sessions."""
+    pool = Domain.of(spark, sf_dir).study.returns.filter("h = 20").withColumn("period", F.explode(study.periods(PERIODS, F.year("entry"))))
+    return stats(study.summarize(pool, ["period"], "r", "cluster"), "period")
+
+
+_BENCHES = " UNION ALL ".join(f"SELECT h, '{name}' AS bench, {c} AS gross, {c} - coalesce(cost, 0) AS net, cluster FROM c_returns WHERE {c} IS NOT NULL" for name, c in (("SPY", "r"), ("sector", "r_sector"), ("IWM", "r_iwm")))
+
+
+@query(f"SELECT CAST(h AS INT) AS h, bench, CAST(n AS BIGINT) AS n, {r('gross')}, {r('mean', 'net')}, {r('t_cluster')} FROM ({summary('h, bench', f'({_BENCHES})', 'net')}) JOIN (SELECT h, bench, avg(gross) AS gross FROM ({_BENCHES}) GROUP BY ALL) USING (h, bench)")
+def horizon_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(study.by_benchmark(Domain.of(spark, sf_dir).study.returns).filter("gross is not null").select("h", "bench", "gross", "net", "cluster"), "benches")
+    out = study.summarize(rows, ["h", "bench"], "net", "cluster").join(rows.groupBy("h", "bench").agg(F.avg("gross").alias("gross")), ["h", "bench"])
+    return out.select("h", "bench", "n", r6("gross"), r6("mean").alias("net"), r6("t_cluster"))
+
+
+@query("SELECT CAST(h AS INT) AS h, count(*) FILTER (ended_early) AS ended_early, count(*) AS legs FROM c_legs GROUP BY h")
+def ended_early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ended_early(Domain.of(spark, sf_dir).study.legs)
+
+
+_SIGNED = "SELECT 'lag' AS effect, CASE WHEN lag_is > 0 THEN lag_oos ELSE -lag_oos END AS v FROM folds WHERE lag_is IS NOT NULL UNION ALL SELECT 'drift', CASE WHEN drift_is > 0 THEN drift_oos ELSE -drift_oos END FROM folds WHERE drift_is IS NOT NULL UNION ALL SELECT 'top less bottom fifth', top_minus_bottom FROM folds UNION ALL SELECT 'rank IC', ic FROM folds"
+_HEAD, _TAIL = WALK.rsplit("SELECT s.year", 1)
+
+
+@query(f"{_HEAD.rstrip()}, folds AS (SELECT s.year{_TAIL}) SELECT effect, count(*) FILTER (v > 0) AS held, count(*) AS years, {r('avg(v)', 'mean')}, {r('CASE WHEN stddev_samp(v) > 0 THEN avg(v) / (stddev_samp(v) / sqrt(count(*))) END', 't')} FROM ({_SIGNED}) WHERE v IS NOT NULL GROUP BY effect")
+def walk_forward_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many test years the effects held, and what they were worth."""
+    return study.verdict(walk_forward_folds(spark, sf_dir)).select("effect", "held", "years", r6("mean"), r6("t"))
+
+
+@query(f"SELECT delay, count(*) AS n, {r('avg(excess)', 'mean')}, {r('CASE WHEN stddev_samp(excess) > 0 THEN avg(excess) / (stddev_samp(excess) / sqrt(count(*))) END', 't')} FROM ({sqls.DELAYED}) GROUP BY delay")
+def decay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net excess by days of delay."""
+    d = Domain.of(spark, sf_dir)
+    return portfolio.decay(portfolio.delayed_excess(d.listed, d.study.numbered)).select("delay", "n", r6("mean"), r6("t"))
+
+
+@query()
+def year_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score's walk-forward by test year; iterative fits, held against plain Python in the tests."""
+    rows = scorecard.pooled(model.walk_forward(Domain.of(spark, sf_dir).listed))
+    return scorecard.year_table(rows) if rows is not None else spark.createDataFrame([], "year int")
+
+
+_RANKED = f"""(SELECT * FROM ({fixed(f'SELECT * FROM ({LIVE_BUCKETS}) WHERE hidden IS NULL', 'days_since')}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, filing_date, side, filer_id) = 1 ORDER BY score DESC, ticker LIMIT 20)"""
+
+
+@query(f"""SELECT ticker, concat_ws(', ', coalesce(role, 'Insider') || ' bought ' || CASE WHEN value >= 1e6 THEN printf('$%.1fM', value / 1e6) WHEN value >= 1e3 THEN printf('$%.0fk', value / 1e3) ELSE printf('$%.0f', value) END || ' of ' || ticker,
+    CASE WHEN stake_change >= 10 THEN 'a new stake' WHEN stake_change IS NOT NULL THEN printf('stake +%.0f%%', 100 * stake_change) END, CASE WHEN cluster_count >= 2 THEN cluster_count || ' insiders buying within 14 days' END,
+    CASE repeat_buys WHEN 0 THEN 'first buy in 2 years' WHEN 1 THEN '1 earlier buy in 2 years' ELSE repeat_buys || ' earlier buys in 2 years' END,
+    CASE WHEN drawdown < -0.005 THEN printf('stock %.0f%% below its 52-week high', abs(100 * drawdown)) WHEN drawdown IS NOT NULL THEN 'stock at its 52-week high' END,
+    CASE WHEN track_record IS NOT NULL THEN printf('past buys %+.1f%% vs SPY (n=%d)', 100 * track_record, track_n) END, CASE WHEN drift IS NOT NULL THEN printf('%+.1f%% since the trade', 100 * drift) END,
+    CASE WHEN days_since > 0 THEN 'filed ' || days_since || ' trading days ago' END) AS reason,
+    printf('%.2f%%', 200 * (10.0 + CASE WHEN dollar_volume >= 50e6 THEN 2 WHEN dollar_volume >= 5e6 THEN 10 WHEN dollar_volume >= 5e5 THEN 30 WHEN dollar_volume >= 5e4 THEN 75 ELSE 150 END) / 10000) AS cost FROM {_RANKED}""")
+def rank_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the twenty are listed, and what buying and selling them costs."""
+    d = Domain.of(spark, sf_dir)
+    return rank.ranked(rank.live_inputs(d.signals, d.study.numbered, d.days, RANK_DAY), FIXED).select("ticker", "reason", "cost")
+
+
+# further reports and stores
+
+
+@query("SELECT CASE WHEN filer_lag_zscore < -1 THEN 'a: faster than usual (<-1)' WHEN filer_lag_zscore <= 1 THEN 'b: usual (-1..1)' WHEN filer_lag_zscore <= 3 THEN 'c: later (1..3)' ELSE 'd: much later (>3)' END AS bucket, count(*) AS trades FROM c_zscore GROUP BY ALL")
+def zscore_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.zscore_buckets(features.filer_lag_zscore(Domain.of(spark, sf_dir).lagged))
+
+
+@query(f"SELECT coalesce(CASE WHEN size_score IS NOT NULL THEN size_basis END, 'none') AS basis, count(*) AS trades, {r('median(size_score)', 'median')} FROM c_features GROUP BY ALL")
+def size_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.size_basis(Domain.of(spark, sf_dir).features).select("basis", "trades", r6("median"))
+
+
+@query("SELECT count(*) AS amendments, count(amends_filing_id) AS linked FROM (SELECT DISTINCT filing_id, amends_filing_id FROM c_trades WHERE document_type LIKE '%/A')")
+def amendment_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filings = Domain.of(spark, sf_dir).trades.select("filing_id", "document_type", "amends_filing_id").distinct()
+    return reports.amendment_linkage(filings, filings.filter("amends_filing_id is not null").select("filing_id", F.col("amends_filing_id").alias("original_id")))
+
+
+@query(UNIVERSE.replace("filed_on", "(filed_on - 1)"))
+def eastern_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By Eastern quarters: filed at two in the morning in UTC is filed the day before."""
+    rows = Domain.of(spark, sf_dir).trades.withColumn("filed_at", F.col("filed_on").cast("timestamp") + F.expr("interval 2 hours"))
+    return reports.universe(rows, "filed_at")
+
+
+ORDER_OF_QUARTERS = [["1997q4", "1997q3"], ["1996q1"]]
+_WHERE = ", ".join(f"('{q}', {g}, {i})" for g, quarters in enumerate(ORDER_OF_QUARTERS) for i, q in enumerate(quarters))
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY lead, g, no_buys, i, b, t, ticker) AS INT) AS place, ticker FROM (
+    SELECT coalesce(l.ticker, q.ticker) AS ticker, coalesce(l.lead, 2) AS lead, g, no_buys, i, b, t FROM (
+        SELECT ticker, g, no_buys, i, -buys AS b, -trades AS t FROM (SELECT u.*, w.g, w.i, max(buys) OVER (PARTITION BY w.g, u.ticker) <= 0 AS no_buys FROM ({UNIVERSE}) u JOIN (VALUES {_WHERE}) w(quarter, g, i) ON u.quarter = w.quarter) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY g, no_buys, i, -buys, -trades) = 1) q
+        FULL JOIN (VALUES ('SPY', 0), ('IWM', 1)) l(ticker, lead) ON l.ticker = q.ticker)
+    LEFT JOIN (SELECT 'S' || s_suppkey AS ticker, s_suppkey % 4 AS s, s_suppkey AS k FROM supplier WHERE s_suppkey % 4 < 3) s USING (ticker) WHERE NOT coalesce(s = 0 OR s = 1 OR (s = 2 AND k % 3 = 0), false)""")
+def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers to load by groups of quarters, where some are loaded, some not found, and some failed lately or long ago."""
+    k, s = F.col("s_suppkey"), F.col("s_suppkey") % 4
+    state = F.when(s == 0, "ok").when(s == 1, "not_found").when(s == 2, "error")
+    tried = F.when(k % 3 == 0, F.lit("1998-01-01 10:00:00")).otherwise(F.lit("1998-01-01 02:00:00")).cast("timestamp")
+    status = adapter.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), state.alias("status"), tried.alias("last_attempt")).filter("status is not null")
+    return reports.fetch_queue(reports.universe(Domain.of(spark, sf_dir).trades), status, ORDER_OF_QUARTERS, ("SPY", "IWM"), "1998-01-01 12:00:00")
+
+
+@query("SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS computed_at, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT o_custkey, 2, min(o_orderkey) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL")
+def feature_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second version of each customer's row beside the first; the same version is not written twice."""
+    orders = adapter.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    first = orders.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")).withColumn("computed_at", F.lit(1))
+    second = orders.filter("o_orderkey % 2 = 1").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    both = store.append_version(first, second, ["o_custkey"], F.lit(2))
+    return store.append_version(both, second, ["o_custkey"], F.lit(2)).select("o_custkey", "computed_at", "o_orderkey")
+
+
+@query("SELECT ticker, CASE WHEN k % 5 = 0 THEN 'ok' WHEN k % 5 IN (1, 2) THEN 'not_found' ELSE 'error' END AS status, CASE WHEN k % 5 = 4 AND k % 2 = 1 THEN 'old' ELSE 'new' END AS detail FROM (SELECT 'S' || s_suppkey AS ticker, s_suppkey AS k FROM supplier) WHERE k % 5 <> 4 OR k % 2 = 1")
+def price_status_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the cache written over stored ones under their stored names; pending ones leave what was there."""
+    k = F.col("s_suppkey")
+    rows = adapter.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), k)
+    old = rows.filter("s_suppkey % 2 = 1").select("ticker", F.lit("error").alias("status"), F.lit("old").alias("detail"))
+    states = F.element_at(F.array(*map(F.lit, ("ok", "not_found", "empty", "failed", "pending"))), (k % 5 + 1).cast("int"))
+    return store.import_states(old, rows.select("ticker", states.alias("status"), F.lit("new").alias("detail")))
+
+
+@query(f"SELECT rule, count(*) AS n FROM ({sqls.REJECTS}) GROUP BY rule")
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New violations by rule."""
+    return store.reject_counts(validate_rejects(spark, sf_dir))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +25,37 @@ TABLES = {
 }
 
 
+def unpack(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of quarters as they are published, ZIP files: the member whose name ends in NAME.tsv in any case.
+
+    Bytes that are no UTF-8 are replaced, quotes are text, lines with fewer fields end in nulls. A file is one row of
+    Spark and one task; its lines leave the task in batches.
+    """
+    columns = TABLES[name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    member = next((m for m in archive.namelist() if m.lower().endswith(f"{name}.tsv".lower())), None)
+                    if member is None:
+                        continue
+                    with io.TextIOWrapper(archive.open(member), "utf-8", "replace", newline="\n") as lines:
+                        header = next(lines, "").rstrip("\r\n").split("\t")
+                        at = [header.index(c) if c in header else None for c in columns]
+                        while block := list(islice(lines, 10_000)):
+                            rows = [line.rstrip("\r\n").split("\t") for line in block]
+                            fields = [[(row[i] or None) if i is not None and i < len(row) else None for row in rows] for i in at]
+                            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()) for f in fields], columns)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, ", ".join(f"{c} string" for c in columns))
+
+
 def read_tsv(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of an unpacked quarter: quotes are text; columns that a file lacks are null."""
+    """One table of an unpacked quarter, or of ZIP files: quotes are text; columns that a file lacks are null."""
+    if folder.endswith(".zip"):
+        return unpack(spark, folder, name)
     df = spark.read.csv(f"{folder}/{name}.tsv", sep="\t", quote="", header=True, encoding="UTF-8")
     return df.withColumns({c: F.lit(None).cast("string") for c in TABLES[name] if c not in df.columns})
 
@@ -103,13 +138,13 @@ def ownership_documents(spark: SparkSession, path: str) -> DataFrame:
     )
     owner = text.primary_owners(people, ["accession"]).select("accession", F.col("cik").alias("filer_cik"), F.col("name").alias("filer_name"), "role")
     noted = F.transform(F.filter(F.coalesce("footnotes.footnote", F.array()), lambda f: text.mentions_plan(f["_VALUE"])), lambda f: f["_id"])
-    lines = docs.select("accession", "documentType", F.to_date(F.substring("periodOfReport", 1, 10)).alias("period"), text.clean_cik(F.col("issuer.issuerCik")).alias("issuer_cik"), text.clean_ticker(F.col("issuer.issuerTradingSymbol")).alias("ticker"), (text.truthy(leaf("aff10b5One")) | text.mentions_plan(F.col("remarks"))).alias("plan"), noted.alias("noted"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("line_no", "t"))
+    lines = docs.select("accession", "documentType", F.try_to_date(F.substring("periodOfReport", 1, 10)).alias("period"), text.clean_cik(F.col("issuer.issuerCik")).alias("issuer_cik"), text.clean_ticker(F.col("issuer.issuerTradingSymbol")).alias("ticker"), (text.truthy(leaf("aff10b5One")) | text.mentions_plan(F.col("remarks"))).alias("plan"), noted.alias("noted"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("line_no", "t"))
     cites = [f"t.{c}.footnoteId" for c in ("transactionDate", "transactionCoding", "transactionAmounts.transactionShares", "transactionAmounts.transactionPricePerShare", "postTransactionAmounts.sharesOwnedFollowingTransaction", "ownershipNature.directOrIndirectOwnership", "ownershipNature.natureOfOwnership")]
     cited = F.flatten(F.array(*(F.transform(F.coalesce(F.col(c), F.array()), lambda f: f["_id"]) for c in cites)))
     code = F.col("t.transactionCoding.transactionCode")
     rows = lines.filter(code.isin(*CODES) & leaf("t.transactionDate").isNotNull()).select(
         "accession", F.col("documentType").alias("document_type"), "period", "issuer_cik", "ticker", "line_no", F.when(code == "P", "buy").otherwise("sell").alias("side"),
-        F.to_date(F.substring(leaf("t.transactionDate"), 1, 10)).alias("trade_date"), text.number(leaf("t.transactionAmounts.transactionShares")).alias("shares"),
+        F.try_to_date(F.substring(leaf("t.transactionDate"), 1, 10)).alias("trade_date"), text.number(leaf("t.transactionAmounts.transactionShares")).alias("shares"),
         text.number(leaf("t.transactionAmounts.transactionPricePerShare")).alias("price"), text.number(leaf("t.postTransactionAmounts.sharesOwnedFollowingTransaction")).alias("owned_after"),
         text.owner_from_nature(leaf("t.ownershipNature.directOrIndirectOwnership"), leaf("t.ownershipNature.natureOfOwnership")).alias("owner"),
         (F.col("plan") | F.arrays_overlap(cited, "noted")).alias("is_10b5_1"),
@@ -117,6 +152,16 @@ def ownership_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(owner, "accession")
 
 
+def faulty_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, fault) of files that ownership_documents() can take no lines from: no document in them, or no owner."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.xml)?$", 1).alias("accession")
+    files = spark.read.text(path, wholetext=True).select(name).distinct()
+    docs = spark.read.format("xml").option("rowTag", "ownershipDocument").schema(DOCUMENT).load(path).select(name, (F.size(F.coalesce("reportingOwner", F.array())) > 0).alias("owned"))
+    owned = docs.groupBy("accession").agg(F.max("owned").alias("owned"))
+    fault = F.when(F.col("owned").isNull(), "no ownershipDocument").when(~F.col("owned"), "no reportingOwner")
+    return files.join(owned, "accession", "left").select("accession", fault.alias("fault")).filter("fault is not null")
+
+
 ENTRY = _struct(id=T.StringType(), updated=T.StringType(), category=_struct(_term=T.StringType()), link=_struct(_href=T.StringType()))
 
 

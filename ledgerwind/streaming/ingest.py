@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerwind.operators.store import insert_missing
+from ledgerwind.functions.stored import stored
+from ledgerwind.sources.prices import exists
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str) -> DataFrame:
@@ -19,21 +20,33 @@ def ingest(stream: DataFrame, table: str, keys: list[str], checkpoint: str, reli
     """Appends rows whose keys the table lacks, batch by batch, and runs relink on the table after each.
 
     Each batch is a folder of its own named by the batch, overwritten if the batch is run again, and compared with the
-    earlier batches only; so a replay after a failure changes nothing. Runs what is there and ends.
+    earlier batches only; so a replay after a failure changes nothing. The table is read as one, its partition column telling
+    the batches apart, and one anti-join of the keys leaves the new rows. Runs what is there and ends.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        known = rows.limit(0)
-        if number:
-            known = spark.read.schema(rows.schema).option("recursiveFileLookup", False).parquet(*[f"{table}/batch={n}" for n in range(number)]).select(*rows.columns)
-        insert_missing(known.select(*rows.columns), rows, keys).join(known.select(*keys), keys, "left_anti").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        spark, rest = rows.sparkSession, [c for c in rows.columns if c not in keys]
+        one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else rows.distinct()
+        if number and exists(spark, table):
+            known = spark.read.schema(rows.schema.add("batch", "long")).parquet(table).filter(F.col("batch") < number)
+            one = one.join(known.select(*keys), keys, "left_anti")
+        one.select(*rows.columns).write.mode("overwrite").parquet(f"{table}/batch={number}")
         if relink:
             relink(spark.read.parquet(table).drop("batch"))
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def compact(spark: SparkSession, table: str, number: int) -> None:
+    """Joins batches up to a number, none of which will be run again, into one folder, so that a long-lived table stays short to list."""
+    merged = spark.read.parquet(table).filter(F.col("batch") <= number)
+    kept = stored(merged.drop("batch"), "compacted")
+    for n in sorted(r["batch"] for r in merged.select("batch").distinct().collect() if r["batch"] < number):  # a row a batch
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={n}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    kept.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+
 def first_per_key(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     """The stream without rows that repeat a key within the watermark; state of older keys is dropped."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
