@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
 
 _DDL = {
@@ -15,10 +16,14 @@ _DDL = {
     "trade_features": "trade_id long, computed_at timestamp, feature_version int, filing_date date, lag_days int, lag_ratio double, drift_pct double, days_since_filing int, filer_lag_zscore double, cluster_count int, role_weight double, size_score double, size_basis string, trade_value double, duplicate_of_trade_id long, flags array<string>",
     "validation_rejects": "trade_id long, rule string",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 
-def create(spark, folder: str) -> None:
+def schemas() -> dict[str, StructType]:
+    """Needs a session."""
+    return {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def create(spark: SparkSession, folder: str) -> None:
     """Empty tables under a folder, for those that are not there yet."""
-    for name, schema in SCHEMAS.items():
+    for name, schema in schemas().items():
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")

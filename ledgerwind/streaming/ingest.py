@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerwind.functions.stored import stored
 from ledgerwind.sources.prices import exists
@@ -28,7 +28,7 @@ def ingest(stream: DataFrame, table: str, keys: list[str], checkpoint: str, reli
         spark, rest = rows.sparkSession, [c for c in rows.columns if c not in keys]
         one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else rows.distinct()
         if number and exists(spark, table):
-            known = spark.read.schema(rows.schema.add("batch", "long")).parquet(table).filter(F.col("batch") < number)
+            known = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(table).filter(F.col("batch") < number)
             one = one.join(known.select(*keys), keys, "left_anti")
         one.select(*rows.columns).write.mode("overwrite").parquet(f"{table}/batch={number}")
         if relink:

@@ -1,0 +1,183 @@
+"""Study figures, readers and stores against plain Python."""
+
+import io
+import random
+import statistics
+import zipfile
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerwind.functions import stored, text
+from ledgerwind.operators import features, model, portfolio, ranking, scorecard, study
+from ledgerwind.plans import schemas
+from ledgerwind.sources import filings, prices
+from ledgerwind.streaming import ingest
+from tests.test_operators import D, TRADE
+
+
+def test_medians_and_winsorized_means(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.gauss(0, 1) * (1 + 9 * (rng.random() < 0.02))) for g in "abc" for _ in range(rng.randrange(150, 300))] + [("a", None)]
+    got = {r.g: r for r in study.described(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", []).collect()}
+    every = sorted(v for _, v in rows if v is not None)
+    low, high = every[int(0.01 * (len(every) - 1))], every[int(0.99 * (len(every) - 1))]
+    for g in "abc":
+        own = [v for x, v in rows if x == g and v is not None]
+        assert got[g].n == len(own) and got[g].median == pytest.approx(statistics.median(own))
+        assert got[g].wmean == pytest.approx(sum(min(max(v, low), high) for v in own) / len(own))
+
+
+def test_welch_needs_two_on_each_side(spark):
+    rows = [("x", True, 1.0), ("x", True, 2.0), ("x", False, 0.0), ("x", False, 4.0), ("y", True, 1.0), ("y", False, 1.0), ("y", False, 2.0)]
+    (got,) = study.welch(spark.createDataFrame(rows, "g string, a boolean, v double"), ["g"], F.col("a"), "v").collect()
+    assert (got.g, got.n_a, got.n_b, got["diff"]) == ("x", 2, 2, -0.5) and got.t == pytest.approx(-0.5 / (0.5 / 2 + 8 / 2) ** 0.5)
+
+
+def test_middle_ranks_over_slices(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), float(rng.randrange(12)), rng.randrange(4)) for _ in range(600)]
+    got = ranking.middle(spark.createDataFrame(rows, "g string, v double, m int"), ["g"], "v", "m", "below").collect()
+    for r in got:
+        own = [(v, m) for g, v, m in rows if g == r.g]
+        assert r.below == sum(m for v, m in own if v < r.v) + sum(m for v, m in own if v == r.v) / 2
+
+
+def test_portfolio_figures(spark):
+    rng = random.Random(3)
+    rows = [(date(2020, 1, 1) + timedelta(i), rng.gauss(0, 0.02), rng.gauss(0, 0.01), i % 3) for i in range(60)]
+    p = portfolio.performance(spark.createDataFrame(rows, "date date, excess double, spy double, positions int"))
+    excess = [r[1] for r in rows]
+    assert p.information_ratio == pytest.approx(statistics.mean(excess) / statistics.stdev(excess) * 252**0.5)
+    assert p.max_drawdown == pytest.approx(portfolio.max_drawdown([r[1] + r[2] for r in rows])) and p.market_drawdown == pytest.approx(portfolio.max_drawdown([r[2] for r in rows]))
+    level = peak = 1.0
+    worst = 0.0
+    for r in rows:
+        level *= 1 + r[2]
+        peak = max(peak, level)
+        worst = min(worst, level / peak - 1)
+    assert p.market_drawdown == pytest.approx(worst)
+
+
+def scored(spark, n=400):
+    rng = random.Random(6)
+    rows = []
+    for i in range(n):
+        entry, good = date(2018, 1, 2) + timedelta(rng.randrange(1500)), rng.random()
+        rows.append((entry, f"T{i % 40}", "buy", i, entry, entry + timedelta(28), 0.001, good, good > 0.6, 0.1 * good - 0.03 + rng.gauss(0, 0.02) if i % 9 else None, entry.year, 1.0, 500))
+    return rows, spark.createDataFrame(rows, "filing_date date, ticker string, side string, filer_id int, entry date, exit date, cost double, score double, above boolean, y double, year int, beta double, n_train int").withColumn("cluster", F.year("entry") * 100 + F.month("entry"))
+
+
+def test_year_table_and_criteria(spark):
+    rows, df = scored(spark)
+    table = {r.year: r for r in scorecard.year_table(df).collect()}
+    for year in {r[10] for r in rows}:
+        own = sorted((r for r in rows if r[10] == year), key=lambda r: (-r[7], r[0], r[1], r[2], r[3]))
+        best = [r[9] for r in own[: max(1, len(own) // 10)] if r[9] is not None]
+        above = [r[9] for r in own if r[8] and r[9] is not None]
+        assert table[year].all_n == sum(r[9] is not None for r in own) and table[year].above_mean == pytest.approx(statistics.mean(above))
+        assert table[year].best_n == len(best) and table[year].best_mean == pytest.approx(statistics.mean(best)) and table[year].ic > 0.5
+    days = spark.createDataFrame([(date(2020, 1, 1) + timedelta(i), 0.001 + 0.0005 * (i % 2), 0.001 * (-1) ** i, 3) for i in range(40)], "date date, excess double, spy double, positions int")
+    got = {r.metric: r for r in scorecard.criteria(df, days).collect()}
+    assert [got[m].passed for m in ("net mean of events above the cut-off", "information ratio", "hit rate")] == [True] * 3
+    assert got["hit rate"].value == pytest.approx(statistics.mean(r[9] > 0 for r in rows if r[8] and r[9] is not None))
+
+
+def test_model_tables_and_weights(spark):
+    m = model.Model({"role": {"CEO": 0.02, "none": -0.01}, "value": {}}, {"role": 0.5, "value": 0.25}, beta=2.0, counts={"role": {"CEO": 7}})
+    assert {(r.component, r.bucket, r.n, round(r.weighted, 6)) for r in scorecard.tables(m, spark).collect()} == {("role", "CEO", 7, 0.01), ("role", "none", 0, -0.005)}
+    assert {(r.year, r.component, round(r.span, 3)) for r in scorecard.weights([(2020, m, None)], spark).collect()} == {(2020, "role", 150.0), (2020, "value", 0.0)}
+    row = spark.createDataFrame([("CEO", "x")], "b_role string, b_value string").select(*(c.alias(n) for n, c in m.contributions().items())).first()
+    assert row["role"] == pytest.approx(0.01) and row["value"] == 0.0
+
+
+def test_faults_symbols_and_figures(spark):
+    rows = [(401, None), (200, "Error: Invalid token."), (429, "symbol limit"), (200, "You have run over your daily request allocation"), (429, ""), (404, None), (200, "Error: odd"), (500, ""), (200, None)]
+    got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, code int, message string").orderBy("i").select(text.fault(F.col("code"), F.col("message"))).collect()]
+    assert got == ["refused", "refused", "limit: symbols", "limit: daily", "limit: hourly", "not_found", "error", "error", None]
+    row = spark.range(1).select(text.vendor_symbol(F.lit("BRK.B")), text.vendor_symbol(F.lit("A/B.C"), True), text.percent(F.lit(0.01234)), text.percent(F.lit(None).cast("double")), text.figure(F.lit(2.0), 1)).first()
+    assert tuple(row) == ("BRK-B", "A-B-C", "1.23%", "-", "2.0")
+
+
+def test_amount_ranges(spark):
+    rows = [(2, 5, None, None), (0, 5, 10, 20), (None, None, 10, 0), (None, None, None, 20)]
+    df = spark.createDataFrame(rows, "shares int, price int, low int, high int").select(features.trade_value(amounts=("low", "high")).alias("v"))
+    assert [r.v for r in df.collect()] == [10.0, 15.0, None, None]
+
+
+def test_zip_json_and_cache_files(spark, tmp_path):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("q/footnotes.TSV", 'FOOTNOTE_ID\tACCESSION_NUMBER\tFOOTNOTE_TXT\nF1\ta\t"quoted\nF2\tb\n'.encode() + b"F3\tc\t\xff\n")
+    (tmp_path / "2024q1.zip").write_bytes(data.getvalue())
+    got = sorted(map(tuple, filings.read_tsv(spark, str(tmp_path / "2024q1.zip"), "FOOTNOTES").collect()))
+    assert got == [("a", "F1", '"quoted'), ("b", "F2", None), ("c", "F3", "�")] and filings.unpack(spark, str(tmp_path / "2024q1.zip"), "SUBMISSION").count() == 0
+    (tmp_path / "ABC.json").write_text('[{"date": "2024-01-02T00:00:00Z", "close": 2, "adjClose": 1.0, "volume": 5.9}, {"close": 3}]')
+    assert [(r.ticker, r.date, r.close, r.volume) for r in prices.json_bars(spark, str(tmp_path / "ABC.json")).collect()] == [("ABC", date(2024, 1, 2), 2.0, 5.0)]
+    (tmp_path / "calls.csv").write_text("2024-01-02T03:04:05,ABC,ok\nbroken\n2024-01-02T03:04:06,X,error\n")
+    assert [tuple(r) for r in prices.calls_file(spark, str(tmp_path / "calls.csv")).collect()] == [(datetime(2024, 1, 2, 3, 4, 5), "ABC", "ok"), (datetime(2024, 1, 2, 3, 4, 6), "X", "error")]
+    (tmp_path / "status.json").write_text('{"ABC": {"status": "ok", "first": "2020-01-02", "last": "2020-02-03", "last_attempt": "2024-01-02T00:00:00"}}')
+    (row,) = prices.status_file(spark, str(tmp_path / "status.json")).collect()
+    assert (row.ticker, row.status, row.first, row.detail) == ("ABC", "ok", date(2020, 1, 2), None)
+    for reader in (prices.sic_codes, prices.universe_file, prices.status_file, prices.calls_file):
+        assert reader(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_schemas_make_empty_tables_once(spark, tmp_path):
+    schemas.create(spark, str(tmp_path))
+    spark.createDataFrame([(1, "rule")], schemas.schemas()["validation_rejects"]).write.mode("append").parquet(str(tmp_path / "validation_rejects"))
+    schemas.create(spark, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "validation_rejects")).count() == 1 and spark.read.parquet(str(tmp_path / "trades")).schema == schemas.schemas()["trades"]
+
+
+def test_documents_without_owner_are_told(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<ownershipDocument><documentType>4</documentType></ownershipDocument>")
+    (tmp_path / "b.xml").write_text("<other/>")
+    (tmp_path / "c.xml").write_text("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerCik>1</rptOwnerCik></reportingOwnerId></reportingOwner></ownershipDocument>")
+    assert {tuple(r) for r in filings.faulty_documents(spark, str(tmp_path)).collect()} == {("a", "no reportingOwner"), ("b", "no ownershipDocument")}
+
+
+def test_stream_batches_and_compaction(spark, tmp_path):
+    source, table, state = (str(tmp_path / x) for x in ("in", "table", "state"))
+    for n in range(4):
+        spark.createDataFrame([(k, n) for k in range(n, n + 3)], "k int, v int").coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest(ingest.file_stream(spark, source, spark.read.parquet(source).schema, "*.parquet"), table, ["k"], state)
+    want = [(0, 0), (1, 0), (2, 0), (3, 1), (4, 2), (5, 3)]
+    assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == want
+    ingest.compact(spark, table, 2)
+    got = spark.read.parquet(table)
+    assert sorted((r.k, r.v) for r in got.collect()) == want and {r.batch for r in got.select("batch").distinct().collect()} == {2, 3}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda *_: None})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        stored.shared_dir(Session())
+
+
+def test_features_of_a_day_do_not_change_with_later_filings(spark):
+    """What was knowable: with all filings after a day cut off, every earlier row's history features are the same."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(700):
+        filed = D + timedelta(rng.randrange(200))
+        rows.append((i, i, rng.randrange(6), "4", None, filed, rng.choice("AB"), rng.choice(["buy", "sell"]), filed - timedelta(rng.randrange(6)), rng.randrange(1, 9), 5, "CEO", False, 0, "edgar", None, None, 1))
+    cut = D + timedelta(120)
+
+    def of(some):
+        df = spark.createDataFrame(some, TRADE).withColumn("filing_date", F.col("filed_on")).withColumns({"kind": F.lit(None).cast("string"), "original_id": F.lit(None).cast("long"), "lag_days": F.datediff("filed_on", "trade_date"), "trade_value": features.trade_value()})
+        own, market = ({r.trade_id: (r.n, r.score) for r in f(df).collect()} for f in (features.own_size, features.market_size))
+        z = {r.trade_id: round(r.filer_lag_zscore, 9) for r in features.filer_lag_zscore(df).collect()}
+        clusters = {r.trade_id: r.cluster_count for r in features.cluster_counts(df).collect()}
+        return own, market, z, clusters
+
+    before = {r[0] for r in rows if r[5] <= cut}
+    whole, early = of(rows), of([r for r in rows if r[0] in before])
+    for a, b in zip(whole, early, strict=True):
+        assert len(b) > 100 and {k: v for k, v in a.items() if k in before} == b
