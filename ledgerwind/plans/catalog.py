@@ -428,15 +428,47 @@ def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, value double")
 
 
-@query()
-def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The portfolio of the fixed model's upper half by score; admission is sequential, held against plain Python in the tests."""
+#: Admission in the order of days and scores: a recursion over candidates, of which a day's 40 best tickers are enough for 20 slots.
+PORTFOLIO = f"""
+WITH_PREFIX cand AS (SELECT ticker, entry, exit, coalesce(cost, 0) AS cost, row_number() OVER (ORDER BY entry, k) AS i FROM (
+    SELECT *, row_number() OVER (PARTITION BY entry ORDER BY s DESC, filing_date, ticker, side, filer_id) AS k FROM (
+        SELECT *, round(score, 9) AS s FROM ({fixed('SELECT * FROM c_listed')}) WHERE exit IS NOT NULL AND round(score, 9) >= 0.5 QUALIFY row_number() OVER (PARTITION BY ticker, entry ORDER BY round(score, 9) DESC, filing_date, side, filer_id) = 1)) WHERE k <= 40),
+walk AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t VARCHAR, x DATE)[]) AS held, false AS took
+    UNION ALL
+    SELECT i, CASE WHEN free THEN list_append(open_, {{'t': ticker, 'x': exit}}) ELSE open_ END, free FROM (
+        SELECT c.i, c.ticker, c.exit, open_, len(open_) < 20 AND len(list_filter(open_, lambda p: p.t = c.ticker)) = 0 AS free
+        FROM (SELECT d.*, list_filter(w.held, lambda p: p.x >= d.entry) AS open_ FROM walk w JOIN cand d ON d.i = w.i + 1) c)),
+taken AS (SELECT c.ticker, c.entry, c.exit, c.cost FROM walk w JOIN cand c ON c.i = w.i WHERE took),
+market AS (SELECT date, adj_close / previous_close - 1 AS spy, adj_close / adj_open - 1 AS spy_first FROM c_usable WHERE ticker = 'SPY' AND date BETWEEN (SELECT min(entry) FROM taken) AND (SELECT max(exit) FROM taken)),
+held AS (SELECT m.date, coalesce(CASE WHEN m.date = t.entry THEN b.adj_close / b.adj_open - 1 - coalesce(spy_first, 0) ELSE b.adj_close / b.previous_close - 1 - coalesce(spy, 0) END, 0) - t.cost / 2 * (CAST(m.date = t.entry AS INT) + CAST(m.date = t.exit AS INT)) AS gain
+    FROM taken t JOIN market m ON m.date BETWEEN t.entry AND t.exit LEFT JOIN c_usable b ON b.ticker = t.ticker AND b.date = m.date)
+SELECT m.date, coalesce(total, 0) / 20 AS excess, coalesce(spy, 0) AS spy, coalesce(positions, 0) AS positions FROM market m LEFT JOIN (SELECT date, sum(gain) AS total, count(*) AS positions FROM held GROUP BY date) h ON h.date = m.date
+""".replace("WITH_PREFIX", "WITH_PREFIX RECURSIVE")
+
+
+def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain.of(spark, sf_dir)
     rows = signals.bucketed(d.listed).withColumn("score", F.round(FIXED.score(), 9)).filter("score >= 0.5 and exit is not null")
     taken = portfolio.admitted(model.best_per_day(stored(rows, "candidates")))
     return portfolio.daily(spark.createDataFrame(taken, "ticker string, entry date, exit date, cost double"), d.study.numbered)
 
 
+@query(f"SELECT date, {r('excess')}, {r('spy')}, positions FROM ({PORTFOLIO})")
+def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio of the fixed model's upper half by score."""
+    return _portfolio(spark, sf_dir).select("date", r6("excess"), r6("spy"), "positions")
+
+
+@query(f"""SELECT year, count(*) AS days, {r('avg(positions)', 'positions')}, {r('252 * avg(excess)', 'annual_excess')}, {r('CASE WHEN count(*) >= 20 AND stddev_samp(excess) > 0 THEN avg(excess) / stddev_samp(excess) * sqrt(252) END', 'information_ratio')}, {r('least(min(own / greatest(top, 1) - 1), 0)', 'max_drawdown')}, {r('least(min(level / greatest(high, 1) - 1), 0)', 'market_drawdown')}
+    FROM (SELECT *, max(own) OVER (PARTITION BY year ORDER BY date) AS top, max(level) OVER (PARTITION BY year ORDER BY date) AS high FROM (
+        SELECT *, exp(sum(ln(1 + spy + excess)) OVER (PARTITION BY year ORDER BY date)) AS own, exp(sum(ln(1 + spy)) OVER (PARTITION BY year ORDER BY date)) AS level FROM (SELECT *, CAST(year(date) AS INT) AS year FROM ({PORTFOLIO})))) GROUP BY year""")
+def portfolio_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio's figures by year."""
+    days = stored(_portfolio(spark, sf_dir).withColumn("year", F.year("date")), "portfolio")
+    return portfolio.figures(days, ["year"]).select("year", "days", *(r6(c) for c in ("positions", "annual_excess", "information_ratio", "max_drawdown", "market_drawdown")))
+
+
 # reports, store and streams
 
 

@@ -25,6 +25,8 @@ def sql(body: str) -> str:
 
     visit(body)
     parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in CTES if name in needed]
+    if "WITH_PREFIX RECURSIVE" in body:
+        return body.replace("WITH_PREFIX RECURSIVE", f"WITH RECURSIVE {', '.join(parts)},")
     if "WITH_PREFIX" in body:  # the body has tables of its own
         return body.replace("WITH_PREFIX", f"WITH {', '.join(parts)},")
     return (f"WITH {', '.join(parts)} " if parts else "") + body
