@@ -621,7 +621,7 @@ def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.new_rejects(d.trades, d.bars.withColumns({"low": F.col("open"), "high": F.col("close")}), known)
 
 
-@query("SELECT p_partkey, coalesce((SELECT arg_min(etf, i) FROM (VALUES " + ", ".join(f"({i}, {a}, {b}, '{c}')" for i, (a, b, c) in enumerate(sectors.RANGES)) + ") AS v(i, lo, hi, etf) WHERE p_partkey * 37 % 9000 BETWEEN lo AND hi), 'SPY') AS etf FROM part")
+@query("SELECT p_partkey, coalesce((SELECT arg_min(etf, i) FROM (VALUES " + sqls.SECTOR_ROWS + ") AS v(i, lo, hi, etf) WHERE p_partkey * 37 % 9000 BETWEEN lo AND hi), 'SPY') AS etf FROM part")
 def sector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.table(spark, sf_dir, "part").select("p_partkey", sectors.sector_etf((F.col("p_partkey") * 37 % 9000).cast("string")).alias("etf"))
 

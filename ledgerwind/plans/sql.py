@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ledgerwind.functions.calendars import FIRST, LAST, holidays
+from ledgerwind.functions.calendars import FIRST, LAST
 
 CTES: dict[str, str] = {}
 
@@ -32,12 +32,28 @@ def sql(body: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
-def _values(name: str) -> str:
-    return f"SELECT CAST(d AS DATE) AS d FROM (VALUES {', '.join(f'(DATE {str(d)!r})' for d in holidays(name))}) AS v(d)"
+def _fixed_day(day: str, friday: bool = True) -> str:
+    """Whether a weekday is a fixed date, or the Monday after, or the Friday before one on a weekend."""
+    on = lambda shift: f"strftime(d {shift}, '%m-%d') = '{day}'"
+    return f"({on('')} OR isodow(d) = 1 AND {on('- 1')}" + (f" OR isodow(d) = 5 AND {on('+ 1')})" if friday else ")")
 
 
-cte("c_sec_holidays", _values("sec"))
-cte("c_nyse_holidays", _values("nyse"))
+def _weekday(month: int, weekday: int, first: int, last: int) -> str:
+    return f"(month(d) = {month} AND isodow(d) = {weekday} AND day(d) BETWEEN {first} AND {last})"
+
+
+# The holidays once more, told by each date's own weekday and number; Easter by another computation than the calendars'.
+cte("c_weekdays", f"SELECT * FROM (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) < 6")
+cte("c_good_fridays", """
+    SELECT make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) - 2 AS d FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM (
+        SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT CAST(unnest(range(1990, 2031)) AS INT) AS y)))))""")
+_BOTH = " OR ".join([_weekday(2, 1, 15, 21), _weekday(5, 1, 25, 31), _fixed_day("07-04"), _weekday(9, 1, 1, 7), _weekday(11, 4, 22, 28), _fixed_day("12-25")])
+cte("c_sec_holidays", f"""
+    SELECT d FROM c_weekdays WHERE {_BOTH} OR {_weekday(1, 1, 15, 21)} OR {_weekday(10, 1, 8, 14)} OR {_fixed_day("11-11")} OR {_fixed_day("01-01")} OR (year(d) >= 2021 AND {_fixed_day("06-19")})
+        OR d IN (DATE '2018-12-05', DATE '2018-12-24', DATE '2019-12-24', DATE '2020-12-24', DATE '2024-12-24', DATE '2025-01-09', DATE '2025-12-24', DATE '2025-12-26')""")
+cte("c_nyse_holidays", f"""
+    SELECT d FROM c_weekdays WHERE {_BOTH} OR (year(d) >= 1998 AND {_weekday(1, 1, 15, 21)}) OR {_fixed_day("01-01", friday=False)} OR (year(d) >= 2022 AND {_fixed_day("06-19")}) OR d IN (SELECT d FROM c_good_fridays)
+        OR d IN (DATE '1994-04-27', DATE '2001-09-11', DATE '2001-09-12', DATE '2001-09-13', DATE '2001-09-14', DATE '2004-06-11', DATE '2007-01-02', DATE '2012-10-29', DATE '2012-10-30', DATE '2018-12-05', DATE '2025-01-09')""")
 cte("c_calendar", f"""
     SELECT d, is_sec, is_nyse, CAST(sum(CAST(is_sec AS INT)) OVER (ORDER BY d) AS INT) AS cum_sec, CAST(sum(CAST(is_nyse AS INT)) OVER (ORDER BY d) AS INT) AS cum_nyse
     FROM (SELECT d, isodow(d) < 6 AND d NOT IN (SELECT d FROM c_sec_holidays) AS is_sec, isodow(d) < 6 AND d NOT IN (SELECT d FROM c_nyse_holidays) AS is_nyse
@@ -255,3 +271,16 @@ DELAYED = """SELECT o.filing_date, o.ticker, o.side, o.filer_id, delay, b.adj_cl
     JOIN c_usable s ON s.ticker = 'SPY' AND s.date = a.date JOIN c_usable e ON e.ticker = 'SPY' AND e.date = b.date WHERE a.adj_open <> 0"""
 REJECTS = """SELECT trade_id, 'trade_after_filing' AS rule FROM c_trades WHERE trade_date > filed_on AND trade_id % 2 = 0 UNION ALL SELECT trade_id, 'unknown_ticker' FROM c_trades WHERE ticker IS NULL
     UNION ALL SELECT trade_id, 'price_out_of_range' FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND t.trade_date = b.date WHERE price > 0 AND (price < 0.8 * open OR price > 1.2 * close)"""
+
+
+# Place, first code, last code and fund, written out once more so that the look-up is held against something.
+SECTOR_ROWS = """
+    (0, 1311, 1389, 'XLE'), (1, 2830, 2836, 'XLV'), (2, 2840, 2844, 'XLP'), (3, 2900, 2999, 'XLE'), (4, 3570, 3579, 'XLK'), (5, 3630, 3639, 'XLY'), (6, 3650, 3652, 'XLY'),
+    (7, 3660, 3699, 'XLK'), (8, 3710, 3716, 'XLY'), (9, 3751, 3751, 'XLY'), (10, 3810, 3829, 'XLK'), (11, 3840, 3851, 'XLV'), (12, 3860, 3879, 'XLY'), (13, 4810, 4899, 'XLC'),
+    (14, 4955, 4955, 'XLI'), (15, 5122, 5122, 'XLV'), (16, 5400, 5499, 'XLP'), (17, 5912, 5912, 'XLP'), (18, 6500, 6553, 'XLRE'), (19, 6770, 6770, 'SPY'), (20, 6798, 6798, 'XLRE'),
+    (21, 7310, 7319, 'XLC'), (22, 7370, 7379, 'XLK'), (23, 7810, 7849, 'XLC'), (24, 100, 999, 'XLP'), (25, 1000, 1499, 'XLB'), (26, 1500, 1799, 'XLI'), (27, 2000, 2199, 'XLP'),
+    (28, 2200, 2399, 'XLY'), (29, 2400, 2499, 'XLB'), (30, 2500, 2599, 'XLY'), (31, 2600, 2699, 'XLB'), (32, 2700, 2799, 'XLC'), (33, 2800, 2899, 'XLB'), (34, 3000, 3099, 'XLB'),
+    (35, 3100, 3199, 'XLY'), (36, 3200, 3399, 'XLB'), (37, 3400, 3569, 'XLI'), (38, 3580, 3629, 'XLI'), (39, 3640, 3649, 'XLI'), (40, 3700, 3799, 'XLI'), (41, 3800, 3899, 'XLI'),
+    (42, 3900, 3999, 'XLY'), (43, 4000, 4799, 'XLI'), (44, 4900, 4999, 'XLU'), (45, 5000, 5099, 'XLI'), (46, 5100, 5199, 'XLP'), (47, 5200, 5999, 'XLY'), (48, 6000, 6799, 'XLF'),
+    (49, 7000, 7299, 'XLY'), (50, 7300, 7399, 'XLI'), (51, 7500, 7699, 'XLY'), (52, 7900, 7999, 'XLY'), (53, 8000, 8099, 'XLV'), (54, 8200, 8299, 'XLY'), (55, 8700, 8799, 'XLI')
+"""
