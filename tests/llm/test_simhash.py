@@ -100,3 +100,10 @@ def test_empty_table_and_keep_one(spark):
     assert sg.near_duplicates(empty).count() == 0
     docs = spark.createDataFrame([(5, "a b c d e f", "en"), (4, "a b c d e f", "en"), (4, "a b c d e f", "en"), (9, "quite another text here", "en"), (None, "a b c d e f", "en")], empty.schema)
     assert sorted((r["doc_id"] or 0) for r in sg.keep_one(docs).collect()) == [0, 4, 9]
+
+
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    one, two = "a text of one kind " * 9, "some other words about nothing much " * 7
+    rows = [(1, one, "x"), (1, two, "x"), (1, one, "x"), (2, one, "y"), (3, "a third text that stands alone here", "z"), (None, one, "n")]
+    got = sg.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (1, two), (3, rows[4][1]), (0, one)])
