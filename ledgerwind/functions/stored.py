@@ -38,10 +38,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def changed(spark: SparkSession, path: str) -> int | None:
+    """When a file or folder was last changed, by the file system that Spark reads it with; null if it is not there."""
+    system, at = _file(spark, path)
+    return system.getFileStatus(at).getModificationTime() if system.exists(at) else None
+
+
+def whole(spark: SparkSession, owner: object) -> bool:
+    """Whether all stored tables that an object holds are still there."""
+    held = [x.stored_at for x in vars(owner).values() if isinstance(x, DataFrame) and hasattr(x, "stored_at")]
+    return all(changed(spark, path) is not None for path in held)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes all tables that this application has stored; results that read them can't be read after that."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, at = _file(spark, shared_dir(spark))
+    system.delete(at, True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars, sectors
-from ledgerwind.functions.stored import shared_path, stored
+from ledgerwind.functions.stored import changed, shared_path, stored, whole
 from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, reports, scorecard, signals, store, study
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
@@ -20,6 +20,8 @@ from ledgerwind.streaming import ingest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2001-10-01"
+#: Tables from which the domain tables follow.
+INPUTS = ("lineitem", "orders", "customer", "part", "supplier", "nation")
 
 
 def query(oracle: str | None = None):
@@ -37,15 +39,16 @@ def query(oracle: str | None = None):
 class Domain:
     """The domain tables of one folder, each made once, when first used, and kept as long as the session lasts."""
 
-    made: dict[tuple[str, str], "Domain"] = {}
+    made: dict[tuple, "Domain"] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Domain":
-        """The folder's tables in this session: what one query has stored serves the others. Input files must not change."""
-        key = spark.sparkContext.applicationId, sf_dir
-        if key not in cls.made:
-            cls.made[key] = cls(spark, sf_dir)
-        return cls.made[key]
+        """The folder's tables in this session: what one query has stored serves the others, as long as it is there and no input has changed."""
+        key = spark.sparkContext.applicationId, sf_dir, *(changed(spark, f"{sf_dir}/{t}.parquet") for t in INPUTS)
+        held = cls.made.get(key)
+        if held is None or not whole(spark, held) or ("study" in vars(held) and not whole(spark, held.study)):
+            held = cls.made[key] = cls(spark, sf_dir)
+        return held
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerwind.functions import stored
+from ledgerwind.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -35,3 +37,11 @@ def test_entry_has_rows(spark):
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {"fitted_weights", "portfolio_daily"} <= set(entry.queries())
+
+
+def test_domain_tables_are_shared_and_made_anew_when_gone(spark):
+    one = catalog.Domain.of(spark, SF)
+    assert one.trades.count() > 0 and catalog.Domain.of(spark, SF) is one
+    stored.clear(spark)
+    two = catalog.Domain.of(spark, SF)
+    assert two is not one and two.trades.count() > 0 and catalog.Domain.of(spark, SF) is two
