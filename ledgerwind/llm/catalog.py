@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file
+from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file, whitening
 from ledgerwind.llm.shared import shared_path, table
 from ledgerwind.llm.word_tokens import default_path
 
@@ -142,6 +143,11 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings whitened by 16 components; a deviation that no long can hold is an error, other edge rows as whitening.whiten says."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_binary_records": op2_binary_records,
@@ -153,5 +159,6 @@ QUERIES = {
     "op8_chat_events": op8_chat_events,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_tsqr_whitening": op11_tsqr_whitening,
 }
 ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL, "op8_chat_events": OP8_SQL}
