@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file, whitening
-from ledgerwind.llm.shared import shared_path, table
+from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, histogram_sort, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file, whitening
+from ledgerwind.llm.shared import shared_path, table, text_bytes
 from ledgerwind.llm.word_tokens import default_path
 
 
@@ -148,6 +148,44 @@ def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in 24 shards of nearly equal bytes; edge rows as histogram_sort.deal says."""
+    dealt = histogram_sort.deal(table(spark, sf_dir, "documents"), shards=24)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return dealt.select("doc_id", histogram_sort.size().alias("size"), F.crc32(text_bytes()).alias("text_crc32"), law, "shard", "slot", grown)
+
+
+#: CRC-32 by its table of remainders; splitters at the end of a text's group where near enough, else at the nearest row.
+OP12_SQL = r"""
+WITH bits AS (
+    SELECT list(c ORDER BY n) AS remainders FROM (
+        SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)
+    )
+), d AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+        CAST('0x' || left(md5(coalesce(text, '')), 15) AS BIGINT) AS k0, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS k1
+    FROM documents
+), r AS (
+    SELECT *, sum(size) OVER (ORDER BY k0, k1 ROWS UNBOUNDED PRECEDING) - size AS s, sum(size) OVER () AS total FROM d
+), g AS (
+    SELECT k0, min(s) AS s, sum(size) AS size FROM r GROUP BY k0
+), t AS (
+    SELECT i, i * total AS target, total FROM range(1, 24) v(i), (SELECT sum(size) AS total FROM d)
+), splitters AS (
+    SELECT i, CASE WHEN 200 * abs(24 * a.edge - a.target) <= total THEN a.edge ELSE b.edge END AS edge
+    FROM (SELECT i, target, total, CASE WHEN 2 * target >= 24 * (2 * s + size) THEN s + size ELSE s END AS edge FROM t JOIN g ON 24 * s <= target AND target < 24 * (s + size)) a
+    JOIN (SELECT i, CASE WHEN 2 * target >= 24 * (2 * s + size) THEN s + size ELSE s END AS edge FROM t JOIN r ON 24 * s <= target AND target < 24 * (s + size)) b USING (i)
+), dealt AS (
+    SELECT doc_id, t, size, k0, k1, (SELECT count(*) FROM splitters WHERE edge <= s) AS shard FROM r
+)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+        lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY k0, k1) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt, bits
+"""
+
+
 QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_binary_records": op2_binary_records,
@@ -160,5 +198,6 @@ QUERIES = {
     "op9_cross_entropy": op9_cross_entropy,
     "op10_simhash_golay": op10_simhash_golay,
     "op11_tsqr_whitening": op11_tsqr_whitening,
+    "op12_histogram_sort": op12_histogram_sort,
 }
-ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL, "op8_chat_events": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL, "op8_chat_events": OP8_SQL, "op12_histogram_sort": OP12_SQL}
