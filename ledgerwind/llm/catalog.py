@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, histogram_sort, host_rules, packing, pii_bootstrap, pu_quality, records, simhash_golay, va_file, whitening
+from ledgerwind.llm import bpe_transducer, chat_events, cross_entropy, histogram_sort, host_rules, packing, pii_bootstrap, pu_quality, records, residual_pq, simhash_golay, va_file, whitening
 from ledgerwind.llm.shared import shared_path, table, text_bytes
 from ledgerwind.llm.word_tokens import default_path
 
@@ -186,6 +186,35 @@ FROM dealt, bits
 """
 
 
+def op13_residual_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for each vec_id divisible by 100, some labels moved on by one; edge rows as residual_pq.mine says."""
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return residual_pq.mine(vectors, vectors.filter("vec_id % 100 = 0"), positive=5, negative=5, least=80, most=100)
+
+
+OP13_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scored WHERE same) WHERE n <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_va_file": op1_va_file,
     "op2_binary_records": op2_binary_records,
@@ -199,5 +228,6 @@ QUERIES = {
     "op10_simhash_golay": op10_simhash_golay,
     "op11_tsqr_whitening": op11_tsqr_whitening,
     "op12_histogram_sort": op12_histogram_sort,
+    "op13_residual_pq": op13_residual_pq,
 }
-ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL, "op8_chat_events": OP8_SQL, "op12_histogram_sort": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_va_file": OP1_SQL, "op5_host_rules": OP5_SQL, "op8_chat_events": OP8_SQL, "op12_histogram_sort": OP12_SQL, "op13_residual_pq": OP13_SQL}
