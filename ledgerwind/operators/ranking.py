@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +57,14 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, out: str) -> Dat
     return df.join(per, [*groups, value])
 
 
+def rank_correlation(df: DataFrame, groups: list[str], a: str, b: str, out: str) -> DataFrame:
+    """(groups, out): the correlation of the ranks of a and b among rows that have both; null with fewer than 3, or if one does not vary."""
+    rows = stored(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, a, b), "correlated")
+    ranks = average_ranks(average_ranks(rows, groups, a, "_ra"), groups, b, "_rb")
+    known = (F.count("*") >= 3) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
+    return ranks.groupBy(*groups).agg(F.when(known, F.corr("_ra", "_rb")).alias(out))
+
+
 def order_statistics(df: DataFrame, groups: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """(groups, picks): for each name the value at a 0-based place, an expression over the group's size `n`."""
     per = cumulative(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_m")), groups, [F.col(value)], F.col("_m"), "_before")
@@ -62,6 +74,37 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, picks: dict[s
     return per.groupBy(*groups).agg(*(F.max(v).alias(name) for name, v in at.items()))
 
 
+def nested_order_statistics(df: DataFrame, value: str, since: str, steps: int, places: dict[str, Callable[[int], int]]) -> dict[int, dict]:
+    """For each step the number of rows that belong to it, and the values at 0-based places, each a function of that number.
+
+    A row belongs to all steps from its `since` on, so the steps are nested: values are sorted once, with a running count a
+    step, instead of once a step. The counts of slices come to the driver, which then reads only slices that hold a place.
+    Steps without rows are left out.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = [f"_c{i}" for i in range(steps)]
+    per = df.filter(F.col(value).isNotNull()).groupBy(value).agg(*(F.count_if(F.col(since) <= i).alias(c) for i, c in enumerate(counts)))
+    sliced = stored(per.repartitionByRange(tasks, value).withColumn("_slice", F.spark_partition_id()), "nested")
+    sums = sliced.groupBy("_slice").agg(*(F.sum(c).alias(c) for c in counts)).orderBy("_slice").collect()  # a row a task
+    out: dict[int, dict] = {}
+    wanted: list[tuple[int, int, str, int]] = []
+    for i, c in enumerate(counts):
+        ends = list(accumulate(r[c] for r in sums))
+        if ends and ends[-1]:
+            out[i] = {"n": ends[-1]}
+            for name, place in places.items():
+                k = place(ends[-1])
+                at = bisect_right(ends, k)
+                wanted.append((sums[at]["_slice"], i, name, k - (ends[at - 1] if at else 0)))
+    upto = Window.partitionBy("_slice").orderBy(value)
+    rows = sliced.filter(F.col("_slice").isin(sorted({w[0] for w in wanted}))).withColumns({f"_upto{i}": F.sum(c).over(upto) for i, c in enumerate(counts)})
+    found = F.array_compact(F.array(*(F.when((F.col("_slice") == s) & (F.col(f"_upto{i}") > k) & (F.col(f"_upto{i}") - F.col(f"_c{i}") <= k), n) for n, (s, i, _, k) in enumerate(wanted))))
+    for r in rows.select(value, F.explode(found).alias("n")).collect() if wanted else []:  # a row a place
+        _, i, name, _ = wanted[r["n"]]
+        out[i][name] = r[value]
+    return out
+
+
 def quantile_places(q: int) -> dict[str, Column]:
     """Inner cut-offs of q groups of about equal size: sorted[min(n - 1, floor(n * k / q))]."""
     return {f"cut{k}": F.least(F.col("n") - 1, F.floor(F.col("n") * k / q)) for k in range(1, q)}

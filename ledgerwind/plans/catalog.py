@@ -96,6 +96,11 @@ class Domain:
     def listed(self) -> DataFrame:
         return stored(model.pool(self.signals, self.study.returns), "listed")
 
+    @cached_property
+    def walk(self) -> model.WalkForward | None:
+        """The score's walk-forward, with all variants of the ablation."""
+        return model.walk_forward(self.listed, scorecard.variants())
+
     @cached_property
     def drifted(self) -> DataFrame:
         return stored(features.drift(self.lagged, self.bars), "drift")
@@ -423,23 +428,93 @@ def rank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.ranked(live, FIXED).select("ticker", r6("score"), r6("quality"), "days_since", "filer_id", "filing_date")
 
 
-@query()
+_WHOLE = sqls.score_models(sqls.ALL_FOLDS, least=1)
+_WEIGHTS = ", ".join(f"('{c}', {i})" for i, c in enumerate(model.NAMES, 1))
+
+
+@query(f"{_WHOLE} SELECT name, {r('w[i]', 'value')} FROM chosen, (VALUES {_WEIGHTS}) v(name, i) UNION ALL SELECT 'beta', CAST(beta AS DOUBLE) FROM chosen UNION ALL SELECT 'threshold', {r('cut', 'value')} FROM chosen")
 def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights, penalty and threshold fitted on all matured rows; an iterative fit, held against plain Python in the tests."""
-    m = model.fit(Domain.of(spark, sf_dir).listed.filter("y is not null"))
+    """Weights, penalty and threshold fitted on all matured rows."""
+    m = model.fit(Domain.of(spark, sf_dir).listed)
     rows = [(c, w) for c, w in m.weights.items()] + [("beta", m.beta), ("threshold", m.threshold)] if m else []
-    return spark.createDataFrame(rows, "name string, value double")
+    return spark.createDataFrame(rows, "name string, value double").select("name", r6("value"))
+
+
+@query(f"{_WHOLE} SELECT 'x_' || a.name AS left_side, 'x_' || b.name AS right_side, {r('g[a.i][b.i]', 'value')} FROM sides, (VALUES {_WEIGHTS}) a(name, i), (VALUES {_WEIGHTS}) b(name, i) UNION ALL SELECT 'x_' || name, 'y', {r('r[i]', 'value')} FROM sides, (VALUES {_WEIGHTS}) v(name, i)")
+def normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Gram matrix of all matured rows' bucket values, and their products with the returns."""
+    rows = signals.bucketed(Domain.of(spark, sf_dir).listed).withColumn("since", F.lit(0))
+    found = model.sums(rows, 1).get(0)
+    gram, right = found.normal_equations() if found else ([], [])
+    values = [(f"x_{a}", f"x_{b}", v) for a, row in zip(model.NAMES, gram, strict=False) for b, v in zip(model.NAMES, row, strict=True)]
+    values += [(f"x_{a}", "y", v) for a, v in zip(model.NAMES, right, strict=False)]
+    return spark.createDataFrame(values, "left_side string, right_side string, value double").select("left_side", "right_side", r6("value"))
+
+
+@query(f"{_WHOLE} SELECT component, bucket, p.n, {r('value')}, {r(f'value * w[list_position({list(model.NAMES)}, component)]', 'weighted')} FROM parts p, chosen")
+def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucket tables of the model that is fitted on all matured rows, with their weighted values."""
+    m = model.fit(Domain.of(spark, sf_dir).listed)
+    out = scorecard.tables(m, spark) if m else spark.createDataFrame([], "component string, bucket string, n long, value double, weighted double")
+    return out.select("component", "bucket", "n", r6("value"), r6("weighted"))
+
+
+_YEARS = f"{sqls.score_models(sqls.YEAR_FOLDS)}, {sqls.TESTED}"
+_VARIANTS = f"{sqls.score_models(sqls.YEAR_FOLDS, sqls.VARIANTS)}, {sqls.TESTED}"
+SCORED = "year int, filer_id long, ticker string, side string, filing_date date, entry date, exit date, cost double, y double, r double, drift double, quality double, score double, above boolean, beta double, n_train long, cluster int"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walk = Domain.of(spark, sf_dir).walk
+    return walk.scored.filter("variant = 'all components'") if walk else spark.createDataFrame([], SCORED)
+
+
+@query(f"{_YEARS} SELECT year, {KEYS}, entry, {r('quality')}, {r('score')}, above, CAST(beta AS DOUBLE) AS beta, n_train FROM tested")
+def score_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each test year's events, scored by the model of earlier years; the best one a ticker and day."""
+    return _scored(spark, sf_dir).select("year", *event_ops.KEYS, "entry", r6("quality"), r6("score"), "above", "beta", "n_train")
+
+
+_PARTS = {"all": "true", "above": "above", "best": "place <= greatest(1, m // 10)"}
+_HITS = ", ".join(f"avg(CASE WHEN gross > 0 THEN 1.0 ELSE 0.0 END) FILTER (gross IS NOT NULL AND {condition}) AS {name}_hit" for name, condition in _PARTS.items())
+_FIGURES = ", ".join(f"p_{name}.n AS {name}_n, {r(f'p_{name}.mean', f'{name}_mean')}, {r(f'p_{name}.t_cluster', f'{name}_t_cluster')}, {r(f'{name}_hit')}" for name in _PARTS)
+_JOINS = " ".join(f"LEFT JOIN ({summary('year', f'(SELECT * FROM placed WHERE {condition})', 'y')}) p_{name} ON p_{name}.year = s.year" for name, condition in _PARTS.items())
+
+
+@query(f"""{_YEARS}, placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY year ORDER BY score DESC, filing_date, ticker, side, filer_id) AS place, count(*) OVER (PARTITION BY year) AS m FROM tested),
+ranked AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY score) + (count(*) OVER (PARTITION BY year, score) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY year ORDER BY y) + (count(*) OVER (PARTITION BY year, y) - 1) / 2.0 AS ry FROM tested WHERE y IS NOT NULL)
+SELECT s.year, s.n_train, CAST(s.beta AS DOUBLE) AS beta, {_FIGURES}, {r('ic')}
+FROM (SELECT year, any_value(n_train) AS n_train, any_value(beta) AS beta, {_HITS} FROM placed GROUP BY year) s {_JOINS} LEFT JOIN (SELECT year, corr(rs, ry) AS ic FROM ranked GROUP BY year) i ON i.year = s.year""")
+def year_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score's walk-forward by test year."""
+    rows = scorecard.year_table(_scored(spark, sf_dir), "r")
+    rounded = [c for c, kind in rows.dtypes if kind == "double" and c != "beta"]
+    return rows.select("year", "n_train", "beta", *(c for c in rows.columns if c.endswith("_n")), *map(r6, rounded))
+
+
+@query(f"{_YEARS} SELECT fold AS year, component, {r('10000 * w[i] * (highs[i] - lows[i])', 'span')}, CAST(beta AS DOUBLE) AS beta FROM chosen JOIN ends USING (fold), (VALUES {_WEIGHTS}) v(component, i)")
+def component_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By test year, what each component can move the raw score by."""
+    walk = Domain.of(spark, sf_dir).walk
+    folds = [(y, m, None) for (y, variant), m in walk.models.items() if variant == "all components"] if walk else []
+    return scorecard.weights(folds, spark).select("year", "component", r6("span"), "beta")
+
+
+@query(f"{_VARIANTS} SELECT variant AS model, n, {r('mean')}, {r('t_cluster')} FROM ({summary('variant', '(SELECT * FROM tested WHERE above)', 'y')})")
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What events above the cut-off return without one component or without the drift penalty."""
+    return scorecard.ablation(Domain.of(spark, sf_dir).walk, spark).select("model", "n", r6("mean"), r6("t_cluster"))
 
 
 #: Admission in the order of days and scores: a recursion over candidates, of which a day's 40 best tickers are enough for 20 slots.
-PORTFOLIO = f"""
-WITH_PREFIX cand AS (SELECT ticker, entry, exit, coalesce(cost, 0) AS cost, row_number() OVER (ORDER BY entry, k) AS i FROM (
+_PORTFOLIO = """
+cand AS (SELECT ticker, entry, exit, coalesce(cost, 0) AS cost, row_number() OVER (ORDER BY entry, k) AS i FROM (
     SELECT *, row_number() OVER (PARTITION BY entry ORDER BY s DESC, filing_date, ticker, side, filer_id) AS k FROM (
-        SELECT *, round(score, 9) AS s FROM ({fixed('SELECT * FROM c_listed')}) WHERE exit IS NOT NULL AND round(score, 9) >= 0.5 QUALIFY row_number() OVER (PARTITION BY ticker, entry ORDER BY round(score, 9) DESC, filing_date, side, filer_id) = 1)) WHERE k <= 40),
+        SELECT *, round(score, 9) AS s FROM (SOURCE) WHERE exit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, entry ORDER BY round(score, 9) DESC, filing_date, side, filer_id) = 1)) WHERE k <= 40),
 walk AS (
     SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t VARCHAR, x DATE)[]) AS held, false AS took
     UNION ALL
-    SELECT i, CASE WHEN free THEN list_append(open_, {{'t': ticker, 'x': exit}}) ELSE open_ END, free FROM (
+    SELECT i, CASE WHEN free THEN list_append(open_, {'t': ticker, 'x': exit}) ELSE open_ END, free FROM (
         SELECT c.i, c.ticker, c.exit, open_, len(open_) < 20 AND len(list_filter(open_, lambda p: p.t = c.ticker)) = 0 AS free
         FROM (SELECT d.*, list_filter(w.held, lambda p: p.x >= d.entry) AS open_ FROM walk w JOIN cand d ON d.i = w.i + 1) c)),
 taken AS (SELECT c.ticker, c.entry, c.exit, c.cost FROM walk w JOIN cand c ON c.i = w.i WHERE took),
@@ -447,7 +522,8 @@ market AS (SELECT date, adj_close / previous_close - 1 AS spy, adj_close / adj_o
 held AS (SELECT m.date, coalesce(CASE WHEN m.date = t.entry THEN b.adj_close / b.adj_open - 1 - coalesce(spy_first, 0) ELSE b.adj_close / b.previous_close - 1 - coalesce(spy, 0) END, 0) - t.cost / 2 * (CAST(m.date = t.entry AS INT) + CAST(m.date = t.exit AS INT)) AS gain
     FROM taken t JOIN market m ON m.date BETWEEN t.entry AND t.exit LEFT JOIN c_usable b ON b.ticker = t.ticker AND b.date = m.date)
 SELECT m.date, coalesce(total, 0) / 20 AS excess, coalesce(spy, 0) AS spy, coalesce(positions, 0) AS positions FROM market m LEFT JOIN (SELECT date, sum(gain) AS total, count(*) AS positions FROM held GROUP BY date) h ON h.date = m.date
-""".replace("WITH_PREFIX", "WITH_PREFIX RECURSIVE")
+"""
+PORTFOLIO = "WITH_PREFIX RECURSIVE " + _PORTFOLIO.replace("SOURCE", f"SELECT * FROM ({fixed('SELECT * FROM c_listed')}) WHERE round(score, 9) >= 0.5")
 
 
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,6 +533,28 @@ def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.daily(spark.createDataFrame(taken, "ticker string, entry date, exit date, cost double"), d.study.numbered)
 
 
+_CRITERIA_TABLES, _CRITERIA_DAYS = _PORTFOLIO.replace("SOURCE", "SELECT * FROM tested WHERE above").rsplit("SELECT m.date", 1)
+
+
+@query(f"""{_YEARS}, {_CRITERIA_TABLES.rstrip()}, daily AS MATERIALIZED (SELECT m.date{_CRITERIA_DAYS}),
+levels AS (SELECT *, exp(sum(ln(1 + spy + excess)) OVER (ORDER BY date)) AS own, exp(sum(ln(1 + spy)) OVER (ORDER BY date)) AS level FROM daily),
+falls AS (SELECT least(min(own / greatest(top, 1) - 1), 0) AS own_fall, least(min(level / greatest(high, 1) - 1), 0) AS fall FROM (SELECT *, max(own) OVER (ORDER BY date) AS top, max(level) OVER (ORDER BY date) AS high FROM levels)),
+yearly AS (SELECT year, avg(y) AS m FROM tested WHERE above AND y IS NOT NULL GROUP BY year),
+measures AS (SELECT (SELECT avg(y) FROM tested WHERE above) AS mean, (SELECT CAST(count(*) FILTER (m > 0) AS DOUBLE) FROM yearly) AS positive, (SELECT count(*) FROM yearly) AS years, (SELECT avg(CASE WHEN gross > 0 THEN 1.0 ELSE 0.0 END) FROM tested WHERE above AND gross IS NOT NULL) AS hit,
+    (SELECT CASE WHEN count(*) >= 20 AND stddev_samp(excess) > 0 THEN avg(excess) / stddev_samp(excess) * sqrt(252) END FROM daily) AS ratio, own_fall, CASE WHEN fall < 0 THEN own_fall / fall END AS times FROM falls)
+SELECT 'net mean of events above the cut-off' AS metric, {r('mean', 'value')}, positive AS other, coalesce(mean > 0.01 AND positive > years / 2, false) AS passed FROM measures
+UNION ALL SELECT 'information ratio', {r('ratio', 'value')}, CAST(NULL AS DOUBLE), coalesce(ratio > 0.5, false) FROM measures
+UNION ALL SELECT 'hit rate', {r('hit', 'value')}, CAST(NULL AS DOUBLE), coalesce(hit > 0.55, false) FROM measures
+UNION ALL SELECT 'drawdown over the market''s', {r('times', 'value')}, {r('own_fall', 'other')}, coalesce(times <= 1.5, false) FROM measures""")
+def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The go-live criteria, over the walk-forward's events above the cut-off and the portfolio of them."""
+    rows = _scored(spark, sf_dir)
+    candidates = rows.filter("above and exit is not null").withColumn("score", F.round("score", 9))
+    taken = spark.createDataFrame(portfolio.admitted(candidates), "ticker string, entry date, exit date, cost double")
+    out = scorecard.criteria(rows, stored(portfolio.daily(taken, Domain.of(spark, sf_dir).study.numbered), "daily"), "r")
+    return out.select("metric", r6("value"), r6("other"), "passed")
+
+
 @query(f"SELECT date, {r('excess')}, {r('spy')}, positions FROM ({PORTFOLIO})")
 def portfolio_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The portfolio of the fixed model's upper half by score."""
@@ -733,13 +831,6 @@ def decay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.decay(portfolio.delayed_excess(d.listed, d.study.numbered)).select("delay", "n", r6("mean"), r6("t"))
 
 
-@query()
-def year_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score's walk-forward by test year; iterative fits, held against plain Python in the tests."""
-    rows = scorecard.pooled(model.walk_forward(Domain.of(spark, sf_dir).listed))
-    return scorecard.year_table(rows) if rows is not None else spark.createDataFrame([], "year int")
-
-
 _RANKED = f"""(SELECT * FROM ({fixed(f'SELECT * FROM ({LIVE_BUCKETS}) WHERE hidden IS NULL', 'days_since')}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, filing_date, side, filer_id) = 1 ORDER BY score DESC, ticker LIMIT 20)"""
 
 

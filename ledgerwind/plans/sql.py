@@ -256,6 +256,61 @@ cte("c_long_training", " UNION ALL ".join(f"SELECT '{c}' AS component, b_{c} AS
 cte("c_tables", "SELECT component, bucket, count(*) AS n, count(*) / (count(*) + 500.0) * (avg(y) - (SELECT avg(y) FROM c_training)) AS value FROM c_long_training GROUP BY component, bucket")
 
 
+#: Each row's bucket values, in the order of the components, by a fit's own tables.
+_VALUES = "[" + ", ".join(f"coalesce(v.m['{c}' || b_{c}], 0)" for c in _COMPONENTS) + "]"
+ALL_FOLDS = "SELECT 0 AS fold, DATE '9999-01-01' AS start"
+YEAR_FOLDS = "SELECT CAST(fold AS INT) AS fold, make_date(fold, 1, 1) AS start FROM (SELECT DISTINCT year(entry) AS fold FROM c_listed) QUALIFY row_number() OVER (ORDER BY fold) > 2"
+ONE_VARIANT = "('all components', [1, 2, 3, 4, 5, 6, 7, 8], [0.0, 1.0, 2.0, 3.0, 5.0, 8.0])"
+VARIANTS = ", ".join(
+    [ONE_VARIANT]
+    + [f"('without {c}', {[j for j in range(1, 9) if j != i]}, [0.0, 1.0, 2.0, 3.0, 5.0, 8.0])" for i, c in enumerate(_COMPONENTS, 1)]
+    + ["('no drift penalty', [1, 2, 3, 4, 5, 6, 7, 8], [0.0])"]
+)
+
+
+def score_models(folds: str, variants: str = ONE_VARIANT, least: int = 500, sweeps: int = 250) -> str:
+    """Tables up to `chosen`: (fold, variant, w, low, high, beta, cut, n) of every fit.
+
+    Each fold's training rows are copied, its returns cut, and the weights found by cyclic projected steps, one weight at a
+    time in a recursion: another way to the minimum than the library's.
+    """
+    return f"""WITH_PREFIX RECURSIVE folds AS MATERIALIZED ({folds}),
+variants AS MATERIALIZED (SELECT * FROM (VALUES {variants}) v(variant, used, betas)),
+train AS MATERIALIZED (SELECT f.fold, l.* FROM c_listed l JOIN folds f ON l.y IS NOT NULL AND l.exit < f.start),
+bounds AS MATERIALIZED (SELECT fold, n, v[CAST(floor(0.01 * (n - 1)) AS BIGINT) + 1] AS lo, v[CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1] AS hi FROM (SELECT fold, count(*) AS n, list_sort(list(y)) AS v FROM train GROUP BY fold HAVING count(*) >= {least})),
+cut_rows AS MATERIALIZED (SELECT t.* EXCLUDE (y), least(greatest(y, lo), hi) AS y, n FROM train t JOIN bounds b ON t.fold = b.fold),
+means AS MATERIALIZED (SELECT fold, avg(y) AS overall FROM cut_rows GROUP BY fold),
+parts AS MATERIALIZED (SELECT fold, component, bucket, count(*) AS n, count(*) / (count(*) + 500.0) * (avg(y) - any_value(overall)) AS value
+    FROM ({" UNION ALL ".join(f"SELECT fold, '{c}' AS component, b_{c} AS bucket, y FROM cut_rows" for c in _COMPONENTS)}) JOIN means USING (fold) GROUP BY fold, component, bucket),
+looked_up AS MATERIALIZED (SELECT fold, map_from_entries(list((component || bucket, value))) AS m FROM parts GROUP BY fold),
+valued AS MATERIALIZED (SELECT t.fold, filing_date, ticker, side, filer_id, drift, t.n, y, y - overall AS over, {_VALUES} AS xs FROM cut_rows t JOIN looked_up v ON t.fold = v.fold JOIN means o ON t.fold = o.fold),
+gram AS MATERIALIZED (SELECT fold, i, list(g ORDER BY j) AS g FROM (SELECT fold, i, j, sum(xs[i] * xs[j]) AS g FROM valued, range(1, 9) a(i), range(1, 9) b(j) GROUP BY fold, i, j) GROUP BY fold, i),
+sides AS MATERIALIZED (SELECT fold, list(g ORDER BY i) AS g, list(r ORDER BY i) AS r FROM gram JOIN (SELECT fold, i, sum(xs[i] * over) AS r FROM valued, range(1, 9) a(i) GROUP BY fold, i) USING (fold, i) GROUP BY fold),
+steps AS (
+    SELECT fold, variant, 0 AS step, [CAST(0 AS DOUBLE) FOR x IN range(8)] AS w FROM sides, variants
+    UNION ALL
+    SELECT fold, variant, step + 1, CASE WHEN NOT list_contains(used, j) OR g[j][j] <= 0 THEN w
+        ELSE list_concat(w[:j - 1], [least(greatest(w[j] + (r[j] - list_inner_product(g[j], w)) / g[j][j], 0), 1)], w[j + 1:]) END
+    FROM (SELECT k.*, s.g, s.r, v.used, k.step % 8 + 1 AS j FROM steps k JOIN sides s USING (fold) JOIN variants v USING (variant) WHERE step < {8 * sweeps})
+),
+ends AS MATERIALIZED (SELECT fold, list(low ORDER BY i) AS lows, list(high ORDER BY i) AS highs FROM (SELECT fold, list_position({list(_COMPONENTS)}, component) AS i, min(value) AS low, max(value) AS high FROM parts GROUP BY fold, component) GROUP BY fold),
+fitted AS MATERIALIZED (SELECT fold, variant, w, list_inner_product(w, lows) AS low, list_inner_product(w, highs) AS high FROM steps JOIN ends USING (fold) WHERE step = {8 * sweeps}),
+tried AS (SELECT fold, variant, beta, n, y, filing_date, ticker, side, filer_id, q * CASE WHEN drift IS NULL THEN 1 ELSE greatest(0, 1 - beta * greatest(drift, -0.2)) END AS score
+    FROM (SELECT t.*, variant, CASE WHEN high > low THEN (list_inner_product(w, xs) - low) / (high - low) ELSE 0.5 END AS q, unnest(betas) AS beta FROM valued t JOIN fitted USING (fold) JOIN variants USING (variant))),
+tenths AS MATERIALIZED (SELECT fold, variant, beta, avg(y) AS mean, min(score) AS cut, any_value(n) AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY fold, variant, beta ORDER BY score DESC, filing_date, ticker, side, filer_id) AS place FROM tried) WHERE place <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) GROUP BY fold, variant, beta),
+chosen AS MATERIALIZED (SELECT f.*, beta, cut, n FROM fitted f JOIN (SELECT * FROM (SELECT *, max(mean) OVER (PARTITION BY fold, variant) AS top FROM tenths) WHERE mean > top - 1e-12 QUALIFY row_number() OVER (PARTITION BY fold, variant ORDER BY beta) = 1) USING (fold, variant))"""
+
+
+#: Test years' events by the models of score_models(YEAR_FOLDS): the best one a ticker and day.
+TESTED = f"""tested AS MATERIALIZED (SELECT *, score >= cut AS above FROM (
+    SELECT *, quality * CASE WHEN drift IS NULL THEN 1 ELSE greatest(0, 1 - beta * greatest(drift, -0.2)) END AS score FROM (
+        SELECT t.filer_id, t.ticker, t.side, t.filing_date, t.entry, t.exit, t.cost, t.y, t.gross, t.drift, c.fold AS year, c.variant, c.beta, c.cut, c.n AS n_train, year(t.entry) * 100 + month(t.entry) AS cluster,
+            CASE WHEN high > low THEN (list_inner_product(w, {_VALUES}) - low) / (high - low) ELSE 0.5 END AS quality
+        FROM c_listed t JOIN chosen c ON year(t.entry) = c.fold JOIN looked_up v ON v.fold = c.fold))
+    QUALIFY row_number() OVER (PARTITION BY variant, ticker, entry ORDER BY score DESC, filing_date, side, filer_id) = 1)"""
+
+
 def scored(tables: dict[str, dict[str, float]], weights: dict[str, float], beta: float, source: str, days: str = "0") -> str:
     """A fixed model's score and quality in SQL."""
     low, high = (sum(weights[c] * f(tables[c].values()) for c in sorted(weights)) for f in (min, max))
