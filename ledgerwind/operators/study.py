@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -123,43 +124,66 @@ def first_of_day(returns: DataFrame) -> DataFrame:
     return returns.join(first.select("ticker", "side", "entry", "h", "k.filing_date", "k.filer_id"), ["ticker", "side", "entry", "h", "filing_date", "filer_id"], "left_semi")
 
 
+def _trained(cells: list, bounds: dict[str, float], cuts: dict[str, float], edges: tuple[list[float], list[float]]) -> dict:
+    """A test year's training means from the cells (lag bucket, stretches of drift and return) of its training rows."""
+    of_drift, of_return = edges
+    ends = [bisect_left(of_drift, cuts[f"cut{k}"]) for k in range(1, 5)]
+    under, over = bisect_left(of_return, bounds["lo"]), bisect_left(of_return, bounds["hi"])
+    lag: dict[int, list[float]] = {}
+    drift: dict[int, list[float]] = {}
+    for r in cells:
+        s = r["n"] * bounds["lo"] if r["r_at"] <= under else r["n"] * bounds["hi"] if r["r_at"] > over else r["s"]
+        for table, key in ((lag, r["lag_b"]), (drift, sum(r["d_at"] > e for e in ends))):
+            n, total = table.get(key, (0, 0.0))
+            table[key] = [n + r["n"], total + s]
+
+    def mean(table: dict[int, list[float]], keys) -> float | None:
+        own = [table[k] for k in keys if k in table]
+        return sum(s for _, s in own) / sum(n for n, _ in own) if own else None
+
+    less = lambda a, b: a - b if a is not None and b is not None else None
+    return {
+        "overall": mean(lag, range(4)), "lag_means": [mean(lag, [k]) for k in range(4)], "drift_means": [mean(drift, [k]) for k in range(5)],
+        "lag_is": less(mean(lag, (2, 3)), mean(lag, (0, 1))), "drift_is": less(mean(drift, [4]), mean(drift, [0])),
+    }
+
+
 def walk_forward(returns: DataFrame) -> DataFrame:
     """A row a test year: sizes, contrasts in and out of sample, rank correlation and top less bottom fifth.
 
-    Rows of one horizon. Training rows left before the test year began. Each (year, training row) is a row, so all years
-    are fitted at once; cut-offs, winsor bounds and bucket means are the training rows' own.
+    Rows of one horizon. Training rows left before the test year began, so the years' training rows are nested: cut-offs and
+    winsor bounds of all years come from one sort each, and all training means from one sum over rows by lag bucket and the
+    stretches between those values. No row is copied into another year, and the number of jobs doesn't grow with years.
     """
-    rows = stored(returns.filter("r is not null and drift_pct is not null").select("filer_id", "ticker", "side", "filing_date", "entry", "exit", "lag_days", "drift_pct", "r"), "walk-rows")
-    years = sorted(x[0] for x in rows.select(F.year("entry")).distinct().collect())[TRAIN_YEARS:]
-    if not years:
-        years = [0]
-    year = F.explode(F.array(*(F.lit(y) for y in years)))
-    start = F.make_date("year", F.lit(1), F.lit(1))
-    train = rows.withColumn("year", year).filter(F.col("exit") < start)
-    test = rows.withColumn("year", F.year("entry")).filter(F.col("year").isin(years))
-    sizes = train.groupBy("year").agg(F.count("*").alias("n_train")).join(test.groupBy("year").agg(F.count("*").alias("n_test")), "year").filter((F.col("n_train") >= LEAST_TRAIN) & (F.col("n_test") >= LEAST_TEST))
-    cuts = ranking.order_statistics(train.select("year", "drift_pct"), ["year"], "drift_pct", ranking.quantile_places(5)).join(ranking.order_statistics(train.select("year", "r"), ["year"], "r", ranking.winsor_places()), "year").join(sizes, "year")
-    cuts = F.broadcast(stored(cuts, "walk-cuts"))  # a row a year
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        df = df.join(cuts, "year").withColumn("v", F.least(F.greatest("r", "lo"), "hi")).withColumn("lag_b", lag_bucket(F.col("lag_days")))
-        return df.withColumn("drift_b", bucket_of(F.col("drift_pct"), [F.col(f"cut{k}") for k in range(1, 5)])).withColumn("late", F.col("lag_days") > LATE)
-
-    train, test = stored(bucketed(train), "walk-train"), bucketed(test)
-    mean = lambda cond: F.avg(F.when(cond, F.col("v")))
-
-    def split(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("year").agg((mean(F.col("late")) - mean(~F.col("late"))).alias(f"lag_{name}"), (mean(F.col("drift_b") == 4) - mean(F.col("drift_b") == 0)).alias(f"drift_{name}"))
-
-    overall = train.groupBy("year").agg(F.avg("v").alias("overall"))
-    by_lag, by_drift = train.groupBy("year", "lag_b").agg(F.avg("v").alias("lag_mean")), train.groupBy("year", "drift_b").agg(F.avg("v").alias("drift_mean"))
-    scored = test.join(F.broadcast(overall), "year").join(F.broadcast(by_lag), ["year", "lag_b"], "left").join(F.broadcast(by_drift), ["year", "drift_b"], "left")
+    spark = returns.sparkSession
+    rows = returns.filter("r is not null and drift_pct is not null").select("filer_id", "ticker", "side", "filing_date", "entry", "exit", "lag_days", "drift_pct", "r", F.year("entry").alias("year"), lag_bucket(F.col("lag_days")).alias("lag_b"))
+    sizes = {r["year"]: r["count"] for r in rows.groupBy("year").count().collect()}  # a row a year
+    years = sorted(sizes)[TRAIN_YEARS:]
+    since = sum(((F.col("exit") >= F.make_date(F.lit(y), F.lit(1), F.lit(1))).cast("int") for y in years), F.lit(0))
+    rows = stored(rows.withColumn("since", since), "walk-rows")
+    places = {f"cut{k}": (lambda n, k=k: min(n - 1, n * k // 5)) for k in range(1, 5)}
+    cuts = ranking.nested_order_statistics(rows, "drift_pct", "since", len(years), places)
+    bounds = ranking.nested_order_statistics(rows, "r", "since", len(years), {"lo": lambda n: int(0.01 * (n - 1)), "hi": lambda n: int(0.99 * (n - 1))})
+    steps = [i for i, y in enumerate(years) if i in cuts and cuts[i]["n"] >= LEAST_TRAIN and sizes[y] >= LEAST_TEST]
+    edges = sorted({cuts[i][c] for i in steps for c in places}), sorted({bounds[i][c] for i in steps for c in ("lo", "hi")})
+    at = [sum(((F.col(c) >= e).cast("int") for e in own), F.lit(0)) for c, own in zip(("drift_pct", "r"), edges, strict=True)]
+    cells = rows.filter(F.col("since") < len(years)).groupBy("since", "lag_b", at[0].alias("d_at"), at[1].alias("r_at")).agg(F.count("*").alias("n"), F.sum("r").alias("s")).collect() if steps else []  # by years, not rows
+    cells.sort(key=lambda r: tuple(r)[:4])
+    names = {"cut1": "double", "cut2": "double", "cut3": "double", "cut4": "double", "lo": "double", "hi": "double", "overall": "double", "lag_means": "array<double>", "drift_means": "array<double>", "lag_is": "double", "drift_is": "double"}
+    fitted = []
+    for i in steps:
+        found = cuts[i] | bounds[i] | _trained([r for r in cells if r["since"] <= i], bounds[i], cuts[i], edges)
+        fitted.append((years[i], cuts[i]["n"], sizes[years[i]], *(found[c] for c in names)))
+    fits = F.broadcast(spark.createDataFrame(fitted, "year int, n_train long, n_test long, " + ", ".join(f"{c} {kind}" for c, kind in names.items())))  # a row a year
+    test = rows.join(fits, "year").withColumn("v", F.least(F.greatest("r", "lo"), "hi")).withColumn("late", F.col("lag_days") > LATE)
+    test = test.withColumn("drift_b", bucket_of(F.col("drift_pct"), [F.col(f"cut{k}") for k in range(1, 5)]))
+    known = lambda table, key: F.coalesce(F.get(table, F.col(key)), F.col("overall"))
     # rounded so that the same mean added up in another order is still a tie
-    scored = stored(scored.withColumn("pred", F.round(F.coalesce("lag_mean", "overall") + F.coalesce("drift_mean", "overall") - F.col("overall"), 9)), "walk-test")
-    ranked = ranking.average_ranks(ranking.average_ranks(scored.select("year", "pred", "v"), ["year"], "pred", "rp"), ["year"], "v", "rv")
-    ic = ranked.groupBy("year").agg(F.when((F.count("*") >= 3) & (F.stddev_pop("rp") > 0) & (F.stddev_pop("rv") > 0), F.corr("rp", "rv")).alias("ic"))
+    scored = stored(test.withColumn("pred", F.round(known("lag_means", "lag_b") + known("drift_means", "drift_b") - F.col("overall"), 9)), "walk-test")
+    mean = lambda cond: F.avg(F.when(cond, F.col("v")))
+    apart = scored.groupBy("year").agg((mean(F.col("late")) - mean(~F.col("late"))).alias("lag_oos"), (mean(F.col("drift_b") == 4) - mean(F.col("drift_b") == 0)).alias("drift_oos"))
     order = ranking.numbered(scored, ["year"], [F.col(c) for c in ("pred", "entry", "filing_date", "ticker", "side", "filer_id")])
     fifth = F.floor(F.col("n_test") / 5)
     ends = order.groupBy("year").agg((mean(F.col("rank") > F.col("n_test") - fifth) - mean(F.col("rank") <= fifth)).alias("top_minus_bottom"))
-    parts = [split(train, "is"), split(test, "oos"), ic, ends]
-    return reduce(lambda a, b: a.join(b, "year", "left"), parts, sizes)
+    parts = [apart, ranking.rank_correlation(scored, ["year"], "pred", "v", "ic"), ends]
+    return reduce(lambda a, b: a.join(b, "year", "left"), parts, fits.select("year", "n_train", "n_test", "lag_is", "drift_is"))
