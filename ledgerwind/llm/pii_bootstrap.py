@@ -5,17 +5,18 @@ checks. Then, over the whole corpus:
 
 * candidates are whole runs: tokens with an at sign, groups of digits, and tokens of mixed letters and digits;
 * candidates that overlap a base span are seed instances of its kind; long hexadecimal tokens are seeds of a fifth kind,
-  `secret`, which is told apart from personal data in the results;
-* each candidate bears patterns. Lexical ones are the two words before it (L) and the words on both sides (S). Where the same
-  words never meet again, they back off to the instance's form, its digits and marks with letters left out, with the word
-  before it (B) or with the shapes of the neighbours: both (C), the left (P) or the right one (N);
+  `secret`, which is told apart from personal data in the results; candidates that can be of no kind, such as 16 digits that
+  fail the checksum, are negative seeds;
+* each candidate bears lexical patterns: the two words before it (L), the words on both sides (S), the word before it with
+  the instance's form, its digits and marks with letters left out (B), and a field's name with its separator (K);
 * pattern and instance scores are computed in turn, ROUNDS times, on the graph of (pattern, instance, count). With w the
-  scores of a pattern's occurrences for a kind, its confidence is w / (all occurrences + 1) for lexical patterns, to which
-  an unknown instance counts as a fault, and w / (occurrences of known instances + 1) for those that hold a form, as unknown
-  instances of a seed's form are what is looked for. These must have w in LEAST_SHARE of all occurrences, and lose a part
-  of their confidence for each neighbour left out. SUPPORT different instances of the kind must bear a pattern. An
-  instance that is no seed scores the confidence of its best pattern among the kinds that its form allows;
-* candidates that no base span covers become spans under patterns of CONFIDENCE and more.
+  scores of a pattern's occurrences for a kind, its confidence is w / (occurrences of known instances of any kind, negative
+  ones included, + 1): an instance of unknown kind is what is looked for and no fault, but w must be LEAST_SHARE of all
+  occurrences, so that a common phrase which a few seeds happen to follow says nothing. SUPPORT different instances of the
+  kind must bear a pattern. An instance that is no seed scores the confidence of its best pattern among the kinds that its
+  form allows;
+* candidates that no base span covers become spans under patterns of CONFIDENCE and more. A form alone, without words, is no
+  context: one in ten numbers passes a card's checksum by chance, and in a table of plain numbers nothing tells them apart.
 
 The graph's edges are counted before they are shuffled, so a hot pattern or identifier is one row for each different
 partner.
@@ -45,17 +46,21 @@ CANDIDATE = "|".join([
     r"(?<![^\s@()\[\]<>,;:\x22'])[^\s@()\[\]<>,;:\x22']++(?:@|\(at\)|\[at\])[^\s@()\[\]<>,;:\x22']*[^\s@()\[\]<>,;:\x22'.!?]",
     r"(?<![A-Za-z0-9_-])(?=[0-9_-]*+[A-Za-z])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+",
     r"(?<![0-9A-Za-z])\+?\(?[0-9]{1,4}(?![0-9])\)?(?:[\x20.-]{1,2}\(?[0-9]{2,4}(?![0-9])\)?){2,}+",
-    r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[().-]{0,2}[0-9])++",
+    r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[().\[\]-]{0,3}[0-9])++",
 ])
 AT, SECRET = r"@|\(at\)|\[at\]", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
 LEARNT = (*KINDS, "secret")
+#: The kind of negative seeds; it comes after all others, so that an instance which is a seed elsewhere stays one.
+NO_KIND = "~"
+#: An address in four parts, however they are parted.
+FOUR = r"^[0-9]{1,3}(?:(?:[.-]|\[\.\]|\(\.\))[0-9]{1,3}){3}$"
 #: Least digits of a candidate without letters.
 DIGITS = 7
 #: Characters around a candidate in which its context is looked for; the candidates next to it are one character there.
 CONTEXT = 64
 ROUNDS, SUPPORT, CONFIDENCE, USEFUL = 3, 5, 0.8, 0.5
-#: For patterns with a form: the least share of known occurrences, and what is left of the confidence by the pattern's kind.
-LEAST_SHARE, KEPT = 0.05, {"B": 1.0, "C": 0.98, "P": 0.9, "N": 0.9}
+#: The least share of a pattern's occurrences that known instances of its kind must have.
+LEAST_SHARE = 0.2
 #: Documents with found spans up to which masking broadcasts them (some 100 bytes each); beyond, they are joined by shuffle.
 BROADCAST_FOUND = 50_000
 #: Hits whose places are summed up at a time.
@@ -127,16 +132,11 @@ def _form(hit: Column) -> Column:
     return F.when(hit.rlike(AT), F.left(at, F.lit(CONTEXT))).when(hit.rlike("[A-Za-z]"), token).otherwise(digits)
 
 
-def _shape(word: Column, none: str) -> Column:
-    """A neighbour's letter cases, digits and marks, runs as one, eight characters at most."""
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), "[0-9]+", "9")
-    return F.coalesce(F.when(word != "", F.left(kinds, F.lit(8))), F.lit(none))
-
-
 def _fits(hit: Column) -> Column:
-    """Array of the kinds that an instance's form allows."""
-    digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
-    numbers = {"ip": hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "card": digits.between(13, 19), "phone": digits.between(7, 15)}
+    """Array of the kinds that an instance's form, and a card's checksum, allow."""
+    digits = F.regexp_replace(hit, "[^0-9]", "")
+    parts = F.split(F.regexp_replace(hit, "[^0-9]+", " "), " ")
+    numbers = {"ip": F.when(hit.rlike(FOUR), F.forall(parts, lambda x: x.cast("int") <= 255)), "card": F.when(F.length(digits).between(13, 19), _luhn(digits)), "phone": F.length(digits).between(7, 15)}
     of = F.filter(F.array(*(F.when(ok, kind) for kind, ok in numbers.items())), lambda k: k.isNotNull())
     return F.when(hit.rlike(AT), F.array(F.lit("email"))).when(hit.rlike("[A-Za-z]"), F.array(F.lit("secret"))).otherwise(of)
 
@@ -148,25 +148,25 @@ def candidates(text: Column, base: Column) -> Column:
     def one(r: Column, before: Column, behind: Column, base: Column) -> Column:
         end = r["start"] + F.length(r["hit"])
         found = F.array_distinct(F.transform(F.filter(base, lambda s: (s["start"] < end) & (s["end"] > r["start"])), lambda s: s["kind"]))
-        seeds = F.when((F.size(found) == 0) & r["hit"].rlike(SECRET), F.array(F.lit("secret"))).otherwise(found)
+
+        def seeds(fits: Column) -> Column:
+            return F.when(F.size(found) > 0, found).when(r["hit"].rlike(SECRET), F.array(F.lit("secret"))).when(F.size(fits) == 0, F.array(F.lit(NO_KIND))).otherwise(F.array().cast("array<string>"))
 
         def patterns(b: Column, a: Column, form: Column) -> Column:
-            last = F.element_at(b, -1)
-            left, right = _shape(F.when(F.size(b) > 0, last), "^"), _shape(a, "$")
+            last = F.try_element_at(b, F.lit(-1))
             return F.array(
                 F.when(F.size(b) > 1, F.concat(F.lit("L "), F.lower(F.array_join(F.slice(b, F.size(b) - 1, 2), " ")))),
                 F.when((F.size(b) > 0) & (a != ""), F.concat(F.lit("S "), F.lower(last), F.lit(" _ "), F.lower(a))),
                 F.when(F.size(b) > 0, F.concat(F.lit("B "), F.lower(last), F.lit(" "), form)),
-                F.concat(F.lit("C "), left, F.lit(" "), form, F.lit(" "), right),
-                F.concat(F.lit("P "), left, F.lit(" "), form),
-                F.concat(F.lit("N "), form, F.lit(" "), right),
+                F.when(last.rlike("[:=]$"), F.concat(F.lit("K "), F.lower(last))),
             )
 
         words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
         next_ = F.regexp_extract(behind, r"^[^\s]*\s+([^\s]+)", 1)
         made = _let(F.struct(words.alias("b"), next_.alias("a"), _form(r["hit"]).alias("f")), lambda x: patterns(x["b"], x["a"], x["f"]))
         instance = F.when(F.length(r["hit"]) <= CONTEXT, r["hit"]).otherwise(F.md5(r["hit"].cast("binary")))
-        return F.struct(instance.alias("instance"), r["start"].alias("start"), end.alias("end"), seeds.alias("seeds"), _fits(r["hit"]).alias("fits"), F.filter(made, lambda p: p.isNotNull()).alias("patterns"))
+        kept = F.filter(made, lambda p: p.isNotNull())
+        return _let(_fits(r["hit"]), lambda fits: F.struct(instance.alias("instance"), r["start"].alias("start"), end.alias("end"), seeds(fits).alias("seeds"), fits.alias("fits"), kept.alias("patterns")))
 
     def every(rows: Column, base: Column) -> Column:
         def at(r: Column, i: Column) -> Column:
@@ -174,7 +174,7 @@ def candidates(text: Column, base: Column) -> Column:
             then = F.when(i + 1 < F.size(rows), F.concat(F.lit("#"), F.left(F.get(rows, i + 1)["rest"], F.lit(CONTEXT)))).otherwise(none)
             before = F.right(F.concat(ahead, F.right(r["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
             behind = F.left(F.concat(F.left(r["rest"], F.lit(CONTEXT)), then), F.lit(CONTEXT))
-            enough = r["hit"].rlike(f"[A-Za-z]|{AT}") | (F.length(F.regexp_replace(r["hit"], "[^0-9]", "")) >= DIGITS)
+            enough = r["hit"].rlike(f"[A-Za-z]|{AT}|{FOUR}") | (F.length(F.regexp_replace(r["hit"], "[^0-9]", "")) >= DIGITS)
             return F.when(enough, F.struct(r["hit"].alias("hit"), r["start"].alias("start"), before.alias("before"), behind.alias("behind")))
 
         return F.transform(F.filter(F.transform(rows, at), lambda r: r.isNotNull()), lambda r: one(r, r["before"], r["behind"], base))
@@ -190,13 +190,11 @@ def patterns(found: DataFrame) -> DataFrame:
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
     seeds = edges.filter("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
     scores, confident = seeds, None
-    left = F.element_at(F.create_map(*(F.lit(x) for kv in KEPT.items() for x in kv)), F.left("pattern", F.lit(1)))
     for _ in range(ROUNDS):
         borne = edges.select("pattern", "instance", "n").join(scores, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("w"), F.count_if(F.col("score") >= USEFUL).alias("support"))
         known = borne.groupBy("pattern").agg(F.sum("w").alias("known"))
-        with_form = F.when(F.col("w") >= LEAST_SHARE * F.col("total"), F.col("w") / (F.col("known") + 1) * left)
-        confidence = F.when(left.isNull(), F.col("w") / (F.col("total") + 1)).otherwise(with_form)
-        confident = borne.filter(F.col("support") >= SUPPORT).join(known, "pattern").join(totals, "pattern").withColumn("confidence", confidence).filter(F.col("confidence") >= USEFUL)
+        enough = (F.col("kind") != NO_KIND) & (F.col("support") >= SUPPORT) & (F.col("w") >= LEAST_SHARE * F.col("total"))
+        confident = borne.join(known, "pattern").join(totals, "pattern").filter(enough).withColumn("confidence", F.col("w") / (F.col("known") + 1)).filter(F.col("confidence") >= USEFUL)
         confident = written(confident.select("pattern", "kind", "confidence"), "pii-patterns")
         new = edges.filter("seed is null").select("pattern", "instance", "fits").join(confident, "pattern").filter("array_contains(fits, kind)")
         new = new.groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
@@ -273,16 +271,17 @@ def mask(docs: DataFrame) -> DataFrame:
     n_chars, where there is such a column, is counted again. Patterns are learnt from all rows first; the few documents in
     which they find spans meet their rows by doc_id and the text's hash.
     """
-    key = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash")]
-    text = docs.select(*key, "text").filter("text is not null")
+    text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text").filter("text is not null")
     seen = text.withColumn("c", candidates(F.col("text"), base_spans(F.col("text"))))
-    some = written(seen.select("_doc", "_hash", "c").filter(F.size("c") > 0), "pii-candidates")
-    found = written(_found(some, patterns(some), ["_doc", "_hash"]).select("_doc", "_hash", F.array_distinct("found").alias("_found")), "pii-found")
+    some = written(seen.select("id", "hash", "c").filter(F.size("c") > 0), "pii-candidates")
+    found = written(_found(some, patterns(some), ["id", "hash"]).select("id", "hash", F.array_distinct("found").alias("found")), "pii-found")
     if found.count() <= BROADCAST_FOUND:
         found = F.broadcast(found)
-    whole = docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
-    spans = F.concat(base_spans(F.col("text")), F.coalesce("_found", F.array().cast(f"array<{SPAN}>")))
-    whole = whole.withColumn("text", F.when(F.col("text").isNotNull(), _let(spans, lambda s: _masked(F.col("text"), s))))
+    rows = docs.select(F.struct("*").alias("doc"))  # so that no column of docs can clash
+    whole = rows.join(found, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("doc.text") == F.col("hash")), "left")
+    spans = F.concat(base_spans(F.col("doc.text")), F.coalesce("found", F.array().cast(f"array<{SPAN}>")))
+    whole = whole.select("doc", F.when(F.col("doc.text").isNotNull(), _let(spans, lambda s: _masked(F.col("doc.text"), s))).alias("masked"))
+    new = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)
+    return whole.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

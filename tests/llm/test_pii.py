@@ -12,7 +12,8 @@ CONTRACT = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-SCHEMA = "doc_id long, text string, n_chars long, found string, base string, c string"
+SCHEMA = "doc_id long, text string, n_chars long, found string, base string, c string, _doc int, _hash int, _found int, id int, doc int, masked int"
+REST = ("", "", "", 1, 2, 3, 4, 5, 6)
 
 
 def luhn(d):
@@ -39,7 +40,8 @@ def fits(x):
         return {"email"}
     if re.search("[A-Za-z]", x):
         return {"secret"}
-    ok = {"ip": bool(re.search(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", x)), "card": 13 <= n <= 19, "phone": 7 <= n <= 15}
+    four = re.fullmatch(r"([0-9]{1,3})((?:[.-]|\[\.\]|\(\.\))[0-9]{1,3}){3}", x)
+    ok = {"ip": bool(four) and all(int(p) <= 255 for p in re.findall("[0-9]+", x)), "card": 13 <= n <= 19 and luhn(re.sub("[^0-9]", "", x)), "phone": 7 <= n <= 15}
     return {k for k in ok if ok[k]}
 
 
@@ -51,17 +53,12 @@ def form(x):
     return re.sub("[0-9]", "D", x)[:64]
 
 
-def shape(word, none):
-    runs = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c in "0123456789" else c for c in word)
-    return re.sub("(a)a+|(A)A+|(9)9+", lambda m: m[1] or m[2] or m[3], runs)[:8] or none
-
-
 def occurrences(i, text):
     """(text's number, instance, start, end, seeds, patterns) of the candidates of a text, by other means than the operator's."""
     spans, out = base(text), []
     found = [m for m in re.finditer(pii.CANDIDATE, text, re.ASCII)]
     for j, m in enumerate(found):
-        if not re.search("[A-Za-z]", m[0]) and not AT.search(m[0]) and len(re.sub("[^0-9]", "", m[0])) < pii.DIGITS:
+        if not re.search("[A-Za-z]", m[0]) and not AT.search(m[0]) and not re.search(pii.FOUR, m[0]) and len(re.sub("[^0-9]", "", m[0])) < pii.DIGITS:
             continue
         ends = [x.end() for x in found[max(j - 2, 0) : j]]
         before = text[ends[-1] if ends else 0 : m.start()]
@@ -76,9 +73,8 @@ def occurrences(i, text):
         ps = [f"L {words[-2]} {last}".lower().replace("l ", "L ", 1)] if len(words) > 1 else []
         ps += [f"S {last.lower()} _ {then.lower()}"] if words and then else []
         ps += [f"B {last.lower()} {f}"] if words else []
-        left, right = shape(last, "^"), shape(then, "$")
-        ps += [f"C {left} {f} {right}", f"P {left} {f}", f"N {f} {right}"]
-        seeds = [k for k, s, e in spans if s < m.end() and e > m.start()] or (["secret"] if re.search(pii.SECRET, m[0]) else [])
+        ps += [f"K {last.lower()}"] if last[-1:] in (":", "=") and last else []
+        seeds = [k for k, s, e in spans if s < m.end() and e > m.start()] or (["secret"] if re.search(pii.SECRET, m[0]) else []) or ([] if fits(m[0]) else [pii.NO_KIND])
         out.append((i, m[0], m.start(), m.end(), seeds, ps))
     return out
 
@@ -90,7 +86,7 @@ def brute(texts):
         for p in ps:
             edges[p, x] += 1
             if kinds:
-                seed[p, x] = min(seed.get((p, x), "z"), kinds[0])
+                seed[p, x] = min(seed.get((p, x), "\x7f"), kinds[0])
     seeds, total = {}, Counter()
     for (_, x), k in seed.items():
         seeds[x] = {min(k, *seeds.get(x, {k: 0})): 1.0}
@@ -105,9 +101,8 @@ def brute(texts):
                 known[p] += n * s
                 support[p, k] += s >= pii.USEFUL
         for (p, k), v in w.items():
-            strict = p[0] in "LS"
-            c = v / (total[p] + 1) if strict else v / (known[p] + 1) * pii.KEPT[p[0]] if v >= pii.LEAST_SHARE * total[p] else 0
-            if support[p, k] >= pii.SUPPORT and c >= pii.USEFUL:
+            c = v / (known[p] + 1)
+            if k != pii.NO_KIND and v >= pii.LEAST_SHARE * total[p] and support[p, k] >= pii.SUPPORT and c >= pii.USEFUL:
                 conf[p, k] = c
         new = defaultdict(lambda: defaultdict(float))
         for p, x in edges:
@@ -146,7 +141,7 @@ def joined(spans):
 
 def test_matches_brute_force(spark):
     texts = make()
-    rows = [(i, t, len(t), "", "", "") for i, t in enumerate(texts)]
+    rows = [(i, t, len(t), *REST) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     extra = 0
     for i, (own, added) in enumerate(brute(texts)):
@@ -155,29 +150,74 @@ def test_matches_brute_force(spark):
         assert got[i].spans == joined(own + [x for x in added if x[0] != "secret"])
         assert got[i].secrets == joined([x for x in added if x[0] == "secret"])
         extra += sum(x[0] != "secret" for x in added)
-    assert extra >= 20  # ten numbers and ten addresses that no base pattern finds, and more
+    assert extra >= 10  # addresses that no base pattern finds
+
+
+def card(rng):
+    """16 digits that pass the checksum."""
+    head = "".join(rng.choice("0123456789") for _ in range(15))
+    return next(head + d for d in "0123456789" if luhn(head + d))
+
+
+def failing(rng):
+    n = card(rng)
+    return n[:-1] + str((int(n[-1]) + 1 + rng.randrange(9)) % 10)
+
+
+def split(n, sep):
+    return sep.join(n[i : i + 4] for i in range(0, 16, 4))
+
+
+#: By kind: the contexts of seeds, one that the base patterns find, one that they miss, and ones of the same form that are none.
+PLANTED = {
+    "email": (["write to {} for help", "mail: {} or visit"], lambda g: f"u{g.randrange(10**6)}@mail.org", lambda g: f"u{g.randrange(10**6)}(at)mail.org", ("see {} in code", lambda g: f"f{g.randrange(10**6)}@localhost")),
+    "ip": (["login from {} was refused", "host= {} is up"], lambda g: ".".join(str(g.randrange(256)) for _ in range(4)), lambda g: "[.]".join(str(g.randrange(256)) for _ in range(4)), ("build {} of part", lambda g: "-".join(str(g.randrange(256, 999)) for _ in range(4)))),
+    "card": (["charged to {} on monday", "card number: {} expires"], card, lambda g: split(card(g), "."), ("order id {} sent", failing)),
+    "phone": (["please call {} today", "phone: {} after six"], lambda g: f"+1 988 555 {g.randrange(1000, 9999)}", lambda g: f"555-{g.randrange(100, 999)}-{g.randrange(1000, 9999)}", ("weight {} grams", lambda g: str(g.randrange(10**7, 10**9)))),
+}
 
 
-def test_planted_identifiers_are_found_and_figures_left_alone(spark):
-    """Card-like numbers that fail the checksum, in contexts that never repeat, are found by their form; counts and years aren't."""
+def test_planted_identifiers_are_found_and_others_of_their_form_left_alone(spark):
+    """Seeds and unseen instances of all kinds share contexts; numbers and tokens of the same form stand elsewhere, or anywhere."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abdeilnorstu") for _ in range(rng.randrange(2, 9)))
     some = lambda n: " ".join(word() for _ in range(n))
-    texts, planted, figures = [], [], []
-    for _ in range(400):
-        number = "".join(rng.choice("0123456789") for _ in range(16))
-        head = some(9)
-        planted.append((len(head) + 1, len(head) + 17))
-        texts.append(f"{head} {number} {some(6)}")
-        figures.append(f"{some(5)} {rng.randrange(1900, 2100)} {some(5)} {rng.randrange(10**6)} {some(4)} {rng.randrange(10**9, 10**10)} {some(3)}")
-    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(i, t, 0, "", "", "") for i, t in enumerate(texts + figures)], SCHEMA)).collect()}
-    caught = sum(got[i].spans == f"card:{s}:{e}" for i, (s, e) in enumerate(planted))
-    assert caught == len(planted) and sum(got[i].n_card for i in range(400)) < 80
-    assert not any(got[i].spans for i in range(400, 800))
+    texts, wanted = [], []
+    for kind, (contexts, seed, unseen, (elsewhere, other)) in PLANTED.items():
+        for i in range(300):
+            for make, found in ((seed, True), (unseen, False)):
+                x, context = make(rng), contexts[i % 2]
+                text = f"{some(5)} {context.format(x)} {some(4)}"
+                texts.append(text)
+                wanted.append(None if found else f"{kind}:{text.index(x)}:{text.index(x) + len(x)}")
+            texts.append(f"{some(5)} {elsewhere.format(other(rng))} {some(4)}")
+            wanted.append("")
+    for _ in range(2000):  # order numbers in contexts that never repeat; one in ten passes the checksum
+        texts.append(f"{some(7)} {''.join(rng.choice('123456789') for _ in range(16))} {some(6)}")
+        wanted.append("only base")
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(i, t, 0, *REST) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    caught, planted, added = Counter(), Counter(), Counter()
+    for i, w in enumerate(wanted):
+        spans = set(got[i].spans.split(",")) - {"", *(f"{k}:{s}:{e}" for k, s, e in base(texts[i]))}
+        kind = w.split(":")[0] if w and ":" in w else None
+        if kind:
+            planted[kind] += 1
+            caught[kind] += w in spans
+        added[kind] += len(spans - {w})
+    assert {k: caught[k] / planted[k] for k in pii.KINDS} == dict.fromkeys(pii.KINDS, 1.0)
+    assert not any(added.values())
+    assert sum(w == "only base" and got[i].n_card == 1 for i, w in enumerate(wanted)) in range(120, 300)
+
+
+def test_a_common_phrase_says_nothing(spark):
+    """A few seeds after words that mostly stand before other numbers teach nothing."""
+    texts = [f"a{i} sum of the +1 988 555 {1000 + i} b{i}" for i in range(10)] + [f"a{i} sum of the {10**7 + 7 * i} b{i}" for i in range(200)]
+    got = pii.find(spark.createDataFrame([(i, t, 0, *REST) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert sum(r.spans != "" for r in got) == 10 and sum(r.n_phone for r in got) == 10
 
 
 def test_nulls_repeats_and_empty_tables(spark):
-    rows = [(1, None, None, "", "", ""), (2, "a@b.co", 6, "", "", ""), (2, "a@b.co", 6, "", "", ""), (None, "1.2.3.4", 7, "", "", "")]
+    rows = [(1, None, None, *REST), (2, "a@b.co", 6, *REST), (2, "a@b.co", 6, *REST), (None, "1.2.3.4", 7, *REST)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.spans for r in pii.find(df).collect()) == ["", "email:0:6", "email:0:6", "ip:0:7"]
     assert pii.find(df.limit(0)).count() == 0 and pii.mask(df.limit(0)).count() == 0
@@ -188,7 +228,7 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 def test_masked_texts_hold_no_base_span(spark):
     texts = make()
-    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame([(i, t, 0, "", "", "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame([(i, t, 0, *REST) for i, t in enumerate(texts)], SCHEMA)).collect()}
     for i, (own, added) in enumerate(brute(texts)):
         want, spans = "", []
         for k, s, e in sorted(own + added, key=lambda x: (x[1], x[2], x[0])):
