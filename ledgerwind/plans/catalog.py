@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,28 +13,17 @@ from ledgerwind.operators import duplicates, evaluate, features, model, portfoli
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
 from ledgerwind.plans import sql as sqls
-from ledgerwind.plans.sql import scored, sql, summary
+from ledgerwind.plans.registry import ORACLES, QUERIES, query, r, r6
+from ledgerwind.plans.sql import scored, summary
 from ledgerwind.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "Domain", "flagship"]
+
 AS_OF = "2001-10-01"
 #: Tables from which the domain tables follow.
 INPUTS = ("lineitem", "orders", "customer", "part", "supplier", "nation")
 
 
-def query(oracle: str | None = None):
-    """Registers a function under its name, with the SQL that gives the same rows."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = sql(oracle)
-        return f
-
-    return register
-
-
 class Domain:
     """The domain tables of one folder, each made once, when first used, and kept as long as the session lasts."""
 
@@ -106,16 +94,6 @@ class Domain:
         return stored(features.drift(self.lagged, self.bars), "drift")
 
 
-def r6(column: str) -> F.Column:
-    """Rounded to six places, without a negative zero."""
-    return (F.round(F.col(column).cast("double"), 6) + F.lit(0.0)).alias(column)
-
-
-def r(column: str, name: str | None = None) -> str:
-    """The same in SQL."""
-    return f"round(CAST({column} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name or column}"
-
-
 def long(column) -> F.Column:
     return (F.col(column) if isinstance(column, str) else column).cast("long")
 

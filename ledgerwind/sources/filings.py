@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from itertools import islice
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerwind.functions import text
+from ledgerwind.sources import zipped
 
 CODES = {"P": "buy", "S": "sell"}
 #: The columns of each quarterly table that are read, all as text.
@@ -26,30 +21,8 @@ TABLES = {
 
 
 def unpack(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One table of quarters as they are published, ZIP files: the member whose name ends in NAME.tsv in any case.
-
-    Bytes that are no UTF-8 are replaced, quotes are text, lines with fewer fields end in nulls. A file is one row of
-    Spark and one task; its lines leave the task in batches.
-    """
-    columns = TABLES[name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    member = next((m for m in archive.namelist() if m.lower().endswith(f"{name}.tsv".lower())), None)
-                    if member is None:
-                        continue
-                    with io.TextIOWrapper(archive.open(member), "utf-8", "replace", newline="\n") as lines:
-                        header = next(lines, "").rstrip("\r\n").split("\t")
-                        at = [header.index(c) if c in header else None for c in columns]
-                        while block := list(islice(lines, 10_000)):
-                            rows = [line.rstrip("\r\n").split("\t") for line in block]
-                            fields = [[(row[i] or None) if i is not None and i < len(row) else None for row in rows] for i in at]
-                            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()) for f in fields], columns)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, ", ".join(f"{c} string" for c in columns))
+    """One table of quarters as they are published, ZIP files; the lines' table also has CITED, the footnotes that a line cites."""
+    return zipped.table(spark, path, name, [*TABLES[name], *([zipped.CITED] if name == "NONDERIV_TRANS" else [])])
 
 
 def read_tsv(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,7 +36,8 @@ def read_tsv(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def quarter(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(filings, lines) of a quarter's tables: forms 4 and 4/A with a date and an owner; bought and sold lines with a date.
 
-    Line numbers count all lines of a filing in the order of their keys, so they keep gaps where lines are left out.
+    folder is an unpacked quarter, or a path or pattern of ZIP files. Line numbers count all lines of a filing in the order of
+    their keys, so they keep gaps where lines are left out.
     """
     forms = read_tsv(spark, folder, "SUBMISSION").filter(F.col("DOCUMENT_TYPE").isin("4", "4/A"))
     forms = forms.withColumn("filed_on", text.sec_date(F.col("FILING_DATE"))).filter("filed_on is not null")
@@ -84,7 +58,7 @@ def quarter(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("ACCESSION_NUMBER").orderBy(F.col("NONDERIV_TRANS_SK").try_cast("long"), "NONDERIV_TRANS_SK")
     lines = lines.withColumn("line_no", F.row_number().over(order) - 1).withColumn("trade_date", text.sec_date(F.col("TRANS_DATE")))
     lines = lines.filter(F.col("TRANS_CODE").isin(*CODES) & F.col("trade_date").isNotNull())
-    marks = [c for c in lines.columns if c.endswith("_FN")]
+    marks = [c for c in lines.columns if c.endswith("_FN") or c == zipped.CITED]
     notes = read_tsv(spark, folder, "FOOTNOTES").filter(text.mentions_plan(F.col("FOOTNOTE_TXT"))).select("ACCESSION_NUMBER", F.trim("FOOTNOTE_ID").alias("note"))
     cited = lines.select("ACCESSION_NUMBER", "line_no", F.explode(F.split(F.concat_ws(",", *marks) if marks else F.lit(""), ",")).alias("note"))
     cited = cited.withColumn("note", F.trim("note")).join(notes, ["ACCESSION_NUMBER", "note"], "left_semi").select("ACCESSION_NUMBER", "line_no").distinct().withColumn("noted", F.lit(True))
