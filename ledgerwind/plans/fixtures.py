@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerwind.functions.stored import shared_path, stored
+from ledgerwind.operators import ranking
 from ledgerwind.plans.adapter import LINE, table
 from ledgerwind.sources.zipped import opened
 
@@ -98,3 +99,64 @@ def zipped_quarters(spark: SparkSession, sf_dir: str) -> str:
     folder = shared_path(spark, "quarters")
     rows.repartition("file").sortWithinPartitions("file", "member").mapInArrow(_archives(folder), "n long").agg(F.sum("n")).collect()
     return folder
+
+
+_ISO = "date_format({0}, 'yyyy-MM-dd')"
+_XML_LINE = f"""concat('<nonDerivativeTransaction><transactionDate><value>', {_ISO.format('CAST(l_shipdate AS DATE)')}, CASE WHEN l_linestatus = 'F' THEN '-05:00' ELSE '' END, '</value></transactionDate><transactionCoding><transactionCode>',
+    CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE CASE WHEN l_discount < 0.05 THEN 'P' ELSE 'F' END END, '</transactionCode>', CASE WHEN l_discount <= 0.01 THEN '<footnoteId id="F3"/>' ELSE '' END, '</transactionCoding><transactionAmounts><transactionShares>',
+    CASE WHEN l_linestatus = 'F' THEN concat('<value>', CAST(l_quantity AS DECIMAL(12,2)), '</value>') ELSE CAST(CAST(l_quantity AS DECIMAL(12,2)) AS STRING) END, '</transactionShares>', CASE WHEN l_tax > 0 THEN concat('<transactionPricePerShare><value>', CAST(l_extendedprice AS DECIMAL(14,2)), '</value>', CASE WHEN l_discount >= 0.09 THEN '<footnoteId id="F1"/>' ELSE '' END, '</transactionPricePerShare>') ELSE '' END,
+    '</transactionAmounts><postTransactionAmounts><sharesOwnedFollowingTransaction><value>', CAST(3 * l_quantity AS DECIMAL(12,2)), '</value></sharesOwnedFollowingTransaction></postTransactionAmounts><ownershipNature><directOrIndirectOwnership><value>', CASE l_linestatus WHEN 'F' THEN 'D' ELSE 'I' END,
+    '</value></directOrIndirectOwnership><natureOfOwnership><value>', {MEMBERS['NONDERIV_TRANS']['NATURE_OF_OWNERSHIP']}, '</value></natureOfOwnership></ownershipNature></nonDerivativeTransaction>')"""
+_XML_OWNER = """concat('<reportingOwner><reportingOwnerId><rptOwnerCik>', lpad(o_custkey, 10, '0'), '</rptOwnerCik><rptOwnerName>', c_name, '</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>',
+    CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '<isOfficer><value>1</value></isOfficer><officerTitle><value>Chief Executive Officer</value></officerTitle>' WHEN 'BUILDING' THEN '<isOfficer>true</isOfficer><officerTitle>EVP &amp; CFO</officerTitle>' WHEN 'FURNITURE' THEN '<isOfficer>1</isOfficer><isTenPercentOwner>1</isTenPercentOwner>' WHEN 'HOUSEHOLD' THEN '<isDirector>Y</isDirector><isOfficer>0</isOfficer>' ELSE '<isTenPercentOwner>true</isTenPercentOwner>' END,
+    '</reportingOwnerRelationship></reportingOwner>')"""
+_XML = f"""CASE WHEN form = '3' THEN '<?xml version="1.0"?><edgarSubmission><other/></edgarSubmission>' ELSE concat('<?xml version="1.0"?><edgarSubmission><ownershipDocument><documentType>', form, '</documentType><periodOfReport>', CASE WHEN o_totalprice > 490000 THEN 'soon' ELSE {_ISO.format('date_sub(filed, 2)')} END, '</periodOfReport>',
+    '<issuer><issuerCik>', lpad(issuer, 10, '0'), '</issuerCik><issuerName>Issuer</issuerName><issuerTradingSymbol>', {MEMBERS['SUBMISSION']['ISSUERTRADINGSYMBOL']}, '</issuerTradingSymbol></issuer>', CASE WHEN c_acctbal >= -900 THEN {_XML_OWNER} ELSE '' END, '<aff10b5One>', {MEMBERS['SUBMISSION']['AFF10B5ONE']}, '</aff10b5One><nonDerivativeTable>', array_join(array_sort(body).xml, ''), '</nonDerivativeTable>',
+    '<footnotes><footnote id="F1">', CASE o_orderstatus WHEN 'F' THEN 'Made under a Rule 10b51 plan.' ELSE 'x' END, '</footnote><footnote id="F3">', CASE o_orderstatus WHEN 'O' THEN 'See the 10b5-1 plan' ELSE 'x' END, '</footnote></footnotes><remarks>', {MEMBERS['SUBMISSION']['REMARKS']}, '</remarks>', CASE WHEN o_totalprice < 5000 THEN '<cut' ELSE '' END, '</ownershipDocument></edgarSubmission>') END"""
+
+
+def ownership_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(accession, xml) for each order, some without a document or owner, cut short, or with a period that is no date."""
+    body = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct("place", F.expr(_XML_LINE).alias("xml"))).alias("body"))  # an order's lines
+    rows = forms(spark, sf_dir).join(body, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("accession", F.expr(_XML).alias("xml"))
+
+
+#: Entries of a feed page; each filing has two, for its issuer and its owner.
+ENTRIES = 1000
+_ENTRY = """concat('<entry><category term="', CASE WHEN form = '3' THEN '8-K' ELSE form END, '"/><id>urn:tag:x,2008:', CASE WHEN party = 0 THEN concat('accession-number=', accession) ELSE 'x' END, '</id><link href="https://x/Archives/edgar/data/', CASE party WHEN 0 THEN lpad(issuer, 10, '0') ELSE o_custkey END, '/', accession, '-index.htm"/><updated>',
+    date_format(filed, 'yyyy-MM-dd'), 'T10:00:00-05:00</updated></entry>')"""
+
+
+def _pages(folder: str):
+    """Writes lines (file, line), sorted by file, as feed pages; a page is moved to its name when whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(folder)
+        system.create_dir(root, recursive=True)
+        name, held = None, []
+
+        def close() -> None:
+            if name is not None:
+                with system.open_output_stream(f"{root}/.{name}") as out:
+                    out.write(f'<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">{"".join(held)}</feed>'.encode())
+                system.move(f"{root}/.{name}", f"{root}/{name}")
+
+        for batch in batches:
+            for file, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != name:
+                    close()
+                    name, held = file, []
+                held.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        close()
+
+    return run
+
+
+def feed_pages(spark: SparkSession, sf_dir: str, folder: str, late: bool) -> None:
+    """Pages of about ENTRIES entries each under a folder: those of filings before 1998, or the later ones."""
+    rows = forms(spark, sf_dir).filter(F.col("filed") >= "1998-01-01" if late else F.col("filed") < "1998-01-01").withColumn("party", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = ranking.numbered(rows.select("accession", "party", F.expr(_ENTRY).alias("line")), [], [F.col("accession"), F.col("party")], "n")
+    file = F.format_string(f"page-{int(late)}-%08d.xml", F.floor((F.col("n") - 1) / ENTRIES))
+    rows.select(file.alias("file"), "line", "n").repartition("file").sortWithinPartitions("file", "n").select("file", "line").mapInArrow(_pages(folder), "n long").agg(F.sum("n")).collect()

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerwind.functions import text
+from ledgerwind.functions.stored import stored
 from ledgerwind.sources import zipped
+from ledgerwind.sources.feeds import FeedPages
 
 CODES = {"P": "buy", "S": "sell"}
 #: The columns of each quarterly table that are read, all as text.
@@ -88,10 +90,10 @@ _OWNER = _struct(
     reportingOwnerRelationship=_struct(isDirector=_LEAF, isOfficer=_LEAF, isTenPercentOwner=_LEAF, officerTitle=_LEAF),
 )
 DOCUMENT = _struct(
-    documentType=T.StringType(), periodOfReport=T.StringType(), aff10b5One=_LEAF, remarks=T.StringType(),
+    documentType=T.StringType(), periodOfReport=T.StringType(), dateOfOriginalSubmission=T.StringType(), aff10b5One=_LEAF, remarks=T.StringType(),
     issuer=_struct(issuerCik=T.StringType(), issuerName=T.StringType(), issuerTradingSymbol=T.StringType()),
     reportingOwner=T.ArrayType(_OWNER), nonDerivativeTable=_struct(nonDerivativeTransaction=T.ArrayType(_LINE)),
-    footnotes=_struct(footnote=T.ArrayType(_struct(_id=T.StringType(), _VALUE=T.StringType()))),
+    footnotes=_struct(footnote=T.ArrayType(_struct(_id=T.StringType(), _VALUE=T.StringType()))), _unread=T.StringType(),
 )
 
 
@@ -100,25 +102,64 @@ def leaf(column: str) -> F.Column:
     return F.coalesce(F.col(f"{column}.value"), F.col(f"{column}._VALUE"))
 
 
-def ownership_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of ownership documents in XML, in the form of quarter()'s lines, with filer, issuer and document columns.
+def _day(raw: F.Column) -> F.Column:
+    """The date in the first ten characters; null if there is none."""
+    return F.try_to_date(F.substring(F.trim(raw), 1, 10), "yyyy-MM-dd")
+
+
+def _bad_day(raw: F.Column) -> F.Column:
+    """Whether a date is stated that is none."""
+    return F.coalesce((F.trim(raw) != "") & _day(raw).isNull(), F.lit(False))
+
 
-    The file's name stands for the accession number. A footnote counts for the lines that cite it.
+def raw_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, xml) of files; the file's name stands for the accession number."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.xml)?$", 1)
+    return spark.read.text(path, wholetext=True).select(name.alias("accession"), F.col("value").alias("xml"))
+
+
+def parsed_documents(raw: DataFrame) -> DataFrame:
+    """raw's columns without xml, doc, and fault: why no lines can be taken from it, null where they can.
+
+    Each text is read once: what stands between the first and the last ownershipDocument tag, wherever that is. Faults are
+    "no document" (a null text), "malformed", "no ownershipDocument", "no reportingOwner" and "bad date", of the period, the original or a bought or
+    sold line.
+    """
+    body = F.regexp_extract("xml", r"(?s)<ownershipDocument\b.*</ownershipDocument\s*>", 0)
+    parsed = raw.withColumn("_body", body).withColumn("doc", F.from_xml(F.nullif("_body", F.lit("")), DOCUMENT, {"columnNameOfCorruptRecord": "_unread"}))
+    kept = F.filter(F.coalesce("doc.nonDerivativeTable.nonDerivativeTransaction", F.array()), lambda t: t["transactionCoding"]["transactionCode"].isin(*CODES))
+    stated = F.exists(kept, lambda t: _bad_day(F.coalesce(t["transactionDate"]["value"], t["transactionDate"]["_VALUE"])))
+    fault = (
+        F.when((F.col("_body") == "") & F.col("xml").rlike(r"<ownershipDocument\b"), "malformed")
+        .when(F.col("xml").isNull(), "no document")
+        .when(F.col("_body") == "", "no ownershipDocument")
+        .when(F.col("doc._unread").isNotNull() | F.col("doc").isNull(), "malformed")
+        .when(F.size(F.coalesce("doc.reportingOwner", F.array())) == 0, "no reportingOwner")
+        .when(_bad_day(F.col("doc.periodOfReport")) | _bad_day(F.col("doc.dateOfOriginalSubmission")) | stated, "bad date")
+    )
+    return parsed.withColumn("fault", fault).drop("xml", "_body")
+
+
+def document_lines(parsed: DataFrame) -> DataFrame:
+    """Lines of parsed documents without a fault, in the form of quarter()'s lines, with filer, issuer and document columns.
+
+    A footnote counts for the lines that cite it.
     """
-    docs = spark.read.format("xml").option("rowTag", "ownershipDocument").schema(DOCUMENT).load(path).withColumn("accession", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.xml)?$", 1))
-    people = docs.select("accession", F.explode("reportingOwner").alias("o")).select(
-        "accession", F.coalesce(text.clean_cik(F.col("o.reportingOwnerId.rptOwnerCik")), F.lit("")).alias("cik"), F.col("o.reportingOwnerId.rptOwnerName").alias("name"),
-        text.classify_role(F.nullif(F.trim(leaf("o.reportingOwnerRelationship.officerTitle")), F.lit("")), *(text.truthy(leaf(f"o.reportingOwnerRelationship.{c}")) for c in ("isOfficer", "isDirector", "isTenPercentOwner"))).alias("role"),
+    docs = parsed.filter("fault is null").select("accession", "doc.*")
+    owners = F.transform("reportingOwner", lambda o: F.struct(o["reportingOwnerId"].alias("id"), o["reportingOwnerRelationship"].alias("is")))
+    people = docs.select("accession", F.explode(owners).alias("o")).select(
+        "accession", F.coalesce(text.clean_cik(F.col("o.id.rptOwnerCik")), F.lit("")).alias("cik"), F.col("o.id.rptOwnerName").alias("name"),
+        text.classify_role(F.nullif(F.trim(leaf("o.is.officerTitle")), F.lit("")), *(text.truthy(leaf(f"o.is.{c}")) for c in ("isOfficer", "isDirector", "isTenPercentOwner"))).alias("role"),
     )
     owner = text.primary_owners(people, ["accession"]).select("accession", F.col("cik").alias("filer_cik"), F.col("name").alias("filer_name"), "role")
     noted = F.transform(F.filter(F.coalesce("footnotes.footnote", F.array()), lambda f: text.mentions_plan(f["_VALUE"])), lambda f: f["_id"])
-    lines = docs.select("accession", "documentType", F.try_to_date(F.substring("periodOfReport", 1, 10)).alias("period"), text.clean_cik(F.col("issuer.issuerCik")).alias("issuer_cik"), text.clean_ticker(F.col("issuer.issuerTradingSymbol")).alias("ticker"), (text.truthy(leaf("aff10b5One")) | text.mentions_plan(F.col("remarks"))).alias("plan"), noted.alias("noted"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("line_no", "t"))
+    lines = docs.select("accession", F.coalesce("documentType", F.lit("4")).alias("documentType"), _day(F.col("periodOfReport")).alias("period"), text.clean_cik(F.col("issuer.issuerCik")).alias("issuer_cik"), text.clean_ticker(F.col("issuer.issuerTradingSymbol")).alias("ticker"), (text.truthy(leaf("aff10b5One")) | text.mentions_plan(F.col("remarks"))).alias("plan"), noted.alias("noted"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("line_no", "t"))
     cites = [f"t.{c}.footnoteId" for c in ("transactionDate", "transactionCoding", "transactionAmounts.transactionShares", "transactionAmounts.transactionPricePerShare", "postTransactionAmounts.sharesOwnedFollowingTransaction", "ownershipNature.directOrIndirectOwnership", "ownershipNature.natureOfOwnership")]
     cited = F.flatten(F.array(*(F.transform(F.coalesce(F.col(c), F.array()), lambda f: f["_id"]) for c in cites)))
     code = F.col("t.transactionCoding.transactionCode")
-    rows = lines.filter(code.isin(*CODES) & leaf("t.transactionDate").isNotNull()).select(
+    rows = lines.withColumn("trade_date", _day(leaf("t.transactionDate"))).filter(code.isin(*CODES) & F.col("trade_date").isNotNull()).select(
         "accession", F.col("documentType").alias("document_type"), "period", "issuer_cik", "ticker", "line_no", F.when(code == "P", "buy").otherwise("sell").alias("side"),
-        F.try_to_date(F.substring(leaf("t.transactionDate"), 1, 10)).alias("trade_date"), text.number(leaf("t.transactionAmounts.transactionShares")).alias("shares"),
+        "trade_date", text.number(leaf("t.transactionAmounts.transactionShares")).alias("shares"),
         text.number(leaf("t.transactionAmounts.transactionPricePerShare")).alias("price"), text.number(leaf("t.postTransactionAmounts.sharesOwnedFollowingTransaction")).alias("owned_after"),
         text.owner_from_nature(leaf("t.ownershipNature.directOrIndirectOwnership"), leaf("t.ownershipNature.natureOfOwnership")).alias("owner"),
         (F.col("plan") | F.arrays_overlap(cited, "noted")).alias("is_10b5_1"),
@@ -126,27 +167,37 @@ def ownership_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(owner, "accession")
 
 
+def ownership_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, faults) of documents (accession, xml), which are read once for both."""
+    parsed = stored(parsed_documents(raw), "documents")
+    return document_lines(parsed), parsed.filter("fault is not null").select("accession", "fault")
+
+
+def ownership_documents(spark: SparkSession, path: str) -> DataFrame:
+    """document_lines() of a folder's files."""
+    return document_lines(parsed_documents(raw_documents(spark, path)))
+
+
 def faulty_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, fault) of files that ownership_documents() can take no lines from: no document in them, or no owner."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.xml)?$", 1).alias("accession")
-    files = spark.read.text(path, wholetext=True).select(name).distinct()
-    docs = spark.read.format("xml").option("rowTag", "ownershipDocument").schema(DOCUMENT).load(path).select(name, (F.size(F.coalesce("reportingOwner", F.array())) > 0).alias("owned"))
-    owned = docs.groupBy("accession").agg(F.max("owned").alias("owned"))
-    fault = F.when(F.col("owned").isNull(), "no ownershipDocument").when(~F.col("owned"), "no reportingOwner")
-    return files.join(owned, "accession", "left").select("accession", fault.alias("fault")).filter("fault is not null")
+    """(accession, fault) of files that no lines can be taken from."""
+    return parsed_documents(raw_documents(spark, path)).filter("fault is not null").select("accession", "fault")
+
+
+FORMS = ("4", "4/A")
 
 
-ENTRY = _struct(id=T.StringType(), updated=T.StringType(), category=_struct(_term=T.StringType()), link=_struct(_href=T.StringType()))
+def first_entries(rows: DataFrame) -> DataFrame:
+    """One entry a filing of FORMS without a fault: the first by page and position."""
+    known = rows.filter(F.col("fault").isNull() & F.col("form").isin(*FORMS))
+    rest = [c for c in rows.columns if c not in ("accession", "fault")]
+    return known.groupBy("accession").agg(F.min_by(F.struct(*rest), F.struct("page", "position")).alias("e")).select("accession", "e.*")
 
 
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, form, accepted_at, url, cik) of an Atom feed; forms 4 and 4/A with both numbers, once each."""
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path)
-    url = F.col("link._href")
-    accession = F.regexp_extract(F.concat_ws(" ", "id", url), r"(\d{10}-\d{2}-\d{6})", 1)
-    rows = rows.select(accession.alias("accession"), F.col("category._term").alias("form"), F.to_timestamp("updated").alias("accepted_at"), url.alias("url"), text.clean_cik(F.regexp_extract(url, r"/data/(\d+)/", 1)).alias("cik"))
-    rows = rows.filter((F.col("accession") != "") & F.col("cik").isNotNull() & F.col("form").isin("4", "4/A"))
-    return rows.groupBy("accession").agg(F.min_by(F.struct("form", "accepted_at", "url", "cik"), F.struct("accepted_at", "url")).alias("e")).select("accession", "e.*")
+    """(accession, form, accepted_at, url, cik) of Atom pages, a folder or one; forms 4 and 4/A with both numbers, the first entry of each by page and position."""
+    spark.dataSource.register(FeedPages)
+    rows = spark.read.format("feed_pages").option("path", path).load()
+    return first_entries(rows).select("accession", "form", "accepted_at", "url", "cik")
 
 
 def company_tickers(spark: SparkSession, path: str) -> DataFrame:
