@@ -30,7 +30,7 @@ class Quota(StatefulProcessor):
         self.symbols = handle.getMapState("symbols", "symbol string", "month int")
         self.dates = handle.getValueState("dates", "cooling_until timestamp, run_since timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at", "call_id"], ignore_index=True)  # an account's calls of one batch
         calls = [x[0] for x in self.calls.get()] if self.calls.exists() else []
         until, since = self.dates.get() if self.dates.exists() else (None, None)
@@ -64,8 +64,8 @@ class Quota(StatefulProcessor):
             self.handle.registerTimer(int(t.value // 1_000_000))
         yield pd.DataFrame(out, columns=NAMES)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(expired.getExpiryTimeInMs(), unit="ms")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
         if at == at.normalize() and at.day == 1:
             self.symbols.clear()
         else:
