@@ -140,6 +140,22 @@ def cache_coverage(wanted: DataFrame, held: DataFrame) -> DataFrame:
     return df.groupBy("quarter").agg(F.countDistinct("ticker").alias("tickers"), F.count_if(overlap).alias("covered"), F.count_if(~overlap).alias("out_of_range"), F.count_if(F.col("first").isNull()).alias("pending"))
 
 
+def coverage_by_status(wanted: DataFrame, status: DataFrame) -> DataFrame:
+    """By quarter of (quarter, ticker, buys, trades), how far bars cover it, from (ticker, status, first, last).
+
+    A ticker with bars (ok) is covered if these meet the quarter, else out of range; empty counts as not found, an error as
+    failed, and a ticker without status as pending. Statuses of other names count for tickers, buys and trades only.
+    """
+    year, q = F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", 6, 1).cast("int")
+    start = F.make_date(year, q * 3 - 2, F.lit(1))
+    df = wanted.join(status, "ticker", "left").withColumn("start", start).withColumn("end", F.last_day(F.add_months(start, 2))).withColumn("status", F.coalesce("status", F.lit("pending")))
+    ok = F.col("status") == "ok"
+    covered = ok & (F.col("first") <= F.col("end")) & (F.col("last") >= F.col("start"))
+    count = lambda name, condition: F.count_if(condition).alias(name)
+    sums = [f(c).alias(n) for c in ("buys", "trades") for n, f in ((c, F.sum), (f"{c}_covered", lambda c: F.coalesce(F.sum(F.when(covered, F.col(c))), F.lit(0))))]
+    return df.groupBy("quarter").agg(F.count("*").alias("tickers"), count("covered", covered), *sums, count("out_of_range", ok & ~F.coalesce(covered, F.lit(False))), count("not_found", F.col("status").isin("not_found", "empty")), count("failed", F.col("status").isin("failed", "error")), count("pending", F.col("status") == "pending"))
+
+
 def quota_usage(calls: DataFrame, key: str, at: str, symbol: str, now: str) -> DataFrame:
     """(key, last_hour, last_day, symbols_this_month) as of a time."""
     now, t = F.lit(now).cast("timestamp_ntz"), F.col(at)

@@ -56,3 +56,26 @@ def running(df: DataFrame, keys: list[str], date: str, sums: dict[str, str], day
     number = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
     frame = Window.partitionBy(*keys).orderBy(number).rangeBetween(Window.unboundedPreceding if days is None else -days, -1)
     return df.select(*keys, date, *(F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(n) for n, c in sums.items()))
+
+
+def known_spans(rows: DataFrame, key: str, known: str, replaces: str) -> DataFrame:
+    """rows with known_to: the first day on which a row was known that replaces their key; null as long as there is none.
+
+    Together with the day on which a row itself became known this tells what was current at any time, apart from the date
+    that the row is about.
+    """
+    later = rows.filter(F.col(replaces).isNotNull()).groupBy(F.col(replaces).alias("_replaced")).agg(F.min(known).alias("known_to"))
+    return rows.join(later, F.col(key) == F.col("_replaced"), "left").drop("_replaced")
+
+
+def replay(spans: DataFrame, cuts: list[str], dated: str, known: str, groups: list[str], figures: list[Column]) -> DataFrame:
+    """(cut, state, groups, figures) of rows with known_to, as someone would have seen them at the end of each cut day.
+
+    A row that had happened by a cut is "current", "replaced" by a row known by then, or "unknown" as it became known later.
+    All cuts are looked at in one pass: a row is told apart in memory and only sums by cut and state are shuffled.
+    """
+    day = lambda c: F.lit(c).cast("date")
+    state = lambda c: F.when(F.col(known) > c, "unknown").when(F.col("known_to") <= c, "replaced").otherwise("current")
+    seen = F.array_compact(F.array(*(F.when(F.col(dated) <= day(c), F.struct(day(c).alias("cut"), state(day(c)).alias("state"))) for c in cuts)))
+    rows = spans.withColumn("_seen", F.explode(seen)).withColumns({"cut": F.col("_seen.cut"), "state": F.col("_seen.state")})
+    return rows.groupBy("cut", "state", *groups).agg(*figures)

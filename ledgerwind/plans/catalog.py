@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars, sectors
 from ledgerwind.functions.stored import changed, shared_path, stored, whole
-from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, reports, scorecard, signals, store, study
+from ledgerwind.operators import duplicates, evaluate, features, model, portfolio, rank, ranking, reports, scorecard, signals, store, study, temporal
 from ledgerwind.operators import events as event_ops
 from ledgerwind.plans import adapter
 from ledgerwind.plans import sql as sqls
@@ -101,9 +101,11 @@ def long(column) -> F.Column:
 # calendars
 
 
-@query("SELECT d, is_sec, is_nyse, cum_sec, cum_nyse FROM c_calendar")
+@query("SELECT d, is_sec, is_nyse, cum_sec, cum_nyse, coalesce(n, 0) AS orders FROM c_calendar LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1) USING (d)")
 def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendars.calendar(spark)
+    """The calendar, with the orders of each day."""
+    orders = adapter.table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("orders"))
+    return calendars.calendar(spark).join(orders, "d", "left").na.fill(0, ["orders"])
 
 
 @query("SELECT l_orderkey, a.d AS ordered, b.d AS shipped, CAST(b.cum_sec - a.cum_sec AS INT) AS sec_days, CAST(b.cum_nyse - a.cum_nyse AS INT) AS nyse_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c_calendar a ON a.d = CAST(o_orderdate AS DATE) JOIN c_calendar b ON b.d = CAST(l_shipdate AS DATE)")
@@ -609,20 +611,47 @@ def price_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT quarter, count(*) AS tickers, count(*) FILTER (lo <= e AND hi >= s) AS covered, count(*) FILTER (NOT (lo <= e AND hi >= s)) AS out_of_range, count(*) FILTER (lo IS NULL) AS pending
     FROM (SELECT quarter, lo, hi, make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3 - 2, 1) AS s, last_day(make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3, 1)) AS e
-        FROM ({UNIVERSE}) u LEFT JOIN (SELECT ticker, min(date) AS lo, max(date) AS hi FROM c_bars WHERE date < DATE '2000-01-01' AND ticker <> 'S3' GROUP BY ticker) b USING (ticker)) GROUP BY quarter""")
+        FROM ({UNIVERSE}) u LEFT JOIN (SELECT ticker, min(date) AS lo, max(date) AS hi FROM c_bars GROUP BY ticker) b USING (ticker)) GROUP BY quarter""")
 def cache_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain.of(spark, sf_dir)
-    held = d.bars.filter("date < '2000-01-01' and ticker <> 'S3'").groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    held = d.bars.groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     return reports.cache_coverage(reports.universe(d.trades), held)
 
 
+_STATES = "CASE WHEN s_acctbal < 0 THEN 'not_found' WHEN s_acctbal < 1000 THEN 'empty' WHEN s_acctbal < 2000 THEN 'failed' WHEN s_acctbal < 3000 THEN 'error' WHEN s_acctbal < 4000 THEN 'pending' ELSE 'ok' END"
+
+
+@query(f"""SELECT quarter, count(*) AS tickers, count(*) FILTER (c) AS covered, sum(buys) AS buys, coalesce(sum(buys) FILTER (c), 0) AS buys_covered, sum(trades) AS trades, coalesce(sum(trades) FILTER (c), 0) AS trades_covered, count(*) FILTER (status = 'ok' AND NOT c) AS out_of_range, count(*) FILTER (status IN ('not_found', 'empty')) AS not_found, count(*) FILTER (status IN ('failed', 'error')) AS failed, count(*) FILTER (status = 'pending') AS pending
+    FROM (SELECT u.*, coalesce(status, 'pending') AS status, coalesce(status = 'ok' AND lo <= last_day(make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3, 1)) AND hi >= make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3 - 2, 1), false) AS c
+        FROM ({UNIVERSE}) u LEFT JOIN (SELECT 'S' || s_suppkey AS ticker, {_STATES} AS status FROM supplier) USING (ticker) LEFT JOIN (SELECT ticker, min(date) + 400 AS lo, max(date) - 400 AS hi FROM c_bars GROUP BY ticker) USING (ticker)) GROUP BY quarter""")
+def coverage_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the cache covers each quarter, where loads have failed, found nothing or begin late."""
+    d = Domain.of(spark, sf_dir)
+    spans = d.bars.groupBy("ticker").agg(F.date_add(F.min("date"), 400).alias("first"), F.date_sub(F.max("date"), 400).alias("last"))
+    status = adapter.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.expr(_STATES).alias("status"))
+    return reports.coverage_by_status(reports.universe(d.trades), status.join(spans, "ticker", "left"))
+
+
+CUTS = ("1996-06-30", "1997-03-31", "1998-01-01", "1999-12-31", "2001-01-01")
+
+
+@query(f"""SELECT CAST(cut AS DATE) AS cut, CASE WHEN filed_on > cut THEN 'unknown' WHEN known_to <= cut THEN 'replaced' ELSE 'current' END AS state, side, count(*) AS lines, count(DISTINCT filer_id) AS filers, {r('sum(CAST(shares * price AS DOUBLE))', 'value')}
+    FROM (SELECT t.*, known_to FROM c_trades t LEFT JOIN (SELECT amends_filing_id AS a, min(filed_on) AS known_to FROM c_trades WHERE amends_filing_id IS NOT NULL GROUP BY 1) ON t.filing_id = a), (SELECT CAST(unnest({list(CUTS)}) AS DATE) AS cut) WHERE trade_date <= cut GROUP BY ALL""")
+def pit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades as they were known at five dates: current, replaced by an amendment of then, or done but not filed yet."""
+    spans = temporal.known_spans(Domain.of(spark, sf_dir).trades, "filing_id", "filed_on", "amends_filing_id")
+    value = F.sum((F.col("shares") * F.col("price")).cast("double")).alias("value")
+    out = temporal.replay(spans, list(CUTS), "trade_date", "filed_on", ["side"], [F.count("*").alias("lines"), F.countDistinct("filer_id").alias("filers"), value])
+    return out.select("cut", "state", "side", "lines", "filers", r6("value"))
+
+
 @query("""SELECT ticker, from_date, CAST(row_number() OVER (ORDER BY loaded, ticker) AS INT) AS place FROM (
     SELECT w.ticker, last_date IS NOT NULL AS loaded, last_date + 1 AS from_date FROM (SELECT DISTINCT ticker FROM c_trades WHERE ticker IS NOT NULL UNION SELECT unnest(['SPY', 'IWM', 'QQQ', 'S2'])) w
-    LEFT JOIN (SELECT ticker, max(date) AS last_date FROM c_bars WHERE ticker NOT LIKE '%7' GROUP BY ticker) l USING (ticker) WHERE w.ticker <> 'QQQ' ORDER BY loaded, w.ticker LIMIT 25)""")
+    LEFT JOIN (SELECT ticker, max(date) AS last_date FROM c_bars GROUP BY ticker) l USING (ticker) WHERE w.ticker <> 'QQQ' ORDER BY loaded, w.ticker LIMIT 25)""")
 def price_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain.of(spark, sf_dir)
     wanted = d.trades.select("ticker").filter("ticker is not null").union(spark.createDataFrame([(t,) for t in ("SPY", "IWM", "QQQ", "S2")], "ticker string"))
-    last = d.bars.filter("ticker not like '%7'").groupBy("ticker").agg(F.max("date").alias("last_date"))
+    last = d.bars.groupBy("ticker").agg(F.max("date").alias("last_date"))
     return reports.price_queue(wanted, last, spark.createDataFrame([("QQQ", "not_found")], "ticker string, state string"), 25)
 
 
@@ -677,26 +706,26 @@ def ticker_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merge_intervals(early, late, ["issuer", "ticker"], "first_seen", "last_seen")
 
 
-@query(f"SELECT ticker, date, {r('CASE WHEN day(date) % 2 = 0 THEN close * 2 ELSE close END', 'close')}, CASE WHEN day(date) % 3 = 0 THEN 'new' ELSE 'old' END AS source FROM c_bars WHERE day(date) % 3 <> 0 OR day(date) % 2 = 0")
+@query(f"SELECT ticker, date, {r('CASE WHEN year(date) >= 1999 THEN close * 2 ELSE close END', 'close')}, CASE WHEN year(date) >= 2000 THEN 'new' ELSE 'old' END AS source FROM c_bars")
 def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New bars of even days over old ones; a row that was there keeps its source."""
+    """A load of bars from 1999 on over those before 2000; a row that was there keeps its source."""
     bars = Domain.of(spark, sf_dir).bars.select("ticker", "date", "close")
-    old = bars.filter(F.day("date") % 3 != 0).withColumn("source", F.lit("old"))
-    new = bars.filter(F.day("date") % 2 == 0).withColumn("close", F.col("close") * 2).withColumn("source", F.lit("new"))
+    old = bars.filter(F.year("date") < 2000).withColumn("source", F.lit("old"))
+    new = bars.filter(F.year("date") >= 1999).withColumn("close", F.col("close") * 2).withColumn("source", F.lit("new"))
     return store.last_write(old, new, ["ticker", "date"], ("source",)).select("ticker", "date", r6("close"), "source")
 
 
-@query("SELECT trade_id, coalesce(ticker, CASE WHEN issuer % 2 = 0 THEN 'M' || issuer END) AS ticker FROM c_trades")
+@query("SELECT trade_id, coalesce(ticker, CASE WHEN issuer IN (SELECT s_suppkey FROM supplier) THEN 'M' || issuer END) AS ticker FROM c_trades")
 def fill_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapping = adapter.table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("issuer"), F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    mapping = adapter.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("issuer"), F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("ticker"))
     return store.fill_nulls(Domain.of(spark, sf_dir).trades.select("trade_id", "issuer", "ticker"), mapping, ["issuer"], ["ticker"]).select("trade_id", "ticker")
 
 
 @query(sqls.REJECTS)
 def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations that are new where odd trades filed before their date are known already."""
+    """Violations that are new where trades of before 1997 that were filed before their date are known already."""
     d = Domain.of(spark, sf_dir)
-    known = d.trades.filter("trade_date > filed_on and trade_id % 2 = 1").select("trade_id", F.lit("trade_after_filing").alias("rule"))
+    known = d.trades.filter("trade_date > filed_on and filed_on < '1997-01-01'").select("trade_id", F.lit("trade_after_filing").alias("rule"))
     return store.new_rejects(d.trades, d.bars.withColumns({"low": F.col("open"), "high": F.col("close")}), known)
 
 
@@ -859,32 +888,33 @@ _WHERE = ", ".join(f"('{q}', {g}, {i})" for g, quarters in enumerate(ORDER_OF_QU
     SELECT coalesce(l.ticker, q.ticker) AS ticker, coalesce(l.lead, 2) AS lead, g, no_buys, i, b, t FROM (
         SELECT ticker, g, no_buys, i, -buys AS b, -trades AS t FROM (SELECT u.*, w.g, w.i, max(buys) OVER (PARTITION BY w.g, u.ticker) <= 0 AS no_buys FROM ({UNIVERSE}) u JOIN (VALUES {_WHERE}) w(quarter, g, i) ON u.quarter = w.quarter) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY g, no_buys, i, -buys, -trades) = 1) q
         FULL JOIN (VALUES ('SPY', 0), ('IWM', 1)) l(ticker, lead) ON l.ticker = q.ticker)
-    LEFT JOIN (SELECT 'S' || s_suppkey AS ticker, s_suppkey % 4 AS s, s_suppkey AS k FROM supplier WHERE s_suppkey % 4 < 3) s USING (ticker) WHERE NOT coalesce(s = 0 OR s = 1 OR (s = 2 AND k % 3 = 0), false)""")
+    LEFT JOIN (SELECT 'S' || s_suppkey AS ticker, s_suppkey % 4 AS s, s_suppkey AS k FROM supplier) s USING (ticker) WHERE NOT coalesce(s = 0 OR s = 1 OR (s = 2 AND k % 3 = 0), false)""")
 def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickers to load by groups of quarters, where some are loaded, some not found, and some failed lately or long ago."""
     k, s = F.col("s_suppkey"), F.col("s_suppkey") % 4
-    state = F.when(s == 0, "ok").when(s == 1, "not_found").when(s == 2, "error")
+    state = F.when(s == 0, "ok").when(s == 1, "not_found").when(s == 2, "error").otherwise("pending")
     tried = F.when(k % 3 == 0, F.lit("1998-01-01 10:00:00")).otherwise(F.lit("1998-01-01 02:00:00")).cast("timestamp")
-    status = adapter.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), state.alias("status"), tried.alias("last_attempt")).filter("status is not null")
+    status = adapter.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), state.alias("status"), tried.alias("last_attempt"))
     return reports.fetch_queue(reports.universe(Domain.of(spark, sf_dir).trades), status, ORDER_OF_QUARTERS, ("SPY", "IWM"), "1998-01-01 12:00:00")
 
 
-@query("SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS computed_at, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT o_custkey, 2, min(o_orderkey) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL")
+@query("SELECT o_custkey, 1 AS computed_at, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL UNION ALL SELECT o_custkey, 2, min(o_orderkey) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY ALL")
 def feature_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second version of each customer's row beside the first; the same version is not written twice."""
-    orders = adapter.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    first = orders.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")).withColumn("computed_at", F.lit(1))
-    second = orders.filter("o_orderkey % 2 = 1").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    """A second version of each customer's row, from the orders of 1998 on, beside the first; the same version is not written twice."""
+    orders = adapter.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate") >= "1998-01-01")
+    orders = orders.toDF("o_custkey", "o_orderkey", "late")
+    first = orders.filter("not late").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")).withColumn("computed_at", F.lit(1))
+    second = orders.filter("late").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
     both = store.append_version(first, second, ["o_custkey"], F.lit(2))
     return store.append_version(both, second, ["o_custkey"], F.lit(2)).select("o_custkey", "computed_at", "o_orderkey")
 
 
-@query("SELECT ticker, CASE WHEN k % 5 = 0 THEN 'ok' WHEN k % 5 IN (1, 2) THEN 'not_found' ELSE 'error' END AS status, CASE WHEN k % 5 = 4 AND k % 2 = 1 THEN 'old' ELSE 'new' END AS detail FROM (SELECT 'S' || s_suppkey AS ticker, s_suppkey AS k FROM supplier) WHERE k % 5 <> 4 OR k % 2 = 1")
+@query("SELECT ticker, CASE WHEN k % 5 = 0 THEN 'ok' WHEN k % 5 IN (1, 2) THEN 'not_found' ELSE 'error' END AS status, CASE WHEN k % 5 = 4 THEN 'old' ELSE 'new' END AS detail FROM (SELECT 'S' || s_suppkey AS ticker, s_suppkey AS k FROM supplier)")
 def price_status_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of the cache written over stored ones under their stored names; pending ones leave what was there."""
     k = F.col("s_suppkey")
     rows = adapter.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), k)
-    old = rows.filter("s_suppkey % 2 = 1").select("ticker", F.lit("error").alias("status"), F.lit("old").alias("detail"))
+    old = rows.select("ticker", F.lit("error").alias("status"), F.lit("old").alias("detail"))
     states = F.element_at(F.array(*map(F.lit, ("ok", "not_found", "empty", "failed", "pending"))), (k % 5 + 1).cast("int"))
     return store.import_states(old, rows.select("ticker", states.alias("status"), F.lit("new").alias("detail")))
 

@@ -324,7 +324,7 @@ def scored(tables: dict[str, dict[str, float]], weights: dict[str, float], beta:
 DELAYED = """SELECT o.filing_date, o.ticker, o.side, o.filer_id, delay, b.adj_close / a.adj_open - e.adj_close / s.adj_open - coalesce(cost, 0) AS excess
     FROM (SELECT *, unnest([0, 1, 2, 3, 5, 10]) AS delay FROM c_listed) o JOIN c_usable a ON a.ticker = o.ticker AND a.bar_no = o.bar_no + delay JOIN c_usable b ON b.ticker = o.ticker AND b.bar_no = o.bar_no + delay + 19
     JOIN c_usable s ON s.ticker = 'SPY' AND s.date = a.date JOIN c_usable e ON e.ticker = 'SPY' AND e.date = b.date WHERE a.adj_open <> 0"""
-REJECTS = """SELECT trade_id, 'trade_after_filing' AS rule FROM c_trades WHERE trade_date > filed_on AND trade_id % 2 = 0 UNION ALL SELECT trade_id, 'unknown_ticker' FROM c_trades WHERE ticker IS NULL
+REJECTS = """SELECT trade_id, 'trade_after_filing' AS rule FROM c_trades WHERE trade_date > filed_on AND filed_on >= DATE '1997-01-01' UNION ALL SELECT trade_id, 'unknown_ticker' FROM c_trades WHERE ticker IS NULL
     UNION ALL SELECT trade_id, 'price_out_of_range' FROM c_trades t JOIN c_bars b ON t.ticker = b.ticker AND t.trade_date = b.date WHERE price > 0 AND (price < 0.8 * open OR price > 1.2 * close)"""
 
 
