@@ -119,9 +119,9 @@ def market_size(lagged: DataFrame, n_levels: int = MARKET_LEVELS) -> DataFrame:
     return rows.join(ranked, ["side", "day", "value"]).select("trade_id", "n", (F.col("below") / F.col("n")).alias("score"))
 
 
-def sizes(lagged: DataFrame) -> DataFrame:
-    """(trade_id, size_score, size_basis): among the filer's own values if there are enough, else the market's."""
-    own, market = own_size(lagged).select("trade_id", F.col("score").alias("own")), market_size(lagged).select("trade_id", F.col("score").alias("market"))
+def sizes(lagged: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """(trade_id, size_score, size_basis): among the filer's own values if there are enough, else the market's; market has rows of its own, if they are others."""
+    own, market = own_size(lagged).select("trade_id", F.col("score").alias("own")), market_size(lagged if market is None else market).select("trade_id", F.col("score").alias("market"))
     both = own.join(market, "trade_id", "full_outer")
     return both.select("trade_id", F.coalesce("own", "market").alias("size_score"), F.when(F.col("own").isNotNull(), "filer").otherwise("market").alias("size_basis"))
 
@@ -164,10 +164,14 @@ def drift(dated: DataFrame, bars: DataFrame) -> DataFrame:
 
 def features(lagged: DataFrame, bars: DataFrame) -> DataFrame:
     """One row a trade with all features and its flags in their order."""
+    return assembled(lagged, bars, filer_lag_zscore(lagged), sizes(lagged), inherited(lagged, cluster_counts(lagged)))
+
+
+def assembled(lagged: DataFrame, bars: DataFrame, *sides: DataFrame) -> DataFrame:
+    """lagged with drift, the features of sides by trade_id, and flags."""
     df = drift(lagged, bars)
-    counts = inherited(lagged, cluster_counts(lagged))
     known = bars.filter("adj_close > 0").select(F.col("ticker").alias("_t")).distinct().withColumn("priced", F.lit(True))
-    for side in (filer_lag_zscore(lagged), sizes(lagged), counts):
+    for side in sides:
         df = df.join(side, "trade_id", "left")
     df = df.join(known, df["ticker"] == known["_t"], "left").drop("_t")
     seen = (F.col("lag") >= 0) & F.col("ticker").isNotNull()
