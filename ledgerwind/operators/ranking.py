@@ -61,8 +61,8 @@ def rank_correlation(df: DataFrame, groups: list[str], a: str, b: str, out: str)
     """(groups, out): the correlation of the ranks of a and b among rows that have both; null with fewer than 3, or if one does not vary."""
     rows = stored(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, a, b), "correlated")
     ranks = average_ranks(average_ranks(rows, groups, a, "_ra"), groups, b, "_rb")
-    known = (F.count("*") >= 3) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return ranks.groupBy(*groups).agg(F.when(known, F.corr("_ra", "_rb")).alias(out))
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return ranks.groupBy(*groups).agg(F.when((F.count("*") >= 3) & (spread > 0), F.try_divide(F.covar_pop("_ra", "_rb"), spread)).alias(out))
 
 
 def order_statistics(df: DataFrame, groups: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
