@@ -86,8 +86,7 @@ class Domain:
 
     @cached_property
     def walk(self) -> model.WalkForward | None:
-        """The score's walk-forward, with all variants of the ablation."""
-        return model.walk_forward(self.listed, scorecard.variants())
+        return model.walk_forward(self.listed)
 
     @cached_property
     def drifted(self) -> DataFrame:
@@ -466,7 +465,7 @@ SCORED = "year int, filer_id long, ticker string, side string, filing_date date,
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk = Domain.of(spark, sf_dir).walk
-    return walk.scored.filter("variant = 'all components'") if walk else spark.createDataFrame([], SCORED)
+    return walk.scored if walk else spark.createDataFrame([], SCORED)
 
 
 @query(f"{_YEARS} SELECT year, {KEYS}, entry, {r('quality')}, {r('score')}, above, CAST(beta AS DOUBLE) AS beta, n_train FROM tested")
@@ -496,14 +495,15 @@ def year_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By test year, what each component can move the raw score by."""
     walk = Domain.of(spark, sf_dir).walk
-    folds = [(y, m, None) for (y, variant), m in walk.models.items() if variant == "all components"] if walk else []
+    folds = [(y, m, None) for (y, _), m in walk.models.items()] if walk else []
     return scorecard.weights(folds, spark).select("year", "component", r6("span"), "beta")
 
 
 @query(f"{_VARIANTS} SELECT variant AS model, n, {r('mean')}, {r('t_cluster')} FROM ({summary('variant', '(SELECT * FROM tested WHERE above)', 'y')})")
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What events above the cut-off return without one component or without the drift penalty."""
-    return scorecard.ablation(Domain.of(spark, sf_dir).walk, spark).select("model", "n", r6("mean"), r6("t_cluster"))
+    walk = model.walk_forward(Domain.of(spark, sf_dir).listed, scorecard.variants())
+    return scorecard.ablation(walk, spark).select("model", "n", r6("mean"), r6("t_cluster"))
 
 
 #: Admission in the order of days and scores: a recursion over candidates, of which a day's 40 best tickers are enough for 20 slots.

@@ -9,7 +9,7 @@ from ledgerwind.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["calendar_days", "duplicate_lines_amendment", "filer_lag_zscore", "market_size_percentile", "trade_features", "event_status", "event_legs", "contrasts", "component_buckets", "link_amendments", "upsert_prices", "events_rate_windows", "price_queue"]
+SOME = ["calendar_days", "duplicate_lines_amendment", "filer_lag_zscore", "market_size_percentile", "trade_features", "event_status", "event_legs", "contrasts", "component_buckets", "link_amendments", "upsert_prices", "events_rate_windows", "price_queue", "normal_equations", "year_table", "quarter_lines", "pit_replay", "fill_counts"]
 
 
 def plain(x):
