@@ -13,9 +13,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_date: str, values: li
     """left with prefix_date and prefix_<value> of the nearest row of right (key, date, values) at most max_gap days off.
 
     Backward takes the last row on or before left_date, forward the first one on or after; strict leaves left_date itself
-    out. Both time lines are cut into pieces of PIECE days, and right rows are copied into the next piece as far as
-    max_gap reaches, so groups stay small; one window over both finds the match. Rows with a null key or date match nothing
-    and go round the window.
+    out. Only the distinct keys and dates of left go through the search, and what it finds is joined to left's rows. Both
+    time lines are cut into pieces of PIECE days, and right rows are copied into the next piece as far as max_gap reaches, so
+    groups stay small; one window over both finds the match. Rows with a null key or date match nothing.
     """
     number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
     low = number("date") - (max_gap if forward else 0)
@@ -23,17 +23,15 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_date: str, values: li
     pieces = F.explode(F.sequence(F.floor(low / PIECE), F.floor(high / PIECE)))
     found = F.struct(F.col("date"), *(F.col(v) for v in values))
     theirs = right.filter(F.col("date").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), pieces.alias("_p"), F.col("date").alias("_d"), found.alias("_r"))
-    apart = F.col(key).isNull() | F.col(left_date).isNull()
-    mine = left.filter(~apart).select(F.col(key).alias("_k"), F.floor(number(left_date) / PIECE).alias("_p"), F.col(left_date).alias("_d"), F.struct("*").alias("_l"))
+    asked = left.select(F.col(key).alias("_k"), F.col(left_date).alias("_d")).filter("_k is not null and _d is not null").distinct().withColumn("_p", F.floor(number("_d") / PIECE))
     # at one date: right rows come first, unless strict
-    both = theirs.withColumn("_o", F.lit(1 if strict else 0)).unionByName(mine.withColumn("_o", F.lit(0 if strict else 1)), allowMissingColumns=True)
+    both = theirs.withColumn("_o", F.lit(1 if strict else 0)).unionByName(asked.withColumn("_o", F.lit(0 if strict else 1)), allowMissingColumns=True)
     order = [F.desc("_d") if forward else F.col("_d"), F.col("_o")]
     near = F.last("_r", ignorenulls=True).over(Window.partitionBy("_k", "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     gap = F.abs(F.datediff("_r.date", "_d"))
-    rows = both.withColumn("_r", near).filter("_l is not null").withColumn("_r", F.when(F.col("_k").isNotNull() & (gap <= max_gap), F.col("_r")))
-    rows = rows.select("_l.*", F.col("_r.date").alias(f"{prefix}_date"), *(F.col(f"_r.{v}").alias(f"{prefix}_{v}") for v in values))
-    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (f"{prefix}_date", *(f"{prefix}_{v}" for v in values))]
-    return rows.unionByName(left.filter(apart).select("*", *none))
+    hits = both.withColumn("_r", near).filter((F.col("_o") == (0 if strict else 1)) & (gap <= max_gap)).select("_k", "_d", "_r")
+    rows = left.join(hits, (F.col(key) == F.col("_k")) & (F.col(left_date) == F.col("_d")), "left")
+    return rows.select(*left.columns, F.col("_r.date").alias(f"{prefix}_date"), *(F.col(f"_r.{v}").alias(f"{prefix}_{v}") for v in values))
 
 
 def last_known(left: DataFrame, right: DataFrame, key: str, left_date: Column, values: list[str], prefix: str) -> DataFrame:
