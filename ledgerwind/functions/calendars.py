@@ -96,3 +96,19 @@ def on_or_before(df: DataFrame, days: DataFrame, column: str, name: str, out: st
     side = F.broadcast(days.filter(f"is_{name}").select(F.col("d").alias(out), F.col(f"cum_{name}").alias("_cum")))
     df = with_ordinal(df, days, column, name, "_at")
     return df.join(side, F.col("_at") == F.col("_cum"), "left").drop("_at", "_cum")
+
+
+def quarters(spec: Column) -> Column:
+    """The quarters of a range such as 2015q3-2016q2, or of one quarter, as an array; null for anything else."""
+    ends = F.split(F.trim(spec), "-")
+    number = lambda q: F.when(q.rlike(r"^[0-9]{4}q[1-4]$"), F.substring(q, 1, 4).cast("int") * 4 + F.substring(q, 6, 1).cast("int") - 1)
+    first, last = number(F.get(ends, F.lit(0))), number(F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))))
+    name = lambda n: F.concat(F.floor(n / 4).cast("string"), F.lit("q"), (n % 4 + 1).cast("string"))
+    none = F.array().cast("array<string>")
+    return F.when(first.isNotNull() & last.isNotNull() & (F.size(ends) <= 2), F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), name)).otherwise(none))
+
+
+def quarter_bounds(quarter: Column) -> tuple[Column, Column]:
+    """The first and the last day of a quarter such as 2015q3."""
+    start = F.make_date(F.substring(quarter, 1, 4).cast("int"), F.substring(quarter, 6, 1).cast("int") * 3 - 2, F.lit(1))
+    return start, F.last_day(F.add_months(start, 2))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwind.functions.stored import stored
+from ledgerwind.functions.calendars import quarter_bounds
 from ledgerwind.functions.text import eastern_date
 from ledgerwind.operators import ranking
 from ledgerwind.operators.temporal import asof
@@ -133,9 +134,8 @@ def fetch_queue(wanted: DataFrame, status: DataFrame, groups: list[list[str]], f
 
 def cache_coverage(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """(quarter, tickers, covered, out_of_range, pending) from (quarter, ticker) and (ticker, first, last)."""
-    year, q = F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", 6, 1).cast("int")
-    start = F.make_date(year, q * 3 - 2, F.lit(1))
-    df = wanted.join(held, "ticker", "left").withColumn("start", start).withColumn("end", F.last_day(F.add_months(start, 2)))
+    start, end = quarter_bounds(F.col("quarter"))
+    df = wanted.join(held, "ticker", "left").withColumn("start", start).withColumn("end", end)
     overlap = (F.col("first") <= F.col("end")) & (F.col("last") >= F.col("start"))
     return df.groupBy("quarter").agg(F.countDistinct("ticker").alias("tickers"), F.count_if(overlap).alias("covered"), F.count_if(~overlap).alias("out_of_range"), F.count_if(F.col("first").isNull()).alias("pending"))
 
@@ -146,9 +146,8 @@ def coverage_by_status(wanted: DataFrame, status: DataFrame) -> DataFrame:
     A ticker with bars (ok) is covered if these meet the quarter, else out of range; empty counts as not found, an error as
     failed, and a ticker without status as pending. Statuses of other names count for tickers, buys and trades only.
     """
-    year, q = F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", 6, 1).cast("int")
-    start = F.make_date(year, q * 3 - 2, F.lit(1))
-    df = wanted.join(status, "ticker", "left").withColumn("start", start).withColumn("end", F.last_day(F.add_months(start, 2))).withColumn("status", F.coalesce("status", F.lit("pending")))
+    start, end = quarter_bounds(F.col("quarter"))
+    df = wanted.join(status, "ticker", "left").withColumn("start", start).withColumn("end", end).withColumn("status", F.coalesce("status", F.lit("pending")))
     ok = F.col("status") == "ok"
     covered = ok & (F.col("first") <= F.col("end")) & (F.col("last") >= F.col("start"))
     count = lambda name, condition: F.count_if(condition).alias(name)

@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwind.functions import text
+from ledgerwind.functions import calendars, text
 from ledgerwind.operators import duplicates, features, increments, ranking, reports, store, temporal
 from ledgerwind.plans import catalog
 from ledgerwind.sources import prices
@@ -97,3 +97,21 @@ def test_names_urls_and_logs(spark, tmp_path):
     bars = spark.createDataFrame([("A", date(2024, 1, 2), 1.0, 2.0, 1.0, 2.0, 5.0)], "ticker string, date date, open double, close double, adj_open double, adj_close double, volume double")
     bars.write.parquet(str(tmp_path / "bars"))
     assert [tuple(r) for r in prices.open_bars(spark, f"table:{tmp_path}/bars").collect()] == [tuple(r) for r in bars.collect()]
+
+
+def test_quarter_ranges(spark):
+    cases = {"2015q3-2016q2": ["2015q3", "2015q4", "2016q1", "2016q2"], "2020q4": ["2020q4"], "2016q1-2015q1": [], "2015q5": None, "2015q1-": None, "x": None, "2015q1-2015q2-2015q3": None}
+    rows = spark.createDataFrame([(c,) for c in cases], "s string").select("s", calendars.quarters(F.col("s")).alias("q")).collect()
+    assert {r.s: r.q for r in rows} == cases
+    assert tuple(spark.range(1).select(*calendars.quarter_bounds(F.lit("2023q4"))).first()) == (date(2023, 10, 1), date(2023, 12, 31))
+
+
+def test_cache_state_and_universe_files(spark, tmp_path):
+    assert prices.state_file(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "state.json").write_text('{"cooldown_until": "2024-01-02T03:04:05", "cooldown_reason": "hourly limit"}')
+    assert [tuple(r) for r in prices.state_file(spark, str(tmp_path / "state.json")).collect()] == [(datetime(2024, 1, 2, 3, 4, 5), "hourly limit")]
+    (tmp_path / "empty.json").write_text("{}")
+    assert prices.state_file(spark, str(tmp_path / "empty.json")).count() == 0
+    rows = [("2020q1", "A", 1, 2), ("2020q2", "B", 0, 5)]
+    prices.write_universe(spark.createDataFrame(rows, "quarter string, ticker string, buys long, trades long"), str(tmp_path / "universe"))
+    assert sorted(map(tuple, prices.universe_file(spark, str(tmp_path / "universe")).collect())) == rows
