@@ -45,3 +45,9 @@ def test_domain_tables_are_shared_and_made_anew_when_gone(spark):
     stored.clear(spark)
     two = catalog.Domain.of(spark, SF)
     assert two is not one and two.trades.count() > 0 and catalog.Domain.of(spark, SF) is two
+
+
+def test_rate_windows_are_all_there_open_ones_too(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    rows = entry.queries()["events_rate_windows"](spark, SF).collect()
+    assert sum(r["n"] for r in rows) == 2 * n  # an hour every half hour: a row is in two windows
