@@ -51,3 +51,10 @@ def test_rate_windows_are_all_there_open_ones_too(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").count()
     rows = entry.queries()["events_rate_windows"](spark, SF).collect()
     assert sum(r["n"] for r in rows) == 2 * n  # an hour every half hour: a row is in two windows
+
+
+def test_status_import_adds_unstored_tickers_and_writes_over_stored_ones(spark):
+    n, rows = spark.read.parquet(f"{SF}/supplier.parquet").count(), entry.queries()["price_status_import"](spark, SF).collect()
+    stored_before, added = ([r for r in rows if r["ticker"][0] == c] for c in "SN")
+    assert len(stored_before) == n and {r["detail"] for r in stored_before} == {"old", "new"}
+    assert 0 < len(added) < n and {r["detail"] for r in added} == {"new"}  # a pending one is not added
