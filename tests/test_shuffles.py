@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from ledgerwind.operators import duplicates, events, features
+from ledgerwind.functions import calendars
+from ledgerwind.operators import duplicates, evaluate, events, features, temporal
 from ledgerwind.plans import adapter, catalog
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,31 @@ def test_events_and_clusters_move_lines_once_each(spark, shuffled):
     rows = lagged.withColumnRenamed("original_id", "duplicate_of_trade_id").selectExpr("*", "1 AS cluster_count")
     assert shuffled(events.events(rows)) == 1
     assert shuffled(events.holdings(rows)) == 1
+
+
+def test_several_lookups_move_rows_once(spark, shuffled):
+    d = catalog.Domain.of(spark, SF)
+    assert shuffled(features.drift(d.lagged, d.bars)) == 1
+    assert shuffled(d.study.outcomes.drop("issuer")) <= 4  # events with bars; issuers' sectors are broadcast
+    assert shuffled(d.study.legs) == 0 and shuffled(d.study.returns) == 0
+
+
+def test_lookups_of_several_dates_are_those_of_one_after_the_other(spark):
+    left = spark.sql("SELECT k, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b FROM VALUES ('x', '2020-01-05', '2020-01-01'), ('x', '2020-01-05', '2020-01-01'), ('x', null, '2020-01-09'), ('y', '2020-01-05', '2020-01-05'), (null, '2020-01-05', '2020-01-05') AS t(k, a, b)")
+    right = spark.sql("SELECT k, CAST(d AS DATE) AS date, v FROM VALUES ('x', '2020-01-02', 1), ('x', '2020-01-05', 2), ('x', '2020-01-20', 3) AS t(k, d, v)")
+    one = temporal.asof(temporal.asof(left, right, "k", "a", ["v"], "p", 2), right, "k", "b", ["v"], "q", 5, forward=True)
+    both = temporal.asof_all(left, right, "k", [("a", ["v"], "p", 2, False), ("b", ["v"], "q", 5, True)])
+    assert both.columns == one.columns
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(both) == told(one) and both.filter("q_v = 1").count() == 2
+
+
+def test_exits_are_the_last_bars_up_to_their_day(spark):
+    rows = "('x', '2020-01-02'), ('x', '2020-01-04'), ('x', '2020-01-08'), ('x', '2020-01-09'), ('x', '2020-03-30')"  # the fourth is a Saturday
+    bars = spark.sql(f"SELECT t AS ticker, CAST(d AS DATE) AS date, CAST(day(CAST(d AS DATE)) AS DOUBLE) AS adj_close FROM VALUES {rows} AS v(t, d)")
+    days = calendars.calendar(spark)
+    got = {str(r["date"]): r for r in evaluate.with_exits(bars, days).collect()}
+    for h in evaluate.HORIZONS:
+        asked = calendars.add_business_days(bars.drop("adj_close"), days, "date", h - 1, "nyse", "target")
+        for r in temporal.asof(asked, bars, "ticker", "target", ["adj_close"], "x", evaluate.EXIT_DAYS).collect():
+            assert got[str(r["date"])][f"exit{h}_date"] == (r["x_date"] if r["x_date"] and r["x_date"] >= r["date"] else None)
