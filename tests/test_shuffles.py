@@ -77,3 +77,8 @@ def test_exits_are_the_last_bars_up_to_their_day(spark):
         asked = calendars.add_business_days(bars.drop("adj_close"), days, "date", h - 1, "nyse", "target")
         for r in temporal.asof(asked, bars, "ticker", "target", ["adj_close"], "x", evaluate.EXIT_DAYS).collect():
             assert got[str(r["date"])][f"exit{h}_date"] == (r["x_date"] if r["x_date"] and r["x_date"] >= r["date"] else None)
+
+
+def test_replaced_filings_do_not_move_the_trades(spark, shuffled):
+    trades = catalog.Domain.of(spark, SF).trades
+    assert shuffled(temporal.known_spans(trades, "filing_id", "filed_on", "amends_filing_id")) == 0
