@@ -91,3 +91,13 @@ def test_a_histogram_of_lags_stores_no_lagged_trades(spark):
     assert "lagged" not in vars(held)
     assert sum(rows.values()) == held.trades.count()
     assert rows == {r["bucket"]: r["n"] for r in reports.lag_histogram(held.lagged).collect()}
+
+
+def test_a_lookup_carries_the_values_of_its_own_way_alone(spark):
+    left = spark.sql("SELECT 'x' AS k, DATE '2020-01-05' AS a, DATE '2020-01-06' AS b")
+    right = spark.sql("SELECT 'x' AS k, DATE '2020-01-05' AS date, 'near' AS v, 'far' AS w")
+    found = temporal.asof_all(left, right, "k", [("a", ["v", "w"], "p", 2, True), ("b", ["v"], "q", 2, False)])
+    row = found.first()
+    assert (row["p_v"], row["p_w"], row["q_v"]) == ("near", "far", "near")
+    carried = re.search(r"struct\(([^)]*)\) AS _r0", found._jdf.queryExecution().analyzed().toString())[1]
+    assert "v, v#" in carried and "w, w#" not in carried
