@@ -4,9 +4,10 @@ import contextlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
-from ledgerwind.operators import duplicates, evaluate, events, features, reports, temporal
+from ledgerwind.operators import duplicates, evaluate, events, features, model, ranking, reports, temporal
 from ledgerwind.plans import adapter, catalog
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,13 @@ def test_a_lookup_carries_the_values_of_its_own_way_alone(spark):
     assert (row["p_v"], row["p_w"], row["q_v"]) == ("near", "far", "near")
     carried = re.search(r"struct\(([^)]*)\) AS _r0", found._jdf.queryExecution().analyzed().toString())[1]
     assert "v, v#" in carried and "w, w#" not in carried
+
+
+def test_rows_that_end_a_tenth_are_scored_once_before_they_are_put_in_order(spark, monkeypatch):
+    plans, put = [], ranking.numbered
+    monkeypatch.setattr(model.ranking, "numbered", lambda df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(df, *more))
+    labels = {c: F.lit("x").alias(f"b_{c}") for c in model.NAMES}
+    rows = spark.range(40).select(F.lit(1).alias("filer_id"), F.concat(F.lit("T"), "id").alias("ticker"), F.lit("buy").alias("side"), F.lit("2020-01-01").cast("date").alias("filing_date"), (F.col("id") / 100).alias("y"), F.lit(0.1).alias("drift"), F.lit(0).alias("since"), *labels.values())
+    found, _ = model.fits(rows, ["all"], [model.Variant("v")])
+    assert found[0, "v"].threshold is not None
+    assert len(plans) == 1 and "Generate" not in plans[0]
