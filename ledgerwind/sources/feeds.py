@@ -1,6 +1,6 @@
 """A Spark data source for feed pages, in batches and as a stream whose offset is the last page that was read.
 
-`spark.read.format("feed_pages")` or `spark.readStream...`: a partition a page, a row an entry, with its page and position. A
+`spark.read.format("feed_pages")` or `spark.readStream...`: a partition some pages, a row an entry, with its page and position. A
 page that can't be read gives one row with a fault, so that it holds nothing else up.
 """
 
@@ -24,9 +24,19 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 ACCESSION, CIK = re.compile(r"(\d{10}-\d{2}-\d{6})"), re.compile(r"/data/(\d+)/")
 
 
+#: Tasks that a folder of pages is read in, before a task takes several pages, and pages of a task at most.
+TASKS, MOST = 64, 64
+
+
 @dataclass
-class Page(InputPartition):
-    path: str
+class Pages(InputPartition):
+    paths: list[str]
+
+
+def dealt(paths: list[str]) -> list[Pages]:
+    """A page a task up to TASKS pages, then runs of pages in their order: a page is small next to what a task costs."""
+    size = min(MOST, -(-len(paths) // TASKS)) or 1
+    return [Pages(paths[i : i + size]) for i in range(0, len(paths), size)]
 
 
 def _plain(tag: str) -> str:
@@ -82,10 +92,11 @@ class Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[Page]:
-        return [Page(p) for p in pages(self.path)]
+        return dealt(pages(self.path))
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        yield from _read(partition.path)
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            yield from _read(path)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -103,10 +114,11 @@ class StreamReader(DataSourceStreamReader):
         return {"page": self.last}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(p) for p in pages(self.path, start["page"], end["page"])]
+        return dealt(pages(self.path, start["page"], end["page"]))
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        yield from _read(partition.path)
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            yield from _read(path)
 
 
 class FeedPages(DataSource):

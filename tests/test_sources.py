@@ -4,7 +4,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ledgerwind.functions.stored import shared_path
-from ledgerwind.sources import filings, prices
+from ledgerwind.sources import feeds, filings, prices
 from ledgerwind.streaming import ingest
 
 QUARTER = {
@@ -90,3 +90,10 @@ def test_streams_of_first_rows_and_rates(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "a")).collect()) == [1, 2]
     ingest.run_to_table(ingest.rate_windows(stream(), "ts", "k", "1 hour", "30 minutes", "1 hour"), str(tmp_path / "b"), str(tmp_path / "sb"), "complete")
     assert sum(r.n for r in spark.read.parquet(str(tmp_path / "b")).collect()) == 6
+
+
+def test_many_pages_are_few_tasks_and_keep_their_order():
+    paths = [f"p{i:06d}" for i in range(20_000)]
+    few, many = feeds.dealt(paths[:5]), feeds.dealt(paths)
+    assert [p.paths for p in few] == [[p] for p in paths[:5]] and feeds.dealt([]) == []
+    assert len(many) == 313 and [x for p in many for x in p.paths] == paths
