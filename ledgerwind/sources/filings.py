@@ -102,6 +102,11 @@ def leaf(column: str) -> F.Column:
     return F.coalesce(F.col(f"{column}.value"), F.col(f"{column}._VALUE"))
 
 
+def _leaf(owner: F.Column, name: str) -> F.Column:
+    """leaf() of an owner's relationship."""
+    return F.coalesce(owner["reportingOwnerRelationship"][name]["value"], owner["reportingOwnerRelationship"][name]["_VALUE"])
+
+
 def _day(raw: F.Column) -> F.Column:
     """The date in the first ten characters; null if there is none."""
     return F.try_to_date(F.substring(F.trim(raw), 1, 10), "yyyy-MM-dd")
@@ -146,14 +151,13 @@ def document_lines(parsed: DataFrame) -> DataFrame:
     A footnote counts for the lines that cite it.
     """
     docs = parsed.filter("fault is null").select("accession", "doc.*")
-    owners = F.transform("reportingOwner", lambda o: F.struct(o["reportingOwnerId"].alias("id"), o["reportingOwnerRelationship"].alias("is")))
-    people = docs.select("accession", F.explode(owners).alias("o")).select(
-        "accession", F.coalesce(text.clean_cik(F.col("o.id.rptOwnerCik")), F.lit("")).alias("cik"), F.col("o.id.rptOwnerName").alias("name"),
-        text.classify_role(F.nullif(F.trim(leaf("o.is.officerTitle")), F.lit("")), *(text.truthy(leaf(f"o.is.{c}")) for c in ("isOfficer", "isDirector", "isTenPercentOwner"))).alias("role"),
-    )
-    owner = text.primary_owners(people, ["accession"]).select("accession", F.col("cik").alias("filer_cik"), F.col("name").alias("filer_name"), "role")
+    people = F.transform("reportingOwner", lambda o: F.struct(
+        F.coalesce(text.clean_cik(o["reportingOwnerId"]["rptOwnerCik"]), F.lit("")).alias("cik"), o["reportingOwnerId"]["rptOwnerName"].alias("name"),
+        text.classify_role(F.nullif(F.trim(_leaf(o, "officerTitle")), F.lit("")), *(text.truthy(_leaf(o, c)) for c in ("isOfficer", "isDirector", "isTenPercentOwner"))).alias("role"),
+    ))
+    docs = docs.withColumn("_owner", text.primary_owner(people))  # an owner a document, found where the document is
     noted = F.transform(F.filter(F.coalesce("footnotes.footnote", F.array()), lambda f: text.mentions_plan(f["_VALUE"])), lambda f: f["_id"])
-    lines = docs.select("accession", F.coalesce("documentType", F.lit("4")).alias("documentType"), _day(F.col("periodOfReport")).alias("period"), text.clean_cik(F.col("issuer.issuerCik")).alias("issuer_cik"), text.clean_ticker(F.col("issuer.issuerTradingSymbol")).alias("ticker"), (text.truthy(leaf("aff10b5One")) | text.mentions_plan(F.col("remarks"))).alias("plan"), noted.alias("noted"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("line_no", "t"))
+    lines = docs.select("accession", "_owner", F.coalesce("documentType", F.lit("4")).alias("documentType"), _day(F.col("periodOfReport")).alias("period"), text.clean_cik(F.col("issuer.issuerCik")).alias("issuer_cik"), text.clean_ticker(F.col("issuer.issuerTradingSymbol")).alias("ticker"), (text.truthy(leaf("aff10b5One")) | text.mentions_plan(F.col("remarks"))).alias("plan"), noted.alias("noted"), F.posexplode("nonDerivativeTable.nonDerivativeTransaction").alias("line_no", "t"))
     cites = [f"t.{c}.footnoteId" for c in ("transactionDate", "transactionCoding", "transactionAmounts.transactionShares", "transactionAmounts.transactionPricePerShare", "postTransactionAmounts.sharesOwnedFollowingTransaction", "ownershipNature.directOrIndirectOwnership", "ownershipNature.natureOfOwnership")]
     cited = F.flatten(F.array(*(F.transform(F.coalesce(F.col(c), F.array()), lambda f: f["_id"]) for c in cites)))
     code = F.col("t.transactionCoding.transactionCode")
@@ -162,9 +166,9 @@ def document_lines(parsed: DataFrame) -> DataFrame:
         "trade_date", text.number(leaf("t.transactionAmounts.transactionShares")).alias("shares"),
         text.number(leaf("t.transactionAmounts.transactionPricePerShare")).alias("price"), text.number(leaf("t.postTransactionAmounts.sharesOwnedFollowingTransaction")).alias("owned_after"),
         text.owner_from_nature(leaf("t.ownershipNature.directOrIndirectOwnership"), leaf("t.ownershipNature.natureOfOwnership")).alias("owner"),
-        (F.col("plan") | F.arrays_overlap(cited, "noted")).alias("is_10b5_1"),
+        (F.col("plan") | F.arrays_overlap(cited, "noted")).alias("is_10b5_1"), F.col("_owner.cik").alias("filer_cik"), F.col("_owner.name").alias("filer_name"), F.col("_owner.role").alias("role"),
     )
-    return rows.join(owner, "accession")
+    return rows
 
 
 def ownership_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,6 +177,11 @@ def ownership_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return document_lines(parsed), parsed.filter("fault is not null").select("accession", "fault")
 
 
+def document_faults(raw: DataFrame) -> DataFrame:
+    """(accession, fault) of the documents (accession, xml) that no lines can be taken from; no document is stored."""
+    return stored(parsed_documents(raw).select("accession", "fault"), "faults").filter("fault is not null")  # stored, so that the filter does not read texts again
+
+
 def ownership_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_lines() of a folder's files."""
     return document_lines(parsed_documents(raw_documents(spark, path)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
 from ledgerwind.operators import duplicates, evaluate, events, features, model, ranking, reports, temporal
-from ledgerwind.plans import adapter, catalog
+from ledgerwind.plans import adapter, catalog, files
+from ledgerwind.sources import filings
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,6 +105,18 @@ def test_a_lookup_carries_the_values_of_its_own_way_alone(spark):
     assert "v, v#" in carried and "w, w#" not in carried
 
 
+def test_a_documents_owner_is_found_where_the_document_is(spark, shuffled):
+    parsed = filings.parsed_documents(spark.createDataFrame([("a", "<x/>")], "accession string, xml string"))
+    assert shuffled(filings.document_lines(parsed)) == 0
+
+
+def test_faults_store_no_documents(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(filings, "stored", lambda df, name: held.append(df.columns) or df)
+    files.document_faults(spark, SF)
+    assert held == [["accession", "fault"]]
+
+
 def test_rows_that_end_a_tenth_are_scored_once_before_they_are_put_in_order(spark, monkeypatch):
     plans, put = [], ranking.numbered
     monkeypatch.setattr(model.ranking, "numbered", lambda df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(df, *more))
