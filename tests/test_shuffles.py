@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
-from ledgerwind.operators import duplicates, evaluate, events, features, model, ranking, reports, temporal
+from ledgerwind.operators import duplicates, evaluate, events, features, model, ranking, reports, signals, temporal
 from ledgerwind.plans import adapter, catalog, files
 from ledgerwind.sources import filings
 
@@ -125,3 +125,21 @@ def test_rows_that_end_a_tenth_are_scored_once_before_they_are_put_in_order(spar
     found, _ = model.fits(rows, ["all"], [model.Variant("v")])
     assert found[0, "v"].threshold is not None
     assert len(plans) == 1 and "Generate" not in plans[0]
+
+
+def test_events_move_once_to_their_filers(spark, shuffled):
+    s = catalog.Domain.of(spark, SF).study
+    assert shuffled(signals.listed(s)) == 1 and shuffled(signals.build(s)) == 1
+
+
+def test_history_at_the_filer_is_that_of_counts_apart(spark):
+    s = catalog.Domain.of(spark, SF).study
+    apart = signals.repeat_buys(s.events).join(signals.track_record(s.results, s.returns), events.KEYS)
+    figures = [*events.KEYS, "repeat_buys", "track_n", F.round("track_record", 9).alias("track")]
+    told = lambda df: sorted(map(str, df.select(*figures).collect()))
+    whole, some = signals.build(s), signals.listed(s)
+    assert told(whole) == told(apart) and whole.filter("repeat_buys > 0").count() > 0 and whole.filter("track_n > 1").count() > 0
+    assert told(some) == told(whole.filter(signals.shown())) and some.count() > 0
+    legs = s.returns.filter("h = 20").select(*events.KEYS, "exit", F.round("net", 9).alias("y"))
+    found = some.filter("exit is not null").select(*events.KEYS, "exit", F.round("y", 9).alias("y"))
+    assert found.count() > 0 and found.exceptAll(legs).count() == 0
