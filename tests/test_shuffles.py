@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
-from ledgerwind.operators import duplicates, evaluate, events, features, model, ranking, reports, signals, temporal
+from ledgerwind.operators import duplicates, evaluate, events, features, model, portfolio, ranking, reports, signals, temporal
 from ledgerwind.plans import adapter, catalog, files
 from ledgerwind.sources import filings
 
@@ -143,3 +143,8 @@ def test_history_at_the_filer_is_that_of_counts_apart(spark):
     legs = s.returns.filter("h = 20").select(*events.KEYS, "exit", F.round("net", 9).alias("y"))
     found = some.filter("exit is not null").select(*events.KEYS, "exit", F.round("y", 9).alias("y"))
     assert found.count() > 0 and found.exceptAll(legs).count() == 0
+
+
+def test_late_entries_meet_their_bars_in_one_shuffle(spark, shuffled):
+    d = catalog.Domain.of(spark, SF)
+    assert shuffled(portfolio.delayed_excess(d.listed, d.study.numbered)) == 1
