@@ -43,31 +43,33 @@ def quarter(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """
     forms = read_tsv(spark, folder, "SUBMISSION").filter(F.col("DOCUMENT_TYPE").isin("4", "4/A"))
     forms = forms.withColumn("filed_on", text.sec_date(F.col("FILING_DATE"))).filter("filed_on is not null")
-    raw = read_tsv(spark, folder, "REPORTINGOWNER").join(forms.select("ACCESSION_NUMBER"), "ACCESSION_NUMBER", "left_semi")
+    raw = read_tsv(spark, folder, "REPORTINGOWNER")  # those of other forms go as filings are joined, so no table is read twice
     told = F.replace(F.replace(F.lower(F.coalesce("RPTOWNER_RELATIONSHIP", F.lit(""))), F.lit(" "), F.lit("")), F.lit("%"), F.lit("percent"))
     told = F.replace(told, F.lit("10percent"), F.lit("tenpercent"))
     role = text.classify_role(F.nullif(F.trim("RPTOWNER_TITLE"), F.lit("")), told.contains("officer"), told.contains("director"), told.contains("tenpercent"))
     people = raw.select("ACCESSION_NUMBER", F.coalesce(text.clean_cik(F.col("RPTOWNERCIK")), F.lit("")).alias("cik"), F.col("RPTOWNERNAME").alias("name"), role.alias("role"))
-    owner = text.primary_owners(people, ["ACCESSION_NUMBER"])
-    all_owners = people.groupBy("ACCESSION_NUMBER").agg(text.owner_ciks(F.collect_set("cik")).alias("owner_ciks"))
+    owners = people.groupBy("ACCESSION_NUMBER").agg(F.collect_list(F.struct("cik", "name", "role")).alias("_people"))
+    owners = owners.select("ACCESSION_NUMBER", text.primary_owner(F.col("_people")).alias("_owner"), text.owner_ciks(F.array_distinct("_people.cik")).alias("owner_ciks"))
+    owners = owners.select("ACCESSION_NUMBER", "_owner.cik", "_owner.name", "_owner.role", "owner_ciks")
     plan = text.truthy(F.col("AFF10B5ONE")) | text.mentions_plan(F.col("REMARKS"))
-    filings = forms.join(owner, "ACCESSION_NUMBER").join(all_owners, "ACCESSION_NUMBER").select(
+    filings = forms.join(owners, "ACCESSION_NUMBER").select(
         F.col("ACCESSION_NUMBER").alias("accession"), F.col("DOCUMENT_TYPE").alias("document_type"), "filed_on", text.sec_date(F.col("PERIOD_OF_REPORT")).alias("period"),
         text.sec_date(F.col("DATE_OF_ORIG_SUB")).alias("original_filed_on"), text.clean_cik(F.col("ISSUERCIK")).alias("issuer_cik"), F.col("ISSUERNAME").alias("issuer_name"),
         text.clean_ticker(F.col("ISSUERTRADINGSYMBOL")).alias("ticker"), F.col("cik").alias("filer_cik"), F.col("name").alias("filer_name"), "role", "owner_ciks", plan.alias("plan"),
     )
-    lines = read_tsv(spark, folder, "NONDERIV_TRANS").join(forms.select("ACCESSION_NUMBER"), "ACCESSION_NUMBER", "left_semi")
+    lines = read_tsv(spark, folder, "NONDERIV_TRANS")
     order = Window.partitionBy("ACCESSION_NUMBER").orderBy(F.col("NONDERIV_TRANS_SK").try_cast("long"), "NONDERIV_TRANS_SK")
     lines = lines.withColumn("line_no", F.row_number().over(order) - 1).withColumn("trade_date", text.sec_date(F.col("TRANS_DATE")))
     lines = lines.filter(F.col("TRANS_CODE").isin(*CODES) & F.col("trade_date").isNotNull())
     marks = [c for c in lines.columns if c.endswith("_FN") or c == zipped.CITED]
     notes = read_tsv(spark, folder, "FOOTNOTES").filter(text.mentions_plan(F.col("FOOTNOTE_TXT"))).select("ACCESSION_NUMBER", F.trim("FOOTNOTE_ID").alias("note"))
-    cited = lines.select("ACCESSION_NUMBER", "line_no", F.explode(F.split(F.concat_ws(",", *marks) if marks else F.lit(""), ",")).alias("note"))
-    cited = cited.withColumn("note", F.trim("note")).join(notes, ["ACCESSION_NUMBER", "note"], "left_semi").select("ACCESSION_NUMBER", "line_no").distinct().withColumn("noted", F.lit(True))
-    lines = lines.join(cited, ["ACCESSION_NUMBER", "line_no"], "left").select(
+    plans = notes.groupBy("ACCESSION_NUMBER").agg(F.collect_set("note").alias("_notes"))  # a filing's, so that lines meet them where they are
+    cited = F.transform(F.split(F.concat_ws(",", *marks) if marks else F.lit(""), ","), lambda note: F.trim(note))
+    noted = F.coalesce(F.arrays_overlap(cited, "_notes"), F.lit(False))
+    lines = lines.join(plans, "ACCESSION_NUMBER", "left").select(
         F.col("ACCESSION_NUMBER").alias("accession"), "line_no", F.when(F.col("TRANS_CODE") == "P", "buy").otherwise("sell").alias("side"), "trade_date",
         text.number(F.col("TRANS_SHARES")).alias("shares"), text.number(F.col("TRANS_PRICEPERSHARE")).alias("price"), text.number(F.col("SHRS_OWND_FOLWNG_TRANS")).alias("owned_after"),
-        text.owner_from_nature(F.col("DIRECT_INDIRECT_OWNERSHIP"), F.col("NATURE_OF_OWNERSHIP")).alias("owner"), F.coalesce("noted", F.lit(False)).alias("noted"),
+        text.owner_from_nature(F.col("DIRECT_INDIRECT_OWNERSHIP"), F.col("NATURE_OF_OWNERSHIP")).alias("owner"), noted.alias("noted"),
     )
     lines = lines.join(filings.select("accession", "plan", "ticker", "role"), "accession").withColumn("is_10b5_1", F.col("plan") | F.col("noted")).drop("plan", "noted")
     return filings.drop("plan"), lines

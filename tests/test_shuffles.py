@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
 from ledgerwind.operators import duplicates, evaluate, events, features, model, portfolio, ranking, reports, signals, temporal
-from ledgerwind.plans import adapter, catalog, files
+from ledgerwind.plans import adapter, catalog, files, fixtures
 from ledgerwind.sources import filings
 
 SF = "/root/testdata/sf0.001"
@@ -158,3 +158,9 @@ def test_trades_and_bars_meet_in_one_shuffle(spark, shuffled):
     right = spark.sql("SELECT k, CAST(d AS DATE) AS date FROM VALUES ('x', '2020-01-12'), ('x', '2020-05-10'), (null, '2020-01-05') AS t(k, d)")
     rows = {(r.k, str(r.d)): r.hit for r in temporal.met(left, right, "k", "d", 7, "hit").collect()}
     assert len(rows) == 7 and {k for k, hit in rows.items() if hit} == {("x", "2020-01-05"), ("x", "2020-05-07")}
+
+
+def test_each_table_of_a_quarter_is_read_once(spark):
+    found, lines = filings.quarter(spark, f"{fixtures.zipped_quarters(spark, SF)}/*.zip")
+    reads = lambda df: len(re.findall(r"BatchScan zipped_tables", df._jdf.queryExecution().executedPlan().toString()))
+    assert reads(found) == 2 and reads(lines) == 4  # submissions and owners; their lines and footnotes beside them
