@@ -164,3 +164,13 @@ def test_each_table_of_a_quarter_is_read_once(spark):
     found, lines = filings.quarter(spark, f"{fixtures.zipped_quarters(spark, SF)}/*.zip")
     reads = lambda df: len(re.findall(r"BatchScan zipped_tables", df._jdf.queryExecution().executedPlan().toString()))
     assert reads(found) == 2 and reads(lines) == 4  # submissions and owners; their lines and footnotes beside them
+
+
+def test_bars_are_numbered_where_events_meet_them(spark, shuffled, monkeypatch):
+    d, held, keep = catalog.Domain.of(spark, SF), [], evaluate.stored
+    monkeypatch.setattr(evaluate, "stored", lambda df, name: held.append(name) or keep(df, name))
+    s = evaluate.Study(d.events, d.bars, d.study.sectors, d.days)
+    assert shuffled(s.outcomes) == 2  # bars as they are, and events
+    bought = s.bought
+    assert not {"numbered-bars", "ended"} & set(held)
+    assert bought.count() > 0 and bought.exceptAll(s.at(20).filter("side = 'buy'").select(*bought.columns)).count() == 0
