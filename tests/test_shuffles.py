@@ -174,3 +174,14 @@ def test_bars_are_numbered_where_events_meet_them(spark, shuffled, monkeypatch):
     bought = s.bought
     assert not {"numbered-bars", "ended"} & set(held)
     assert bought.count() > 0 and bought.exceptAll(s.at(20).filter("side = 'buy'").select(*bought.columns)).count() == 0
+
+
+def test_lags_are_known_with_no_join_of_ordinary_lines(spark, shuffled):
+    d = catalog.Domain.of(spark, SF)
+    assert shuffled(features.filer_lag_zscore(d.lagged)) == 1
+    odd = F.when(F.col("filing_id") % 5 == 0, F.col("filing_id") + 2).otherwise(F.col("amends_filing_id"))  # ordinary documents that amend others
+    nulls = {"document_type": F.when(F.col("filing_id") % 17 != 0, F.col("document_type")), "shares": F.when(F.col("filing_id") % 19 != 0, F.col("shares"))}
+    for trades in (d.trades, d.trades.withColumn("amends_filing_id", odd), d.trades.withColumn("amends_filing_id", odd).withColumns(nulls)):
+        want = duplicates.effective_dates(trades, duplicates.duplicates(trades)).select("trade_id", "filer_id", "kind", "filing_date")
+        got = duplicates.dated(trades, "filer_id")
+        assert want.exceptAll(got.select(*want.columns)).count() == 0 and got.count() == want.count()
