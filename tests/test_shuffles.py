@@ -200,3 +200,11 @@ def test_rejects_are_counted_with_no_line_put_in_order(spark, shuffled):
     days, known = adapter.day_range(spark, SF), {"trade_after_filing": F.col("filed_on") < "1997-01-01"}
     assert all(sorted(map(tuple, catalog.store.counted_rejects(t, days, known).collect())) == want for t in (rows, trades))
     assert len(want) == 3
+
+
+def test_a_line_s_value_does_not_move_to_its_event(spark, shuffled):
+    rows = catalog.Domain.of(spark, SF).lagged.withColumnRenamed("original_id", "duplicate_of_trade_id").selectExpr("*", "1 AS cluster_count")
+    df = events.events(rows)
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    moved = tree.split("RepartitionByExpression", 1)[1].splitlines()[1]  # what goes into the shuffle
+    assert shuffled(df) == 1 and "_valued" in moved and "trade_value" not in moved.split("AS _valued")[-1]
