@@ -1,6 +1,7 @@
 """How often rows are moved: tables that grow with the input are dealt out as seldom as the job allows."""
 
 import contextlib
+import random
 import re
 
 import pytest
@@ -208,3 +209,27 @@ def test_a_line_s_value_does_not_move_to_its_event(spark, shuffled):
     tree = df._jdf.queryExecution().optimizedPlan().toString()
     moved = tree.split("RepartitionByExpression", 1)[1].splitlines()[1]  # what goes into the shuffle
     assert shuffled(df) == 1 and "_valued" in moved and "trade_value" not in moved.split("AS _valued")[-1]
+
+
+def test_trades_move_once_to_be_ranked_by_size(spark, shuffled, monkeypatch):
+    d, plans, keep = catalog.Domain.of(spark, SF), {}, features.stored
+    monkeypatch.setattr(features, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    features.market_size_of(d.valued)
+    assert len(re.findall("Exchange", plans["market-ranks"])) == 1 and "Generate" not in plans["market-ranks"]
+
+
+def test_half_ranks_are_those_of_a_loop_over_days(spark):
+    rng = random.Random(5)
+    near = [(i, rng.choice("ab"), rng.randrange(500), float(rng.randrange(40)), rng.random() < 0.8) for i in range(1500)]
+    far = [(1500 + i, "c" if i % 3 else f"k{i}", rng.choice([-700_000, 0, 3, 2_900_000]), float(i % 7), True) for i in range(300)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        for rows, days in ((near, None), (near, 90), (far + near, 400)):
+            df = spark.createDataFrame(rows, "id int, k string, day int, value double, own boolean").repartition(3, "k")
+            got = {r.id: r.halves for r in ranking.halves(df, ["k"], days).collect()}
+            for i, k, day, value, _ in rows:
+                seen = [v for _, q, e, v, own in rows if own and q == k and e < day and (days is None or e >= day - days)]
+                assert got[i] == sum(2 * (v < value) + (v == value) for v in seen)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
