@@ -233,3 +233,8 @@ def test_half_ranks_are_those_of_a_loop_over_days(spark):
                 assert got[i] == sum(2 * (v < value) + (v == value) for v in seen)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_filer_s_trades_move_once_to_be_ranked(spark, shuffled):
+    df = features.own_size_of(catalog.Domain.of(spark, SF).valued)
+    assert shuffled(df) == 1 and "Generate" not in df._jdf.queryExecution().executedPlan().toString()
