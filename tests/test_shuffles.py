@@ -238,3 +238,18 @@ def test_half_ranks_are_those_of_a_loop_over_days(spark):
 def test_a_filer_s_trades_move_once_to_be_ranked(spark, shuffled):
     df = features.own_size_of(catalog.Domain.of(spark, SF).valued)
     assert shuffled(df) == 1 and "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sizes_are_found_with_no_join_of_trades_and_few_scores_held(spark, monkeypatch):
+    d, plans, keep = catalog.Domain.of(spark, SF), {}, features.stored
+    own, market = features.own_size(d.lagged).withColumnRenamed("score", "o"), features.market_size(d.lagged).withColumnRenamed("score", "m")
+    want = own.join(market, "trade_id", "full_outer").select("trade_id", F.coalesce("o", "m").alias("size_score"), F.when(F.col("o").isNotNull(), "filer").otherwise("market").alias("size_basis"))
+    monkeypatch.setattr(features, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    got = features.sizes_of(d.valued)
+    assert len(re.findall("Exchange", plans["market-ranks"])) == 2 and "Join" not in plans["market-ranks"]
+    assert want.exceptAll(got).count() == 0 and got.count() == want.count() and got.groupBy("size_basis").count().count() == 2
+    few = spark.createDataFrame([("filer", 0.25), ("filer", 0.5), ("market", 0.1), ("market", 0.2), ("market", 0.9), ("market", None)], "size_basis string, size_score double")
+    table = reports.size_basis(few)
+    assert "percentile" not in table._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, table.collect())) == [("filer", 2, 0.375), ("market", 3, 0.2), ("none", 1, None)]
+    assert sorted(map(tuple, reports.size_basis(few.filter("size_score is not null"), 9).collect())) == [("filer", 2, 0.375), ("market", 3, 0.2), ("none", 4, None)]
