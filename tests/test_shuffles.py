@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwind.functions import calendars
-from ledgerwind.operators import duplicates, evaluate, events, features, model, portfolio, ranking, reports, signals, temporal
+from ledgerwind.operators import duplicates, evaluate, events, features, model, portfolio, ranking, reports, signals, study, temporal
 from ledgerwind.plans import adapter, catalog, files, fixtures
 from ledgerwind.sources import filings
 
@@ -253,3 +253,10 @@ def test_sizes_are_found_with_no_join_of_trades_and_few_scores_held(spark, monke
     assert "percentile" not in table._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, table.collect())) == [("filer", 2, 0.375), ("market", 3, 0.2), ("none", 1, None)]
     assert sorted(map(tuple, reports.size_basis(few.filter("size_score is not null"), 9).collect())) == [("filer", 2, 0.375), ("market", 3, 0.2), ("none", 4, None)]
+
+
+def test_returns_meet_their_cuts_where_they_are(spark, shuffled):
+    rows = spark.range(60).select((F.col("id") % 2).alias("h"), (F.col("id") / 7).alias("drift_pct"), (F.col("id") / 9).alias("r"), (F.col("id") % 5).alias("cluster"))
+    top = lambda df: re.search(r"(\w+Join)", df._jdf.queryExecution().executedPlan().toString())[1]
+    assert top(study.with_drift_quintile(rows, ["h"])) == "BroadcastHashJoin"
+    assert top(study.contrast(rows, ["h"], F.col("r") > 3, "r", "cluster")) == "BroadcastHashJoin"
